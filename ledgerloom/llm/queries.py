@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op2
 from .exact_dedup import OP9_SQL, op9
 from .quality_rules import OP3_SQL, op3
+from .simhash import op4
+from .token_counts import op1
 
 
 def queries():
-    return {"op3_quality_rules": op3, "op9_exact_dedup": op9}
+    return {
+        "op1_token_counts": op1,
+        "op2_bpe_codec": op2,
+        "op3_quality_rules": op3,
+        "op4_simhash_dedup": op4,
+        "op9_exact_dedup": op9,
+    }
 
 
 def oracle_sql():
