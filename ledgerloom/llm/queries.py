@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe_codec import op2
 from .exact_dedup import OP9_SQL, op9
 from .packing import op7
+from .quality_classifier import op6
 from .quality_rules import OP3_SQL, op3
 from .simhash import op4
 from .token_counts import op1
+from .toxicity import op10
 
 
 def queries():
@@ -16,8 +18,10 @@ def queries():
         "op2_bpe_codec": op2,
         "op3_quality_rules": op3,
         "op4_simhash_dedup": op4,
+        "op6_quality_classifier": op6,
         "op7_packing": op7,
         "op9_exact_dedup": op9,
+        "op10_toxicity": op10,
     }
 
 
