@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,44 +23,67 @@ STEP = 16
 REMEMBERED = 700_000
 
 
-class WordIds:
+class WordIds(dict):
     """Ids of whole texts by the tokenizers library, each distinct word (text between white space) encoded once.
 
-    The vocabulary's pieces never cross white space and its normaliser drops it, so words are independent.
+    The vocabulary's pieces never cross white space and its normaliser drops it, so words are independent.  For a word
+    of Latin letters the normaliser only lowers case; such a word is split here and goes straight to the BPE model.
+    All others, and what looks like a special token, take the library's whole path.
     """
 
+    #: Fixed value: the vocabulary's own pattern.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, vocabulary_file: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
+        from .bpe_codec import byte_alphabet
+
+        self.split = regex.compile(self.PATTERN)
+        self.odd = regex.compile(r"[^\x00-\u024F]|\u0130|<\||[\x1C-\x1F]")
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
         self.model = Tokenizer.from_file(vocabulary_file)
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenize = self.model.model.tokenize
+        self.tails = {c: self._ids(c) for c in ".,;:!?"}
+
+    def _ids(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.stand_in)
+        return array("I", [t.id for t in self.tokenize(part)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core, tail = word, b""
+        if not word.isalpha() and word[-1] in self.tails and word[:-1].isalpha():
+            core, tail = word[:-1], self.tails[word[-1]]
+        if self.odd.search(core) or len(core) > 200:
+            return array("I", self.model.encode(word, add_special_tokens=False).ids).tobytes()
+        if core.isalpha():
+            low = core.lower()
+            known = self.get(low) if tail or low != word else None
+            return (known or self._ids(low)) + tail
+        return b"".join(map(self._ids, self.split.findall(core.lower()))) + tail
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._word(word)
+        if len(word) <= 64:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with END behind."""
-        whole = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]  # white space to Python only
-        words = [t.split() for t in texts]
-        for i in whole:
-            words[i] = [texts[i]] if texts[i] else []
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        once: dict[str, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, ids in zip(part, self._encode(part), strict=True):
-                (known if len(w) <= 64 else once)[w] = ids
-        end = END.to_bytes(4, "little")
-        if once:
-            return [b"".join([known[w] if w in known else once[w] for w in ws]) + end for ws in words]
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in words]
+        end, get, out = END.to_bytes(4, "little"), self.__getitem__, []
+        for text in texts:
+            # Python also splits at four controls that are no white space to the library
+            words = text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else [text]
+            out.append(b"".join(map(get, words)) + end)
+        return out
 
 
 @lru_cache(maxsize=1)
