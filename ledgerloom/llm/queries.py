@@ -8,6 +8,7 @@ from .packing import op7
 from .quality_classifier import op6
 from .quality_rules import OP3_SQL, op3
 from .simhash import op4
+from .suffix_dedup import OP8_SQL, op8
 from .token_counts import op1
 from .toxicity import op10
 
@@ -20,10 +21,11 @@ def queries():
         "op4_simhash_dedup": op4,
         "op6_quality_classifier": op6,
         "op7_packing": op7,
+        "op8_suffix_dedup": op8,
         "op9_exact_dedup": op9,
         "op10_toxicity": op10,
     }
 
 
 def oracle_sql():
-    return {"op3_quality_rules": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op8_suffix_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
