@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components
+from .common import components, cut
 
 #: Fixed values of the result contract: words in a shingle, hash seed, bits that linked fingerprints may differ in.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -93,7 +93,7 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
     fingerprints are indexed, so copies cost one row; repeated rows are rows of one component; an empty table gives no
     rows; a null doc_id keeps its row and never names a component that has another.
     """
-    prints = fingerprints(docs)
+    prints = cut(fingerprints(docs))  # 16 bytes a document, read by several steps
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = components(links(distinct.select("fp"))).distinct()
     groups = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "n")
