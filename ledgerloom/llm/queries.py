@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe_codec import op2
+from .chain_dedup import op5
 from .exact_dedup import OP9_SQL, op9
 from .packing import op7
 from .quality_classifier import op6
@@ -19,6 +20,7 @@ def queries():
         "op2_bpe_codec": op2,
         "op3_quality_rules": op3,
         "op4_simhash_dedup": op4,
+        "op5_chain_dedup": op5,
         "op6_quality_classifier": op6,
         "op7_packing": op7,
         "op8_suffix_dedup": op8,
