@@ -33,7 +33,9 @@ from .rolling import byte_values, prefix_hash, range_hash, sliding_min, window_h
 #: Fixed value of the result contract: bytes of a repeated string.  WIDTH: bytes of a trigger.
 MATCH, WIDTH = 50, 24
 #: Bytes hashed at a time, at most (places in a piece must fit 24 bits), and phrases gathered before they are dealt out.
-PIECE, GATHERED = 1 << 20, 1 << 21
+PIECE, GATHERED = 1 << 18, 1 << 19
+#: Phrases whose suffixes are sorted at a time; triggers are never parted, so one with more is sorted by itself.
+SORTED = 1 << 15
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -100,6 +102,21 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def tags_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A checksum of each text, to tell rows of one id apart."""
+    return np.array([zlib.crc32(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint32)
+
+
+def slices(at: np.ndarray, n: int, most: int):
+    """Whole runs (that begin at ``at``) together, most rows at a time or one run."""
+    edges, s = np.append(at, n), 0
+    while s < n:
+        k = int(np.searchsorted(edges, s + most, "right")) - 1
+        e = int(edges[k]) if edges[k] > s else int(edges[k + 1])
+        yield s, e
+        s = e
+
+
 def by_document(doc: np.ndarray, tag: np.ndarray, *rest: np.ndarray) -> bytes:
     """A blob of rows that come by document: each document once, with its number of rows."""
     at = runs_of(doc, tag)
@@ -113,6 +130,8 @@ def documents_of(doc_steps, tag, count) -> tuple[np.ndarray, np.ndarray]:
 
 def dealt(key: np.ndarray):
     """(key, its rows) for each key, rows in order."""
+    if not len(key):
+        return
     order = np.argsort(key, kind="stable")
     at = runs_of(key[order])
     for s, e in zip(at, np.append(at[1:], len(key)), strict=True):
@@ -138,7 +157,7 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, at = text_bytes(batch.column(1))
-            tags = np.array([zlib.crc32(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint32)
+            tags = tags_of(raw, at)
             for part, bounds, row, place in text_pieces(raw, at):
                 h, r, start, length = phrases(part, bounds)
                 if len(h):
@@ -161,6 +180,11 @@ def _columns(blobs, *kinds) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
 
+def _packed(blobs) -> list[np.ndarray]:
+    """Columns of phrases with their bytes; a blob's last column is as long as its phrases together."""
+    return _columns(blobs, np.uint32, np.uint8, np.uint32, np.uint8)
+
+
 def shared_phrases(parsed: DataFrame, buckets: int) -> DataFrame:
     """Phrases whose trigger stands in two documents or more, by document bucket."""
 
@@ -183,17 +207,20 @@ def shared_phrases(parsed: DataFrame, buckets: int) -> DataFrame:
     return parsed.groupBy("bucket").applyInArrow(run, "db long, bucket int, blob binary")
 
 
-def _places(table: pa.Table, doc, tag) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The texts of a document bucket as bytes, and where the text of each (doc, tag) begins in them."""
-    raw, at = text_bytes(table.column("text"))
-    ids = table.column("doc_id").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
-    tags = np.array([zlib.crc32(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint32)
-    order = np.lexsort((tags, ids))
-    # (id, tag) pairs as one sortable key by their ranks
-    kinds, inverse = np.unique(ids, return_inverse=True)
-    key = (inverse.astype(np.int64) << 32 | tags)[order]
-    want = np.searchsorted(kinds, doc).astype(np.int64) << 32 | tag
-    return raw, at, order[np.searchsorted(key, want)]
+class Texts:
+    """The texts of one document bucket as bytes, and their rows by (doc, tag)."""
+
+    def __init__(self, table: pa.Table):
+        self.raw, self.at = text_bytes(table.column("text"))
+        ids = table.column("doc_id").fill_null(0).to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
+        tags = tags_of(self.raw, self.at)
+        self.order = np.lexsort((tags, ids))
+        self.kinds, inverse = np.unique(ids, return_inverse=True)  # ranks of ids, so that both fit one key
+        self.key = (inverse.astype(np.int64) << 32 | tags)[self.order]
+
+    def rows(self, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        want = np.searchsorted(self.kinds, doc).astype(np.int64) << 32 | tag
+        return self.order[np.searchsorted(self.key, want)]
 
 
 def with_bytes(texts: DataFrame, shared: DataFrame) -> DataFrame:
@@ -201,16 +228,14 @@ def with_bytes(texts: DataFrame, shared: DataFrame) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         names, blobs = [], []
+        texts = Texts(left)
         for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True):
             doc, tag, start, length, low = _columns([blob], np.uint32, np.uint8, np.uint32)
-            if not names:
-                raw, at, _ = _places(left, doc, tag)
-                places = lambda d, t, known=left: _places(known, d, t)[2]
-            begin = at[places(doc, tag)] + start
+            begin = texts.at[texts.rows(doc, tag)] + start
             size = length.astype(np.int64)
             index = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
             names.append(bucket)
-            blobs.append(by_document(doc, tag, start, length, low, raw[index]))
+            blobs.append(by_document(doc, tag, start, length, low, texts.raw[index]))
         return pa.table({"bucket": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return texts.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(run, "bucket int, blob binary")
@@ -226,14 +251,14 @@ def suffix_order(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def repeated_windows(doc, tag, start, length, low, text) -> tuple[np.ndarray, ...]:
-    """Spans (doc, tag, begin, end) of one trigger bucket's windows that also begin in a document with a smaller id."""
+    """Spans (doc, tag, begin, end) of windows that also begin in a document with a smaller id, for phrases of which all
+    that share a trigger are here."""
     size = length.astype(np.int64)
     ends = np.cumsum(size)
     begins = ends - size
-    prefix = prefix_hash(byte_values()[text])
-    identity = range_hash(prefix, begins, ends)
-    _, one, phrase = np.unique(np.stack((identity, low.astype(np.uint64) << np.uint64(8) | length)), axis=1, return_index=True, return_inverse=True) if len(doc) else (0, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    phrase = phrase.ravel()
+    identity = range_hash(prefix_hash(byte_values()[text]), begins, ends)
+    identity ^= (low.astype(np.uint64) << np.uint64(8) | length) * np.uint64(0x9FB21C651E98DF25)
+    _, one, phrase = np.unique(identity, return_index=True, return_inverse=True)
     owner = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(owner, phrase, doc)
     # windows of the dictionary: one suffix for each
@@ -262,7 +287,16 @@ def spans(phrased: DataFrame, buckets: int) -> DataFrame:
     """Repeated spans by document bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, tag, begin, end = repeated_windows(*_columns(table.column("blob").to_pylist(), np.uint32, np.uint8, np.uint32, np.uint8))
+        doc, tag, start, length, low, text = _packed(table.column("blob").to_pylist())
+        order = np.argsort(low, kind="stable")
+        ends = np.cumsum(length, dtype=np.int64)
+        found = []
+        for s, e in slices(runs_of(low[order]), len(order), SORTED):
+            own = order[s:e]
+            size = length[own].astype(np.int64)
+            index = np.repeat(ends[own] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            found.append(repeated_windows(doc[own], tag[own], start[own], length[own], low[own], text[index]))
+        doc, tag, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
         names, blobs = [], []
         for b, own in dealt(doc % buckets):
             own = own[np.lexsort((begin[own], tag[own], doc[own]))]
@@ -284,7 +318,7 @@ def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
         rest: dict[int, bytes] = {}
         if right.num_rows and n:
             doc, tag, begin, length = _columns(right.column("blob").to_pylist(), np.uint32, np.uint32)
-            row = _places(left, doc, tag)[2]
+            row = Texts(left).rows(doc, tag)
             same = _twins(left, row)
             order = np.lexsort((begin, row))
             row, begin, end = row[order], begin[order].astype(np.int64), (begin.astype(np.int64) + length)[order]
