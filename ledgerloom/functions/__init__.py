@@ -1 +1 @@
-"""See the package README."""
+"""Column builders: money, dates and banking days, narrations, fees, stable ids."""

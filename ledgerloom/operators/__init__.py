@@ -1 +1 @@
-"""See the package README."""
+"""Relational operators of a reconciliation: audits, matching passes, checks, posting, scoring, reports."""

@@ -1 +1 @@
-"""See the package README."""
+"""Whole runs and the registered queries."""
