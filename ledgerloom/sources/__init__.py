@@ -1 +1 @@
-"""See the package README."""
+"""Readers, writers and generators of settlement data."""
