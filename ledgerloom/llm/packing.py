@@ -20,7 +20,7 @@ CAPACITY, END = 4096, 2
 #: Lengths are planned in steps of so many tokens, so the linear program has CAPACITY / STEP rows whatever the input.
 STEP = 16
 #: Distinct words one worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 
 
 class WordIds(dict):
