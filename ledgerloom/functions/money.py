@@ -32,29 +32,45 @@ def paise_to_rupees(paise: Column) -> Column:
     return (paise.cast("decimal(20,0)") / 100).cast("decimal(20,2)")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: expressions nested in each other would multiply."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_money(raw: Column) -> Column:
     """Paise of a bank's or gateway's amount text, null where it can't be read.
 
     Brackets, DR, and a sign before or behind make an amount negative; currency marks, blanks and quotes as grouping
     are dropped.  Exponents are rejected rather than read.
     """
-    upper = F.upper(F.trim(F.regexp_replace(raw, "^[\\s\\u00A0]+|[\\s\\u00A0]+$", "")))
-    bracketed = upper.startswith("(") & upper.endswith(")")
-    inner = F.trim(F.when(bracketed, F.substring(upper, F.lit(2), F.length(upper) - 2)).otherwise(upper))
-    debit, suffixed = inner.rlike("(DR|DB)$"), inner.rlike("(DR|DB|CR)$")
-    bare = F.when(suffixed, F.substring(inner, F.lit(1), F.length(inner) - 2)).otherwise(inner)
-    bare = F.regexp_replace(F.regexp_replace(bare, CURRENCY_MARKS, ""), "[ \\t\\u00A0\\u2009'_]", "")
-    leading, rest = bare.startswith("-"), F.regexp_replace(bare, "^[+-]", "")
-    trailing, digits = rest.endswith("-"), F.regexp_replace(rest, "-$", "")
-    mark = decimal_separator(digits)
-    plain = (
-        F.when(mark == ",", F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(mark == ".", F.replace(digits, F.lit(","), F.lit("")))
-        .otherwise(F.regexp_replace(digits, "[.,]", ""))
-    )
-    value = rupees_to_paise(F.when(plain.rlike("^[0-9]+(\\.[0-9]+)?$"), plain).try_cast("decimal(30,8)"))
-    sign = (bracketed | debit).cast("int") + leading.cast("int") + trailing.cast("int")
-    return F.when(raw.isNull() | (upper == "") | upper.isin(NO_AMOUNT), F.lit(None).cast("long")).otherwise(F.when(sign % 2 == 1, -value).otherwise(value))
+    trimmed = F.upper(F.regexp_replace(raw, "^[\\s\u00A0]+|[\\s\u00A0]+$", ""))
+    unreadable = lambda u: u.isNull() | (u == "") | u.isin(NO_AMOUNT)
+    bracketed = lambda u: u.startswith("(") & u.endswith(")")
+
+    def from_upper(u):
+        inner = F.when(bracketed(u), F.trim(F.substring(u, F.lit(2), F.length(u) - 2))).otherwise(u)
+        value = let(inner, lambda i: from_inner(i, bracketed(u)))
+        return F.when(unreadable(u), F.lit(None).cast("long")).otherwise(value)
+
+    def from_inner(i, negative):
+        bare = F.when(i.rlike("(DR|DB|CR)$"), F.substring(i, F.lit(1), F.length(i) - 2)).otherwise(i)
+        plain = F.regexp_replace(F.regexp_replace(bare, CURRENCY_MARKS, ""), "[ \\t\u00A0\u2009'_]", "")
+        return let(plain, lambda p: signed(p, negative | i.rlike("(DR|DB)$")))
+
+    def signed(p, negative):
+        minus = negative.cast("int") + p.startswith("-").cast("int") + p.rlike("^.+-$").cast("int")
+        value = let(F.regexp_replace(p, "^[+-]|-$", ""), lambda d: let(as_number(d), rupees_to_paise))
+        return F.when(minus % 2 == 1, -value).otherwise(value)
+
+    def as_number(d):
+        plain = let(decimal_separator(d), lambda mark: (
+            F.when(mark == ",", F.replace(F.replace(d, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when(mark == ".", F.replace(d, F.lit(","), F.lit("")))
+            .otherwise(F.regexp_replace(d, "[.,]", ""))
+        ))
+        return let(plain, lambda n: F.when(n.rlike("^[0-9]+(\\.[0-9]+)?$"), n).try_cast("decimal(30,8)"))
+
+    return let(trimmed, from_upper)
 
 
 def format_inr(paise: Column, symbol: str = "₹") -> Column:
