@@ -147,7 +147,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input's rows that are predicted good, with all their columns."""
+    """The input's rows that are predicted good, with all their columns; a row without id can't be told apart and goes."""
     good = quality_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
     return docs.join(good, F.col("doc_id") == F.col("_good_id"), "left_semi")
 

@@ -103,7 +103,7 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The input's rows that stay: of each component the one with the smallest doc_id."""
+    """The input's rows that stay: of each component the one with the smallest doc_id; a row without id goes."""
     kept = simhash_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
 
