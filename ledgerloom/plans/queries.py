@@ -6,6 +6,8 @@ the same in its own words.  Queries without SQL are compared with brute force in
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,12 @@ def rel(spark: SparkSession, sf_dir: str, select: str, *more: str) -> DataFrame:
     return spark.sql(world.sql(select, *more))
 
 
+def fixed(spark: SparkSession, sf_dir: str) -> world.Batch:
+    """The world with its most used tables checkpointed: passes read them many times, and the world is a long query."""
+    b = world.load(spark, sf_dir)
+    return replace(b, settlements=matching.settle(b.settlements), bank=matching.settle(b.bank), calendar=matching.settle(b.calendar))
+
+
 def flat(exceptions: DataFrame) -> DataFrame:
     """Exceptions without nested columns or prose."""
     return exceptions.select("exception_id", "reason", F.concat_ws(",", "subject_ids").alias("subjects"), "amount", "as_of", F.concat_ws(",", "candidates").alias("candidates"), F.col("delta"))
@@ -293,14 +301,14 @@ verdicts AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN abs(total - payout) <= 5 T
     round(CASE verdict WHEN 'rounding_tolerance' THEN least(score, 0.95) WHEN 'split_settlement' THEN 0.93 ELSE score END, 4) AS confidence, total AS bank_total, payout AS expected_total
   FROM verdicts WHERE verdict IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')""", IDENTIFIED))
 def identifier_match(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     out = matching.identifier(b.settlements, b.bank, b.bank.where("amount > 0"), b.calendar)
     return flat_matches(out.matches).select("settlements", "lines", "reason", "tier", "confidence", "bank_total", "expected_total")
 
 
 @query(world.sql("SELECT settlement_id AS settlements, lines, payout, CASE WHEN verdict = 'date_out_of_window' THEN late ELSE total - payout END AS delta, verdict IN ('date_out_of_window', 'duplicate_identifier', 'ambiguous_candidates') AS not_amount FROM verdicts WHERE verdict NOT IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')", IDENTIFIED))
 def identifier_breaks(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     pairs = matching.identifier_pairs(b.settlements, b.bank, b.bank.where("amount > 0"), b.calendar, Config())
     d = matching.decide_identifier(pairs, Config()).where("verdict not in ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')")
     rows = d.groupBy("settlement_id", "verdict").agg(F.concat_ws(",", F.array_sort(F.collect_list("shown"))).alias("lines"), F.first("payout").alias("payout"), F.first("gap").alias("gap"), F.max("late").alias("late"))
@@ -315,21 +323,21 @@ hits AS (SELECT b.settlement_id, l.line_id, b.amount, l.amount AS got FROM bare
   AND (SELECT count(*) FROM bare r JOIN bare s ON s.settlement_id = hits.settlement_id WHERE r.amount = s.amount AND r.settled_on BETWEEN s.lo - 2 AND s.hi + 2) = 1
   GROUP BY settlement_id HAVING count(*) = 1""", BARE))
 def unique_amount(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     out = matching.unique_amount(b.settlements.where("utr is null"), b.bank.where("amount > 0 and narration like '%PAYMENT RECEIVED%'"), b.calendar).matches
     return flat_matches(out).select("settlements", "lines", F.col("bank_total").alias("amount"))
 
 
 @query(world.sql("SELECT settlement_id AS settlements, min(line_id) AS lines, min(got) AS bank_total FROM hits GROUP BY settlement_id HAVING count(*) = 1", BARE))
 def tolerance_match(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     out = matching.tolerance_amount(b.settlements.where("utr is null"), b.bank.where("amount > 0 and narration like '%PAYMENT RECEIVED%'"), b.calendar).matches
     return flat_matches(out).select("settlements", "lines", "bank_total")
 
 
 @query()
 def batch_decomposition(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     rows = matching.decompose(b.settlements.where("utr is null"), b.bank.where("narration = 'NEFT CONSOLIDATED PAYOUT'"))
     return rows.select("verdict", "line_id", "amount", "value_date", F.concat_ws(",", F.array_sort("settlements")).alias("settlements"), "total", "pool_size", "most")
 
@@ -354,7 +362,7 @@ def offline_adjudicate(spark, sf_dir):
 
 @query()
 def adjudication_decisions(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     s = b.settlements.where("utr is null")
     listed = adjudicate.shortlist(s, b.bank.where("amount > 0 and narration like '%PAYMENT%'"), b.calendar, fees.rate_card(spark))
     return adjudicate.offline(listed).select("settlement_id", "line_id", "confidence", "decision", "rationale")
@@ -363,7 +371,7 @@ def adjudication_decisions(spark, sf_dir):
 @query(world.sql("""SELECT settlement_id, line_id, place FROM (SELECT w.settlement_id, l.line_id, row_number() OVER (PARTITION BY w.settlement_id ORDER BY abs(l.amount - w.amount), l.line_id) AS place
   FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi WHERE w.utr IS NULL AND l.amount > 0 AND contains(l.narration, 'CASH DEPOSIT')) WHERE place <= 8""", WINDOWED))
 def shortlist_topk(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     return adjudicate.shortlist(b.settlements.where("utr is null"), b.bank.where("amount > 0 and narration like '%CASH DEPOSIT%'"), b.calendar).select("settlement_id", "line_id", "place")
 
 
@@ -400,19 +408,19 @@ owned AS (SELECT match_id, seq, min(seq) OVER (PARTITION BY line_id) AS owner FR
 
 @query(world.sql("SELECT * FROM basic UNION ALL SELECT match_id, seq, 'no_double_claim' FROM owned WHERE owner <> seq", FAILED))
 def verify_matches(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     return verify.verify(seeded_matches(spark, sf_dir), b.settlements, b.bank, b.calendar)[2].select("match_id", "seq", "invariant")
 
 
 @query(world.sql("SELECT invariant, count(*) AS n FROM (SELECT invariant FROM basic UNION ALL SELECT 'no_double_claim' FROM owned WHERE owner <> seq) GROUP BY invariant", FAILED))
 def violations_by_invariant(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     return verify.violation_counts(verify.verify(seeded_matches(spark, sf_dir), b.settlements, b.bank, b.calendar)[2])
 
 
 @query(world.sql("""SELECT match_id, owner <> seq AS late FROM owned""", FAILED))
 def double_claim(spark, sf_dir):
-    b = world.load(spark, sf_dir)
+    b = fixed(spark, sf_dir)
     m = seeded_matches(spark, sf_dir)
     failed = verify.violations(m, b.settlements, b.bank, b.calendar)
     passed = m.join(failed.select("match_id").distinct(), "match_id", "left_anti").select("match_id")
@@ -563,7 +571,7 @@ def record_count(spark, sf_dir):
 @query()
 def full_reconciliation(spark, sf_dir):
     """Every pass over the world: matches by tier and reason."""
-    run = cascade.run(world.load(spark, sf_dir))
+    run = cascade.run(fixed(spark, sf_dir))
     return run.accepted.groupBy("tier", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("bank_total").alias("value"))
 
 

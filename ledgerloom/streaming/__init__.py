@@ -1 +1 @@
-"""See the package README."""
+"""Audits of payment streams."""
