@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch, at most: whole texts are long, and executors hold a batch on both sides of the pipe.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,6 +43,27 @@ def partitions_for(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps the session's Arrow batches at BATCH_ROWS or what is set, if that is less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed but still holds; workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column as one array, and its rows + 1 boundaries (null: empty)."""
     import pyarrow as pa

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, partitions_for
+from .common import cut, give_back, partitions_for, small_batches
 
 #: Fixed values of the result contract: tokens in a sequence, the id that ends a document.
 CAPACITY, END = 4096, 2
@@ -111,7 +111,9 @@ def pieces(docs: DataFrame, vocabulary_file: str, with_ids: bool = False) -> Dat
                 if with_ids:
                     names, arrays = [*names, "ids"], [*arrays, pa.array(columns[5], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        give_back()
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 

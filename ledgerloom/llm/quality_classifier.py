@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bounds of what is learned from: trusted positives, unlabelled documents, and labelled rows for the class prior.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_PRIOR = 8_000, 16_000, 50_000
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
@@ -136,6 +138,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
                     s = 1 / (1 + np.exp(-np.clip(z @ model["weights"][:-1] + model["weights"][-1], -60, 60)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small_batches
 
 #: Fixed values of the result contract: words in a shingle, hash seed, bits that linked fingerprints may differ in.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             raw = b"".join(map(fingerprint, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 

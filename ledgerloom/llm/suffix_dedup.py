@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, text_bytes
+from .common import give_back, partitions_for, small_batches, text_bytes
 from .rolling import byte_values, prefix_hash, range_hash, sliding_min, window_hashes
 
 #: Fixed value of the result contract: bytes of a repeated string.  WIDTH: bytes of a trigger.
@@ -168,6 +168,8 @@ def parse(docs: DataFrame, buckets: int) -> DataFrame:
                     kept, size = [], 0
         if kept:
             yield flush()
+        kept.clear()
+        give_back()
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, blob binary")
 
@@ -202,6 +204,7 @@ def shared_phrases(parsed: DataFrame, buckets: int) -> DataFrame:
             own = own[np.lexsort((start[own], tag[own], doc[own]))]
             names.append(b)
             blobs.append(by_document(doc[own], tag[own], start[own], length[own], low[own]))
+        give_back()
         return pa.table({"db": pa.array(names, pa.int64()), "bucket": pa.array([bucket] * len(names), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return parsed.groupBy("bucket").applyInArrow(run, "db long, bucket int, blob binary")
@@ -236,6 +239,7 @@ def with_bytes(texts: DataFrame, shared: DataFrame) -> DataFrame:
             index = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
             names.append(bucket)
             blobs.append(by_document(doc, tag, start, length, low, texts.raw[index]))
+        give_back()
         return pa.table({"bucket": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     return texts.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(run, "bucket int, blob binary")
@@ -302,6 +306,7 @@ def spans(phrased: DataFrame, buckets: int) -> DataFrame:
             own = own[np.lexsort((begin[own], tag[own], doc[own]))]
             names.append(b)
             blobs.append(by_document(doc[own], tag[own], begin[own].astype(np.uint32), (end - begin)[own].astype(np.uint32)))
+        give_back()
         return pa.table({"db": pa.array(names, pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
     return phrased.groupBy("bucket").applyInArrow(run, "db long, blob binary")
@@ -342,6 +347,8 @@ def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
         }
         if with_text:
             columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+        del data, rest, kept, raw
+        give_back()
         return pa.table(columns)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
@@ -367,6 +374,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     result and remove nothing from one another.  Texts are shuffled once, by document, and serve both steps that need
     them.  kept_text drops the bytes of a character that a span cut in two.
     """
+    small_batches(docs.sparkSession)
     buckets = partitions_for(docs.sparkSession)
     texts = docs.select(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(buckets)).cast("long").alias("db"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = shared_phrases(parse(docs, buckets), buckets)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Bound of what is learned from: labelled rows.  Bound of the learned insults.
 MAX_LABELLED, MAX_INSULTS = 20_000, 400
 #: A stem is the beginning of a word, of so many characters; shorter or longer whole words are learned too.
@@ -243,6 +245,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
                 s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
 
+    small_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(is_held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
