@@ -312,8 +312,10 @@ def spans(phrased: DataFrame, buckets: int) -> DataFrame:
     return phrased.groupBy("bucket").applyInArrow(run, "db long, blob binary")
 
 
-def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
-    """One row per document, with what its spans remove."""
+def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool, carry: list[str] | None = None) -> DataFrame:
+    """One row per document, with what its spans remove.  carry: further columns of texts to hand on, under names that
+    the result's own don't have."""
+    carry = carry or []
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
@@ -347,11 +349,13 @@ def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool) -> DataFrame:
         }
         if with_text:
             columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+        columns |= {c: left.column(c) for c in carry}
         del data, rest, kept, raw
         give_back()
         return pa.table(columns)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema += "".join(f", `{c}` {kind}" for c, kind in texts.dtypes if c in carry)
     return texts.groupBy("db").cogroup(found.groupBy("db")).applyInArrow(run, schema)
 
 
@@ -366,6 +370,11 @@ def _twins(table: pa.Table, rows: np.ndarray):
     return lambda r: by[ids[r], texts[r]]
 
 
+def _by_bucket(docs: DataFrame, buckets: int, *more) -> DataFrame:
+    bucket = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(buckets)).cast("long")
+    return docs.select(bucket.alias("db"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+
+
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, if asked for).
 
@@ -376,17 +385,23 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     buckets = partitions_for(docs.sparkSession)
-    texts = docs.select(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(buckets)).cast("long").alias("db"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _by_bucket(docs, buckets)
     shared = shared_phrases(parse(docs, buckets), buckets)
     return cut_spans(texts, spans(with_bytes(texts, shared), buckets), with_text)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The input with its repeated strings cut out of text, and n_chars as it then is; other columns stay."""
-    cut = suffix_dedup(docs, with_text=True).select(F.col("doc_id").alias("_cut_id"), "kept_text")
-    joined = docs.drop("text").join(cut, F.col("doc_id") == F.col("_cut_id")).drop("_cut_id")
-    out = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return joined.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    """The input with its repeated strings cut out of text, and n_chars as it then is; other columns travel with the
+    text and stay as they are.  Texts are shuffled once."""
+    small_batches(docs.sparkSession)
+    buckets = partitions_for(docs.sparkSession)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    texts = _by_bucket(docs, buckets, *(F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(others)))
+    shared = shared_phrases(parse(docs, buckets), buckets)
+    cut = cut_spans(texts, spans(with_bytes(texts, shared), buckets), True, [f"_own_{i}" for i in range(len(others))])
+    out = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    out |= {c: F.col(f"_own_{i}") for i, c in enumerate(others)}
+    return cut.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def op8(spark, sf_dir):
