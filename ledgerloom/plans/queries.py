@@ -286,10 +286,10 @@ near AS (
   UNION SELECT u.settlement_id, l.line_id FROM utrs u JOIN flats l ON l.value_date BETWEEN u.lo AND u.hi AND contains(l.flat, u.utr)),
 fit AS (
   SELECT u.settlement_id, l.line_id, u.payout, l.amount, u.settled_ord, v.ord AS value_ord, CASE WHEN contains(l.flat, u.utr) THEN 1.0
-    ELSE coalesce(max(CASE WHEN length(c.t) >= 8 AND starts_with(u.utr, c.t) THEN round(0.70 + 0.02 * least(length(c.t) - 8, 8), 4)
-      WHEN abs(length(c.t) - length(u.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, u.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 END END), 0.0) END AS score
+    WHEN length(c.t) >= 8 AND starts_with(u.utr, c.t) THEN round(0.70 + 0.02 * least(length(c.t) - 8, 8), 4)
+    WHEN abs(length(c.t) - length(u.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, u.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 ELSE 0.0 END ELSE 0.0 END AS score
   FROM near n JOIN utrs u USING (settlement_id) JOIN flats l USING (line_id) JOIN cal v ON v.day = l.value_date LEFT JOIN cand c ON c.line_id = n.line_id AND c.shape IS NOT NULL
-  WHERE l.amount > 0 GROUP BY ALL),
+  WHERE l.amount > 0),
 fits AS (SELECT settlement_id, line_id, payout, amount, settled_ord, value_ord, max(score) AS score FROM fit GROUP BY ALL),
 sums AS (SELECT settlement_id, string_agg(line_id, ',' ORDER BY line_id) AS lines, count(*) AS n, any_value(payout) AS payout, CAST(sum(amount) AS BIGINT) AS total, bool_and(amount = payout) AS same, max(score) AS score,
   max(value_ord - settled_ord) AS late, CASE WHEN max(score) = 1.0 THEN 'exact' ELSE 'part' END AS how FROM fits WHERE score >= 0.6 GROUP BY settlement_id),

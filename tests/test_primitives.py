@@ -85,7 +85,7 @@ def test_reference_scores(spark):
 
 def test_tokens(spark):
     got = column(spark, ["BANK TRANSFER TO MERCHANT", "NEFT HDFCN12345678901 BAL 123456789", None], "string", lambda v: F.transform(narration.candidates(v), lambda c: F.concat_ws(":", c["token"], c["shape"], c["score"].cast("string"))))
-    assert got == [[], ["HDFCN12345678901:prefixed_ref:0.835", "123456789:numeric_ref:0.505"], []]
+    assert got == [[], ["HDFCN12345678901:neft_utr:1.0", "123456789:numeric_ref:0.505"], []]
     assert column(spark, ["AXIS-P001 234", None], "string", narration.normalize_ref) == ["AXISP001234", ""]
 
 
