@@ -355,9 +355,9 @@ WEIGHED = """weighed AS (SELECT o_orderkey AS k, CAST((o_orderkey * 7) % 101 AS
 
 @query(world.sql("""SELECT k, round(greatest(0.0, least(1.0, CASE WHEN score >= 0.85 THEN score * 0.55 WHEN score >= 0.60 THEN score * 0.28 ELSE 0 END
     + CASE WHEN delta = 0 THEN 0.35 WHEN abs(delta) <= 5 THEN 0.22 WHEN scale_error THEN -0.60 WHEN transposition THEN -0.50 ELSE -0.45 END
-    + CASE WHEN late = 0 THEN 0.12 WHEN late BETWEEN 1 AND 3 THEN 0.06 ELSE -0.05 * abs(late) END + CASE WHEN inverts THEN 0.15 ELSE 0 END)), 3) AS confidence FROM weighed""", WEIGHED))
+    + CASE WHEN late = 0 THEN 0.12 WHEN late BETWEEN 1 AND 3 THEN 0.06 ELSE -0.05 * abs(late) END + CASE WHEN inverts THEN 0.15 ELSE 0 END)), 4) AS confidence FROM weighed""", WEIGHED))
 def offline_adjudicate(spark, sf_dir):
-    return rel(spark, sf_dir, "SELECT * FROM weighed", WEIGHED).select("k", F.round(adjudicate.evidence_score(), 3).alias("confidence"))
+    return rel(spark, sf_dir, "SELECT * FROM weighed", WEIGHED).select("k", adjudicate.evidence_score().alias("confidence"))
 
 
 @query()
