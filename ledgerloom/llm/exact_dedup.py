@@ -67,9 +67,22 @@ def exact_dedup(docs: DataFrame, fan_in: int = FAN_IN, keep: str = "max") -> Dat
 
 
 def drop_copies(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The input's rows that stay, with all their columns, one of each repeated row."""
-    kept = exact_dedup(docs, keep=keep).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The input's rows that stay, with all their columns: of each text one row, with the id that exact_dedup keeps.
+
+    Rows are told apart by id and text together, so rows that share an id, or have none, but differ in text all stay.
+    Of a text that only rows without id have, one of them stays; those are made one in each partition before the join,
+    so many of them don't meet in one task.
+    """
+    runs = digest_runs(docs)
+    merged = tree_merge(runs, docs.rdd.getNumPartitions(), keep=keep)
+    key = ["digest", "n_bytes", "check"]
+    kept = merged.select(*(F.col(c).alias(f"_kept_{c}") for c in [*key, "keep_id"]))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = {"_own_digest": F.sha2(text.cast("binary"), 256), "_own_n_bytes": F.octet_length(text).cast("long"), "_own_check": F.xxhash64(text), "_own_keep_id": F.col("doc_id").cast("long")}
+    rows = docs.withColumns(own)
+    rows = rows.where("_own_keep_id is not null").unionByName(rows.where("_own_keep_id is null").dropDuplicates([f"_own_{c}" for c in key]))
+    same = [F.col(f"_own_{c}") == F.col(f"_kept_{c}") for c in key] + [F.col("_own_keep_id").eqNullSafe(F.col("_kept_keep_id"))]
+    return rows.join(kept, same, "left_semi").dropDuplicates(list(own)).drop(*own)
 
 
 def op9(spark, sf_dir):

@@ -124,6 +124,13 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return {"shift": shift, "scale": scale, "weights": fit_nnpu((positive - shift) / scale, (unlabelled - shift) / scale, prior), "prior": prior}
 
 
+def scores(texts: list[str | None], model: dict) -> np.ndarray:
+    if "constant" in model:
+        return np.full(len(texts), model["constant"])
+    z = (features(texts) - model["shift"]) / model["scale"]
+    return 1 / (1 + np.exp(-np.clip(z @ model["weights"][:-1] + model["weights"][-1], -60, 60)))
+
+
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     """One row per row: doc_id, held_out, score, predicted.  One pass, no shuffle; extra columns are ignored."""
 
@@ -131,11 +138,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                if "constant" in model:
-                    s = np.full(part.num_rows, model["constant"])
-                else:
-                    z = (features(part.column(1).to_pylist()) - model["shift"]) / model["scale"]
-                    s = 1 / (1 + np.exp(-np.clip(z @ model["weights"][:-1] + model["weights"][-1], -60, 60)))
+                s = scores(part.column(1).to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
 
     small_batches(docs.sparkSession)
@@ -150,9 +153,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The input's rows that are predicted good, with all their columns; a row without id can't be told apart and goes."""
-    good = quality_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_good_id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("_good_id"), "left_semi")
+    """The input's rows that are predicted good, with all their columns.  Each row goes by its own text's score, so rows
+    without id, or of one id with different texts, are judged like any other.  One pass, no shuffle."""
+    model, at = train(docs, labels), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2000):
+                part = batch.slice(s, 2000)
+                yield part.filter(pa.array(scores(part.column(at).to_pylist(), model) >= 0.5))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches
@@ -39,16 +39,18 @@ def fingerprint(text: str | None) -> bytes:
     return np.packbits(2 * bits > len(hashes)).tobytes()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, and ``more`` long columns as they are."""
 
     def run(batches):
         for batch in batches:
             raw = b"".join(map(fingerprint, batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], ["doc_id", "fp"])
+            names = ["doc_id", "fp", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64)), *batch.columns[2:]], names)
 
     small_batches(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+    return own.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in own.columns[2:])]))
 
 
 def _byte(fp, position: int):
@@ -104,9 +106,18 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The input's rows that stay: of each component the one with the smallest doc_id; a row without id goes."""
-    kept = simhash_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    """The input's rows that stay: of each component the one with the smallest doc_id, and one without id only where
+    no other has one.  Rows are told apart by id and a hash of the text together; rows that repeat both stay together.
+    """
+    mark = F.xxhash64("text", F.octet_length("text"))
+    prints = cut(fingerprints(docs, mark.alias("mark")))
+    rank = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
+    distinct = prints.groupBy("fp").agg(rank.alias("best"))
+    nodes = components(links(distinct.select("fp"))).distinct()
+    groups = distinct.join(nodes, distinct.fp == nodes.node, "left").select(F.coalesce("component", "fp").alias("component"), "best")
+    kept = groups.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.doc_id").alias("_kept_id"), F.col("best.mark").alias("_kept_mark"))
+    same = [F.col("_own_id").eqNullSafe(F.col("_kept_id")), F.col("_own_mark") == F.col("_kept_mark")]
+    return docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_mark": mark}).join(kept, same, "left_semi").drop("_own_id", "_own_mark")
 
 
 def op4(spark, sf_dir):

@@ -113,6 +113,30 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(frame(spark, ["a", "a"], ids=[None, 1])).where("kept").first().doc_id == 1
 
 
+def test_exact_dedup_keeps_rows_that_differ_in_text(spark):
+    got = exact_dedup.drop_copies(frame(spark, ["a", "b", "c", "d", "e", "e", "f", "f"], ids=[None, None, 3, 3, None, None, None, 7])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "a"), (0, "b"), (0, "e"), (3, "c"), (3, "d"), (7, "f")]
+
+
+def test_near_dedup_keeps_rows_that_differ_in_text(spark):
+    rng = random.Random(43)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    got = simhash.drop_near_copies(frame(spark, [a, b, c, d, a.upper(), b.upper(), b], ids=[None, None, 3, 3, 5, None, 2])).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(5, a.upper()), (2, b), (3, c), (3, d)])
+    alone = simhash.drop_near_copies(frame(spark, [a, a.upper(), c], ids=[None, None, None])).collect()
+    assert len(alone) == 2 and c in {r.text for r in alone}
+
+
+def test_quality_stage_judges_each_row_by_its_text(spark, monkeypatch):
+    at = quality_classifier.NAMES.index("words")
+    weights = np.zeros(len(quality_classifier.NAMES) + 1)
+    weights[at], weights[-1] = 100, -20  # good: more than six words
+    monkeypatch.setattr(quality_classifier, "train", lambda docs, labels: {"shift": 0, "scale": 1, "weights": weights})
+    good, bad = "a b c d e f g h i j", "a b"
+    got = quality_classifier.drop_rejected(frame(spark, [good, bad, good, bad, good], ids=[None, None, 3, 3, 4], extra=True), None).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, good), (3, good), (4, good)]
+
+
 def brute_components(fps):
     ids = list(fps)
     comp = {i: i for i in ids}
