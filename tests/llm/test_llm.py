@@ -258,6 +258,48 @@ def test_edit_distance():
         assert chain_dedup.edit_distance(a, b, 99) == plain_distance(a, b)
 
 
+def test_alignment_and_its_alike_parts_by_brute_force(monkeypatch):
+    rng = random.Random(47)
+    monkeypatch.setattr(chain_dedup, "MIN_WORDS", 8)
+    found = 0
+    for n in range(300):
+        monkeypatch.setattr(chain_dedup, "TABLE", 1 << 24 if n % 2 else 20)
+        a = [rng.randrange(9) for _ in range(rng.randrange(40))]
+        b = [c if rng.random() < 0.8 else rng.randrange(9) for c in a if rng.random() < 0.9] + [rng.randrange(9) for _ in range(rng.randrange(9))]
+        steps = chain_dedup.alignment(a, b)
+        x, y, e = ([0, *np.cumsum(c).tolist()] for c in (steps != 3, steps != 2, steps != 0))
+        assert (x[-1], y[-1], e[-1]) == (len(a), len(b), plain_distance(a, b))
+        most = 0
+        for p in range(len(steps)):
+            for q in range(p + 1, len(steps) + 1):
+                size, p_size = x[q] - x[p], y[q] - y[p]
+                if steps[p] == steps[q - 1] == 0 and min(size, p_size) >= 8 and 5 * (e[q] - e[p]) <= max(size, p_size):
+                    most = max(most, min(size, p_size))
+        parts = chain_dedup.alike_parts(steps)
+        assert max([min(x_end - x, y_end - y) for x, x_end, y, y_end, _ in parts], default=0) == most
+        for x, x_end, y, y_end, d in parts:
+            assert d == plain_distance(a[x:x_end], b[y:y_end]) and 5 * d <= max(x_end - x, y_end - y)
+        found += len(parts)
+    assert found > 100
+
+
+def test_chain_dedup_keeps_alike_parts_of_a_chain_that_fails(spark):
+    rng = random.Random(53)
+    docs = []
+    for _ in range(12):
+        word = lambda: f"u{rng.randrange(10**9)}"
+        exact, pieces = [word() for _ in range(50)], [[word() for _ in range(20)] for _ in range(6)]
+        docs.append(exact + sum(pieces, []))
+        docs.append(exact + sum(([word() for _ in range(10)] + p for p in pieces), []))
+    texts = [" ".join(d) for d in docs]
+    rows = chain_dedup.chain_dedup(frame(spark, texts)).collect()
+    for r in rows:
+        a, b = (texts[i].split() for i in (r.doc_id, r.partner_id))
+        d = plain_distance(a[r.first_word : r.end_word], b[r.partner_first_word : r.partner_end_word])
+        assert r.distance == d and r.similarity >= 0.8
+    assert {r.doc_id for r in rows if r.first_word == 0 and r.end_word >= 50} == set(range(1, 24, 2))
+
+
 def test_chains_by_brute_force():
     rng = random.Random(19)
     for _ in range(60):
