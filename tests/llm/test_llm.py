@@ -300,6 +300,20 @@ def test_chain_dedup_keeps_alike_parts_of_a_chain_that_fails(spark):
     assert {r.doc_id for r in rows if r.first_word == 0 and r.end_word >= 50} == set(range(1, 24, 2))
 
 
+def test_chain_dedup_sends_a_shared_stretch_once_to_each_bucket(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(59)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = frame(spark, [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(80)])
+    texts = docs.select((F.col("doc_id") % 4).alias("db"), "doc_id", "text")
+    found = chain_dedup.chains(chain_dedup.matches(chain_dedup.seeds(docs, 4), 4)).where("p_doc = 0").cache()
+    sent = chain_dedup.stretches(texts, found, 4).count()
+    assert found.count() >= 79 and sent <= 4 * found.select("p_tag", "y", "y_end").distinct().count() < 79
+    rows = chain_dedup.chain_dedup(docs).collect()
+    assert {r.doc_id for r in rows if r.partner_id == 0 and r.end_word - r.first_word >= 60} == set(range(1, 80))
+
+
 def test_chains_by_brute_force():
     rng = random.Random(19)
     for _ in range(60):
