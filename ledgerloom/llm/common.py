@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word separators of the result contracts: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a private one only where a local session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"ledgerloom-{uuid.uuid4().hex}"))
     return jsc.getCheckpointDir().get()
 
@@ -43,6 +45,24 @@ def partitions_for(spark: SparkSession, floor: int = 1) -> int:
     return max(floor, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes of text that one group of a grouped pass holds, as a rule; ``ledgerloom.groupBytes`` of the session goes before
+#: it, and should grow with executors' memory on very large inputs, as groups exchange packed rows with one another.
+GROUP_BYTES = 1 << 23
+
+
+def text_groups(docs: DataFrame) -> int:
+    """Groups to deal whole texts to, so that each holds some GROUP_BYTES however large the input: one pass over the
+    text column counts its bytes."""
+    spark = docs.sparkSession
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return partitions_for(spark, -(-n_bytes // int(spark.conf.get("ledgerloom.groupBytes", str(GROUP_BYTES)))))
+
+
+def group_of(groups: int) -> Column:
+    """The group of a row, by id and text, so that neither rows without id nor many rows of one id make a large group."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("long")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keeps the session's Arrow batches at BATCH_ROWS or what is set, if that is less."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -69,9 +89,10 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    column = column.cast(pa.large_string())  # before chunks are joined: 32-bit offsets end at 2 GiB
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column, "")
     n = len(column)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -81,17 +102,18 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, component)``, component being the smallest node.
 
     Alternates large-star and small-star steps, each one shuffle that keeps the number of edges at most as large as
-    before; the number of rounds is logarithmic in the longest path.  Every round is checkpointed.  A node with many
-    neighbours is a large group only as a window-free minimum followed by a join, so no group meets in one task's
-    memory.  Empty input gives no rows.
+    before; rounds go on until nothing changes, which takes about the logarithm of the longest path.  Every round is
+    checkpointed.  A node with many neighbours is a large group only as a window-free minimum followed by a join, so no
+    group meets in one task's memory.  Empty input gives no rows.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
+    before, mark = None, (0, None)
+    while mark != before:
+        before = mark
         # large-star: every neighbour larger than u is linked to u's smallest neighbour (or u)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -101,9 +123,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = cut(small.where("u <> v").distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
