@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,12 +14,11 @@ from .common import components, cut, small_batches
 
 #: Fixed values of the result contract: words in a shingle, hash seed, bits that linked fingerprints may differ in.
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
-#: Two of eight bytes may differ, so six positional bytes match.
-MIN_SHARED = 8 - MAX_BITS
-#: Byte positions by twos; two differing bytes touch at most two of the four, so some two of them match entirely.
-POSTINGS = [(0, 2), (0, 4), (0, 6), (2, 4), (2, 6), (4, 6)]
-#: A posting list of more fingerprints than this gives no pairs; its members are linked through flipped bits instead.
-LONG_LIST = 16
+#: Byte positions of a fingerprint, and the bytes that two linked ones share at their positions at least.
+POSITIONS = 8
+MIN_SHARED = POSITIONS - MAX_BITS
+#: The posting lists: every choice of MIN_SHARED positions.
+CHOICES = list(combinations(range(POSITIONS), MIN_SHARED))
 
 
 def fingerprint(text: str | None) -> bytes:
@@ -53,48 +55,55 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
     return own.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in own.columns[2:])]))
 
 
-def _byte(fp, position: int):
-    return F.shiftrightunsigned(fp, 8 * (7 - position)).bitwiseAND(F.lit(255).cast("long"))
+def postings(distinct: DataFrame) -> DataFrame:
+    """(fp, key): one posting for each choice of MIN_SHARED byte positions, its key the choice and the bytes there."""
+    at = lambda p: F.shiftrightunsigned("fp", 8 * (POSITIONS - 1 - p)).bitwiseAND(F.lit(255).cast("long"))
+    keys = []
+    for number, choice in enumerate(CHOICES):
+        key = F.lit(number).cast("long")
+        for p in choice:
+            key = F.shiftleft(key, 8).bitwiseOR(at(p))
+        keys.append(key)
+    return distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def links(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints in ``distinct(fp)`` whose links give the same components as all links.
+def shared_bytes(hits: Column) -> Column:
+    """Bytes that a pair shares at their positions, by the number of postings it meets under: a pair that shares s of
+    them meets under (s choose MIN_SHARED)."""
+    return F.element_at(F.create_map(*(F.lit(x) for s in range(MIN_SHARED, POSITIONS + 1) for x in (comb(s, MIN_SHARED), s))), hits.cast("int"))
+
 
-    Each fingerprint stands in six posting lists, one for every two of its four byte pairs with their positions.  Two
-    linked fingerprints share one at least.  Pairs from one list are tallied: a pair that shares fewer than MIN_SHARED
-    positional bytes can't be linked and goes; the rest are verified bit by bit.
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b, shared): pairs of ``distinct(fp)`` that reach the minimum of shared positional bytes, and are linked.
 
-    A list of more than LONG_LIST members gives no pairs.  Its members are each put under themselves and the 64 values
-    one flipped bit away: two differ in two bits or fewer just if they meet under one value, and all that meet under
-    one are linked to its smallest.  A link within a long list is between two members of it, so none is lost.
+    Two of the bytes may differ, so MIN_SHARED match.  A count filter that first made all pairs of a single byte's list
+    would be quadratic in the corpus; here a list stands for MIN_SHARED bytes at once, so pairs below the minimum meet
+    nowhere and the tally of meetings gives the bytes that the others share.  Members of a list differ in two bytes
+    only, so no list has more than 65,536, whatever is common in the corpus.  Bits are verified inside a list, so only
+    linked pairs leave it: at most 2,080 for each fingerprint.
     """
-    lists = F.array(*(F.struct(F.lit(i).alias("k"), ((_byte(F.col("fp"), p) * 256 + _byte(F.col("fp"), p + 1)) * 65536 + _byte(F.col("fp"), q) * 256 + _byte(F.col("fp"), q + 1)).alias("v")) for i, (p, q) in enumerate(POSTINGS)))
-    posted = distinct.select("fp", F.explode(lists).alias("at")).select("fp", F.col("at.k").alias("k"), F.col("at.v").alias("v"))
-    sized = posted.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = posted.join(sized, ["k", "v"])
-    short, long = shared.where(F.col("n") <= LONG_LIST), shared.where(F.col("n") > LONG_LIST)
-    members = short.groupBy("k", "v").agg(F.array_sort(F.collect_list("fp")).alias("fps"))  # LONG_LIST at most
-    pairs = F.flatten(F.transform("fps", lambda a, i: F.transform(F.slice("fps", i + 2, F.lit(LONG_LIST)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    tally = sum((_byte(F.col("a"), p) == _byte(F.col("b"), p)).cast("int") for p in range(8))
-    verified = (
-        members.select(F.explode(F.filter(pairs, lambda p: F.bit_count(p["a"].bitwiseXOR(p["b"])) <= 8 * MAX_BITS)).alias("p"))
-        .select("p.a", "p.b")
-        .where(tally >= MIN_SHARED)
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    )
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
-    near = long.select("fp").distinct().select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
-    least = near.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("most")).where("a <> most").select("near", "a")
-    starred = near.join(least, "near").select("a", F.col("fp").alias("b")).where("a <> b")
-    return verified.union(starred).distinct()
+    posted = postings(distinct)
+    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    members = posted.join(several, "key").groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    linked = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+    after = lambda a, i: F.slice("fps", i + 2, F.size("fps"))
+    pairs = F.flatten(F.transform("fps", lambda a, i: F.transform(F.filter(after(a, i), lambda b: linked(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    met = members.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("hits"))
+    return met.select("a", "b", shared_bytes(F.col("hits")).alias("shared")).where(F.col("shared") >= MIN_SHARED)
+
+
+def links(distinct: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different fingerprints that differ in MAX_BITS bits or fewer."""
+    return candidates(distinct).select("a", "b")
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable), group_size.
 
-    Documents without a word, null ones too, have fingerprint zero and are linked like others.  Only distinct
-    fingerprints are indexed, so copies cost one row; repeated rows are rows of one component; an empty table gives no
-    rows; a null doc_id keeps its row and never names a component that has another.
+    Documents without a word, null ones too, have fingerprint zero and are linked like others.  Texts of any length are
+    read whole.  A bit that half of the shingles set, no more, is 0.  Only distinct fingerprints are indexed, so copies
+    cost one row; repeated rows are rows of one component; an empty table gives no rows; a null doc_id keeps its row and
+    never names a component that has another.  Columns besides doc_id and text are ignored, whatever their names.
     """
     prints = cut(fingerprints(docs))  # 16 bytes a document, read by several steps
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
@@ -108,6 +117,7 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The input's rows that stay: of each component the one with the smallest doc_id, and one without id only where
     no other has one.  Rows are told apart by id and a hash of the text together; rows that repeat both stay together.
+    An empty table gives none; other columns stay as they are.
     """
     mark = F.xxhash64("text", F.octet_length("text"))
     prints = cut(fingerprints(docs, mark.alias("mark")))
