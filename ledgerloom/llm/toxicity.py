@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
-#: Bound of what is learned from: labelled rows.  Bound of the learned insults.
-MAX_LABELLED, MAX_INSULTS = 20_000, 400
+#: Bound of what is learned from: labelled rows.  All terms of theirs that pass the test are insults.
+MAX_LABELLED = 20_000
 #: A stem is the beginning of a word, of so many characters; shorter or longer whole words are learned too.
 STEMS = (4, 5, 6, 7)
 #: Words a negation reaches.
@@ -167,7 +167,7 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
     n_terms = by_term.where("n > 1").count()
     rows = (
         by_term.where("n > 2").withColumn("rate", rate).where(F.col("rate") > 0.5 * (1 + p)).withColumn("gain", gain)
-        .where(F.col("gain") > 2 * float(np.log(max(n_terms, 2))) + 4).orderBy(F.desc("gain"), "term").limit(4 * MAX_INSULTS).collect()
+        .where(F.col("gain") > 2 * float(np.log(max(n_terms, 2))) + 4).orderBy(F.desc("gain"), "term").collect()
     )
     found = {r["term"]: r for r in rows}
     out: dict[str, float] = {}
@@ -178,8 +178,6 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
             if any(found[x]["k"] >= 0.9 * r["k"] for x in inside):
                 continue
         out[t] = float(min(4.0, max(0.5, np.log((r["k"] + 0.5) / (r["n"] - r["k"] + 0.5)) - np.log(p / (1 - p)))))
-        if len(out) == MAX_INSULTS:
-            break
     return out
 
 
@@ -200,13 +198,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, decay: float = 1
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """Learned insults and the weights that turn a document's matches into a score; from MAX_LABELLED rows at most.
 
-    The rows are chosen by hash among the labelled ones not held out; copies of one text count once.
+    The rows are chosen by hash among the labelled ones not held out; copies of one text count once.  An id, or a text,
+    with two labels is toxic.  The sample is checkpointed, so whole texts are scanned for it once.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    known = known.where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sample = mine.join(F.broadcast(some), "doc_id").select("text", "toxic").dropDuplicates(["text"]).repartition(8)
+    sample = cut(mine.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).repartition(8))
     grammar = Grammar(insults := learn_insults(sample))
 
     def run(batches):
@@ -252,7 +252,12 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train, then score every document.  A null or empty text has no clause and the lowest score that weights give."""
+    """Train, then score every document: doc_id, held_out, score, predicted.
+
+    A null or empty text has no clause and the lowest score that the weights give; texts of any length are read whole;
+    equal rows have equal scores; a null doc_id is not held out.  No rows in, no rows out.  Without labels, or with labels of
+    one kind only, fixed weights score the threats.  Columns besides doc_id and text are ignored, whatever their names.
+    """
     return score_documents(docs, train(docs, labels))
 
 
