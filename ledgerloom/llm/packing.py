@@ -227,7 +227,7 @@ def assign(parts: DataFrame) -> DataFrame:
     counts = sized.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_class", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start")
+    own = Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", "length", "ids_crc32", "doc_tokens")  # ties beyond these are equal pieces
     ranked = sized.withColumn("_rank", F.row_number().over(own) - 1).join(bases, ["_class", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     placed = ranked.join(F.broadcast(planned), (F.col("_class") == F.col("_c")) & F.col("_rank").between(F.col("_from"), F.col("_to")))
     placed = placed.withColumn("sequence_id", F.col("_first") + F.floor((F.col("_rank") - F.col("_from")) / F.col("_items")))
