@@ -1,345 +1,454 @@
 """Repeated byte strings across documents, by prefix-free parsing split over the cluster.
 
-A rolling hash sets triggers: of every MATCH bytes, the WIDTH-byte string with the least hash.  The windows of MATCH
-bytes that share one trigger occurrence lie side by side and make one phrase, so a text is parsed into phrases that
-overlap by MATCH - 1 bytes, and every MATCH-byte string lies whole in exactly one phrase.  Equal strings have equal
-triggers.  So:
-
-1. the parse: phrases are dealt out by trigger, as (trigger, document, place), and those whose trigger stands in one
-   document only are settled: nothing of them repeats elsewhere;
-2. the dictionary: the other phrases get their bytes, are dealt out by trigger again, and each trigger bucket keeps its
-   distinct phrases with the smallest document of each;
-3. a suffix array of each bucket's dictionary, of the suffixes of MATCH bytes or more, puts equal MATCH-byte strings
-   side by side; each run's smallest document decides for all windows of its phrases;
-4. the parse maps the windows back to places in documents, where they are joined to spans.
-
-As strings of MATCH bytes never reach beyond a phrase, their order in the corpus follows from the dictionary alone; the
-parse needs no suffix array of its own.  What is shuffled between the steps are packed columns, some eight bytes a phrase.
+Dealing.  Of every MATCH bytes, the WIDTH-byte string with the least rolling hash is their trigger.  Windows of MATCH
+bytes that share one trigger occurrence lie side by side and make a fragment; equal windows have equal triggers, so
+fragments that can share a window are dealt to one bucket by trigger, and no window lies in two fragments.
+
+1. every group of texts tells the buckets its triggers (a few bytes each), and learns which ones several documents have;
+2. of those it sends its different fragments with their bytes, and each one's smallest document: copies go once;
+3. a bucket's fragments are its corpus.  It is parsed prefix-free (corpus_order): rolling-hash triggers make phrases, the
+   suffix arrays of the dictionary and of the parse combine into corpus order, where equal windows are neighbours.  The
+   neighbours' bytes are compared, and each run's smallest document goes back to the groups that have the fragments;
+4. every group maps that to its occurrences, and cuts what has an earlier document.
+
+A trigger that HOT fragments or more have (a phrase that a third of the corpus quotes, each time in another context) would
+make one large group; its windows are dealt one by one, by all their bytes, so that different ones part.  Groups and
+buckets are as many as the input's bytes ask for.  Hashes only deal: wherever fragments, phrases or windows are taken for
+equal, their bytes have been compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions_for, small_batches, text_bytes
+from .common import cut, give_back, group_of, small_batches, text_bytes, text_groups
+from .packed import dealt, loosen, runs_of, slices, squeeze
 from .rolling import byte_values, prefix_hash, range_hash, sliding_min, window_hashes
 
-#: Fixed value of the result contract: bytes of a repeated string.  WIDTH: bytes of a trigger.
+#: Fixed value of the result contract: bytes of a repeated string.  WIDTH: bytes of a trigger that deals.
 MATCH, WIDTH = 50, 24
-#: Bytes hashed at a time, at most (places in a piece must fit 24 bits), and phrases gathered before they are dealt out.
-PIECE, GATHERED = 1 << 18, 1 << 19
-#: Phrases whose suffixes are sorted at a time; triggers are never parted, so one with more is sorted by itself.
-SORTED = 1 << 15
+#: The parse: bytes of a trigger, and one of how many windows is one.  END stands in no UTF-8 text.
+PARSE_WIDTH, PARSE_EVERY, END = 6, 10, 0xFF
+#: Bytes hashed at a time, at most (places in a piece must fit 24 bits), and fragments parsed at a time.
+PIECE, SORTED = 1 << 18, 1 << 15
+#: Fragments of a trigger whose windows are dealt one by one.
+HOT = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
+_LOW = np.uint64((1 << 32) - 1)
 
 
-def phrases(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(trigger hash, row, start in the row, length) of the phrases of the texts raw[at[i]:at[i + 1]], in order."""
+def fragments(prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(trigger hash, begin, length) of the fragments of the texts between the boundaries, in order."""
     none = np.zeros(0, np.int64)
-    if len(raw) < MATCH:
-        return none.astype(np.uint64), none, none, none
-    hashes = window_hashes(prefix_hash(byte_values()[raw]), WIDTH)
+    if len(prefix) <= MATCH:
+        return none.astype(np.uint64), none, none
+    hashes = window_hashes(prefix, WIDTH)
     least = sliding_min((hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64), MATCH - WIDTH + 1)
     long = np.diff(at) >= MATCH
-    step = np.zeros(len(raw) + 1, np.int32)
+    step = np.zeros(len(prefix), np.int32)
     np.add.at(step, at[:-1][long], 1)
     np.add.at(step, at[1:][long] - MATCH + 1, -1)
-    inside = np.cumsum(step)[: len(least)] > 0  # windows that lie in one text
+    inside = np.cumsum(step, dtype=np.int32)[: len(least)] > 0  # windows that lie in one text
     other = np.ones(len(least) + 1, bool)
     other[1:-1] = least[1:] != least[:-1]
-    first = np.flatnonzero(inside & (other[:-1] | ~np.concatenate(([False], inside[:-1]))))
+    first = np.flatnonzero(inside & (other[:-1] | ~np.concatenate(([True], inside[:-1]))))
     last = np.flatnonzero(inside & (other[1:] | ~np.concatenate((inside[1:], [False]))))
-    row = np.searchsorted(at, first, "right") - 1
-    return hashes[(least[first] & _PLACE).astype(np.int64)], row, first - at[row], last + MATCH - first
+    return hashes[(least[first] & _PLACE).astype(np.int64)], first, last + MATCH - first
 
 
 def text_pieces(raw: np.ndarray, at: np.ndarray):
-    """Runs of whole texts of PIECE bytes or less, and parts of longer ones that share MATCH - 1 bytes: (bytes, boundaries, first row, place in it)."""
+    """(bytes, boundaries, where it begins) of runs of whole texts of PIECE bytes or less, and of parts of longer texts
+    that share MATCH - 1 bytes."""
     i, n = 0, len(at) - 1
     while i < n:
         if at[i + 1] - at[i] > PIECE:
             for s in range(int(at[i]), int(at[i + 1]) - MATCH + 1, PIECE):
                 part = raw[s : min(s + PIECE + MATCH - 1, int(at[i + 1]))]
-                yield part, np.array([0, len(part)]), i, s - int(at[i])
+                yield part, np.array([0, len(part)]), s
             i += 1
             continue
         j = max(i + 1, int(np.searchsorted(at, at[i] + PIECE, "right")) - 1)
-        yield raw[at[i] : at[j]], at[i : j + 1] - at[i], i, 0
+        yield raw[at[i] : at[j]], at[i : j + 1] - at[i], int(at[i])
         i = j
 
 
-def squeeze(*columns: np.ndarray) -> bytes:
-    import zstandard
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    head = np.array([len(columns), *(len(c) * c.itemsize for c in columns)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(c.tobytes() for c in columns))
 
+def equal_ranges(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, runs): an order of the ranges by key and content, and where in it a new key or content begins.
 
-def loosen(blob: bytes, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    sizes = np.frombuffer(raw, np.int64, n, 8)
-    out, place = [], 8 * (n + 1)
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, place))
-        place += size
-    return out
-
-
-def runs_of(*keys: np.ndarray) -> np.ndarray:
-    """Where a new combination of neighbouring keys begins."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(new)
-
-
-def tags_of(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A checksum of each text, to tell rows of one id apart."""
-    return np.array([zlib.crc32(raw[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint32)
-
-
-def slices(at: np.ndarray, n: int, most: int):
-    """Whole runs (that begin at ``at``) together, most rows at a time or one run."""
-    edges, s = np.append(at, n), 0
-    while s < n:
-        k = int(np.searchsorted(edges, s + most, "right")) - 1
-        e = int(edges[k]) if edges[k] > s else int(edges[k + 1])
-        yield s, e
-        s = e
-
-
-def by_document(doc: np.ndarray, tag: np.ndarray, *rest: np.ndarray) -> bytes:
-    """A blob of rows that come by document: each document once, with its number of rows."""
-    at = runs_of(doc, tag)
-    count = np.diff(np.append(at, len(doc))).astype(np.uint32)
-    return squeeze(np.diff(doc[at], prepend=0), tag[at], count, *rest)
-
-
-def documents_of(doc_steps, tag, count) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.cumsum(doc_steps), count), np.repeat(tag, count)
-
+    ``mark`` is a hash of each range's bytes; the bytes of all that it takes for equal are compared, and where they
+    aren't, the ranges are ordered by their bytes instead.
+    """
+    order = np.lexsort((size, mark, key))
+    at = runs_of(key[order], mark[order], size[order])
+    model = np.repeat(order[at], np.diff(np.append(at, len(order))))
+    for s in range(0, len(order), SORTED):
+        one, two = order[s : s + SORTED], model[s : s + SORTED]
+        differ = one != two
+        one, two = one[differ], two[differ]
+        if (raw[spread(begin[one], size[one])] != raw[spread(begin[two], size[two])]).any():
+            break
+    else:
+        return order, at
+    wide = np.zeros((len(size), int(size.max())), np.uint8)
+    wide[np.arange(wide.shape[1]) < size[:, None]] = raw[spread(begin, size)]
+    content = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_inverse=True)[1]
+    order = np.lexsort((size, content, key))
+    return order, runs_of(key[order], content[order], size[order])
+
+
+def _bucket_key(hashes: np.ndarray, groups: int) -> np.ndarray:
+    """The bucket above 32 bits, and 32 other bits of the hash."""
+    return hashes % np.uint64(groups) << np.uint64(32) | hashes // np.uint64(groups) & _LOW
+
+
+class Group:
+    """The texts of one group, and their fragments."""
+
+    def __init__(self, table: pa.Table, groups: int):
+        self.raw, self.at = text_bytes(table.column("text"))
+        ids = table.column("doc_id")
+        self.known = pc.is_valid(ids).to_numpy()
+        self.doc = ids.fill_null(0).to_numpy().astype(np.int64)
+        self.groups = groups
+
+    def parse(self, told: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+        """(bucket key, begin, length, mark) of the fragments; told(keys, marks): of those that are shared, with the hot
+        ones' windows in their place."""
+        out = []
+        for part, bounds, base in text_pieces(self.raw, self.at):
+            prefix = prefix_hash(byte_values()[part])
+            h, begin, size = fragments(prefix, bounds)
+            key = _bucket_key(h, self.groups)
+            mark = key
+            if told is not None:
+                place = np.minimum(np.searchsorted(told[0], key), max(0, len(told[0]) - 1))
+                hit = told[0][place] == key if len(told[0]) else np.zeros(len(key), bool)
+                key, begin, size, hot = key[hit], begin[hit], size[hit], told[1][place[hit]] > 1 if len(told[0]) else hit[hit]
+                mark = range_hash(prefix, begin, begin + size)
+                if hot.any():
+                    windows = spread(begin[hot], size[hot] - MATCH + 1)
+                    own = range_hash(prefix, windows, windows + MATCH)
+                    key, mark = np.concatenate((key[~hot], _bucket_key(own, self.groups))), np.concatenate((mark[~hot], own))
+                    begin, size = np.concatenate((begin[~hot], windows)), np.concatenate((size[~hot], np.full(len(windows), MATCH)))
+            out.append((key, begin + base, size, mark))
+        if not out:
+            none = np.zeros(0, np.int64)
+            return none.astype(np.uint64), none, none, none.astype(np.uint64)
+        key, begin, size, mark = (np.concatenate(c) for c in zip(*out, strict=True))
+        known = self.known[self.row(begin)]
+        return key[known], begin[known], size[known], mark[known]
+
+    def row(self, begin: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, begin, "right") - 1
+
+    def different(self, told) -> tuple[np.ndarray, ...]:
+        """The shared fragments: (bucket key, begin, length, document) in order of key and content, and where a new one
+        begins.  Depends on the texts and on told alone, so two steps number the fragments alike."""
+        key, begin, size, mark = self.parse(told)
+        order, at = equal_ranges(self.raw, begin, size, key, mark)
+        begin = begin[order]
+        return key[order], begin, size[order], self.doc[self.row(begin)], at
+
+
+def triggers(texts: DataFrame, groups: int) -> DataFrame:
+    """(bucket, db, blob): each group's triggers, whether several of its documents have one, and how many fragments."""
 
-def dealt(key: np.ndarray):
-    """(key, its rows) for each key, rows in order."""
-    if not len(key):
-        return
-    order = np.argsort(key, kind="stable")
-    at = runs_of(key[order])
-    for s, e in zip(at, np.append(at[1:], len(key)), strict=True):
-        yield int(key[order[s]]), order[s:e]
+    def run(table: pa.Table) -> pa.Table:
+        group = Group(table, groups)
+        key, begin, _, _ = group.parse()
+        names, blobs = [], []
+        if len(key):
+            order = np.argsort(key)
+            doc = group.doc[group.row(begin[order])]
+            at = runs_of(key[order])
+            several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)).astype(np.uint8)
+            count = np.diff(np.append(at, len(order))).astype(np.uint32)
+            key = key[order[at]]
+            for b, own in dealt((key >> np.uint64(32)).astype(np.int64)):
+                names.append(b)
+                blobs.append(squeeze(np.diff((key[own] & _LOW).astype(np.uint32), prepend=np.uint32(0)), several[own], count[own]))
+        db = table.column("db")[0].as_py()
+        give_back()
+        return pa.table({"bucket": pa.array(names, pa.int64()), "db": pa.array([db] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
+    return texts.groupBy("db").applyInArrow(run, "bucket long, db long, blob binary")
 
-def parse(docs: DataFrame, buckets: int) -> DataFrame:
-    """Phrases by trigger bucket: (bucket, blob of documents, starts, lengths and the triggers' other bits)."""
 
-    def run(batches):
-        kept: list[tuple] = []
-        size = 0
+def shared_triggers(told: DataFrame) -> DataFrame:
+    """(db, bucket, blob): for each group its triggers that several documents have, 2 where they are hot."""
 
-        def flush():
-            h, doc, tag, start, length = (np.concatenate(c) for c in zip(*kept, strict=True))
-            names, blobs = [], []
-            for b, rows in dealt((h % np.uint64(buckets)).astype(np.int64)):
-                low = (h[rows] // np.uint64(buckets)).astype(np.uint32)
-                names.append(b)
-                blobs.append(by_document(doc[rows], tag[rows], start[rows], length[rows], low))
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, at = text_bytes(batch.column(1))
-            tags = tags_of(raw, at)
-            for part, bounds, row, place in text_pieces(raw, at):
-                h, r, start, length = phrases(part, bounds)
-                if len(h):
-                    kept.append((h, ids[row + r], tags[row + r], (start + place).astype(np.uint32), length.astype(np.uint8)))
-                    size += len(h)
-                if size >= GATHERED:
-                    yield flush()
-                    kept, size = [], 0
-        if kept:
-            yield flush()
-        kept.clear()
+    def run(table: pa.Table) -> pa.Table:
+        parts = [loosen(b, np.uint32, np.uint8, np.uint32) for b in table.column("blob").to_pylist()]
+        low, several, count = (np.concatenate(c) for c in zip(*((np.cumsum(p[0], dtype=np.uint32), *p[1:]) for p in parts), strict=True))
+        order = np.argsort(low, kind="stable")
+        at = runs_of(low[order])
+        n = np.diff(np.append(at, len(order)))
+        both = (n > 1) | (np.maximum.reduceat(several[order], at) > 0)
+        hot = np.add.reduceat(count[order].astype(np.int64), at) >= HOT
+        mark = np.zeros(len(low), np.uint8)
+        mark[order] = np.repeat(np.where(both, 1 + hot, 0), n)
+        ends = np.cumsum([len(p[0]) for p in parts])
+        names, blobs = [], []
+        for db, s, e in zip(table.column("db").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own = s + np.flatnonzero(mark[s:e])
+            if len(own):
+                names.append(db)
+                blobs.append(squeeze(np.diff(low[own], prepend=np.uint32(0)), mark[own]))
+        bucket = table.column("bucket")[0].as_py()
         give_back()
+        return pa.table({"db": pa.array(names, pa.int64()), "bucket": pa.array([bucket] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "bucket int, blob binary")
+    return told.groupBy("bucket").applyInArrow(run, "db long, bucket long, blob binary")
 
 
-def _columns(blobs, *kinds) -> list[np.ndarray]:
-    parts = []
-    for blob in blobs:
-        steps, tag, count, *rest = loosen(blob, np.int64, np.uint32, np.uint32, *kinds)
-        parts.append((*documents_of(steps, tag, count), *rest))
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+    for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True):
+        steps, mark = loosen(blob, np.uint32, np.uint8)
+        keys.append(np.uint64(bucket) << np.uint64(32) | np.cumsum(steps, dtype=np.uint32).astype(np.uint64))
+        marks.append(mark)
+    key, mark = np.concatenate(keys), np.concatenate(marks)
+    order = np.argsort(key)
+    return key[order], mark[order]
 
 
-def _packed(blobs) -> list[np.ndarray]:
-    """Columns of phrases with their bytes; a blob's last column is as long as its phrases together."""
-    return _columns(blobs, np.uint32, np.uint8, np.uint32, np.uint8)
+def shared_fragments(texts: DataFrame, shared: DataFrame, groups: int) -> DataFrame:
+    """(bucket, db, blob): each group's different shared fragments with their bytes."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, blobs, db = [], [], 0
+        if left.num_rows and right.num_rows:
+            db = left.column("db")[0].as_py()
+            group = Group(left, groups)
+            key, begin, size, doc, at = group.different(_told(right))
+            if len(at):
+                least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+                key, begin, size = key[at], begin[at], size[at]
+                for b, own in dealt((key >> np.uint64(32)).astype(np.int64)):
+                    names.append(b)
+                    low, several = (key[own] & _LOW).astype(np.uint32), (least[own] != most[own]).astype(np.uint8)
+                    data = group.raw[spread(begin[own], size[own])]
+                    blobs.append(squeeze(np.diff(low, prepend=np.uint32(0)), size[own].astype(np.uint8), least[own], several, data))
+        give_back()
+        return pa.table({"bucket": pa.array(names, pa.int64()), "db": pa.array([db] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
-def shared_phrases(parsed: DataFrame, buckets: int) -> DataFrame:
-    """Phrases whose trigger stands in two documents or more, by document bucket."""
+    return texts.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(run, "bucket long, db long, blob binary")
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        doc, tag, start, length, low = _columns(table.column("blob").to_pylist(), np.uint32, np.uint8, np.uint32)
-        order = np.argsort(low, kind="stable")
-        at = runs_of(low[order])
-        by_trigger = doc[order]
-        several = np.minimum.reduceat(by_trigger, at) != np.maximum.reduceat(by_trigger, at)
-        rows = np.sort(order[np.repeat(several, np.diff(np.append(at, len(order))))])
-        names, blobs = [], []
-        for b, own in dealt(doc[rows] % buckets):
-            own = rows[own]
-            own = own[np.lexsort((start[own], tag[own], doc[own]))]
-            names.append(b)
-            blobs.append(by_document(doc[own], tag[own], start[own], length[own], low[own]))
-        give_back()
-        return pa.table({"db": pa.array(names, pa.int64()), "bucket": pa.array([bucket] * len(names), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return parsed.groupBy("bucket").applyInArrow(run, "db long, bucket int, blob binary")
+def dense_ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks from 1, equal for equal keys, and how many there are."""
+    order = np.argsort(key)
+    new = np.ones(len(key), np.int64)
+    new[1:] = key[order][1:] != key[order][:-1]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank, int(new.sum())
 
 
-class Texts:
-    """The texts of one document bucket as bytes, and their rows by (doc, tag)."""
+def suffix_ranks(first: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of the suffixes of many strings by prefix doubling.  first: each place's key of ``step`` symbols; end: where
+    the place's string ends.  A suffix that ends goes before what continues it."""
+    rank, n = dense_ranks(first)
+    place = np.arange(len(rank))
+    longest = int((end - place).max(initial=0))
+    while step < longest and n < len(rank):
+        after = place + step
+        inside = after < end
+        later = np.where(inside, rank[np.where(inside, after, 0)], 0)
+        rank, n = dense_ranks(rank << 32 | later)
+        step *= 2
+    return rank
 
-    def __init__(self, table: pa.Table):
-        self.raw, self.at = text_bytes(table.column("text"))
-        ids = table.column("doc_id").fill_null(0).to_numpy().astype(np.int64) if table.num_rows else np.zeros(0, np.int64)
-        tags = tags_of(self.raw, self.at)
-        self.order = np.lexsort((tags, ids))
-        self.kinds, inverse = np.unique(ids, return_inverse=True)  # ranks of ids, so that both fit one key
-        self.key = (inverse.astype(np.int64) << 32 | tags)[self.order]
 
-    def rows(self, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
-        want = np.searchsorted(self.kinds, doc).astype(np.int64) << 32 | tag
-        return self.order[np.searchsorted(self.key, want)]
+def parsed_phrases(text: np.ndarray, begin: np.ndarray, end: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the phrases of the strings text[begin:end], each of which PARSE_WIDTH END bytes follow.
 
+    A phrase goes from a trigger to the end of the next one, so phrases overlap by PARSE_WIDTH bytes.  Triggers are the
+    windows with a rolling hash of 0 modulo PARSE_EVERY, a string's beginning, and the END bytes after it.
+    """
+    hashes = window_hashes(prefix, PARSE_WIDTH)
+    trigger = hashes % np.uint64(PARSE_EVERY) == 0
+    body = np.zeros(len(text) + 1, np.int32)
+    body[begin] += 1
+    body[end] -= 1
+    starts = trigger & (np.cumsum(body[: len(trigger)], dtype=np.int32) > 0)
+    starts[begin] = True
+    closes = starts.copy()
+    closes[begin] = False
+    closes[end] = True
+    return np.flatnonzero(starts), np.flatnonzero(closes) + PARSE_WIDTH
+
+
+def corpus_order(text: np.ndarray, begin: np.ndarray, end: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, keys): the windows' places in the order of the suffixes that begin there, by prefix-free parsing of the
+    strings text[begin:end], and a number for each that is equal only for equal suffixes.
+
+    No suffix of a phrase that is longer than a trigger is a proper prefix of another one, as it ends with a trigger and
+    has none inside.  So suffixes of the corpus are ordered by the rest of their phrase (its rank in the dictionary's
+    suffix array) and then by what follows it (the rank of the next phrase in the parse's suffix array).
+    """
+    prefix = prefix_hash(byte_values()[text])
+    s, e = parsed_phrases(text, begin, end, prefix)
+    size = e - s
+    # the dictionary: different phrases, one after the other
+    by, at = equal_ranges(text, s, size, np.zeros(len(s), np.int8), range_hash(prefix, s, e))
+    phrase = np.empty(len(s), np.int64)
+    phrase[by] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(by))))
+    one = by[at]
+    dictionary = text[spread(s[one], size[one])]
+    d_end = np.cumsum(size[one])
+    d_begin = d_end - size[one]
+    ends = np.repeat(d_end, size[one])
+    # its suffix array: eight bytes at first, then doubling; bytes beyond a phrase's end count as none
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((dictionary, np.zeros(8, np.uint8))), 8)[: len(dictionary)]
+    first = words.copy().view(">u8").ravel().astype(np.uint64)
+    beyond = np.maximum(8 - (ends - np.arange(len(ends))), 0).astype(np.uint64) * np.uint64(8)
+    rank = suffix_ranks(first >> beyond << beyond, ends, 8)
+    # the parse and its suffix array
+    string = np.searchsorted(begin, s, "right") - 1
+    last = np.searchsorted(string, np.arange(len(begin)), "right")
+    follow = suffix_ranks(rank[d_begin[phrase]], last[string], 1)
+    # both combined
+    own = np.searchsorted(s, windows, "right") - 1
+    after = np.where(own + 1 < last[string[own]], follow[np.minimum(own + 1, len(s) - 1)], 0)
+    key = rank[d_begin[phrase[own]] + windows - s[own]] << 32 | after
+    order = np.argsort(key)
+    return order, key[order]
+
+
+def same_windows(text: np.ndarray, windows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where among windows in corpus order a new MATCH-byte string begins; bytes are compared unless the suffixes are equal."""
+    new = np.ones(len(windows), bool)
+    at = np.flatnonzero(key[1:] != key[:-1]) + 1
+    words = np.lib.stride_tricks.sliding_window_view(text, 8)
+    one, two, differ = windows[at], windows[at - 1], np.zeros(len(at), bool)
+    for o in [*range(0, MATCH - 7, 8), MATCH - 8]:
+        differ |= words[one + o].copy().view(np.uint64).ravel() != words[two + o].copy().view(np.uint64).ravel()
+    new[1:] = False
+    new[at] = differ
+    return np.flatnonzero(new)
 
-def with_bytes(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """The shared phrases with their bytes, by trigger bucket again."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, blobs = [], []
-        texts = Texts(left)
-        for bucket, blob in zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True):
-            doc, tag, start, length, low = _columns([blob], np.uint32, np.uint8, np.uint32)
-            begin = texts.at[texts.rows(doc, tag)] + start
-            size = length.astype(np.int64)
-            index = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            names.append(bucket)
-            blobs.append(by_document(doc, tag, start, length, low, texts.raw[index]))
-        give_back()
-        return pa.table({"bucket": pa.array(names, pa.int32()), "blob": pa.array(blobs, pa.binary())})
-
-    return texts.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(run, "bucket int, blob binary")
-
-
-def suffix_order(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes that begin at start sorted by their first MATCH bytes, and where in that order a new string begins."""
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((text, np.zeros(8, np.uint8))), 8)
-    offsets = [*range(0, MATCH - 7, 8), MATCH - 8]
-    keys = [words[start + o].copy().view(">u8").ravel().astype(np.uint64) for o in offsets]
-    order = np.lexsort(keys[::-1])
-    return order, runs_of(*(k[order] for k in keys))
-
-
-def repeated_windows(doc, tag, start, length, low, text) -> tuple[np.ndarray, ...]:
-    """Spans (doc, tag, begin, end) of windows that also begin in a document with a smaller id, for phrases of which all
-    that share a trigger are here."""
-    size = length.astype(np.int64)
-    ends = np.cumsum(size)
-    begins = ends - size
-    identity = range_hash(prefix_hash(byte_values()[text]), begins, ends)
-    identity ^= (low.astype(np.uint64) << np.uint64(8) | length) * np.uint64(0x9FB21C651E98DF25)
-    _, one, phrase = np.unique(identity, return_index=True, return_inverse=True)
-    owner = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(owner, phrase, doc)
-    # windows of the dictionary: one suffix for each
-    windows = size[one] - MATCH + 1
-    head = np.cumsum(windows) - windows
-    of = np.repeat(np.arange(len(one)), windows)
-    suffix = begins[one][of] + np.arange(windows.sum()) - head[of]
-    order, at = suffix_order(text, suffix)
-    least = np.repeat(np.minimum.reduceat(owner[of][order], at), np.diff(np.append(at, len(order))))
-    smallest = np.empty(len(order), np.int64)
-    smallest[order] = least
-    # back to the occurrences: neighbouring windows that repeat make one span
-    n = windows[phrase]
-    who = np.repeat(np.arange(len(doc)), n)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    hit = smallest[head[phrase][who] + nth] < doc[who]
-    who, nth = who[hit], nth[hit]
-    at = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (nth[1:] != nth[:-1] + 1)))) if len(who) else np.zeros(0, np.int64)
-    last = np.append(at[1:], len(who)) - 1 if len(who) else at
-    w = who[at]
-    begin = start[w].astype(np.int64) + nth[at]
-    return doc[w], tag[w], begin, begin + (nth[last] - nth[at]) + MATCH
-
-
-def spans(phrased: DataFrame, buckets: int) -> DataFrame:
-    """Repeated spans by document bucket."""
+def least_documents(size: np.ndarray, low: np.ndarray, doc: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of every window of the fragments, one after the other, and each fragment's first window."""
+    begin = np.cumsum(size) - size
+    mark = np.concatenate([range_hash(prefix_hash(byte_values()[raw[begin[s] : begin[s] + size[s:e].sum()]]), begin[s:e] - begin[s], begin[s:e] - begin[s] + size[s:e])
+                           for s, e in ((s, min(s + 4096, len(size))) for s in range(0, len(size), 4096))])
+    by, at = equal_ranges(raw, begin, size, low, mark)
+    which = np.empty(len(size), np.int64)
+    which[by] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(by))))
+    owner = np.minimum.reduceat(doc[by], at)
+    one = by[at]
+    # the bucket's corpus: different fragments, each with END bytes behind
+    wide = size[one] + PARSE_WIDTH
+    end = np.cumsum(wide) - PARSE_WIDTH
+    start = end - size[one]
+    text = np.full(int(wide.sum()), END, np.uint8)
+    text[spread(start, size[one])] = raw[spread(begin[one], size[one])]
+    count = size[one] - MATCH + 1
+    windows = spread(start, count)
+    of = np.repeat(np.arange(len(one)), count)
+    order, key = corpus_order(text, start, end, windows)
+    at = same_windows(text, windows[order], key)
+    least = np.empty(len(order), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(owner[of[order]], at), np.diff(np.append(at, len(order))))
+    head = (np.cumsum(count) - count)[which]
+    n = count[which]
+    return least[spread(head, n)], np.cumsum(n) - n
+
+
+def earlier_documents(sent: DataFrame) -> DataFrame:
+    """(db, bucket, blob): runs of windows (fragment's number, first window, windows, smallest document) that a group has
+    an occurrence of in a later document."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, tag, start, length, low, text = _packed(table.column("blob").to_pylist())
+        parts = [loosen(b, np.uint32, np.uint8, np.int64, np.uint8, np.uint8) for b in table.column("blob").to_pylist()]
+        low = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+        size = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        doc, several = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
+        raw = np.concatenate([p[4] for p in parts])
+        number = np.concatenate([np.arange(len(p[1])) for p in parts])
+        source = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+        del parts
+        ends = np.cumsum(size)
         order = np.argsort(low, kind="stable")
-        ends = np.cumsum(length, dtype=np.int64)
         found = []
         for s, e in slices(runs_of(low[order]), len(order), SORTED):
             own = order[s:e]
-            size = length[own].astype(np.int64)
-            index = np.repeat(ends[own] - size - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            found.append(repeated_windows(doc[own], tag[own], start[own], length[own], low[own], text[index]))
-        doc, tag, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
+            n = size[own]
+            least, head = least_documents(n, low[own], doc[own], raw[spread(ends[own] - n, n)])
+            count = n - MATCH + 1
+            who = np.repeat(np.arange(len(own)), count)
+            nth = np.arange(len(who)) - head[who]
+            hit = np.flatnonzero((least < doc[own][who]) | (several[own][who] > 0))
+            who, nth, least = who[hit], nth[hit], least[hit]
+            if len(hit):
+                at = runs_of(who, least, nth - np.arange(len(nth)))
+                found.append((own[who[at]], nth[at], np.diff(np.append(at, len(who))), least[at]))
         names, blobs = [], []
-        for b, own in dealt(doc % buckets):
-            own = own[np.lexsort((begin[own], tag[own], doc[own]))]
-            names.append(b)
-            blobs.append(by_document(doc[own], tag[own], begin[own].astype(np.uint32), (end - begin)[own].astype(np.uint32)))
+        dbs = table.column("db").to_pylist()
+        if found:
+            which, first, n, least = (np.concatenate(c) for c in zip(*found, strict=True))
+            for k, rows in dealt(source[which]):
+                rows = rows[np.lexsort((first[rows], number[which[rows]]))]
+                names.append(dbs[k])
+                blobs.append(squeeze(np.diff(number[which[rows]], prepend=0).astype(np.uint32), first[rows].astype(np.uint8), n[rows].astype(np.uint8), least[rows]))
+        bucket = table.column("bucket")[0].as_py()
         give_back()
-        return pa.table({"db": pa.array(names, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"db": pa.array(names, pa.int64()), "bucket": pa.array([bucket] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(run, "db long, bucket long, blob binary")
 
-    return phrased.groupBy("bucket").applyInArrow(run, "db long, blob binary")
 
+def repeated_bytes(group: Group, told: pa.Table, found: pa.Table) -> np.ndarray:
+    """Which bytes of a group's texts go."""
+    change = np.zeros(len(group.raw) + 1, np.int32)
+    key, begin, _, doc, at = group.different(_told(told))
+    bucket = (key[at] >> np.uint64(32)).astype(np.int64) if len(at) else at
+    ends = np.append(at[1:], len(key))
+    for b, blob in zip(found.column("bucket").to_pylist(), found.column("blob").to_pylist(), strict=True):
+        steps, first, n, least = loosen(blob, np.uint32, np.uint8, np.uint8, np.int64)
+        which = np.searchsorted(bucket, b) + np.cumsum(steps, dtype=np.int64)
+        times = ends[which] - at[which]
+        occurrence = spread(at[which], times)
+        later = np.repeat(least, times) < doc[occurrence]
+        start = (begin[occurrence] + np.repeat(first, times))[later]
+        np.add.at(change, start, 1)
+        np.add.at(change, start + np.repeat(n, times)[later].astype(np.int64) - 1 + MATCH, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
-def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool, carry: list[str] | None = None) -> DataFrame:
-    """One row per document, with what its spans remove.  carry: further columns of texts to hand on, under names that
-    the result's own don't have."""
-    carry = carry or []
+
+def cut_repeats(texts: DataFrame, told: DataFrame, groups: int, with_text: bool, carry: list[str]) -> DataFrame:
+    """One row per document, with what goes.  carry: further columns of texts to hand on."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = left.num_rows
-        removed, n_spans = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        raw, at = text_bytes(left.column("text"))
-        data = raw.tobytes()
-        rest: dict[int, bytes] = {}
-        if right.num_rows and n:
-            doc, tag, begin, length = _columns(right.column("blob").to_pylist(), np.uint32, np.uint32)
-            row = Texts(left).rows(doc, tag)
-            same = _twins(left, row)
-            order = np.lexsort((begin, row))
-            row, begin, end = row[order], begin[order].astype(np.int64), (begin.astype(np.int64) + length)[order]
-            edge = runs_of(row)
-            for s, e in zip(edge, np.append(edge[1:], len(row)), strict=True):
-                b, reach = begin[s:e], np.maximum.accumulate(end[s:e])
-                first = np.flatnonzero(np.concatenate(([True], b[1:] > reach[:-1])))
-                starts, ends = b[first], reach[np.append(first[1:], e - s) - 1]
-                for r in same(int(row[s])):
-                    base = int(at[r])
-                    edges = [0, *np.stack((starts, ends), axis=1).ravel().tolist(), int(at[r + 1]) - base]
-                    rest[r] = b"".join([data[base + x : base + y] for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    removed[r], n_spans[r] = int((ends - starts).sum()), len(starts)
-        kept = [rest[i] if i in rest else data[s:e] for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+        group = Group(left, groups)
+        raw, at = group.raw, group.at
+        gone = np.zeros(len(raw), bool)
+        if right.num_rows and left.num_rows:
+            is_told = pc.equal(right.column("kind"), 0)
+            gone = repeated_bytes(group, right.filter(is_told), right.filter(pc.invert(is_told)))
+        opens = gone.copy()
+        opens[1:] &= ~gone[:-1]
+        if len(raw):
+            heads = at[:-1][at[:-1] < len(raw)]
+            opens[heads] = gone[heads]
+        total = lambda of: np.diff(np.concatenate(([0], np.cumsum(of)))[at]) if len(raw) else np.zeros(len(at) - 1, np.int64)
+        removed, n_spans = total(gone), total(opens)
+        kept = []
+        for s, e, n in zip(at[:-1].tolist(), at[1:].tolist(), removed.tolist(), strict=True):
+            kept.append((raw[s:e][~gone[s:e]] if n else raw[s:e]).tobytes())
         columns = {
             "doc_id": left.column("doc_id").cast(pa.int64()),
             "n_bytes": pa.array(np.diff(at)),
@@ -350,29 +459,24 @@ def cut_spans(texts: DataFrame, found: DataFrame, with_text: bool, carry: list[s
         if with_text:
             columns["kept_text"] = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
         columns |= {c: left.column(c) for c in carry}
-        del data, rest, kept, raw
+        del kept, raw, gone, opens, group
         give_back()
         return pa.table(columns)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", `{c}` {kind}" for c, kind in texts.dtypes if c in carry)
-    return texts.groupBy("db").cogroup(found.groupBy("db")).applyInArrow(run, schema)
-
-
-def _twins(table: pa.Table, rows: np.ndarray):
-    """Which rows repeat a row: same id and same text."""
-    ids = table.column("doc_id").to_pylist()
-    if len(set(ids)) == len(ids):
-        return lambda r: (r,)
-    texts, by = table.column("text").to_pylist(), {}
-    for i, k in enumerate(zip(ids, texts, strict=True)):
-        by.setdefault(k, []).append(i)
-    return lambda r: by[ids[r], texts[r]]
+    return texts.groupBy("db").cogroup(told.groupBy("db")).applyInArrow(run, schema)
 
 
-def _by_bucket(docs: DataFrame, buckets: int, *more) -> DataFrame:
-    bucket = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(buckets)).cast("long")
-    return docs.select(bucket.alias("db"), F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+def _deduped(docs: DataFrame, with_text: bool, carry: dict) -> DataFrame:
+    small_batches(docs.sparkSession)
+    groups = text_groups(docs)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(k) for k, c in carry.items()))
+    texts = own.withColumn("db", group_of(groups)).repartition(groups, "db")
+    shared = cut(shared_triggers(triggers(texts, groups).repartition(groups, "bucket")))  # some bytes a shared trigger, read twice
+    found = earlier_documents(shared_fragments(texts, shared, groups).repartition(groups, "bucket"))
+    told = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
+    return cut_repeats(texts, told, groups, with_text, list(carry))
 
 
 def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -380,25 +484,18 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     A byte goes if a MATCH-byte string that covers it also begins in a document with a smaller doc_id.  A null text is
     an empty one; a document without id is compared with none and keeps all; rows that repeat id and text have the same
-    result and remove nothing from one another.  Texts are shuffled once, by document, and serve both steps that need
-    them.  kept_text drops the bytes of a character that a span cut in two.
+    result and remove nothing from one another; texts of any length are read whole; no rows in, no rows out.  Columns
+    besides doc_id and text are ignored, whatever their names.  Texts are shuffled once and serve all three steps that
+    need them.  kept_text drops the bytes of a character that a span cut in two.
     """
-    small_batches(docs.sparkSession)
-    buckets = partitions_for(docs.sparkSession)
-    texts = _by_bucket(docs, buckets)
-    shared = shared_phrases(parse(docs, buckets), buckets)
-    return cut_spans(texts, spans(with_bytes(texts, shared), buckets), with_text)
+    return _deduped(docs, with_text, {})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The input with its repeated strings cut out of text, and n_chars as it then is; other columns travel with the
     text and stay as they are.  Texts are shuffled once."""
-    small_batches(docs.sparkSession)
-    buckets = partitions_for(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    texts = _by_bucket(docs, buckets, *(F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(others)))
-    shared = shared_phrases(parse(docs, buckets), buckets)
-    cut = cut_spans(texts, spans(with_bytes(texts, shared), buckets), True, [f"_own_{i}" for i in range(len(others))])
+    cut = _deduped(docs, True, {f"_own_{i}": F.col(f"`{c}`") for i, c in enumerate(others)})
     out = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     out |= {c: F.col(f"_own_{i}") for i, c in enumerate(others)}
     return cut.select(*(out[c].alias(c) for c in docs.columns))
