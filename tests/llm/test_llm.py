@@ -103,7 +103,7 @@ def test_line_rules(spark):
 
 def test_exact_dedup(spark):
     texts = ["a", "b", "a", None, "", "a", "c"]
-    rows = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, texts, extra=True).repartition(5), fan_in=2).collect()}
+    rows = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, texts, extra=True).repartition(5)).collect()}
     assert {i: (r.keep_id, r.group_size, r.kept) for i, r in rows.items()} == {
         0: (5, 3, False), 1: (1, 1, True), 2: (5, 3, False), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 3, True), 6: (6, 1, True),
     }
@@ -162,15 +162,13 @@ def test_fingerprint_by_definition():
         assert int.from_bytes(simhash.fingerprint(t), "big") == bits
 
 
-def test_simhash_by_brute_force(spark, monkeypatch):
+def test_simhash_by_brute_force(spark):
     rng = random.Random(7)
     base = [prose(rng, 30) for _ in range(25)]
     texts = base + [rng.choice(base).replace("w1", "v1", 1) + " more" * rng.randrange(2) for _ in range(60)] + [None, "", "  "]
-    for long_list in (2, 16):  # with 2 most lists are long ones
-        monkeypatch.setattr(simhash, "LONG_LIST", long_list)
-        rows = {r.doc_id: r for r in simhash.simhash_dedup(frame(spark, texts, extra=True)).collect()}
-        want = brute_components({i: int(r.fingerprint, 16) for i, r in rows.items()})
-        assert {i: r.component_id for i, r in rows.items()} == want
+    rows = {r.doc_id: r for r in simhash.simhash_dedup(frame(spark, texts, extra=True)).collect()}
+    want = brute_components({i: int(r.fingerprint, 16) for i, r in rows.items()})
+    assert {i: r.component_id for i, r in rows.items()} == want
     assert simhash.simhash_dedup(frame(spark, [])).count() == 0
 
 
@@ -189,6 +187,25 @@ def test_links_find_all_pairs(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_count_filter_keeps_the_pairs_that_share_six_bytes(spark):
+    rng = random.Random(61)
+    base = rng.getrandbits(64)
+    bit = lambda *at: base ^ sum(1 << a for a in at)
+    fps = [base, bit(3), bit(3, 60), bit(1, 9, 17), bit(1, 2, 3), bit(1, 9), bit(40, 41)]  # three bytes differ in the fourth
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    shared = lambda a, b: sum((a >> 8 * k & 255) == (b >> 8 * k & 255) for k in range(8))
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    met = {}
+    for r in simhash.postings(df).collect():
+        met.setdefault(r.key, set()).add(r.fp)
+    together = {(a, b) for fs in met.values() for a in fs for b in fs if a < b}
+    mask = (1 << 64) - 1
+    every = {(a, b) for a in signed for b in signed if a < b}
+    assert together == {(a, b) for a, b in every if shared(a & mask, b & mask) >= 6} != every
+    got = {(r.a, r.b): r.shared for r in simhash.candidates(df).collect()}
+    assert got == {(a, b): shared(a & mask, b & mask) for a, b in every if bin((a ^ b) & mask).count("1") <= 2}
+
+
 def brute_suffix(texts):
     first = {}
     for i, t in enumerate(texts):
@@ -210,8 +227,9 @@ def test_suffix_dedup_by_brute_force(spark, monkeypatch):
     texts = [prose(rng, rng.randrange(1, 60), ["ab", "c", "déf", "g h"]) for _ in range(40)]
     texts += ["x" * n for n in (49, 50, 51, 300)] + [None, ""] + [t[5:90] + prose(rng, 5) + t[-70:] for t in texts[:20]] + texts[:5]
     want = brute_suffix([(t or "").encode() for t in texts])
-    for piece in (1 << 20, 120):  # long texts in parts, too
+    for piece, hot in ((1 << 20, 1 << 16), (120, 3)):  # long texts in parts, hot triggers window by window
         monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
         rows = {r.doc_id: r for r in suffix_dedup.suffix_dedup(frame(spark, texts, extra=True)).collect()}
         assert [(rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) for i in range(len(texts))] == want
     assert suffix_dedup.suffix_dedup(frame(spark, [])).count() == 0
@@ -221,6 +239,48 @@ def test_suffix_dedup_by_brute_force(spark, monkeypatch):
     assert cut[1].text == "end" and cut[1].n_chars == 3
 
 
+def test_corpus_order_by_brute_force():
+    rng = random.Random(3)
+    for _ in range(40):
+        parts = [bytes(rng.choice(b"ab c\0") for _ in range(rng.randrange(50, 77))) for _ in range(rng.randrange(1, 30))]
+        parts += [p for p in (p[:30] + parts[0][30:] for p in parts[:5]) if len(p) >= 50]
+        text = b"".join(p + b"\xff" * suffix_dedup.PARSE_WIDTH for p in parts)
+        sizes = np.array([len(p) for p in parts])
+        end = np.cumsum(sizes + suffix_dedup.PARSE_WIDTH) - suffix_dedup.PARSE_WIDTH
+        raw, start = np.frombuffer(text, np.uint8), end - sizes
+        windows = suffix_dedup.spread(start, sizes - 49)
+        order, key = suffix_dedup.corpus_order(raw, start, end, windows)
+        of = np.repeat(end, sizes - 49)
+        suffixes = [text[windows[i] : of[i] + suffix_dedup.PARSE_WIDTH] for i in order]
+        assert suffixes == sorted(suffixes)
+        assert [a == b for a, b in zip(suffixes, suffixes[1:], strict=False)] == (key[1:] == key[:-1]).tolist()
+        want = [i for i in range(len(suffixes)) if i == 0 or suffixes[i][:50] != suffixes[i - 1][:50]]
+        assert suffix_dedup.same_windows(raw, windows[order], key).tolist() == want
+
+
+def test_equal_hashes_of_different_bytes_are_told_apart():
+    raw = np.frombuffer(b"abcabcxbcabd", np.uint8)
+    begin, size = np.arange(0, 12, 3), np.full(4, 3)
+    order, at = suffix_dedup.equal_ranges(raw, begin, size, np.zeros(4, np.uint64), np.zeros(4, np.uint64))
+    groups = [set(g.tolist()) for g in np.split(order, at[1:])]
+    assert sorted(map(sorted, groups)) == [[0, 1], [2], [3]]
+
+
+def test_sorted_runs_merge_like_one_sort():
+    rng = random.Random(67)
+    runs, whole = [], {}
+    for _ in range(9):
+        rows = [(bytes(rng.choice(b"ab") for _ in range(3)).ljust(48, b"z"), rng.randrange(99)) for _ in range(rng.randrange(1, 40))]
+        for k, i in rows:
+            most, n = whole.get(k, (-1, 0))
+            whole[k] = max(most, i), n + 1
+        rows.sort()
+        columns = np.array([k for k, _ in rows], "S48"), np.array([i for _, i in rows]), np.ones(len(rows), np.int64)
+        runs.append(exact_dedup.collapsed(*columns, "max"))
+    keys, ids, counts = exact_dedup.merged(runs, "max")
+    assert [(k, i, n) for k, i, n in zip(keys.tolist(), ids.tolist(), counts.tolist(), strict=True)] == [(k, *whole[k]) for k in sorted(whole)]
+
+
 def test_chain_dedup_finds_planted_passages(spark):
     rng = random.Random(13)
     docs = [prose(rng, rng.randrange(80, 200)).split() for _ in range(60)]
