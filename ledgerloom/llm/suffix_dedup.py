@@ -107,7 +107,7 @@ def equal_ranges(raw: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.n
     return order, runs_of(key[order], content[order], size[order])
 
 
-def _bucket_key(hashes: np.ndarray, groups: int) -> np.ndarray:
+def bucket_key(hashes: np.ndarray, groups: int) -> np.ndarray:
     """The bucket above 32 bits, and 32 other bits of the hash."""
     return hashes % np.uint64(groups) << np.uint64(32) | hashes // np.uint64(groups) & _LOW
 
@@ -129,7 +129,7 @@ class Group:
         for part, bounds, base in text_pieces(self.raw, self.at):
             prefix = prefix_hash(byte_values()[part])
             h, begin, size = fragments(prefix, bounds)
-            key = _bucket_key(h, self.groups)
+            key = bucket_key(h, self.groups)
             mark = key
             if told is not None:
                 place = np.minimum(np.searchsorted(told[0], key), max(0, len(told[0]) - 1))
@@ -139,7 +139,7 @@ class Group:
                 if hot.any():
                     windows = spread(begin[hot], size[hot] - MATCH + 1)
                     own = range_hash(prefix, windows, windows + MATCH)
-                    key, mark = np.concatenate((key[~hot], _bucket_key(own, self.groups))), np.concatenate((mark[~hot], own))
+                    key, mark = np.concatenate((key[~hot], bucket_key(own, self.groups))), np.concatenate((mark[~hot], own))
                     begin, size = np.concatenate((begin[~hot], windows)), np.concatenate((size[~hot], np.full(len(windows), MATCH)))
             out.append((key, begin + base, size, mark))
         if not out:
@@ -149,6 +149,11 @@ class Group:
         known = self.known[self.row(begin)]
         return key[known], begin[known], size[known], mark[known]
 
+    def told(self) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket key and document of everything that may be shared."""
+        key, begin, _, _ = self.parse()
+        return key, self.doc[self.row(begin)]
+
     def row(self, begin: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, begin, "right") - 1
 
@@ -161,16 +166,15 @@ class Group:
         return key[order], begin, size[order], self.doc[self.row(begin)], at
 
 
-def triggers(texts: DataFrame, groups: int) -> DataFrame:
-    """(bucket, db, blob): each group's triggers, whether several of its documents have one, and how many fragments."""
+def triggers(texts: DataFrame, groups: int, kind=Group) -> DataFrame:
+    """(bucket, db, blob): each group's triggers, whether several of its documents have one, and how often it is told."""
 
     def run(table: pa.Table) -> pa.Table:
-        group = Group(table, groups)
-        key, begin, _, _ = group.parse()
+        key, doc = kind(table, groups).told()
         names, blobs = [], []
         if len(key):
             order = np.argsort(key)
-            doc = group.doc[group.row(begin[order])]
+            doc = doc[order]
             at = runs_of(key[order])
             several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)).astype(np.uint8)
             count = np.diff(np.append(at, len(order))).astype(np.uint32)
@@ -185,8 +189,10 @@ def triggers(texts: DataFrame, groups: int) -> DataFrame:
     return texts.groupBy("db").applyInArrow(run, "bucket long, db long, blob binary")
 
 
-def shared_triggers(told: DataFrame) -> DataFrame:
-    """(db, bucket, blob): for each group its triggers that several documents have, 2 where they are hot."""
+def shared_triggers(told: DataFrame, hot_from: int | None = None) -> DataFrame:
+    """(db, bucket, blob): for each group its triggers that several documents have, 2 where they are hot (told hot_from
+    times or more)."""
+    hot_from = hot_from or HOT
 
     def run(table: pa.Table) -> pa.Table:
         parts = [loosen(b, np.uint32, np.uint8, np.uint32) for b in table.column("blob").to_pylist()]
@@ -195,7 +201,7 @@ def shared_triggers(told: DataFrame) -> DataFrame:
         at = runs_of(low[order])
         n = np.diff(np.append(at, len(order)))
         both = (n > 1) | (np.maximum.reduceat(several[order], at) > 0)
-        hot = np.add.reduceat(count[order].astype(np.int64), at) >= HOT
+        hot = np.add.reduceat(count[order].astype(np.int64), at) >= hot_from
         mark = np.zeros(len(low), np.uint8)
         mark[order] = np.repeat(np.where(both, 1 + hot, 0), n)
         ends = np.cumsum([len(p[0]) for p in parts])
@@ -212,7 +218,7 @@ def shared_triggers(told: DataFrame) -> DataFrame:
     return told.groupBy("bucket").applyInArrow(run, "db long, bucket long, blob binary")
 
 
-def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def told_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, marks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
     for bucket, blob in zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True):
         steps, mark = loosen(blob, np.uint32, np.uint8)
@@ -231,7 +237,7 @@ def shared_fragments(texts: DataFrame, shared: DataFrame, groups: int) -> DataFr
         if left.num_rows and right.num_rows:
             db = left.column("db")[0].as_py()
             group = Group(left, groups)
-            key, begin, size, doc, at = group.different(_told(right))
+            key, begin, size, doc, at = group.different(told_keys(right))
             if len(at):
                 least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
                 key, begin, size = key[at], begin[at], size[at]
@@ -414,7 +420,7 @@ def earlier_documents(sent: DataFrame) -> DataFrame:
 def repeated_bytes(group: Group, told: pa.Table, found: pa.Table) -> np.ndarray:
     """Which bytes of a group's texts go."""
     change = np.zeros(len(group.raw) + 1, np.int32)
-    key, begin, _, doc, at = group.different(_told(told))
+    key, begin, _, doc, at = group.different(told_keys(told))
     bucket = (key[at] >> np.uint64(32)).astype(np.int64) if len(at) else at
     ends = np.append(at[1:], len(key))
     for b, blob in zip(found.column("bucket").to_pylist(), found.column("blob").to_pylist(), strict=True):

@@ -360,18 +360,105 @@ def test_chain_dedup_keeps_alike_parts_of_a_chain_that_fails(spark):
     assert {r.doc_id for r in rows if r.first_word == 0 and r.end_word >= 50} == set(range(1, 24, 2))
 
 
-def test_chain_dedup_sends_a_shared_stretch_once_to_each_bucket(spark):
+def word_maker(rng):
+    return lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_chain_dedup_is_not_led_astray_by_shorter_holders(spark):
+    w = word_maker(random.Random(71))
+    long, half = w(70), w(50)
+    pieces = [long[i : i + 13] for i in range(0, 65, 13)]
+    mix = lambda: sum((w(25) + p for p in pieces), []) + w(25)
+    docs = {0: mix(), 1: w(20) + long + w(20), 4: mix(), 5: w(30) + long + w(9), 300: w(10) + long + w(10)}
+    docs |= {200 + k: mix() for k in range(30)}  # more holders of each seed than are all compared
+    docs |= {101: w(9) + half[:35], 103: half[:35] + w(9), 100: w(9) + half[15:], 104: half[15:] + w(9), 102: w(9) + half + w(9), 105: w(9) + half + w(9)}
+    rows = chain_dedup.chain_dedup(frame(spark, [" ".join(d) for d in docs.values()], ids=list(docs))).collect()
+    assert {(r.doc_id, r.partner_id): r.end_word - r.first_word for r in rows} == {(5, 1): 70, (105, 102): 50, (300, 1): 70, (300, 5): 70}
+
+
+def test_chain_dedup_of_a_passage_in_a_third_of_the_texts(spark):
+    """Over many partitions and groups: links grow with the texts, and every text is linked."""
     from pyspark.sql import functions as F
 
     rng = random.Random(59)
-    passage = " ".join(f"p{i}" for i in range(60))
-    docs = frame(spark, [f"{prose(rng, 20)} {passage} {prose(rng, 20)}" for _ in range(80)])
-    texts = docs.select((F.col("doc_id") % 4).alias("db"), "doc_id", "text")
-    found = chain_dedup.chains(chain_dedup.matches(chain_dedup.seeds(docs, 4), 4)).where("p_doc = 0").cache()
-    sent = chain_dedup.stretches(texts, found, 4).count()
-    assert found.count() >= 79 and sent <= 4 * found.select("p_tag", "y", "y_end").distinct().count() < 79
-    rows = chain_dedup.chain_dedup(docs).collect()
-    assert {r.doc_id for r in rows if r.partner_id == 0 and r.end_word - r.first_word >= 60} == set(range(1, 80))
+    passage = [f"p{i}" for i in range(60)]
+    n = 600
+    texts = [" ".join(prose(rng, 20).split() + (passage if i % 3 == 0 else prose(rng, 60).split()) + prose(rng, 20).split()) for i in range(n)]
+    spark.conf.set("ledgerloom.groupBytes", "20000")
+    try:
+        docs = frame(spark, texts).repartition(211)
+        rows = chain_dedup.chain_dedup(docs).collect()
+        groups = chain_dedup.text_groups(docs)
+        own = docs.withColumn("db", chain_dedup.group_of(groups)).select("db", "doc_id", "text").repartition(groups, "db")
+        told = chain_dedup.shared_triggers(chain_dedup.triggers(own, groups, chain_dedup.Words), chain_dedup.MANY + 1)
+        sent = chain_dedup.occurrences(own, told, groups).where("not local").collect()
+    finally:
+        spark.conf.unset("ledgerloom.groupBytes")
+    assert groups > 10
+    per_group = {}
+    for r in sent:  # a group sends two texts of a seed that all have, or MANY
+        for low, k in zip(*np.unique(chain_dedup.documents_of([r.blob], np.uint32, np.uint32, np.uint8)[3], return_counts=True), strict=True):
+            per_group[r.bucket, r.db, low] = int(k)
+    assert max(per_group.values()) <= chain_dedup.MANY
+    linked = {r.doc_id for r in rows if r.end_word - r.first_word >= 60}
+    assert linked == set(range(3, n, 3)) and len(rows) < 20 * n
+    parent = {i: i for i in range(0, n, 3)}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for r in rows:
+        parent[root(r.doc_id)] = root(r.partner_id)
+    assert len({root(i) for i in parent}) == 1
+    assert docs.agg(F.count("*")).first()[0] == n
+
+
+def local_alignment(a, b):
+    """(words of a, words of b, changes, first word of a) of the best local alignment, a change costing three equal words."""
+    score = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            score[i, j] = max(0, score[i - 1, j - 1] + (1 if x == y else -3), score[i - 1, j] - 3, score[i, j - 1] - 3)
+    i, j = (int(v) for v in np.unravel_index(score.argmax(), score.shape))
+    end, d = (i, j), 0
+    while i and j and score[i, j]:
+        if score[i, j] == score[i - 1, j - 1] + (1 if a[i - 1] == b[j - 1] else -3):
+            d += a[i - 1] != b[j - 1]
+            i, j = i - 1, j - 1
+        elif score[i, j] == score[i - 1, j] - 3:
+            i, d = i - 1, d + 1
+        else:
+            j, d = j - 1, d + 1
+    return end[0] - i, end[1] - j, d, i
+
+
+def test_chain_dedup_recall_against_all_pairs(spark):
+    rng = random.Random(73)
+    w = word_maker(rng)
+    phrases = [w(9) for _ in range(6)]  # what many texts share without a passage
+    bases = [w(60) for _ in range(8)]
+    docs = []
+    for i in range(70):
+        body = []
+        if i % 5 < 3:
+            rate = rng.choice([0, 0.03, 0.06, 0.1, 0.14])
+            body = [x if rng.random() >= rate else w(1)[0] for x in rng.choice(bases) if rng.random() >= rate / 3]
+        docs.append(w(5) + rng.choice(phrases) + body + rng.choice(phrases) + w(8))
+    rows = chain_dedup.chain_dedup(frame(spark, [" ".join(d) for d in docs])).collect()
+    covered = {}
+    for r in rows:
+        covered.setdefault(r.doc_id, set()).update(range(r.first_word, r.end_word))
+        covered.setdefault(r.partner_id, set()).update(range(r.partner_first_word, r.partner_end_word))
+    want = got = 0
+    for i in range(70):
+        for j in range(i):
+            n, m, d, start = local_alignment(docs[i], docs[j]) if set(docs[i]) & set(docs[j]) else (0, 0, 0, 0)
+            if min(n, m) >= chain_dedup.MIN_WORDS and d <= 0.2 * max(n, m):
+                want += 1
+                got += len(covered.get(i, set()) & set(range(start, start + n))) >= 0.8 * n
+    assert want > 50 and got >= 0.95 * want
 
 
 def test_chains_by_brute_force():
