@@ -27,16 +27,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, group_of, small_batches, text_bytes, text_groups
+from .common import give_back, group_of, small_batches, text_bytes, text_groups
 from .packed import dealt, loosen, runs_of, slices, squeeze
 from .rolling import byte_values, prefix_hash, range_hash, sliding_min, window_hashes
 
 #: Fixed value of the result contract: bytes of a repeated string.  WIDTH: bytes of a trigger that deals.
 MATCH, WIDTH = 50, 24
 #: The parse: bytes of a trigger, and one of how many windows is one.  END stands in no UTF-8 text.
-PARSE_WIDTH, PARSE_EVERY, END = 6, 10, 0xFF
+PARSE_WIDTH, PARSE_EVERY, END = 6, 24, 0xFF
 #: Bytes hashed at a time, at most (places in a piece must fit 24 bits), and fragments parsed at a time.
-PIECE, SORTED = 1 << 18, 1 << 15
+PIECE, SORTED = 1 << 18, 1 << 13
 #: Fragments of a trigger whose windows are dealt one by one.
 HOT = 1 << 16
 _PLACE = np.uint64((1 << 24) - 1)
@@ -252,29 +252,34 @@ def shared_fragments(texts: DataFrame, shared: DataFrame, groups: int) -> DataFr
     return texts.groupBy("db").cogroup(shared.groupBy("db")).applyInArrow(run, "bucket long, db long, blob binary")
 
 
-def dense_ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
-    """Ranks from 1, equal for equal keys, and how many there are."""
-    order = np.argsort(key)
-    new = np.ones(len(key), np.int64)
-    new[1:] = key[order][1:] != key[order][:-1]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank, int(new.sum())
-
-
 def suffix_ranks(first: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
-    """Ranks of the suffixes of many strings by prefix doubling.  first: each place's key of ``step`` symbols; end: where
-    the place's string ends.  A suffix that ends goes before what continues it."""
-    rank, n = dense_ranks(first)
-    place = np.arange(len(rank))
-    longest = int((end - place).max(initial=0))
-    while step < longest and n < len(rank):
-        after = place + step
-        inside = after < end
-        later = np.where(inside, rank[np.where(inside, after, 0)], 0)
-        rank, n = dense_ranks(rank << 32 | later)
+    """Ranks of the suffixes of many strings by prefix doubling, equal for equal suffixes.  first: each place's key of
+    ``step`` symbols; end: where the place's string ends.  A suffix that ends goes before what continues it.
+
+    A rank is one more than the number of smaller suffixes as far as they are compared, so a round touches only the
+    places that share a rank with others and have symbols left.
+    """
+    order = np.argsort(first)
+    key = first[order]
+    place = np.arange(len(first))
+    rank, now = np.ones(len(first), np.int64), np.ones(len(first), np.int64)
+    while True:
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else place[:0]
+        n = np.diff(np.append(at, len(order)))
+        group = np.flatnonzero(np.concatenate(([True], now[1:] != now[:-1]))) if len(now) else at
+        base = np.repeat(group, np.diff(np.append(group, len(now))))[at] if len(at) else at
+        rank[order] = np.repeat(now[at] + at - base, n)
+        more = np.maximum.reduceat((end - place)[order], at) > step if len(at) else at > 0
+        left = np.repeat((n > 1) & more, n)
+        order = order[left]
+        if not len(order):
+            return rank
+        now, after = rank[order], order + step
+        inside = after < end[order]
+        key = now << 32 | np.where(inside, rank[np.where(inside, after, 0)], 0)
+        by = np.argsort(key)
+        order, key, now = order[by], key[by], now[by]
         step *= 2
-    return rank
 
 
 def parsed_phrases(text: np.ndarray, begin: np.ndarray, end: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,11 +343,12 @@ def same_windows(text: np.ndarray, windows: np.ndarray, key: np.ndarray) -> np.n
     new = np.ones(len(windows), bool)
     at = np.flatnonzero(key[1:] != key[:-1]) + 1
     words = np.lib.stride_tricks.sliding_window_view(text, 8)
-    one, two, differ = windows[at], windows[at - 1], np.zeros(len(at), bool)
-    for o in [*range(0, MATCH - 7, 8), MATCH - 8]:
-        differ |= words[one + o].copy().view(np.uint64).ravel() != words[two + o].copy().view(np.uint64).ravel()
+    one, two = windows[at], windows[at - 1]
     new[1:] = False
-    new[at] = differ
+    for o in [*range(0, MATCH - 7, 8), MATCH - 8]:
+        differ = words[one + o].view(np.uint64).ravel() != words[two + o].view(np.uint64).ravel()
+        new[at[differ]] = True
+        at, one, two = at[~differ], one[~differ], two[~differ]
     return np.flatnonzero(new)
 
 
@@ -479,7 +485,8 @@ def _deduped(docs: DataFrame, with_text: bool, carry: dict) -> DataFrame:
     groups = text_groups(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(k) for k, c in carry.items()))
     texts = own.withColumn("db", group_of(groups)).repartition(groups, "db")
-    shared = cut(shared_triggers(triggers(texts, groups).repartition(groups, "bucket")))  # some bytes a shared trigger, read twice
+    # not checkpointed: that would end the job, and the next one would shuffle the texts again
+    shared = shared_triggers(triggers(texts, groups).repartition(groups, "bucket"))
     found = earlier_documents(shared_fragments(texts, shared, groups).repartition(groups, "bucket"))
     told = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     return cut_repeats(texts, told, groups, with_text, list(carry))
