@@ -87,24 +87,36 @@ def osa(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa_distance(x, y, EDITS) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def osa_each(tokens: pd.Series, target: pd.Series) -> pd.Series:
+    """osa_distance of every token of a row; rows have none unless shorter tests left some."""
+    return pd.Series([[osa_distance(x, t, EDITS) for x in xs] for xs, t in zip(tokens, target, strict=True)])
+
+
 def score_matches(pairs: DataFrame, utr: str = "utr", narration: str = "narration") -> DataFrame:
-    """Adds score, mechanism and matched_token of each row's reference in its narration; every row has its own ``pair_id``.
+    """Adds score, mechanism and matched_token of each row's reference in its narration, without a shuffle.
 
     The reference as part of the narration is exact; else the best of its candidate tokens counts: a clipped beginning
-    of eight characters or more, or one or two edits.  Only tokens near in length reach the edit distance.
+    of eight characters or more, or one or two edits.  A swap counts two in levenshtein, so only tokens near in length
+    and within twice EDITS of it reach the edit distance.
     """
-    target = normalize_ref(F.col(utr))
-    base = pairs.withColumn("_t", target).withColumn("_exact", (F.col("_t") != "") & F.contains(normalize_ref(F.col(narration)), F.col("_t")))
-    open_ = base.where("not _exact and _t <> ''").select("pair_id", "_t", F.posexplode(candidates(F.col(narration))).alias("_k", "_c")).withColumn("_w", normalize_ref(F.col("_c.token")))
-    clipped = (F.length("_w") >= 8) & F.col("_t").startswith(F.col("_w"))
-    near = ~clipped & (F.abs(F.length("_t") - F.length("_w")) <= EDITS) & (F.length("_w") >= NEAR_LENGTH)
-    by_clip = open_.where(clipped).select("pair_id", "_k", "_w", (F.lit(0.70) + 0.02 * F.least(F.length("_w") - 8, F.lit(8))).alias("_s"), F.lit("truncated_prefix").alias("_m"))
-    d = open_.where(near).withColumn("_d", osa("_w", "_t")).where(F.col("_d").between(1, EDITS))
-    by_edit = d.select("pair_id", "_k", "_w", F.when(F.col("_d") == 1, 0.85).otherwise(0.65).alias("_s"), F.concat(F.lit("edit_distance_"), F.col("_d").cast("string")).alias("_m"))
-    best = by_clip.unionByName(by_edit).groupBy("pair_id").agg(F.max_by(F.struct(F.round("_s", 4).alias("s"), F.col("_m").alias("m"), F.col("_w").alias("w")), F.struct(F.round("_s", 4), -F.col("_k"))).alias("_b"))
-    out = base.join(best, "pair_id", "left")
+    out = pairs.withColumn("_t", normalize_ref(F.col(utr)))
+    out = out.withColumn("_exact", (F.col("_t") != "") & F.contains(normalize_ref(F.col(narration)), F.col("_t")))
+    none = F.array().cast("array<struct<k:int,w:string>>")
+    numbered = F.transform(candidates(F.col(narration)), lambda c, i: F.struct(i.cast("int").alias("k"), normalize_ref(c["token"]).alias("w")))
+    out = out.withColumn("_c", F.when(F.col("_exact") | (F.col("_t") == ""), none).otherwise(numbered))
+    clipped = lambda c: (F.length(c["w"]) >= 8) & F.col("_t").startswith(c["w"])
+    long = lambda c: (F.length(c["w"]) >= NEAR_LENGTH) & (F.abs(F.length("_t") - F.length(c["w"])) <= EDITS)
+    close = lambda c: F.levenshtein(c["w"], F.col("_t"), 2 * EDITS) >= 0
+    out = out.withColumn("_near", F.filter("_c", lambda c: ~clipped(c) & long(c) & close(c)))
+    out = out.withColumn("_d", osa_each(F.transform("_near", lambda c: c["w"]), F.col("_t")))
+    hit = lambda c, score, how: F.struct(F.round(score, 4).alias("s"), (-c["k"]).alias("nk"), how.alias("m"), c["w"].alias("w"))
+    by_clip = F.transform(F.filter("_c", clipped), lambda c: hit(c, F.lit(0.70) + 0.02 * F.least(F.length(c["w"]) - 8, F.lit(8)), F.lit("truncated_prefix")))
+    measured = F.filter(F.zip_with("_near", "_d", lambda c, d: F.struct(c["k"].alias("k"), c["w"].alias("w"), d.alias("d"))), lambda x: x["d"].between(1, EDITS))
+    by_edit = F.transform(measured, lambda x: hit(x, F.when(x["d"] == 1, 0.85).otherwise(0.65), F.concat(F.lit("edit_distance_"), x["d"].cast("string"))))
+    out = out.withColumn("_b", F.array_max(F.concat(by_clip, by_edit)))
     pick = lambda exact, empty, part, none: F.when(F.col("_exact"), exact).when(F.col("_t") == "", empty).otherwise(F.coalesce(part, none))
     out = out.withColumn("score", pick(F.lit(1.0), F.lit(0.0), F.col("_b.s"), F.lit(0.0)))
     out = out.withColumn("mechanism", pick(F.lit("exact_substring"), F.lit("no_reference"), F.col("_b.m"), F.lit("no_match")))
     out = out.withColumn("matched_token", pick(F.col("_t"), F.lit(""), F.col("_b.w"), F.lit("")))
-    return out.drop("_t", "_exact", "_b")
+    return out.drop("_t", "_exact", "_c", "_near", "_d", "_b")

@@ -12,7 +12,7 @@ from ..functions import money as M
 from ..functions.dates import banking_days_between
 from ..functions.fees import invert_fees
 from ..functions.narration import score_matches
-from .joins import contested, in_window, with_windows
+from .joins import contested, in_window, window_candidates, with_windows
 from .matching import settle
 from .records import Config, PassOut, as_matches, claims, evidence
 
@@ -30,9 +30,11 @@ class Adjudicator(Protocol):
 
 def shortlist(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """The best few open credits of each payout's window, with what speaks for and against them."""
-    s = with_windows(settlements, cal).select("settlement_id", F.coalesce("utr", F.lit("")).alias("utr"), F.col("amount").alias("payout"), "settled_on", "win_lo", "win_hi")
-    pairs = in_window(s, credits.select("line_id", "amount", "value_date", "narration"), "win_lo", "win_hi", "value_date")
-    scored = score_matches(pairs.withColumn("pair_id", F.concat_ws("|", "settlement_id", "line_id"))).withColumn("delta", F.expr("amount - payout"))
+    s = with_windows(settlements, cal, config).select("settlement_id", "utr", F.col("amount").alias("payout"), "settled_on", "win_lo", "win_hi")
+    ids = window_candidates(s, credits, config.shortlist)
+    pairs = ids.join(credits.select("line_id", "amount", "value_date", "narration"), "line_id").join(s.withColumn("utr", F.coalesce("utr", F.lit(""))), "settlement_id")
+    pairs = pairs.withColumn("pair_id", F.concat_ws("|", "settlement_id", "line_id"))
+    scored = score_matches(pairs).withColumn("delta", F.expr("amount - payout"))
     rank = F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), F.abs("delta"), "line_id"))
     best = scored.withColumn("place", rank).where(F.col("place") <= config.shortlist)
     out = banking_days_between(best, "settled_on", "value_date", "late", cal)
@@ -61,17 +63,18 @@ def offline(candidates: DataFrame) -> DataFrame:
     return ranked.withColumn("rationale", why).withColumn("decision", F.when(F.col("rationale") == "clear", "match").otherwise("abstain"))
 
 
-def adjudication(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card: DataFrame | None = None, adjudicator: Adjudicator | None = offline, config: Config = Config(), rounds: int = 50) -> tuple[PassOut, DataFrame]:
+def adjudication(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card: DataFrame | None = None, adjudicator: Adjudicator | None = offline, config: Config = Config()) -> tuple[PassOut, DataFrame]:
     """Matches by weight of evidence, and what was declined (settlement_id, reviewed, rationale).
 
     Payouts go in order of id.  A round decides all that are left; a match holds unless an earlier payout's match of
-    the round takes a credit from its shortlist, then it is decided again.
+    the round takes a credit from its shortlist, then it is decided again.  The first match of a round always holds, so
+    rounds go on until one brings none.
     """
     out, declined, s, c = None, None, settlements, credits
     if adjudicator is None:
         none = settlements.limit(0).select("settlement_id", F.array().cast("array<string>").alias("reviewed"), F.lit("").alias("rationale"))
         return PassOut(None, None, None), none
-    for _ in range(rounds):
+    while True:
         listed = settle(shortlist(s, c, cal, card, config))
         decided = adjudicator(listed)
         matched = decided.where("decision = 'match'").select("settlement_id", "line_id", "confidence", "rationale", "payout", "amount", "score", "delta")
@@ -81,12 +84,12 @@ def adjudication(settlements: DataFrame, credits: DataFrame, cal: DataFrame, car
         out = valid if out is None else out.unionByName(valid)
         why = decided.where("decision <> 'match'").select("settlement_id", "rationale").join(listed.groupBy("settlement_id").agg(F.collect_set("line_id").alias("reviewed")), "settlement_id")
         if valid.isEmpty():
-            declined = why
+            declined = settle(why)
             break
         s, c = settle(s.join(valid, "settlement_id", "left_anti")), settle(c.join(valid, "line_id", "left_anti"))
     proof = F.array(evidence("adjudicated", F.concat(F.lit("weight of evidence "), F.col("confidence").cast("string")), F.col("confidence"), F.col("line_id")))
     m = as_matches(out, "T7", "adjudicated_match", F.col("confidence"), F.array("line_id"), F.array("settlement_id"), F.col("amount"), F.col("payout"), proof)
-    return PassOut(m, None, claims(out, F.array("settlement_id"), F.array("line_id"))), declined if declined is not None else why
+    return PassOut(m, None, claims(out, F.array("settlement_id"), F.array("line_id"))), declined
 
 
 # What an investigator asks about one payout's candidates, as frames.

@@ -1,30 +1,70 @@
-"""Joins that the passes share: date windows, near amounts, reference candidates."""
+"""Joins that the passes share: date windows, near amounts, nearest amounts, reference candidates.
+
+Each is an equi-join on keys that both sides can list, so none compares all payouts of a window with all its lines.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import narration as N
 from ..functions.dates import add_banking_days
+from .records import Config
+
+#: Letters of a reference that a narration's pieces are joined on.
+HEAD = 8
+#: Paise of a bucket in which amounts of a day are ranked by one task.
+BUCKET = 100_000
 
 
-def with_windows(settlements: DataFrame, cal: DataFrame) -> DataFrame:
-    """Adds win_lo..win_hi (3 days before to 2 banking days after) and wide_lo..wide_hi (4 days, 5 banking days)."""
-    out = add_banking_days(settlements, "settled_on", 2, "win_hi", cal)
-    out = add_banking_days(out, "settled_on", 5, "wide_hi", cal)
-    return out.withColumn("win_lo", F.date_sub("settled_on", 3)).withColumn("wide_lo", F.date_sub("settled_on", 4))
+def with_windows(settlements: DataFrame, cal: DataFrame, config: Config = Config()) -> DataFrame:
+    """Adds win_lo..win_hi (slack_days before to sla_banking_days after) and wide_lo..wide_hi (a day more before, to the
+    last banking day that isn't late)."""
+    out = add_banking_days(settlements, "settled_on", config.sla_banking_days, "win_hi", cal)
+    out = add_banking_days(out, "settled_on", config.late_banking_days, "wide_hi", cal)
+    return out.withColumn("win_lo", F.date_sub("settled_on", config.slack_days)).withColumn("wide_lo", F.date_sub("settled_on", config.slack_days + 1))
 
 
-def in_window(left: DataFrame, right: DataFrame, lo: str, hi: str, day: str) -> DataFrame:
-    """left x right where day lies in lo..hi, both included: an equi-join on the window's days."""
-    return left.withColumn("_day", F.explode(F.sequence(lo, hi))).join(right.withColumn("_day", F.col(day)), "_day").drop("_day")
+def in_window(left: DataFrame, right: DataFrame, lo: str, hi: str, day: str, *keys: str) -> DataFrame:
+    """left x right where day lies in lo..hi, both included, and further keys are equal: an equi-join on the window's days."""
+    return left.withColumn("_day", F.explode(F.sequence(lo, hi))).join(right.withColumn("_day", F.col(day)), ["_day", *keys]).drop("_day")
 
 
 def near_amount(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: int) -> DataFrame:
-    """left x right where the amounts differ by the tolerance at most: an equi-join on the amounts allowed."""
-    spread = F.explode(F.sequence(F.col(a) - tolerance, F.col(a) + tolerance))
-    return left.withColumn("_near", spread).join(right.withColumn("_near", F.col(b)), "_near").drop("_near")
+    """left x right where the amounts differ by the tolerance at most: an equi-join on buckets of the tolerance's size."""
+    wide = 2 * tolerance + 1
+    spread = F.explode(F.array(*(F.floor(F.col(a) / wide) + i for i in (-1, 0, 1))))
+    joined = left.withColumn("_near", spread).join(right.withColumn("_near", F.floor(F.col(b) / wide)), "_near").drop("_near")
+    return joined.where(F.abs(F.col(a) - F.col(b)) <= tolerance)
+
+
+def nearest_amounts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """For each left row and day of its window, the k right rows of that day on either side of its amount.
+
+    left: settlement_id, payout, win_lo, win_hi; right: line_id, amount, value_date.  The k rows nearest in amount (ties
+    by line_id) of the whole window are among them.  Rows of a day are ranked by amount, bucket by bucket, and a left
+    row takes the ranks next to its own place, so it meets 2 k lines a day however many the day has.
+    """
+    days = left.select("settlement_id", "payout", F.explode(F.sequence("win_lo", "win_hi")).alias("day"))
+    lines = right.select("line_id", "amount", F.col("value_date").alias("day"))
+    out = None
+    for up in (True, False):
+        # lines of the payout's own amount count as above it
+        amount = lambda c: F.col(c) if up else -F.col(c)  # noqa: B023, E731
+        both = lines.select("line_id", F.lit(None).cast("string").alias("settlement_id"), amount("amount").alias("x"), "day", F.lit(1).alias("is_line"), F.lit(1 if up else 0).alias("side"))
+        both = both.unionByName(days.select(F.lit(None).cast("string").alias("line_id"), "settlement_id", amount("payout").alias("x"), "day", F.lit(0).alias("is_line"), F.lit(0 if up else 1).alias("side")))
+        both = both.withColumn("bucket", F.floor(F.col("x") / BUCKET))
+        sizes = both.groupBy("day", "bucket").agg(F.sum("is_line").alias("n"))
+        before = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+        bases = sizes.select("day", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+        own = Window.partitionBy("day", "bucket").orderBy("x", "side", "line_id").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = both.withColumn("rank", F.sum("is_line").over(own)).join(bases, ["day", "bucket"]).withColumn("rank", F.col("rank") + F.col("base"))
+        wanted = ranked.where("is_line = 0").select("settlement_id", "day", F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + k)).alias("rank"))
+        found = wanted.join(ranked.where("is_line = 1").select("day", "rank", "line_id"), ["day", "rank"]).select("settlement_id", "line_id")
+        out = found if out is None else out.union(found)
+    return out
 
 
 def contested(settlements: DataFrame, lines: DataFrame, days: int = 3, tolerance: int = 5, first: int = 6) -> DataFrame:
@@ -34,8 +74,6 @@ def contested(settlements: DataFrame, lines: DataFrame, days: int = 3, tolerance
     near = near_amount(lines.join(own, "settlement_id"), rival, "amount", "rival_amount", tolerance)
     near = near.where((F.col("rival_id") != F.col("settlement_id")) & (F.abs(F.datediff("rival_on", "_own_day")) <= days))
     gap = F.abs(F.col("rival_amount") - F.col("amount"))
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("settlement_id", "line_id").orderBy(gap, "rival_id"))
     return near.withColumn("gap", gap).withColumn("_r", rank).where(F.col("_r") <= first).select("settlement_id", "line_id", "rival_id", "gap")
 
@@ -44,25 +82,71 @@ def line_facts(bank: DataFrame) -> DataFrame:
     return bank.withColumn("flat", N.normalize_ref(F.col("narration"))).withColumn("tokens", F.transform(N.candidates(F.col("narration")), lambda c: c["token"]))
 
 
+def references(settlements: DataFrame, *more: str) -> DataFrame:
+    return settlements.where("utr is not null").select("settlement_id", N.normalize_ref(F.col("utr")).alias("_t"), *more).where("_t <> ''")
+
+
+def by_token(refs: DataFrame, facts: DataFrame) -> DataFrame:
+    """A line's token is the reference, or both have eight letters or more and the first eight are the same."""
+    tok = facts.select("line_id", F.explode("tokens").alias("token"))
+    whole = refs.select("settlement_id", F.col("_t").alias("_k")).join(tok.select("line_id", F.col("token").alias("_k")), "_k").select("settlement_id", "line_id")
+    heads = tok.where(F.length("token") >= HEAD).select("line_id", F.left("token", F.lit(HEAD)).alias("_k"))
+    return whole.union(refs.where(F.length("_t") >= HEAD).select("settlement_id", F.left("_t", F.lit(HEAD)).alias("_k")).join(heads, "_k").select("settlement_id", "line_id"))
+
+
+def by_text(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The reference is part of a narration of the window: pieces of the narration as long as the reference's head (the
+    whole of a shorter one) are joined to it, and what meets is compared."""
+    heads = refs.withColumn("_n", F.least(F.length("_t"), F.lit(HEAD))).withColumn("_k", F.left("_t", F.col("_n")))
+    out = None
+    for n in sorted(r["_n"] for r in heads.select("_n").distinct().collect()):  # HEAD numbers at most
+        places = F.when(F.length("flat") >= n, F.sequence(F.lit(1), F.length("flat") - (n - 1)))
+        pieces = facts.select("line_id", "value_date", "flat", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("flat"), i, F.lit(n))))).alias("_k"))  # noqa: B023
+        found = in_window(heads.where(F.col("_n") == n), pieces, lo, hi, "value_date", "_k").where(F.contains("flat", "_t")).select("settlement_id", "line_id")
+        out = found if out is None else out.union(found)
+    return out if out is not None else refs.select("settlement_id", F.lit("").alias("line_id")).limit(0)
+
+
+def by_edits(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
+    """A long token of the window within EDITS edits of the reference.
+
+    Two edits (a swap of neighbours is one) touch four parts at most, so of five equal parts of the reference one stands
+    in the token, shifted by two places at most: parts are joined, and what meets is compared.
+    """
+    parts, size = 2 * N.EDITS + 1, lambda n: F.greatest(F.lit(1), F.floor(n / (2 * N.EDITS + 1)).cast("int"))
+    tok = facts.select("line_id", "value_date", F.explode("tokens").alias("token")).where(F.length("token") >= N.NEAR_LENGTH)
+    sizes = F.array_distinct(F.transform(F.sequence(F.length("token") - N.EDITS, F.length("token") + N.EDITS), size))
+    at = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(d).alias("d")) for j in range(parts) for d in range(-N.EDITS, N.EDITS + 1))))
+    keys = tok.withColumn("_m", F.explode(sizes)).withColumn("_at", at)
+    begin = F.col("_at.j") * F.col("_m") + F.col("_at.d") + 1
+    keys = keys.where(begin >= 1).select("line_id", "value_date", "token", "_m", F.col("_at.j").alias("_j"), F.substring("token", begin, F.col("_m")).alias("_k")).distinct()
+    mine = refs.withColumn("_m", size(F.length("_t"))).withColumn("_j", F.explode(F.array(*map(F.lit, range(parts)))))
+    mine = mine.withColumn("_k", F.substring("_t", F.col("_j") * F.col("_m") + 1, F.col("_m")))
+    near = in_window(mine, keys, lo, hi, "value_date", "_m", "_j", "_k").where(F.abs(F.length("token") - F.length("_t")) <= N.EDITS)
+    near = near.select("settlement_id", "line_id", "_t", "token").distinct().where(F.levenshtein("token", "_t", 2 * N.EDITS) >= 0)
+    return near.where(N.osa("token", "_t") <= N.EDITS).select("settlement_id", "line_id")
+
+
 def reference_candidates(settlements: DataFrame, bank: DataFrame, claimed_lines: DataFrame | None = None) -> DataFrame:
     """(settlement_id, line_id) worth scoring, from cheap tests to dear ones.
 
-    By token: a line's token is the reference, or starts with the same eight characters; anywhere in time, and any line
-    counts, even a debit or a taken one.  By text: the reference is part of a narration in the wide window.  Only a
-    payout with neither is compared by edits, with long tokens of nearly its length in the window.
+    By token: anywhere in time, and any line counts, even a debit or a taken one.  By text: open credits of the wide
+    window.  Only a payout with neither is compared by edits.
     """
-    s = settlements.where("utr is not null").withColumn("_t", N.normalize_ref(F.col("utr"))).where("_t <> ''")
-    facts = line_facts(bank)
-    tok = facts.select("line_id", F.explode("tokens").alias("token"))
-    whole = s.select("settlement_id", F.col("_t").alias("_k")).join(tok.select("line_id", F.col("token").alias("_k")), "_k").select("settlement_id", "line_id")
-    head = s.where("length(_t) >= 8").select("settlement_id", F.left("_t", F.lit(8)).alias("_k")).join(tok.where("length(token) >= 8").select("line_id", F.left("token", F.lit(8)).alias("_k")), "_k").select("settlement_id", "line_id")
+    refs, facts = references(settlements, "wide_lo", "wide_hi"), line_facts(bank)
     credits = facts.where("amount > 0")
     if claimed_lines is not None:
         credits = credits.join(claimed_lines, "line_id", "left_anti")
-    windowed = in_window(s.select("settlement_id", "_t", "wide_lo", "wide_hi"), credits.select("line_id", "value_date", "flat", "tokens"), "wide_lo", "wide_hi", "value_date")
-    text = windowed.where(F.contains("flat", "_t")).select("settlement_id", "line_id")
-    cheap = whole.union(head).union(text).distinct()
-    rest = windowed.join(cheap.select("settlement_id").distinct(), "settlement_id", "left_anti").select("settlement_id", "line_id", "_t", F.explode("tokens").alias("token"))
-    near = rest.where((F.length("token") >= N.NEAR_LENGTH) & (F.abs(F.length("token") - F.length("_t")) <= N.EDITS))
-    edited = near.where(N.osa("token", "_t") <= N.EDITS).select("settlement_id", "line_id").distinct()
-    return cheap.union(edited)
+    cheap = by_token(refs, facts).union(by_text(refs, credits, "wide_lo", "wide_hi")).distinct()
+    rest = refs.join(cheap.select("settlement_id").distinct(), "settlement_id", "left_anti")
+    return cheap.union(by_edits(rest, credits, "wide_lo", "wide_hi").distinct())
+
+
+def window_candidates(settlements: DataFrame, credits: DataFrame, k: int) -> DataFrame:
+    """(settlement_id, line_id): the credits of each payout's window whose reference may score, and those nearest in
+    amount.  The k best by score, then amount, then id are among them.  settlements: with utr, payout and its window."""
+    refs, facts = references(settlements, "win_lo", "win_hi"), line_facts(credits)
+    token = by_token(refs, facts).join(settlements.select("settlement_id", "win_lo", "win_hi"), "settlement_id").join(credits.select("line_id", "value_date"), "line_id")
+    token = token.where(F.col("value_date").between(F.col("win_lo"), F.col("win_hi"))).select("settlement_id", "line_id")
+    scored = token.union(by_text(refs, facts, "win_lo", "win_hi")).union(by_edits(refs, facts, "win_lo", "win_hi"))
+    return scored.union(nearest_amounts(settlements, credits, k)).distinct()
