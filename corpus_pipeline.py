@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import exact_dedup, packing, quality_classifier, simhash, suffix_dedup
-from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.common import forget, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -47,15 +47,18 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A learned classifier, SimHash's XXH64 and tokenizer ids can't be said in SQL; tests/llm compare the stages by brute force.
+#: A learned classifier, SimHash's XXH64 and tokenizer ids can't be said in SQL; tests/llm/test_pipeline.py compares each
+#: stage and the whole run with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written to the shared folder and read again."""
+    """The stages over documents, each one's rows written to the shared folder and read again; only the last one's stay."""
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            forget(spark, f"{at}/{k - 1}")
     return docs

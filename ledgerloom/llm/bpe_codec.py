@@ -252,7 +252,11 @@ def _of(vocabulary_file: str) -> ByteBpe:
 
 
 def encode_documents(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every text; a null text is an empty one."""
+    """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of every text.
+
+    A null text is an empty one and has no ids; texts of any length are encoded whole; repeated rows have equal rows; a
+    null doc_id stays null; no rows in, no rows out.  Columns besides doc_id and text are ignored, whatever their names.
+    """
 
     def run(batches):
         codec = _of(vocabulary_file)
@@ -282,7 +286,8 @@ def decode_documents(encoded: DataFrame, vocabulary_file: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary_file: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes and decodes in one pass over the table."""
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; encodes and decodes in one pass over the table.  Null,
+    empty, long and repeated texts, empty tables and further columns are as in encode_documents()."""
 
     def run(batches):
         codec = _of(vocabulary_file)

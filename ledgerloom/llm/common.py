@@ -35,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate rows, wherever the session's file systems keep it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are in the shared folder, so a lost executor costs nothing computed before."""
     shared_dir(df.sparkSession)

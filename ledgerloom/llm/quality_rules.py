@@ -32,8 +32,9 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _n_repeat_words(word_hashes: Column) -> Column:
-    """Words inside windows of 8 that occur twice or more; windows are compared by a 64-bit hash of word hashes."""
+def _n_repeat_words(words: Column, word_hashes: Column) -> Column:
+    """Words inside windows of 8 that occur twice or more.  Hashes of the windows tell which can repeat at all; those are
+    compared by their words."""
     n = F.size(word_hashes)
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(word_hashes, i, WINDOW))))
 
@@ -41,17 +42,24 @@ def _n_repeat_words(word_hashes: Column) -> Column:
         gaps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.when(b.isNull(), F.lit(WINDOW)).otherwise(F.least(b - a, F.lit(WINDOW))))
         return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
 
-    def starts(ranked: Column) -> Column:
+    def repeated(ranked: Column) -> Column:
+        """The places, in order, of what has an equal neighbour."""
+
         def again(x, i):
             before, after = F.get(ranked, i - 1), F.get(ranked, i + 1)
-            same = F.coalesce(before["h"] == x["h"], F.lit(False)) | F.coalesce(after["h"] == x["h"], F.lit(False))
+            same = F.coalesce(before["g"] == x["g"], F.lit(False)) | F.coalesce(after["g"] == x["g"], F.lit(False))
             return F.when(same, x["i"])
 
         return F.array_sort(F.filter(F.transform(ranked, again), lambda x: x.isNotNull()))
 
+    def by_words(at: Column) -> Column:
+        window = lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("g"), i.alias("i"))
+        return F.array_sort(F.transform(at, window))
+
     def counted(h: Column) -> Column:
-        ranked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(_let(ranked, starts), covered))
+        ranked = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        exact = _let(_let(_let(_let(ranked, repeated), by_words), repeated), covered)
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(exact)
 
     return F.when(n < WINDOW, F.lit(0)).otherwise(_let(hashes, counted)).cast("long")
 
@@ -73,8 +81,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document: the contract's counts and verdicts, and what the line rules left.
 
     Lines are judged first and on their own; lines that fail are removed; a document that loses more than
-    MAX_LOST_PERCENT of its word characters is rejected.  A null or empty text has no words, so it fails the base rules.
-    Extra columns of the input are ignored.  Everything is one projection: no shuffle, no Python.
+    MAX_LOST_PERCENT of its word characters is rejected; one that loses just that share is kept.  A null or empty text
+    has no words, so it fails the base rules; texts of any length are read whole; repeated rows have equal rows; a null
+    doc_id stays null; no rows in, no rows out.  Columns besides doc_id and text are ignored, whatever their names.
+    Everything is one projection: no shuffle, no Python.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.select(
@@ -90,7 +100,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        _let(F.transform("_w", lambda w: F.xxhash64(w)), _n_repeat_words).alias("n_repeat_words"),
+        _let(F.transform("_w", lambda w: F.xxhash64(w)), lambda h: _n_repeat_words(F.col("_w"), h)).alias("n_repeat_words"),
         F.transform("_l", lambda x: F.struct(x.alias("line"), line_rules(x).alias("rule"))).alias("_r"),
     )
     bare = lambda x: F.length(F.regexp_replace(x["line"], r"[\x20\x09-\x0D]+", ""))

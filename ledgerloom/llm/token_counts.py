@@ -101,7 +101,12 @@ def count_text(text: str | None, known: Remembered) -> int:
 
 
 def count_tokens(docs: DataFrame, model_file: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens.  Null and empty texts have none.  Extra columns are ignored."""
+    """One row per document: doc_id, n_tokens.
+
+    Null and empty texts have no tokens; texts of any length are read whole; of pieces with one score the earlier in the
+    vocabulary counts, and of equal splits the library's; repeated rows have equal rows; a null doc_id stays null; no
+    rows in, no rows out.  Columns besides doc_id and text are ignored, whatever their names.
+    """
 
     def run(batches):
         known = _of(model_file)
