@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import money as M
 from ..functions.dates import banking_days_between
 from ..functions.fees import invert_fees
-from ..functions.narration import score_matches
+from ..functions.narration import candidates, score_matches
+from .audits import component_sums
 from .joins import contested, in_window, window_candidates, with_windows
 from .matching import settle
 from .records import Config, PassOut, as_matches, claims, evidence
@@ -87,16 +88,51 @@ def adjudication(settlements: DataFrame, credits: DataFrame, cal: DataFrame, car
             declined = settle(why)
             break
         s, c = settle(s.join(valid, "settlement_id", "left_anti")), settle(c.join(valid, "line_id", "left_anti"))
+    name = getattr(adjudicator, "name", getattr(adjudicator, "__name__", "adjudicator"))
     proof = F.array(evidence("adjudicated", F.concat(F.lit("weight of evidence "), F.col("confidence").cast("string")), F.col("confidence"), F.col("line_id")))
-    m = as_matches(out, "T7", "adjudicated_match", F.col("confidence"), F.array("line_id"), F.array("settlement_id"), F.col("amount"), F.col("payout"), proof)
+    m = as_matches(out, "T7", "adjudicated_match", F.col("confidence"), F.array("line_id"), F.array("settlement_id"), F.col("amount"), F.col("payout"), proof, F.col("rationale"), name)
     return PassOut(m, None, claims(out, F.array("settlement_id"), F.array("line_id"))), declined
 
 
 # What an investigator asks about one payout's candidates, as frames.
-def scan_references(candidates: DataFrame, first: int = 8) -> DataFrame:
+def scan_references(scored: DataFrame, first: int = 8) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), "line_id"))
-    verdict = F.when(F.col("score") >= 0.95, "decisive").when(F.col("score") >= 0.75, "strong").when(F.col("score") > 0, "weak").otherwise("none")
-    return candidates.withColumn("_r", rank).where(F.col("_r") <= first).select("settlement_id", "line_id", "score", "mechanism", verdict.alias("strength"), (F.col("score") >= 0.75).alias("carries"))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= first).select("settlement_id", "line_id", "score", "mechanism", strength(F.col("score")).alias("strength"), (F.col("score") >= 0.75).alias("carries"))
+
+
+def get_credit(credits: DataFrame) -> DataFrame:
+    """What an investigator sees of a credit: amount, day, narration and its reference-like tokens, the likeliest first."""
+    return credits.select("line_id", "amount", "value_date", "narration", F.transform(candidates(F.col("narration")), lambda c: c["token"]).alias("tokens"))
+
+
+def score_reference(pairs: DataFrame) -> DataFrame:
+    """How well each pair's reference fits its narration (utr, narration): score, mechanism and a verdict."""
+    return score_matches(pairs).withColumn("strength", strength(F.col("score")))
+
+
+def strength(score: Column) -> Column:
+    return F.when(score >= 0.95, "decisive").when(score >= 0.75, "strong").when(score > 0, "weak").otherwise("none")
+
+
+def payout_components(b) -> DataFrame:
+    """What each payout is made of, as far as it is known: sums of the known payments, refunds and adjustments, what
+    they make, and how many payments are listed and known."""
+    out = component_sums(b).withColumn("expected", F.expr("net - refunds + adjustments"))
+    return out.select("settlement_id", "n_listed", "n_known", "gross", "fee", "tax", "net", "refunds", "adjustments", "expected", F.expr("amount - expected").alias("delta"))
+
+
+def invert_fee(nets: DataFrame, card: DataFrame, methods: int = 5, grosses: int = 3) -> DataFrame:
+    """Grosses that a net may come from: the first few of the first few methods by name."""
+    found = invert_fees(nets, card)
+    m = F.dense_rank().over(Window.partitionBy("net").orderBy("method"))
+    g = F.row_number().over(Window.partitionBy("net", "method").orderBy("gross"))
+    return found.withColumn("_m", m).withColumn("_g", g).where((F.col("_m") <= methods) & (F.col("_g") <= grosses)).select("net", "method", "gross")
+
+
+def open_cases(exceptions: DataFrame, settlements: DataFrame) -> DataFrame:
+    """Exceptions worth an investigation: they name candidates, and a payout is their subject."""
+    named = exceptions.where(F.size("candidates") > 0).select("exception_id", "reason", "amount", "candidates", F.explode("subject_ids").alias("settlement_id"))
+    return named.join(settlements.select("settlement_id"), "settlement_id", "left_semi")
 
 
 def explain_gap(pairs: DataFrame, tolerance: int = 5) -> DataFrame:

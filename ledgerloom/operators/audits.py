@@ -81,7 +81,10 @@ def unlinked_deductions(b: Batch) -> DataFrame:
 
 
 def quarantine_exceptions(quarantine: DataFrame, config: Config = Config()) -> DataFrame:
-    subject = F.coalesce("record_id", F.concat_ws(":", "source_file", F.col("row_number").cast("string")))
+    """One exception for each row that couldn't be read.  A row without id is named by its place in the file, or where
+    that isn't known by its text, so rows of one file stay apart."""
+    text = F.left(F.sha2(F.to_json("raw"), 256), F.lit(12))
+    subject = F.coalesce("record_id", F.concat(F.col("source_file"), F.lit(":"), F.coalesce(F.col("row_number").cast("string"), text)))
     return as_exceptions(quarantine, "bank", "malformed_record", F.array(subject), F.lit(0), F.lit(config.run_date).cast("date"), F.concat_ws(": ", "source_file", F.col("reason")))
 
 

@@ -45,7 +45,8 @@ def evidence(kind: str, detail: Column, weight: Column | float, *ids: Column) ->
     return F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail"), w.alias("weight"), F.array(*ids).cast("array<string>").alias("record_ids"))
 
 
-def as_matches(df: DataFrame, tier: str | Column, reason: str | Column, confidence: Column, lines: Column, settlements: Column, bank_total: Column, expected_total: Column, proof: Column) -> DataFrame:
+def as_matches(df: DataFrame, tier: str | Column, reason: str | Column, confidence: Column, lines: Column, settlements: Column, bank_total: Column, expected_total: Column, proof: Column,
+               rationale: Column | None = None, adjudicator: str | None = None) -> DataFrame:
     tier, reason = (F.lit(x) if isinstance(x, str) else x for x in (tier, reason))
     lines, settlements = F.array_sort(lines), F.array_sort(settlements)
     return df.select(
@@ -58,9 +59,22 @@ def as_matches(df: DataFrame, tier: str | Column, reason: str | Column, confiden
         bank_total.cast("long").alias("bank_total"),
         expected_total.cast("long").alias("expected_total"),
         proof.cast(EVIDENCE).alias("evidence"),
+        (F.lit("") if rationale is None else rationale).cast("string").alias("rationale"),
+        F.lit(adjudicator).cast("string").alias("adjudicator"),
     )
 
 
+def with_members(matches: DataFrame, payments: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Adds what a match's payouts are made of: payment_ids and ledger_entry_ids, sorted.  payments(settlement_id,
+    payment_id) and ledger(settlement_id, entry_id) list them by payout."""
+    out = matches
+    for table, key, name in ((payments, "payment_id", "payment_ids"), (ledger, "entry_id", "ledger_entry_ids")):
+        listed = matches.select("match_id", F.explode("settlement_ids").alias("settlement_id")).join(table.select("settlement_id", key), "settlement_id")
+        found = listed.groupBy("match_id").agg(F.array_sort(F.collect_set(key)).alias(name))
+        out = out.join(found, "match_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
 def as_exceptions(df: DataFrame, source: str, reason: str | Column, subjects: Column, amount: Column, as_of: Column, detail: Column, candidates: Column | None = None, delta: Column | None = None, proof: Column | None = None) -> DataFrame:
     reason = F.lit(reason) if isinstance(reason, str) else reason
     subjects = F.array_sort(subjects)

@@ -70,6 +70,19 @@ def filtered(exceptions: DataFrame, severity: str | None = None, reason: str | N
     return x
 
 
+def page_info(exceptions: DataFrame, limit: int = 60, offset: int = 0, **filters) -> DataFrame:
+    """One row: how many exceptions the filter leaves, and whether there are more beyond the page."""
+    end = max(0, offset) + max(1, min(1000, limit))
+    return filtered(exceptions, **filters).agg(F.count(F.lit(1)).alias("total")).withColumn("has_more", F.col("total") > end)
+
+
+def exception_detail(exceptions: DataFrame, settlements: DataFrame, bank: DataFrame, payments: DataFrame) -> DataFrame:
+    """Exceptions with guidance and the records that they name, in the order in which they name them."""
+    related = related_records(exceptions, settlements, bank, payments)
+    listed = related.groupBy("exception_id").agg(F.array_sort(F.collect_list(F.struct("place", "record_id", "kind", "amount", "day"))).alias("related"))
+    return with_guidance(exceptions).join(listed, "exception_id", "left")
+
+
 def page_facts(exceptions: DataFrame, **filters) -> DataFrame:
     """Counts by severity and value of all that a filter leaves, not of the page alone."""
     return filtered(exceptions, **filters).groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("long").alias("value"))
@@ -107,12 +120,43 @@ def scenario_summary(catalogue: DataFrame, cases: DataFrame) -> DataFrame:
     return catalogue.join(by, "scenario", "left").fillna(0, ["cases", "good"])
 
 
+def counted(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
+    """One row: a map from each key to its rows, or to the sum of a value."""
+    n = F.count(F.lit(1)) if value is None else F.sum(value).cast("long")
+    return df.groupBy(key).agg(n.alias("_n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), "_n")))).alias("counts"))
+
+
+def counters(run) -> DataFrame:
+    """One row of what each pass did: payouts matched by reason, exceptions by reason, and what was taken in vain."""
+    m, x = run.proposed, run.exceptions
+    by = lambda *reasons: F.count_if(F.col("reason").isin(*reasons))
+    left = m.agg(
+        by("utr_exact", "utr_in_narration").alias("identifier_matched"), by("split_settlement").alias("split_matched"), by("amount_date_unique").alias("unique_amount_matched"),
+        by("batch_subset_sum").alias("batches_matched"), by("rounding_tolerance").alias("tolerance_matched"), by("adjudicated_match").alias("adjudicated"), by("reversal_netted").alias("reversals_netted"))
+    right = x.agg(
+        by("fee_schedule_deviation").alias("fee_deviations"), by("fx_unverified").alias("fx_unverified"), by("ledger_entry_missing").alias("ledger_missing"),
+        by("unlinked_refund", "unlinked_chargeback").alias("unlinked_deductions"), by("ambiguous_candidates").alias("ambiguous"), by("malformed_record").alias("quarantined"))
+    return left.join(right)
+
+
 def run_summary(run) -> DataFrame:
-    """One row of key figures of a finished run (plans.cascade.Run)."""
+    """One row of key figures of a finished run (plans.cascade.Run): sizes, rates, counts by tier, reason and severity,
+    stage times, adjudication, checks, posting and the passes' counters.  Every join is of single rows."""
+    from .journal import totals
+    from .verify import report as checks
+
     b = run.batch
     rows = match_rate(run.accepted, b.settlements).join(values(run.accepted, run.exceptions)).join(b.record_count())
     rows = rows.join(run.accepted.agg(F.count(F.lit(1)).alias("matches"))).join(run.exceptions.agg(F.count(F.lit(1)).alias("exceptions")))
-    return rows.join(b.bank.agg(F.count(F.lit(1)).alias("bank_lines"))).join(b.payments.agg(F.count(F.lit(1)).alias("payments")))
+    rows = rows.join(b.bank.agg(F.count(F.lit(1)).alias("bank_lines"))).join(b.payments.agg(F.count(F.lit(1)).alias("payments")))
+    for df, key, name in ((run.accepted, "tier", "tier_counts"), (run.exceptions, "reason", "reason_counts"), (with_guidance(run.exceptions), "severity", "severity_counts")):
+        rows = rows.join(counted(df, key).withColumnRenamed("counts", name))
+    rows = rows.join(checks(run.proposed, run.violations).select("violations", F.col("rejected").alias("verifier_rejections"), F.col("adjudicated_rejections").alias("verifier_rejected_adjudications")))
+    posted = totals(run.journal).select(F.col("entries").alias("journal_entries"), F.col("balanced").alias("journal_balances"), F.col("debits").alias("journal_debits"), F.col("credits").alias("journal_credits"))
+    seconds = sum(run.timings.values())
+    times = F.map_from_arrays(F.array(*map(F.lit, run.timings)), F.array(*map(F.lit, run.timings.values()))) if run.timings else F.lit(None).cast("map<string,double>")
+    out = rows.join(posted).join(counters(run)).withColumn("adjudicator", F.lit(run.adjudicator)).withColumn("stage_timings", times).withColumn("seconds", F.lit(seconds))
+    return out.withColumn("throughput_per_second", F.when(F.col("seconds") > 0, F.round(F.col("records") / F.col("seconds"), 1)))
 
 
 def ask(question: str, run) -> DataFrame:

@@ -60,9 +60,10 @@ texts AS (
   SELECT k, CASE k % 14 WHEN 12 THEN NULL WHEN 13 THEN NULL WHEN 1 THEN -p WHEN 2 THEN -p WHEN 6 THEN -p WHEN 8 THEN p - p % 100 ELSE p END AS expected,
     CASE k % 14 WHEN 0 THEN r || '.' || c WHEN 1 THEN '(' || r || '.' || c || ')' WHEN 2 THEN r || '.' || c || ' DR' WHEN 3 THEN 'Rs. ' || r || '.' || c
       WHEN 4 THEN 'INR' || r || ',' || c WHEN 5 THEN r || '.' || c || ' cr' WHEN 6 THEN r || '.' || c || '-' WHEN 7 THEN '+' || r || '.' || c WHEN 8 THEN r
-      WHEN 9 THEN substr(r, 1, length(r) - 3) || ',' || substr(r, length(r) - 2, 3) || '.' || c WHEN 10 THEN '₹' || substr(r, 1, length(r) - 3) || '.' || substr(r, length(r) - 2, 3) || ',' || c
+      WHEN 9 THEN CASE WHEN length(r) > 3 THEN substr(r, 1, length(r) - 3) || ',' || substr(r, length(r) - 2, 3) ELSE r END || '.' || c
+      WHEN 10 THEN '₹' || CASE WHEN length(r) > 3 THEN substr(r, 1, length(r) - 3) || '.' || substr(r, length(r) - 2, 3) ELSE r END || ',' || c
       WHEN 11 THEN r || ' ' || '.' || c WHEN 12 THEN '1,2E+' || c ELSE 'N/A' END AS raw
-  FROM parts WHERE p >= 100000)"""
+  FROM parts)"""
 
 
 @query(world.sql("SELECT k, raw, expected AS paise FROM texts", AMOUNTS))
@@ -154,7 +155,7 @@ def normalize_ref(spark, sf_dir):
       WHEN abs(length(c.t) - length(p.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, p.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 END END), 0.0) END AS score
   FROM pairs p LEFT JOIN cand c ON c.line_id = p.line_id AND c.shape IS NOT NULL GROUP BY p.line_id, p.utr, p.narration""", TOKEN_SQL, PAIRS))
 def ref_score(spark, sf_dir):
-    df = rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS).withColumn("pair_id", F.col("line_id"))
+    df = rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)
     return narration.score_matches(df).select("line_id", "score")
 
 
@@ -179,7 +180,7 @@ def fee_overcharge(spark, sf_dir):
 
 CARD_SQL = "card AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, {b} AS bps, {t or 'CAST(NULL AS INTEGER)'} AS threshold, {a or 'CAST(NULL AS INTEGER)'} AS above" for m, b, t, a, _ in fees.RATE_CARD) + ")"
 INVERT_SQL = f"""{CARD_SQL}, rates AS (SELECT method, bps AS rate FROM card UNION SELECT method, above FROM card WHERE above IS NOT NULL),
-netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0 AND k % 10 = 0),
+netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0),
 seeds AS (SELECT net, method, CAST(round(CAST(net AS DECIMAL(30,8)) * 1000000 / (1000000 - 118 * rate)) AS BIGINT) AS seed FROM netted CROSS JOIN rates),
 tries AS (SELECT DISTINCT net, method, seed + o - 4 AS gross FROM seeds, unnest(range(0, 9)) AS r(o)),
 priced AS (SELECT t.net, t.method, t.gross, CAST(floor((t.gross * CASE WHEN t.gross > c.threshold THEN c.above ELSE c.bps END + 5000) / 10000.0) AS BIGINT) AS fee FROM tries t JOIN card c ON c.method = t.method WHERE t.gross >= 1)"""
@@ -187,7 +188,7 @@ priced AS (SELECT t.net, t.method, t.gross, CAST(floor((t.gross * CASE WHEN t.gr
 
 @query(world.sql("SELECT net, method, gross FROM priced WHERE gross - fee - CAST(floor((fee * 18 + 50) / 100.0) AS BIGINT) = net", INVERT_SQL))
 def fee_inversion(spark, sf_dir):
-    nets = rel(spark, sf_dir, "SELECT DISTINCT net FROM paynet WHERE net > 0 AND k % 10 = 0")
+    nets = rel(spark, sf_dir, "SELECT DISTINCT net FROM paynet WHERE net > 0")
     return fees.invert_fees(nets, fees.rate_card(spark)).select("net", "method", "gross")
 
 
@@ -233,11 +234,12 @@ def duplicate_utrs(spark, sf_dir):
 WINDOWED = "win AS (SELECT s.*, s.settled_on - 3 AS lo, b.bday AS hi FROM setl s JOIN bday b ON b.bord = s.settled_ord + 2)"
 
 
-@query(world.sql("SELECT w.settlement_id, count(*) AS n, CAST(sum(l.amount) AS BIGINT) AS amount FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi WHERE w.k % 10 = 0 GROUP BY w.settlement_id", WINDOWED))
+@query(world.sql("SELECT w.settlement_id, count(*) AS n, CAST(sum(l.amount) AS BIGINT) AS amount FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi GROUP BY w.settlement_id", WINDOWED))
 def window_range_join(spark, sf_dir):
-    s = rel(spark, sf_dir, "SELECT settlement_id, lo, hi FROM win WHERE k % 10 = 0", WINDOWED)
-    joined = joins.in_window(s, world.load(spark, sf_dir).bank, "lo", "hi", "value_date")
-    return joined.groupBy("settlement_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    """Lines are summed by day first, so a payout meets a row a day of its window."""
+    s = rel(spark, sf_dir, "SELECT settlement_id, lo, hi FROM win", WINDOWED)
+    days = world.load(spark, sf_dir).bank.groupBy("value_date").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("amount"))
+    return joins.in_window(s, days, "lo", "hi", "value_date").groupBy("settlement_id").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
 
 
 @query(world.sql("SELECT s.settlement_id, l.line_id, l.amount - s.amount AS gap FROM setl s JOIN bank l ON l.amount BETWEEN s.amount - 5 AND s.amount + 5"))
@@ -252,17 +254,8 @@ def near_amount_join(spark, sf_dir):
   FROM pairs p JOIN setl r ON abs(r.amount - p.amount) <= 5000 AND r.settlement_id <> p.settlement_id AND abs(date_diff('day', r.settled_on, p.settled_on)) <= 3) WHERE n <= 6""", PAIRS))
 def contested_credits(spark, sf_dir):
     """Near means 50 rupees here: at 5 paise these tables have hardly a rival."""
-    s = world.load(spark, sf_dir).settlements
-    p = rel(spark, sf_dir, "SELECT settlement_id, line_id, amount FROM pairs", PAIRS)
-    # rounded to 50 rupees, neighbours included, so that the key stays an equi-join
-    own = s.select("settlement_id", F.col("settled_on").alias("own_day"))
-    rival = s.select(F.col("settlement_id").alias("rival_id"), F.col("amount").alias("rival_amount"), F.col("settled_on").alias("rival_day"), F.floor(F.col("amount") / 5001).alias("b"))
-    q = p.join(own, "settlement_id").withColumn("b", F.explode(F.sequence(F.floor(F.col("amount") / 5001) - 1, F.floor(F.col("amount") / 5001) + 1)))
-    near = q.join(rival, "b").where((F.abs(F.expr("rival_amount - amount")) <= 5000) & (F.col("rival_id") != F.col("settlement_id")) & (F.abs(F.datediff("rival_day", "own_day")) <= 3))
-    from pyspark.sql.window import Window
-
-    gap = F.abs(F.expr("rival_amount - amount"))
-    return near.withColumn("gap", gap).withColumn("n", F.row_number().over(Window.partitionBy("settlement_id", "line_id").orderBy("gap", "rival_id"))).where("n <= 6").select("settlement_id", "line_id", "rival_id", "gap")
+    lines = rel(spark, sf_dir, "SELECT settlement_id, line_id, amount FROM pairs", PAIRS)
+    return joins.contested(world.load(spark, sf_dir).settlements, lines, days=3, tolerance=5000)
 
 
 # --- passes ----------------------------------------------------------------------------------------------------------
@@ -315,38 +308,38 @@ def identifier_breaks(spark, sf_dir):
     return rows.select(F.col("settlement_id").alias("settlements"), "lines", "payout", F.when(F.col("verdict") == "date_out_of_window", F.col("late")).otherwise(F.col("gap")).alias("delta"), F.col("verdict").isin("date_out_of_window", "duplicate_identifier", "ambiguous_candidates").alias("not_amount"))
 
 
-BARE = f"""{WINDOWED}, bare AS (SELECT * FROM win WHERE utr IS NULL), loose AS (SELECT * FROM bank WHERE amount > 0 AND contains(narration, 'PAYMENT RECEIVED')),
-hits AS (SELECT b.settlement_id, l.line_id, b.amount, l.amount AS got FROM bare b JOIN loose l ON abs(l.amount - b.amount) <= 5 AND l.value_date BETWEEN b.lo AND b.hi)"""
+NEAR = f"""{WINDOWED},
+hits AS (SELECT b.settlement_id, l.line_id, b.amount, l.amount AS got FROM win b JOIN bank l ON l.amount BETWEEN b.amount - 5 AND b.amount + 5 AND l.value_date BETWEEN b.lo AND b.hi WHERE l.amount > 0),
+alone AS (SELECT s.settlement_id FROM win s JOIN win r ON r.amount = s.amount AND r.settled_on BETWEEN s.lo - 2 AND s.hi + 2 GROUP BY s.settlement_id HAVING count(*) = 1)"""
 
 
-@query(world.sql("""SELECT settlement_id AS settlements, min(line_id) AS lines, min(amount) AS amount FROM hits WHERE got = amount
-  AND (SELECT count(*) FROM bare r JOIN bare s ON s.settlement_id = hits.settlement_id WHERE r.amount = s.amount AND r.settled_on BETWEEN s.lo - 2 AND s.hi + 2) = 1
-  GROUP BY settlement_id HAVING count(*) = 1""", BARE))
+@query(world.sql("SELECT settlement_id AS settlements, min(line_id) AS lines, min(amount) AS amount FROM hits JOIN alone USING (settlement_id) WHERE got = amount GROUP BY settlement_id HAVING count(*) = 1", NEAR))
 def unique_amount(spark, sf_dir):
     b = fixed(spark, sf_dir)
-    out = matching.unique_amount(b.settlements.where("utr is null"), b.bank.where("amount > 0 and narration like '%PAYMENT RECEIVED%'"), b.calendar).matches
+    out = matching.unique_amount(b.settlements, b.bank.where("amount > 0"), b.calendar).matches
     return flat_matches(out).select("settlements", "lines", F.col("bank_total").alias("amount"))
 
 
-@query(world.sql("SELECT settlement_id AS settlements, min(line_id) AS lines, min(got) AS bank_total FROM hits GROUP BY settlement_id HAVING count(*) = 1", BARE))
+@query(world.sql("SELECT settlement_id AS settlements, min(line_id) AS lines, min(got) AS bank_total FROM hits GROUP BY settlement_id HAVING count(*) = 1", NEAR))
 def tolerance_match(spark, sf_dir):
     b = fixed(spark, sf_dir)
-    out = matching.tolerance_amount(b.settlements.where("utr is null"), b.bank.where("amount > 0 and narration like '%PAYMENT RECEIVED%'"), b.calendar).matches
+    out = matching.tolerance_amount(b.settlements, b.bank.where("amount > 0"), b.calendar).matches
     return flat_matches(out).select("settlements", "lines", "bank_total")
 
 
 @query()
 def batch_decomposition(spark, sf_dir):
     b = fixed(spark, sf_dir)
-    rows = matching.decompose(b.settlements.where("utr is null"), b.bank.where("narration = 'NEFT CONSOLIDATED PAYOUT'"))
+    rows = matching.decompose(b.settlements, b.bank.where("amount > 0"))
     return rows.select("verdict", "line_id", "amount", "value_date", F.concat_ws(",", F.array_sort("settlements")).alias("settlements"), "total", "pool_size", "most")
 
 
-@query("""WITH n AS (SELECT CAST(i AS BIGINT) AS n FROM range(1, 301) AS t(i)), c AS (SELECT n, CAST(n AS DOUBLE) AS c1, n * (n - 1) / 2.0 AS c2, n * (n - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
+@query("""WITH n AS (SELECT DISTINCT o_custkey % 400 + 1 AS n FROM orders), c AS (SELECT n, CAST(n AS DOUBLE) AS c1, n * (n - 1) / 2.0 AS c2, n * (n - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
     n * (n - 1) * (n - 2) * (n - 3) * (n - 4) / 120.0 AS c5, CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) / 720.0 AS c6 FROM n)
   SELECT n, CAST(CASE WHEN n < 2 OR c2 > 5000 THEN 1 WHEN n < 3 OR c3 > 5000 THEN 2 WHEN n < 4 OR c4 > 5000 THEN 3 WHEN n < 5 OR c5 > 5000 THEN 4 WHEN n < 6 OR c6 > 5000 THEN 5 ELSE 6 END AS INTEGER) AS k FROM c""")
 def cardinality_budget(spark, sf_dir):
-    return spark.range(1, 301).select(F.col("id").alias("n"), subsets.cardinality_column(F.col("id")).alias("k"))
+    pools = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 400 + 1).alias("n")).distinct()
+    return pools.select("n", subsets.cardinality_column(F.col("n")).alias("k"))
 
 
 WEIGHED = """weighed AS (SELECT o_orderkey AS k, CAST((o_orderkey * 7) % 101 AS DOUBLE) / 100 AS score, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN -900 ELSE 70000 END AS delta,
@@ -360,24 +353,44 @@ def offline_adjudicate(spark, sf_dir):
     return rel(spark, sf_dir, "SELECT * FROM weighed", WEIGHED).select("k", adjudicate.evidence_score().alias("confidence"))
 
 
-@query()
+LISTED = f"""{WINDOWED}, {TOKEN_SQL},
+seen AS (SELECT w.settlement_id, w.utr, w.amount AS payout, w.settled_ord, l.line_id, l.amount, l.value_date, l.narration FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi WHERE l.amount > 0),
+rated AS (SELECT s.settlement_id, s.line_id, s.payout, s.amount, s.settled_ord, s.value_date, CASE WHEN s.utr IS NULL THEN 0.0 WHEN contains(regexp_replace(upper(s.narration), '[^A-Z0-9]', '', 'g'), s.utr) THEN 1.0
+    ELSE coalesce(max(CASE WHEN length(c.t) >= 8 AND starts_with(s.utr, c.t) THEN round(0.70 + 0.02 * least(length(c.t) - 8, 8), 4)
+      WHEN abs(length(c.t) - length(s.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, s.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 END END), 0.0) END AS score
+  FROM seen s LEFT JOIN cand c ON c.line_id = s.line_id AND c.shape IS NOT NULL GROUP BY s.settlement_id, s.line_id, s.payout, s.amount, s.settled_ord, s.value_date, s.utr, s.narration),
+listed AS (SELECT * FROM (SELECT *, amount - payout AS delta, row_number() OVER (PARTITION BY settlement_id ORDER BY score DESC, abs(amount - payout), line_id) AS place FROM rated) WHERE place <= 8)"""
+_scale = "abs(greatest(abs(amount), abs(payout)) - 100 * least(abs(amount), abs(payout))) < 100 AND amount <> 0 AND payout <> 0"
+_turned = "amount <> payout AND sign(amount) * sign(payout) > 0 AND (abs(amount) - abs(payout)) % 9 = 0 AND list_sort(string_split(CAST(abs(amount) AS VARCHAR), '')) = list_sort(string_split(CAST(abs(payout) AS VARCHAR), ''))"
+_evidence = """round(greatest(0.0, least(1.0, CASE WHEN score >= 0.85 THEN score * 0.55 WHEN score >= 0.60 THEN score * 0.28 ELSE 0 END
+    + CASE WHEN delta = 0 THEN 0.35 WHEN abs(delta) <= 5 THEN 0.22 WHEN scale_error THEN -0.60 WHEN transposition THEN -0.50 ELSE -0.45 END
+    + CASE WHEN late = 0 THEN 0.12 WHEN late BETWEEN 1 AND 3 THEN 0.06 ELSE -0.05 * abs(late) END + CASE WHEN inverts THEN 0.15 ELSE 0 END)), 4)"""
+_decided = """ranked AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY confidence DESC, line_id) AS r, lead(confidence) OVER (PARTITION BY settlement_id ORDER BY confidence DESC, line_id) AS next FROM judged),
+verdicts AS (SELECT settlement_id, line_id, confidence, CASE WHEN confidence < 0.60 THEN 'evidence too weak' WHEN confidence - next < 0.15 THEN 'too close to the next' ELSE 'clear' END AS rationale FROM ranked WHERE r = 1)"""
+JUDGED = f"""{LISTED}, {INVERT_SQL.replace("netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0)", "netted AS (SELECT DISTINCT amount AS net FROM listed WHERE abs(delta) > 5)")},
+made AS (SELECT DISTINCT net FROM priced WHERE gross - fee - CAST(floor((fee * 18 + 50) / 100.0) AS BIGINT) = net),
+facts AS (SELECT l.settlement_id, l.line_id, l.score, l.delta, v.ord - l.settled_ord AS late, {_scale} AS scale_error, {_turned} AS transposition, abs(l.delta) > 5 AND m.net IS NOT NULL AS inverts
+  FROM listed l JOIN cal v ON v.day = l.value_date LEFT JOIN made m ON m.net = l.amount),
+judged AS (SELECT settlement_id, line_id, {_evidence} AS confidence FROM facts), {_decided}"""
+
+
+@query(world.sql("SELECT settlement_id, line_id, confidence, CASE rationale WHEN 'clear' THEN 'match' ELSE 'abstain' END AS decision, rationale FROM verdicts", JUDGED))
 def adjudication_decisions(spark, sf_dir):
     b = fixed(spark, sf_dir)
-    s = b.settlements.where("utr is null")
-    listed = adjudicate.shortlist(s, b.bank.where("amount > 0 and narration like '%PAYMENT%'"), b.calendar, fees.rate_card(spark))
+    listed = matching.settle(adjudicate.shortlist(b.settlements, b.bank.where("amount > 0"), b.calendar, fees.rate_card(spark)))
     return adjudicate.offline(listed).select("settlement_id", "line_id", "confidence", "decision", "rationale")
 
 
-@query(world.sql("""SELECT settlement_id, line_id, place FROM (SELECT w.settlement_id, l.line_id, row_number() OVER (PARTITION BY w.settlement_id ORDER BY abs(l.amount - w.amount), l.line_id) AS place
-  FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi WHERE w.utr IS NULL AND l.amount > 0 AND contains(l.narration, 'CASH DEPOSIT')) WHERE place <= 8""", WINDOWED))
+@query(world.sql("SELECT settlement_id, line_id, score, CAST(place AS INTEGER) AS place FROM listed", LISTED))
 def shortlist_topk(spark, sf_dir):
     b = fixed(spark, sf_dir)
-    return adjudicate.shortlist(b.settlements.where("utr is null"), b.bank.where("amount > 0 and narration like '%CASH DEPOSIT%'"), b.calendar).select("settlement_id", "line_id", "place")
+    return adjudicate.shortlist(b.settlements, b.bank.where("amount > 0"), b.calendar).select("settlement_id", "line_id", "score", "place")
 
 
-@query(world.sql("SELECT line_id, amount - payout AS delta, CASE WHEN amount > payout THEN 'larger' WHEN amount < payout THEN 'smaller' ELSE 'identical' END AS side, abs(amount - payout) <= 5 AS within_tolerance FROM pairs", PAIRS))
+@query(world.sql(f"""SELECT line_id, amount - payout AS delta, CASE WHEN amount > payout THEN 'larger' WHEN amount < payout THEN 'smaller' ELSE 'identical' END AS side, abs(amount - payout) <= 5 AS within_tolerance,
+  {_scale} AS scale_error, {_turned} AS transposition FROM pairs""", PAIRS))
 def explain_gap(spark, sf_dir):
-    return adjudicate.explain_gap(rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)).select("line_id", "delta", "side", "within_tolerance")
+    return adjudicate.explain_gap(rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)).select("line_id", "delta", "side", "within_tolerance", "scale_error", "transposition")
 
 
 # --- checks and posting ----------------------------------------------------------------------------------------------
@@ -443,9 +456,9 @@ def posted(spark, sf_dir) -> DataFrame:
     return journal.journal_lines(matches, b)
 
 
-@query(world.sql("SELECT 'je_' || substr(sha256(line_id), 1, 12) AS entry_id, line_id AS match_id, account, debit, CAST(amount AS BIGINT) AS amount FROM jl WHERE amount <> 0", POSTED))
+@query(world.sql("SELECT 'je_' || substr(sha256(jl.line_id), 1, 12) AS entry_id, jl.line_id AS match_id, settled_on AS posted_on, account, debit, CAST(jl.amount AS BIGINT) AS amount FROM jl JOIN pairs p ON p.line_id = jl.line_id WHERE jl.amount <> 0", POSTED))
 def journal_lines(spark, sf_dir):
-    return posted(spark, sf_dir).select("entry_id", "match_id", "account", "debit", "amount")
+    return posted(spark, sf_dir).select("entry_id", "match_id", "posted_on", "account", "debit", "amount")
 
 
 @query(world.sql("SELECT account, CASE WHEN sum(CASE WHEN debit THEN amount ELSE -amount END) >= 0 THEN 'Dr' ELSE 'Cr' END AS side, CAST(abs(sum(CASE WHEN debit THEN amount ELSE -amount END)) AS BIGINT) AS amount FROM jl WHERE amount <> 0 GROUP BY account", POSTED))
@@ -472,11 +485,12 @@ def scorecard_tally(spark, sf_dir):
 
 
 @query(world.sql("""SELECT round(cm / (cm + wm + fm), 4) AS precision, round(cm / (cm + wm + mm), 4) AS recall, round((ce + wr) / (ce + wr + me + fm), 4) AS exception_recall, round(ce / (ce + wr), 4) AS reason_accuracy,
-  round((cm + ce + ci) / n, 4) AS accuracy, round((fm + wm) / n, 4) AS false_match_rate, round((cm + ci) / n, 4) AS auto_resolve FROM (SELECT CAST(count(*) AS DOUBLE) AS n,
+  round((cm + ce + ci) / n, 4) AS accuracy, round((fm + wm) / n, 4) AS false_match_rate, round((cm + ci) / n, 4) AS auto_resolve,
+  round(2 * round(cm / (cm + wm + fm), 4) * round(cm / (cm + wm + mm), 4) / (round(cm / (cm + wm + fm), 4) + round(cm / (cm + wm + mm), 4)), 4) AS f1 FROM (SELECT CAST(count(*) AS DOUBLE) AS n,
   CAST(count(*) FILTER (verdict = 'correct_match') AS DOUBLE) AS cm, count(*) FILTER (verdict = 'wrong_match') AS wm, count(*) FILTER (verdict = 'false_match') AS fm, count(*) FILTER (verdict = 'missed_match') AS mm,
   CAST(count(*) FILTER (verdict = 'correct_exception') AS DOUBLE) AS ce, count(*) FILTER (verdict = 'exception_wrong_reason') AS wr, count(*) FILTER (verdict = 'missed_exception') AS me, count(*) FILTER (verdict = 'correct_ignore') AS ci FROM scored)""", CASES))
 def scorecard_ratios(spark, sf_dir):
-    return scorecard.ratios(rel(spark, sf_dir, "SELECT * FROM scored", CASES)).select("precision", "recall", "exception_recall", "reason_accuracy", "accuracy", "false_match_rate", "auto_resolve")
+    return scorecard.ratios(rel(spark, sf_dir, "SELECT * FROM scored", CASES)).select("precision", "recall", "exception_recall", "reason_accuracy", "accuracy", "false_match_rate", "auto_resolve", "f1")
 
 
 @query(world.sql("""SELECT case_id, verdict FROM (SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'false_match' THEN 0 WHEN 'wrong_match' THEN 1 WHEN 'missed_exception' THEN 2 WHEN 'exception_wrong_reason' THEN 3 WHEN 'false_break' THEN 4 ELSE 5 END, scenario, case_id) AS n
@@ -533,9 +547,12 @@ def interesting_cases(spark, sf_dir):
     return report.interesting(audited(spark, sf_dir)).select("reason", F.concat_ws(",", "subject_ids").alias("subjects"), "place")
 
 
-@query("WITH c AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{d}', {w})" for s, w, d, *_ in generator.SCENARIOS) + ") AS t(scenario, disposition, weight)) SELECT scenario, disposition, CAST(weight AS INTEGER) AS weight FROM c")
-def scenario_catalogue(spark, sf_dir):
-    return generator.catalogue(spark).select("scenario", "disposition", "weight")
+@query(world.sql("SELECT scenario, count(*) AS cases, CAST(count(*) FILTER (verdict LIKE 'correct%') AS BIGINT) AS good FROM scored GROUP BY scenario UNION ALL SELECT 'scenario_none', 0, 0", CASES))
+def scenario_summary(spark, sf_dir):
+    """Every scenario of a catalogue, one of which no case has."""
+    cases = rel(spark, sf_dir, "SELECT * FROM scored", CASES)
+    catalogue = cases.select("scenario").distinct().unionByName(spark.createDataFrame([("scenario_none",)], "scenario string"))
+    return report.scenario_summary(catalogue, cases)
 
 
 @query(world.sql("SELECT 'both' AS kind, count(*) AS n FROM (SELECT line_id FROM line1 INTERSECT SELECT line_id FROM bank) UNION ALL SELECT 'bank only', count(*) FROM (SELECT line_id FROM bank EXCEPT SELECT line_id FROM line1) UNION ALL SELECT 'either', count(*) FROM (SELECT line_id FROM bank UNION SELECT line_id FROM line1)"))
@@ -577,8 +594,14 @@ def full_reconciliation(spark, sf_dir):
 
 @query()
 def generated_scorecard(spark, sf_dir):
-    """A labelled batch of 400 cases, ingested from texts, reconciled and scored."""
-    made = generator.generate(spark, 400, seed=11)
+    """A labelled batch of a case for every 20 orders, ingested from texts, reconciled and scored."""
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").count() // 20
+    batch, truth = generated_batch(spark, n, 11)
+    return scorecard.ratios(cascade.run(batch, truth=truth).cases)
+
+
+def generated_batch(spark, cases: int, seed: int) -> tuple[world.Batch, DataFrame]:
+    made = generator.generate(spark, cases, seed=seed)
     parts, bad = {}, []
     for kind, df in made.files.items():
         parts[kind], q = files.parse_rows(df, kind)
@@ -586,5 +609,15 @@ def generated_scorecard(spark, sf_dir):
     quarantine = bad[0]
     for q in bad[1:]:
         quarantine = quarantine.unionByName(q)
-    batch = world.Batch(**parts, quarantine=quarantine, calendar=D.calendar(spark, "2026-01-01", "2026-12-31"))
-    return scorecard.ratios(cascade.run(batch, truth=made.truth).cases)
+    return world.Batch(**parts, quarantine=quarantine, calendar=D.calendar(spark, "2026-01-01", "2026-12-31")), made.truth
+
+
+def generated_run(spark, cases: int, seed: int) -> DataFrame:
+    """Key figures of a labelled batch's run, from texts to scores."""
+    batch, truth = generated_batch(spark, cases, seed)
+    run = cascade.run(batch, truth=truth)
+    return report.run_summary(run).select("records", "matches", "exceptions", "match_rate")
+
+
+def generated_records(spark, cases: int, seed: int) -> DataFrame:
+    return generated_batch(spark, cases, seed)[0].record_count()

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.dates import calendar, parse_datetime
 from ..functions.money import parse_money
@@ -47,8 +48,13 @@ def plain(header: str) -> str:
     return re.sub("[^a-z0-9]+", "", header.lower())
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text.  A file that is not there, or has no bytes, is an empty table; a byte-order mark is dropped.
+#: Where a row was read from: its file, the split's first byte, and a number that grows along the split.
+PLACE = ["_file", "_start", "_order"]
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, and PLACE.  A file that is not there, or has no bytes, is an empty table; a byte-order mark
+    is dropped.  multi_line: quoted texts may hold line breaks; a file is then read by one task.
 
     The path goes to Spark's own readers only, so any store they know will do.
     """
@@ -57,8 +63,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     store = at.getFileSystem(conf)
     if not store.exists(at) or store.getContentSummary(at).getLength() == 0:
         return spark.createDataFrame([], "_none string")
-    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("escape", '"').csv(path)
-    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"').csv(path)
+    named = [F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in df.columns]
+    return df.select(*named, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_order"))
+
+
+def row_numbers(rows: DataFrame) -> DataFrame:
+    """(_file, _start, _first): the number that the first row of each split has, less its _order.  A row's number in its
+    file (the header is row 1) is _order and this together; one row a split."""
+    splits = rows.groupBy("_file", "_start").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return splits.select("_file", "_start", (before + 2 - F.col("_least")).alias("_first"))
 
 
 def pick(df: DataFrame, names: str) -> Column:
@@ -134,16 +149,24 @@ def specs() -> dict[str, Spec]:
 def parse_rows(raw: DataFrame, kind: str, source: str = "", row_number: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantine) of a table of texts; every row lands in one of them.
 
-    Quarantine: source_file, row_number, reason, record_id, raw (map).  A row's number is its place in a file read as
-    one split, where the caller gives it; else null, and the raw texts identify the row.
+    Quarantine: source_file, row_number, reason, record_id, raw (map).  A row's number is its place in its file, where
+    read_csv() or the caller gives it; else null, and the raw texts identify the row.
     """
     spec = specs()[kind]
-    named = raw.select(*(pick(raw, a).alias(n) for n, a in ALIASES[kind].items()), F.to_json(F.struct(*(F.col(f"`{c}`") for c in raw.columns))).alias("_raw"), (row_number if row_number is not None else F.lit(None).cast("long")).alias("_row"))
+    placed = row_number is None and all(c in raw.columns for c in PLACE)
+    if placed:
+        row_number, numbers = F.col("_order"), row_numbers(raw)
+        raw, where = raw.drop("_file", "_start"), raw.select("_order", "_file", "_start")
+    texts = [c for c in raw.columns if c != "_order"]
+    named = raw.select(*(pick(raw, a).alias(n) for n, a in ALIASES[kind].items()), F.to_json(F.struct(*(F.col(f"`{c}`") for c in texts))).alias("_raw"), (row_number if row_number is not None else F.lit(None).cast("long")).alias("_row"))
     complaint = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for bad, text in spec.complaints))
     judged = named.withColumn("_why", complaint)
     good = judged.where("_why is null").select(*(v.alias(k) for k, v in spec.columns.items()), F.from_json("_raw", "map<string,string>").alias("raw"))
     ids = [c for c in ("line_id", "payment_id", "settlement_id", "entry_id", "refund_id", "adjustment_id") if c in ALIASES[kind]]
     bad = judged.where("_why is not null").select(F.lit(source or FILES[kind]).alias("source_file"), F.col("_row").alias("row_number"), F.col("_why").alias("reason"), F.coalesce(*ids).alias("record_id"), F.from_json("_raw", "map<string,string>").alias("raw"))
+    if placed:  # only what couldn't be read needs its number
+        at = where.join(numbers, ["_file", "_start"]).select(F.col("_order").alias("row_number"), (F.col("_order") + F.col("_first")).alias("_number"))
+        bad = bad.join(at, "row_number").withColumn("row_number", F.col("_number")).drop("_number")
     return good, bad
 
 
@@ -170,6 +193,21 @@ def load_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 TRUTH = "case_id string, scenario string, disposition string, expected_reason string, difficulty string, settlement_ids array<string>, bank_line_ids array<string>, payment_ids array<string>, record_ids array<string>, note string"
 
 
+TRANSCRIPTS = (
+    "recorded_at string, provider string, model string, data_dir string, usage map<string,bigint>, cases array<struct<settlement_id string, reason string, payout_amount bigint, "
+    "payout_date string, reference string, candidate_count bigint, candidates array<string>, decision string, chosen array<string>, confidence double, reasoning string>>"
+)
+
+
+def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded investigations, one row a case; no rows where the file is not there."""
+    return load_json(spark, path, TRANSCRIPTS).select("recorded_at", "provider", "model", F.explode("cases").alias("c")).select("recorded_at", "provider", "model", "c.*")
+
+
+def write_truth(truth: DataFrame, path: str) -> None:
+    truth.write.mode("overwrite").json(path)
+
+
 def load_truth(spark: SparkSession, path: str) -> DataFrame:
     return load_json(spark, path, TRUTH)
 
