@@ -403,7 +403,7 @@ claimed AS (SELECT * FROM seeded UNION ALL SELECT match_id || '_again', seq + 10
 def seeded_matches(spark, sf_dir) -> DataFrame:
     from ..operators.records import EVIDENCE, evidence
 
-    m = rel(spark, sf_dir, "SELECT * FROM claimed", SEEDED)
+    m = matching.settle(rel(spark, sf_dir, "SELECT * FROM claimed", SEEDED))
     proof = F.array(evidence("seed", F.lit("seed"), F.col("weight"))).cast(EVIDENCE)
     return m.select("match_id", "seq", F.array("line_id").alias("bank_line_ids"), F.array("settlement_id").alias("settlement_ids"), F.lit("T0").alias("tier"), F.lit("utr_exact").alias("reason"), F.col("confidence").cast("double").alias("confidence"), "bank_total", "expected_total", proof.alias("evidence"))
 
