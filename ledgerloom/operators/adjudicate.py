@@ -34,7 +34,6 @@ def shortlist(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card:
     s = with_windows(settlements, cal, config).select("settlement_id", "utr", F.col("amount").alias("payout"), "settled_on", "win_lo", "win_hi")
     ids = window_candidates(s, credits, config.shortlist)
     pairs = ids.join(credits.select("line_id", "amount", "value_date", "narration"), "line_id").join(s.withColumn("utr", F.coalesce("utr", F.lit(""))), "settlement_id")
-    pairs = pairs.withColumn("pair_id", F.concat_ws("|", "settlement_id", "line_id"))
     scored = score_matches(pairs).withColumn("delta", F.expr("amount - payout"))
     rank = F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), F.abs("delta"), "line_id"))
     best = scored.withColumn("place", rank).where(F.col("place") <= config.shortlist)
@@ -42,9 +41,10 @@ def shortlist(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card:
     out = out.withColumn("scale_error", M.is_scale_error(F.col("amount"), F.col("payout"))).withColumn("transposition", M.is_transposition(F.col("amount"), F.col("payout")))
     if card is None:
         return out.withColumn("inverts", F.lit(False))
-    off = out.where(F.abs("delta") > config.amount_tolerance).select("pair_id", F.col("amount").alias("net"))
-    hits = invert_fees(off, card).select("pair_id").distinct().withColumn("inverts", F.lit(True))
-    return out.join(hits, "pair_id", "left").withColumn("inverts", F.coalesce("inverts", F.lit(False)))
+    off = F.abs("delta") > config.amount_tolerance
+    nets = out.where(off).select(F.col("amount").alias("net")).distinct()
+    hits = invert_fees(nets, card).select(F.col("net").alias("amount")).distinct().withColumn("_hit", F.lit(True))
+    return out.join(hits, "amount", "left").withColumn("inverts", off & F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def evidence_score(tolerance: int = 5) -> Column:

@@ -17,3 +17,18 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def labelled(spark, tmp_path_factory):
+    """A labelled batch of messy files, read, run and scored: (folder, batch, run)."""
+    from ledgerloom.plans import cascade
+    from ledgerloom.sources import files, generator
+
+    folder = str(tmp_path_factory.mktemp("batch"))
+    made = generator.generate(spark, 250, seed=3)
+    files.write_csv(made.files, folder)
+    made.truth.write.json(f"{folder}/truth")
+    batch = files.load_batch(spark, folder)
+    truth = spark.read.schema(files.TRUTH).json(f"{folder}/truth")
+    return folder, batch, cascade.run(batch, truth=truth)
