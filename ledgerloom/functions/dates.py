@@ -33,7 +33,11 @@ def parse_datetime(raw: Column) -> Column:
     number = F.when(s.rlike("^\\d{9,10}$"), s.try_cast("long"))
     epoch = F.when(number.between(*EPOCH_RANGE), F.timestamp_seconds(number))
     here = lambda t: F.from_utc_timestamp(F.to_utc_timestamp(t, F.current_timezone()), ZONE).cast("timestamp_ntz")
-    walls = [F.try_to_timestamp(F.when(~s.rlike("[+-]\\d{2}:?\\d{2}$|Z$") | s.rlike("^\\d{1,2}-|^\\d{4}-\\d{2}-\\d{2}$"), s), F.lit(x)).cast("timestamp_ntz") for x in WALL_LAYOUTS]
+    walls = [
+        F.try_to_timestamp(
+            F.when(~s.rlike("[+-]\\d{2}:?\\d{2}$|Z$") | s.rlike("^\\d{1,2}-|^\\d{4}-\\d{2}-\\d{2}$"), s), F.lit(x)
+        ).cast("timestamp_ntz") for x in WALL_LAYOUTS
+    ]
     return F.coalesce(here(instant), *walls, here(epoch))
 
 
@@ -47,7 +51,9 @@ def is_banking_day(day: Column, holidays=HOLIDAYS) -> Column:
 
 def calendar(spark: SparkSession, first: str, last: str, holidays=HOLIDAYS) -> DataFrame:
     """(day, banking, ord): ord counts banking days up to and with the day.  One row a day, so small whatever the data."""
-    days = spark.range((dt.date.fromisoformat(last) - dt.date.fromisoformat(first)).days + 1).select(F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")).alias("day"))
+    days = spark.range((dt.date.fromisoformat(last) - dt.date.fromisoformat(first)).days + 1).select(
+        F.date_add(F.lit(first).cast("date"), F.col("id").cast("int")).alias("day")
+    )
     banking = days.withColumn("banking", is_banking_day(F.col("day"), holidays))
     return banking.withColumn("ord", F.sum(F.col("banking").cast("long")).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -58,14 +64,18 @@ def add_banking_days(df: DataFrame, start: str, n, to: str, cal: DataFrame) -> D
     at = cal.select(F.col("day").alias("_at"), F.col("ord").alias("_o"), F.col("banking").alias("_b"))
     target = cal.where("banking").select(F.col("day").alias(to), F.col("ord").alias("_t"))
     step = F.when(n <= 0, F.when(F.col("_b"), F.lit(0)).otherwise(F.lit(1))).otherwise(n)
-    return df.join(at, F.col(start) == F.col("_at"), "left").withColumn("_t2", F.col("_o") + step).join(target, F.col("_t2") == F.col("_t"), "left").drop("_at", "_o", "_b", "_t", "_t2")
+    return df.join(at, F.col(start) == F.col("_at"), "left").withColumn("_t2", F.col("_o") + step).join(
+        target, F.col("_t2") == F.col("_t"), "left"
+    ).drop("_at", "_o", "_b", "_t", "_t2")
 
 
 def banking_days_between(df: DataFrame, a: str, b: str, to: str, cal: DataFrame) -> DataFrame:
     """``to``: banking days in (a, b], negative if b comes first."""
     one = cal.select(F.col("day").alias("_da"), F.col("ord").alias("_oa"))
     two = cal.select(F.col("day").alias("_db"), F.col("ord").alias("_ob"))
-    return df.join(one, F.col(a) == F.col("_da"), "left").join(two, F.col(b) == F.col("_db"), "left").withColumn(to, F.col("_ob") - F.col("_oa")).drop("_da", "_db", "_oa", "_ob")
+    return df.join(
+        one, F.col(a) == F.col("_da"), "left"
+    ).join(two, F.col(b) == F.col("_db"), "left").withColumn(to, F.col("_ob") - F.col("_oa")).drop("_da", "_db", "_oa", "_ob")
 
 
 def next_banking_day(df: DataFrame, start: str, to: str, cal: DataFrame) -> DataFrame:

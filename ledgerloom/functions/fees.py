@@ -41,7 +41,9 @@ def verify_fees(payments: DataFrame, card: DataFrame, tolerance: int = 1) -> Dat
     """Adds delta (charged less expected, fee and tax together), fee_ok and what is wrong."""
     out = with_fees(payments, card).withColumn("delta", F.col("fee") + F.col("tax") - F.col("expected_fee") - F.col("expected_tax"))
     ok = F.abs(F.col("delta")) <= tolerance
-    return out.withColumn("fee_ok", ok).withColumn("explanation", F.when(ok, F.lit("ok")).when(F.col("delta") > 0, F.lit("overcharged")).otherwise(F.lit("undercharged")))
+    return out.withColumn("fee_ok", ok).withColumn(
+        "explanation", F.when(ok, F.lit("ok")).when(F.col("delta") > 0, F.lit("overcharged")).otherwise(F.lit("undercharged"))
+    )
 
 
 def invert_fees(nets: DataFrame, card: DataFrame, net: str = "net", methods: DataFrame | None = None) -> DataFrame:
@@ -52,7 +54,12 @@ def invert_fees(nets: DataFrame, card: DataFrame, net: str = "net", methods: Dat
     """
     rates = card.select("method", F.explode(F.array_compact(F.array("bps", "bps_above"))).alias("_rate"), "flat").dropDuplicates(["method", "_rate"])
     tried = nets.join(F.broadcast(rates if methods is None else rates.join(methods, "method", "left_semi")))
-    seed = F.round((F.col(net).cast("decimal(30,8)") + F.col("flat") * F.lit(1.18).cast("decimal(4,2)")) * 1000000 / (F.lit(1000000) - 118 * F.col("_rate")).cast("decimal(10,0)"), 0).cast("long")
+    seed = F.round(
+        (
+            F.col(net).cast("decimal(30,8)") + F.col("flat") * F.lit(1.18).cast("decimal(4,2)")
+        ) * 1000000 / (F.lit(1000000) - 118 * F.col("_rate")).cast("decimal(10,0)"),
+        0
+    ).cast("long")
     own = [c for c in nets.columns if c != "method"]
     grosses = tried.withColumn("gross", F.explode(F.sequence(seed - RADIUS, seed + RADIUS))).where("gross >= 1").select(*own, "method", "gross").distinct()
     return with_fees(grosses, card).where(F.col("expected_net") == F.col(net)).select(*own, "method", "gross")

@@ -53,10 +53,19 @@ def candidates(narration: Column) -> Column:
         shape = F.when(token.rlike("[0-9]") & ~token.isin(STOPWORDS), shape_of(token))
         score = shape_of(token, "score") + F.when(after_rail, 0.10).otherwise(0.0) - F.least(position, F.lit(8)) * 0.015
         score = F.round(F.least(score, F.lit(1.0)), 4)
-        return F.struct((-score).alias("order"), token.alias("token"), shape.alias("shape"), score.alias("score"), position.alias("position"), after_rail.alias("after_rail"))
+        return F.struct(
+            (-score).alias("order"), token.alias("token"), shape.alias("shape"), score.alias("score"), position.alias("position"),
+            after_rail.alias("after_rail")
+        )
 
     found = F.array_sort(F.filter(F.transform(words, one), lambda c: c["shape"].isNotNull()))
-    return F.transform(found, lambda c: F.struct(c["token"].alias("token"), c["shape"].alias("shape"), c["score"].alias("score"), c["position"].alias("position"), c["after_rail"].alias("after_rail")))
+    return F.transform(
+        found,
+        lambda c: F.struct(
+            c["token"].alias("token"), c["shape"].alias("shape"), c["score"].alias("score"), c["position"].alias("position"),
+            c["after_rail"].alias("after_rail")
+        )
+    )
 
 
 def mentions_any(narration: Column, words: Column) -> Column:
@@ -112,7 +121,9 @@ def score_matches(pairs: DataFrame, utr: str = "utr", narration: str = "narratio
     out = out.withColumn("_d", osa_each(F.transform("_near", lambda c: c["w"]), F.col("_t")))
     hit = lambda c, score, how: F.struct(F.round(score, 4).alias("s"), (-c["k"]).alias("nk"), how.alias("m"), c["w"].alias("w"))
     by_clip = F.transform(F.filter("_c", clipped), lambda c: hit(c, F.lit(0.70) + 0.02 * F.least(F.length(c["w"]) - 8, F.lit(8)), F.lit("truncated_prefix")))
-    measured = F.filter(F.zip_with("_near", "_d", lambda c, d: F.struct(c["k"].alias("k"), c["w"].alias("w"), d.alias("d"))), lambda x: x["d"].between(1, EDITS))
+    measured = F.filter(
+        F.zip_with("_near", "_d", lambda c, d: F.struct(c["k"].alias("k"), c["w"].alias("w"), d.alias("d"))), lambda x: x["d"].between(1, EDITS)
+    )
     by_edit = F.transform(measured, lambda x: hit(x, F.when(x["d"] == 1, 0.85).otherwise(0.65), F.concat(F.lit("edit_distance_"), x["d"].cast("string"))))
     out = out.withColumn("_b", F.array_max(F.concat(by_clip, by_edit)))
     pick = lambda exact, empty, part, none: F.when(F.col("_exact"), exact).when(F.col("_t") == "", empty).otherwise(F.coalesce(part, none))

@@ -8,12 +8,24 @@ SEVERITIES = ["critical", "high", "medium", "low", "info"]
 # Reason, severity, owner; summaries and actions are in our own words.
 REASONS = [
     ("no_candidate", "high", "Finance ops", "Nothing in the window comes near this record.", "check that the period is covered and fetch the bank feed again"),
-    ("amount_mismatch", "high", "Finance ops", "The counterpart is there but its amount is off.", "compare with the gateway's figures and look for a deduction"),
-    ("ambiguous_candidates", "medium", "Finance ops", "Several counterparts fit equally well.", "decide by the payer's text or ask the gateway for its references"),
+    (
+        "amount_mismatch", "high", "Finance ops", "The counterpart is there but its amount is off.",
+        "compare with the gateway's figures and look for a deduction"
+    ),
+    (
+        "ambiguous_candidates", "medium", "Finance ops", "Several counterparts fit equally well.",
+        "decide by the payer's text or ask the gateway for its references"
+    ),
     ("scale_error_suspected", "critical", "Engineering", "One amount is a hundred times the other.", "check the currency unit of the feed"),
-    ("transposition_suspected", "high", "Finance ops", "The amounts are the same digits in another order.", "look at the source document before changing either side"),
+    (
+        "transposition_suspected", "high", "Finance ops", "The amounts are the same digits in another order.",
+        "look at the source document before changing either side"
+    ),
     ("date_out_of_window", "medium", "Finance ops", "Reference and amount agree but the date is outside the cycle.", "check the settlement terms for a drift"),
-    ("duplicate_identifier", "critical", "Engineering", "One reference stands on several records.", "look for a replayed import and hold settlement until then"),
+    (
+        "duplicate_identifier", "critical", "Engineering", "One reference stands on several records.",
+        "look for a replayed import and hold settlement until then"
+    ),
     ("missing_bank_credit", "high", "Treasury", "A payout has no bank credit.", "ask the gateway once the term has passed"),
     ("unexpected_bank_credit", "medium", "Treasury", "A bank credit has no payout or book entry.", "classify by hand; a direct transfer is likely"),
     ("fee_schedule_deviation", "high", "Finance", "The fee is not what the rate card says.", "claim the difference from the gateway"),

@@ -33,12 +33,16 @@ def shortlist(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card:
     """The best few open credits of each payout's window, with what speaks for and against them."""
     s = with_windows(settlements, cal, config).select("settlement_id", "utr", F.col("amount").alias("payout"), "settled_on", "win_lo", "win_hi")
     ids = window_candidates(s, credits, config.shortlist)
-    pairs = ids.join(credits.select("line_id", "amount", "value_date", "narration"), "line_id").join(s.withColumn("utr", F.coalesce("utr", F.lit(""))), "settlement_id")
+    pairs = ids.join(
+        credits.select("line_id", "amount", "value_date", "narration"), "line_id"
+    ).join(s.withColumn("utr", F.coalesce("utr", F.lit(""))), "settlement_id")
     scored = score_matches(pairs).withColumn("delta", F.expr("amount - payout"))
     rank = F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), F.abs("delta"), "line_id"))
     best = scored.withColumn("place", rank).where(F.col("place") <= config.shortlist)
     out = banking_days_between(best, "settled_on", "value_date", "late", cal)
-    out = out.withColumn("scale_error", M.is_scale_error(F.col("amount"), F.col("payout"))).withColumn("transposition", M.is_transposition(F.col("amount"), F.col("payout")))
+    out = out.withColumn("scale_error", M.is_scale_error(F.col("amount"), F.col("payout"))).withColumn(
+        "transposition", M.is_transposition(F.col("amount"), F.col("payout"))
+    )
     if card is None:
         return out.withColumn("inverts", F.lit(False))
     off = F.abs("delta") > config.amount_tolerance
@@ -50,7 +54,9 @@ def shortlist(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card:
 def evidence_score(tolerance: int = 5) -> Column:
     """Sum of the weights, between 0 and 1, to four digits."""
     reference = F.when(F.col("score") >= 0.85, F.col("score") * STRONG_REF).when(F.col("score") >= 0.60, F.col("score") * WEAK_REF).otherwise(0.0)
-    amount = F.when(F.col("delta") == 0, EXACT).when(F.abs("delta") <= tolerance, NEAR).when(F.col("scale_error"), SCALE).when(F.col("transposition"), TRANSPOSED).otherwise(OFF)
+    amount = F.when(F.col("delta") == 0, EXACT).when(F.abs("delta") <= tolerance, NEAR).when(F.col("scale_error"), SCALE).when(
+        F.col("transposition"), TRANSPOSED
+    ).otherwise(OFF)
     date = F.when(F.col("late") == 0, ON_TIME).when(F.col("late").between(1, 3), LATE).otherwise(F.abs("late") * PER_DAY)
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), reference + amount + date + F.when(F.col("inverts"), INVERTS).otherwise(0.0))), 4)
 
@@ -58,13 +64,18 @@ def evidence_score(tolerance: int = 5) -> Column:
 def offline(candidates: DataFrame) -> DataFrame:
     """The default adjudicator: the best candidate, if it is good enough and clearly better than the next."""
     w = Window.partitionBy("settlement_id").orderBy(F.desc("confidence"), "line_id")
-    ranked = candidates.withColumn("confidence", evidence_score()).withColumn("_k", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w)).where("_k = 1")
+    ranked = candidates.withColumn("confidence", evidence_score()).withColumn("_k", F.row_number().over(w)).withColumn(
+        "next", F.lead("confidence").over(w)
+    ).where("_k = 1")
     margin = F.col("confidence") - F.col("next")
     why = F.when(F.col("confidence") < DECIDE, "evidence too weak").when(margin < MARGIN, "too close to the next").otherwise("clear")
     return ranked.withColumn("rationale", why).withColumn("decision", F.when(F.col("rationale") == "clear", "match").otherwise("abstain"))
 
 
-def adjudication(settlements: DataFrame, credits: DataFrame, cal: DataFrame, card: DataFrame | None = None, adjudicator: Adjudicator | None = offline, config: Config = Config()) -> tuple[PassOut, DataFrame]:
+def adjudication(
+    settlements: DataFrame, credits: DataFrame, cal: DataFrame, card: DataFrame | None = None, adjudicator: Adjudicator | None = offline,
+    config: Config = Config()
+) -> tuple[PassOut, DataFrame]:
     """Matches by weight of evidence, and what was declined (settlement_id, reviewed, rationale).
 
     Payouts go in order of id.  A round decides all that are left; a match holds unless an earlier payout's match of
@@ -80,24 +91,33 @@ def adjudication(settlements: DataFrame, credits: DataFrame, cal: DataFrame, car
         decided = adjudicator(listed)
         matched = decided.where("decision = 'match'").select("settlement_id", "line_id", "confidence", "rationale", "payout", "amount", "score", "delta")
         takes = matched.select(F.col("settlement_id").alias("_by"), "line_id")
-        disturbed = listed.select("settlement_id", "line_id").join(takes, "line_id").where(F.col("_by") < F.col("settlement_id")).select("settlement_id").distinct()
+        disturbed = listed.select("settlement_id", "line_id").join(takes, "line_id").where(
+            F.col("_by") < F.col("settlement_id")
+        ).select("settlement_id").distinct()
         valid = settle(matched.join(disturbed, "settlement_id", "left_anti"))
         out = valid if out is None else out.unionByName(valid)
-        why = decided.where("decision <> 'match'").select("settlement_id", "rationale").join(listed.groupBy("settlement_id").agg(F.collect_set("line_id").alias("reviewed")), "settlement_id")
+        why = decided.where("decision <> 'match'").select("settlement_id", "rationale").join(
+            listed.groupBy("settlement_id").agg(F.collect_set("line_id").alias("reviewed")), "settlement_id"
+        )
         if valid.isEmpty():
             declined = settle(why)
             break
         s, c = settle(s.join(valid, "settlement_id", "left_anti")), settle(c.join(valid, "line_id", "left_anti"))
     name = getattr(adjudicator, "name", getattr(adjudicator, "__name__", "adjudicator"))
     proof = F.array(evidence("adjudicated", F.concat(F.lit("weight of evidence "), F.col("confidence").cast("string")), F.col("confidence"), F.col("line_id")))
-    m = as_matches(out, "T7", "adjudicated_match", F.col("confidence"), F.array("line_id"), F.array("settlement_id"), F.col("amount"), F.col("payout"), proof, F.col("rationale"), name)
+    m = as_matches(
+        out, "T7", "adjudicated_match", F.col("confidence"), F.array("line_id"), F.array("settlement_id"), F.col("amount"), F.col("payout"), proof,
+        F.col("rationale"), name
+    )
     return PassOut(m, None, claims(out, F.array("settlement_id"), F.array("line_id"))), declined
 
 
 # What an investigator asks about one payout's candidates, as frames.
 def scan_references(scored: DataFrame, first: int = 8) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), "line_id"))
-    return scored.withColumn("_r", rank).where(F.col("_r") <= first).select("settlement_id", "line_id", "score", "mechanism", strength(F.col("score")).alias("strength"), (F.col("score") >= 0.75).alias("carries"))
+    return scored.withColumn("_r", rank).where(F.col("_r") <= first).select(
+        "settlement_id", "line_id", "score", "mechanism", strength(F.col("score")).alias("strength"), (F.col("score") >= 0.75).alias("carries")
+    )
 
 
 def get_credit(credits: DataFrame) -> DataFrame:
@@ -118,7 +138,10 @@ def payout_components(b) -> DataFrame:
     """What each payout is made of, as far as it is known: sums of the known payments, refunds and adjustments, what
     they make, and how many payments are listed and known."""
     out = component_sums(b).withColumn("expected", F.expr("net - refunds + adjustments"))
-    return out.select("settlement_id", "n_listed", "n_known", "gross", "fee", "tax", "net", "refunds", "adjustments", "expected", F.expr("amount - expected").alias("delta"))
+    return out.select(
+        "settlement_id", "n_listed", "n_known", "gross", "fee", "tax", "net", "refunds", "adjustments", "expected",
+        F.expr("amount - expected").alias("delta")
+    )
 
 
 def invert_fee(nets: DataFrame, card: DataFrame, methods: int = 5, grosses: int = 3) -> DataFrame:
@@ -139,7 +162,9 @@ def explain_gap(pairs: DataFrame, tolerance: int = 5) -> DataFrame:
     """Adds delta and what may explain it: rounding, a unit error, swapped digits."""
     out = pairs.withColumn("delta", F.expr("amount - payout"))
     side = F.when(F.col("delta") > 0, "larger").when(F.col("delta") < 0, "smaller").otherwise("identical")
-    return out.withColumn("side", side).withColumn("within_tolerance", F.abs("delta") <= tolerance).withColumn("scale_error", M.is_scale_error(F.col("amount"), F.col("payout"))).withColumn("transposition", M.is_transposition(F.col("amount"), F.col("payout")))
+    return out.withColumn("side", side).withColumn("within_tolerance", F.abs("delta") <= tolerance).withColumn("scale_error", M.is_scale_error(F.col("amount"), F.col("payout"))).withColumn(
+        "transposition", M.is_transposition(F.col("amount"), F.col("payout"))
+    )
 
 
 def credits_near(settlements: DataFrame, credits: DataFrame, days: int, first: int = 12) -> DataFrame:

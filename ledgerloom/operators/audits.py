@@ -47,7 +47,10 @@ def component_audit(b: Batch, config: Config = Config()) -> DataFrame:
     off = sums.withColumn("delta", F.expr("amount - expected")).where(F.abs("delta") > config.amount_tolerance)
     reason = F.when(F.col("delta") < 0, "partial_settlement_open").otherwise("amount_mismatch")
     detail = F.format_string("Payout of %d where its parts make %d.", "amount", "expected")
-    return as_exceptions(off, "psp", reason, F.array("settlement_id"), F.abs("delta"), F.col("settled_on"), detail, delta=F.col("delta"), proof=F.array(evidence("component_sum", detail, -0.5, F.col("settlement_id"))))
+    return as_exceptions(
+        off, "psp", reason, F.array("settlement_id"), F.abs("delta"), F.col("settled_on"), detail, delta=F.col("delta"),
+        proof=F.array(evidence("component_sum", detail, -0.5, F.col("settlement_id")))
+    )
 
 
 def fee_audit(b: Batch, card: DataFrame, config: Config = Config()) -> DataFrame:
@@ -57,16 +60,24 @@ def fee_audit(b: Batch, card: DataFrame, config: Config = Config()) -> DataFrame
 
 
 def fee_overcharge(b: Batch, card: DataFrame, config: Config = Config()) -> DataFrame:
-    return verify_fees(b.payments, card, config.fee_tolerance).where("not fee_ok").agg(F.coalesce(F.sum(F.greatest(F.col("delta"), F.lit(0))), F.lit(0)).alias("fee_overcharge"))
+    return verify_fees(b.payments, card, config.fee_tolerance).where("not fee_ok").agg(
+        F.coalesce(F.sum(F.greatest(F.col("delta"), F.lit(0))), F.lit(0)).alias("fee_overcharge")
+    )
 
 
 def fx_audit(b: Batch) -> DataFrame:
-    return as_exceptions(b.payments.where("international"), "psp", "fx_unverified", F.array("payment_id"), F.col("gross"), F.col("captured_on"), F.lit("Paid from abroad; the rate is not known."))
+    return as_exceptions(
+        b.payments.where("international"), "psp", "fx_unverified", F.array("payment_id"), F.col("gross"), F.col("captured_on"),
+        F.lit("Paid from abroad; the rate is not known.")
+    )
 
 
 def ledger_coverage(b: Batch) -> DataFrame:
     missing = b.payments.join(b.ledger.select("order_id"), "order_id", "left_anti")
-    return as_exceptions(missing, "ledger", "ledger_entry_missing", F.array("payment_id"), F.col("gross"), F.col("captured_on"), F.concat(F.lit("No book entry for order "), "order_id"))
+    return as_exceptions(
+        missing, "ledger", "ledger_entry_missing", F.array("payment_id"), F.col("gross"), F.col("captured_on"),
+        F.concat(F.lit("No book entry for order "), "order_id")
+    )
 
 
 def unlinked_deductions(b: Batch) -> DataFrame:
@@ -85,10 +96,15 @@ def quarantine_exceptions(quarantine: DataFrame, config: Config = Config()) -> D
     that isn't known by its text, so rows of one file stay apart."""
     text = F.left(F.sha2(F.to_json("raw"), 256), F.lit(12))
     subject = F.coalesce("record_id", F.concat(F.col("source_file"), F.lit(":"), F.coalesce(F.col("row_number").cast("string"), text)))
-    return as_exceptions(quarantine, "bank", "malformed_record", F.array(subject), F.lit(0), F.lit(config.run_date).cast("date"), F.concat_ws(": ", "source_file", F.col("reason")))
+    return as_exceptions(
+        quarantine, "bank", "malformed_record", F.array(subject), F.lit(0), F.lit(config.run_date).cast("date"),
+        F.concat_ws(": ", "source_file", F.col("reason"))
+    )
 
 
 def duplicate_references(settlements: DataFrame) -> DataFrame:
     from ..functions.narration import normalize_ref
 
-    return settlements.where("utr is not null").groupBy(normalize_ref(F.col("utr")).alias("utr")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("settlement_id")), ",").alias("settlement_ids")).where("n > 1")
+    return settlements.where("utr is not null").groupBy(normalize_ref(F.col("utr")).alias("utr")).agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("settlement_id")), ",").alias("settlement_ids")
+    ).where("n > 1")

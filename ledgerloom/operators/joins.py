@@ -53,8 +53,16 @@ def nearest_amounts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     for up in (True, False):
         # lines of the payout's own amount count as above it
         amount = lambda c: F.col(c) if up else -F.col(c)  # noqa: B023, E731
-        both = lines.select("line_id", F.lit(None).cast("string").alias("settlement_id"), amount("amount").alias("x"), "day", F.lit(1).alias("is_line"), F.lit(1 if up else 0).alias("side"))
-        both = both.unionByName(days.select(F.lit(None).cast("string").alias("line_id"), "settlement_id", amount("payout").alias("x"), "day", F.lit(0).alias("is_line"), F.lit(0 if up else 1).alias("side")))
+        both = lines.select(
+            "line_id", F.lit(None).cast("string").alias("settlement_id"), amount("amount").alias("x"), "day", F.lit(1).alias("is_line"),
+            F.lit(1 if up else 0).alias("side")
+        )
+        both = both.unionByName(
+            days.select(
+                F.lit(None).cast("string").alias("line_id"), "settlement_id", amount("payout").alias("x"), "day", F.lit(0).alias("is_line"),
+                F.lit(0 if up else 1).alias("side")
+            )
+        )
         both = both.withColumn("bucket", F.floor(F.col("x") / BUCKET))
         sizes = both.groupBy("day", "bucket").agg(F.sum("is_line").alias("n"))
         before = Window.partitionBy("day").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
@@ -79,7 +87,9 @@ def contested(settlements: DataFrame, lines: DataFrame, days: int = 3, tolerance
 
 
 def line_facts(bank: DataFrame) -> DataFrame:
-    return bank.withColumn("flat", N.normalize_ref(F.col("narration"))).withColumn("tokens", F.transform(N.candidates(F.col("narration")), lambda c: c["token"]))
+    return bank.withColumn("flat", N.normalize_ref(F.col("narration"))).withColumn(
+        "tokens", F.transform(N.candidates(F.col("narration")), lambda c: c["token"])
+    )
 
 
 def references(settlements: DataFrame, *more: str) -> DataFrame:
@@ -89,9 +99,15 @@ def references(settlements: DataFrame, *more: str) -> DataFrame:
 def by_token(refs: DataFrame, facts: DataFrame) -> DataFrame:
     """A line's token is the reference, or both have eight letters or more and the first eight are the same."""
     tok = facts.select("line_id", F.explode("tokens").alias("token"))
-    whole = refs.select("settlement_id", F.col("_t").alias("_k")).join(tok.select("line_id", F.col("token").alias("_k")), "_k").select("settlement_id", "line_id")
+    whole = refs.select("settlement_id", F.col("_t").alias("_k")).join(
+        tok.select("line_id", F.col("token").alias("_k")), "_k"
+    ).select("settlement_id", "line_id")
     heads = tok.where(F.length("token") >= HEAD).select("line_id", F.left("token", F.lit(HEAD)).alias("_k"))
-    return whole.union(refs.where(F.length("_t") >= HEAD).select("settlement_id", F.left("_t", F.lit(HEAD)).alias("_k")).join(heads, "_k").select("settlement_id", "line_id"))
+    return whole.union(
+        refs.where(F.length("_t") >= HEAD).select(
+            "settlement_id", F.left("_t", F.lit(HEAD)).alias("_k")
+        ).join(heads, "_k").select("settlement_id", "line_id")
+    )
 
 
 def by_text(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -101,7 +117,10 @@ def by_text(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
     out = None
     for n in sorted(r["_n"] for r in heads.select("_n").distinct().collect()):  # HEAD numbers at most
         places = F.when(F.length("flat") >= n, F.sequence(F.lit(1), F.length("flat") - (n - 1)))
-        pieces = facts.select("line_id", "value_date", "flat", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("flat"), i, F.lit(n))))).alias("_k"))  # noqa: B023
+        pieces = facts.select(  # noqa: B023
+            "line_id", "value_date", "flat",
+            F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("flat"), i, F.lit(n))))).alias("_k")
+        )
         found = in_window(heads.where(F.col("_n") == n), pieces, lo, hi, "value_date", "_k").where(F.contains("flat", "_t")).select("settlement_id", "line_id")
         out = found if out is None else out.union(found)
     return out if out is not None else refs.select("settlement_id", F.lit("").alias("line_id")).limit(0)
@@ -119,7 +138,9 @@ def by_edits(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
     at = F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(d).alias("d")) for j in range(parts) for d in range(-N.EDITS, N.EDITS + 1))))
     keys = tok.withColumn("_m", F.explode(sizes)).withColumn("_at", at)
     begin = F.col("_at.j") * F.col("_m") + F.col("_at.d") + 1
-    keys = keys.where(begin >= 1).select("line_id", "value_date", "token", "_m", F.col("_at.j").alias("_j"), F.substring("token", begin, F.col("_m")).alias("_k")).distinct()
+    keys = keys.where(begin >= 1).select(
+        "line_id", "value_date", "token", "_m", F.col("_at.j").alias("_j"), F.substring("token", begin, F.col("_m")).alias("_k")
+    ).distinct()
     mine = refs.withColumn("_m", size(F.length("_t"))).withColumn("_j", F.explode(F.array(*map(F.lit, range(parts)))))
     mine = mine.withColumn("_k", F.substring("_t", F.col("_j") * F.col("_m") + 1, F.col("_m")))
     near = in_window(mine, keys, lo, hi, "value_date", "_m", "_j", "_k").where(F.abs(F.length("token") - F.length("_t")) <= N.EDITS)
@@ -146,7 +167,9 @@ def window_candidates(settlements: DataFrame, credits: DataFrame, k: int) -> Dat
     """(settlement_id, line_id): the credits of each payout's window whose reference may score, and those nearest in
     amount.  The k best by score, then amount, then id are among them.  settlements: with utr, payout and its window."""
     refs, facts = references(settlements, "win_lo", "win_hi"), line_facts(credits)
-    token = by_token(refs, facts).join(settlements.select("settlement_id", "win_lo", "win_hi"), "settlement_id").join(credits.select("line_id", "value_date"), "line_id")
+    token = by_token(refs, facts).join(
+        settlements.select("settlement_id", "win_lo", "win_hi"), "settlement_id"
+    ).join(credits.select("line_id", "value_date"), "line_id")
     token = token.where(F.col("value_date").between(F.col("win_lo"), F.col("win_hi"))).select("settlement_id", "line_id")
     scored = token.union(by_text(refs, facts, "win_lo", "win_hi")).union(by_edits(refs, facts, "win_lo", "win_hi"))
     return scored.union(nearest_amounts(settlements, credits, k)).distinct()

@@ -54,7 +54,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 def evidence(kind: str, detail: Column, weight: Column | float, *ids: Column) -> Column:
     w = F.lit(float(weight)) if isinstance(weight, (int, float)) else weight.cast("double")
-    return F.struct(F.lit(kind).alias("kind"), detail.cast("string").alias("detail"), w.alias("weight"), F.array(*ids).cast("array<string>").alias("record_ids"))
+    return F.struct(
+        F.lit(kind).alias("kind"), detail.cast("string").alias("detail"), w.alias("weight"), F.array(*ids).cast("array<string>").alias("record_ids")
+    )
 
 
 def as_matches(df: DataFrame, tier: str | Column, reason: str | Column, confidence: Column, lines: Column, settlements: Column, bank_total: Column, expected_total: Column, proof: Column,
@@ -87,7 +89,10 @@ def with_members(matches: DataFrame, payments: DataFrame, ledger: DataFrame) ->
     return out
 
 
-def as_exceptions(df: DataFrame, source: str, reason: str | Column, subjects: Column, amount: Column, as_of: Column, detail: Column, candidates: Column | None = None, delta: Column | None = None, proof: Column | None = None) -> DataFrame:
+def as_exceptions(
+    df: DataFrame, source: str, reason: str | Column, subjects: Column, amount: Column, as_of: Column, detail: Column,
+    candidates: Column | None = None, delta: Column | None = None, proof: Column | None = None
+) -> DataFrame:
     reason = F.lit(reason) if isinstance(reason, str) else reason
     subjects = F.array_sort(subjects)
     return df.select(
@@ -108,7 +113,9 @@ def with_guidance(exceptions: DataFrame) -> DataFrame:
     """Adds severity, rank, owner and suggested action; an unknown reason is of medium severity and has no owner."""
     dim = reason_dim(exceptions.sparkSession)
     out = exceptions.join(F.broadcast(dim), "reason", "left")  # one row a reason
-    return out.withColumn("severity", F.coalesce("severity", F.lit("medium"))).withColumn("rank", F.coalesce("rank", F.lit(2))).withColumn("owner", F.coalesce("owner", F.lit("Unclassified")))
+    return out.withColumn(
+        "severity", F.coalesce("severity", F.lit("medium"))
+    ).withColumn("rank", F.coalesce("rank", F.lit(2))).withColumn("owner", F.coalesce("owner", F.lit("Unclassified")))
 
 
 def claims(df: DataFrame, settlements: Column | None, lines: Column | None) -> DataFrame:

@@ -27,17 +27,23 @@ def severity_counts(exceptions: DataFrame) -> DataFrame:
 def match_rate(matches: DataFrame, settlements: DataFrame) -> DataFrame:
     """One row: distinct matched payouts, payouts, and their ratio to four digits (0 of none)."""
     got = matches.select(F.explode("settlement_ids").alias("settlement_id")).agg(F.count_distinct("settlement_id").alias("matched"))
-    return got.join(settlements.agg(F.count(F.lit(1)).alias("settlements"))).withColumn("match_rate", F.expr("CASE WHEN settlements = 0 THEN 0.0 ELSE round(CAST(matched AS DOUBLE) / settlements, 4) END"))
+    return got.join(settlements.agg(F.count(F.lit(1)).alias("settlements"))).withColumn(
+        "match_rate", F.expr("CASE WHEN settlements = 0 THEN 0.0 ELSE round(CAST(matched AS DOUBLE) / settlements, 4) END")
+    )
 
 
 def values(matches: DataFrame, exceptions: DataFrame) -> DataFrame:
-    at_risk = with_guidance(exceptions).where(F.col("severity").isin("critical", "high")).agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("long").alias("value_at_risk"))
+    at_risk = with_guidance(exceptions).where(F.col("severity").isin("critical", "high")).agg(
+        F.coalesce(F.sum("amount"), F.lit(0)).cast("long").alias("value_at_risk")
+    )
     return matches.agg(F.coalesce(F.sum("bank_total"), F.lit(0)).cast("long").alias("value_matched")).join(at_risk)
 
 
 def daily_series(matches: DataFrame, settlements: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Matched payouts and exceptions by day, zero where a day has none."""
-    m = matches.select(F.explode("settlement_ids").alias("settlement_id")).distinct().join(settlements.select("settlement_id", "settled_on", "amount"), "settlement_id")
+    m = matches.select(F.explode("settlement_ids").alias("settlement_id")).distinct().join(
+        settlements.select("settlement_id", "settled_on", "amount"), "settlement_id"
+    )
     a = m.groupBy(F.col("settled_on").alias("day")).agg(F.sum("amount").cast("long").alias("matched"))
     b = exceptions.groupBy(F.col("as_of").alias("day")).agg(F.sum("amount").cast("long").alias("excepted"))
     return a.join(b, "day", "full_outer").fillna(0, ["matched", "excepted"])
@@ -45,7 +51,9 @@ def daily_series(matches: DataFrame, settlements: DataFrame, exceptions: DataFra
 
 def exposure(exceptions: DataFrame) -> DataFrame:
     """Count, value and worst severity by reason."""
-    return with_guidance(exceptions).groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("long").alias("value"), F.min_by("severity", "rank").alias("worst"))
+    return with_guidance(exceptions).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("amount").cast("long").alias("value"), F.min_by("severity", "rank").alias("worst")
+    )
 
 
 def register(exceptions: DataFrame) -> DataFrame:
@@ -53,7 +61,9 @@ def register(exceptions: DataFrame) -> DataFrame:
     return with_guidance(exceptions).orderBy("rank", F.desc("amount"), "exception_id")
 
 
-def exception_page(exceptions: DataFrame, severity: str | None = None, reason: str | None = None, text: str | None = None, limit: int = 60, offset: int = 0) -> DataFrame:
+def exception_page(
+    exceptions: DataFrame, severity: str | None = None, reason: str | None = None, text: str | None = None, limit: int = 60, offset: int = 0
+) -> DataFrame:
     """One page of the register under filters: a severity ceiling, a reason, a text in the summary or a subject id."""
     return filtered(exceptions, severity, reason, text).orderBy("rank", F.desc("amount"), "exception_id").offset(max(0, offset)).limit(max(1, min(1000, limit)))
 
@@ -98,10 +108,21 @@ def journal_page(entries: DataFrame, limit: int = 40) -> DataFrame:
 
 def related_records(exceptions: DataFrame, settlements: DataFrame, bank: DataFrame, payments: DataFrame, first: int = 12) -> DataFrame:
     """The first records that an exception names, each as a payout, else a bank line, else a payment."""
-    ids = exceptions.select("exception_id", F.posexplode(F.array_distinct(F.concat("subject_ids", "candidates"))).alias("place", "record_id")).where(F.col("place") < first)
-    s = settlements.select(F.col("settlement_id").alias("record_id"), F.struct(F.lit("settlement").alias("kind"), F.col("amount").alias("amount"), F.col("settled_on").alias("day")).alias("s"))
-    b = bank.select(F.col("line_id").alias("record_id"), F.struct(F.lit("bank_line").alias("kind"), F.col("amount").alias("amount"), F.col("value_date").alias("day")).alias("b"))
-    p = payments.select(F.col("payment_id").alias("record_id"), F.struct(F.lit("payment").alias("kind"), F.col("gross").alias("amount"), F.col("captured_on").alias("day")).alias("p"))
+    ids = exceptions.select(
+        "exception_id", F.posexplode(F.array_distinct(F.concat("subject_ids", "candidates"))).alias("place", "record_id")
+    ).where(F.col("place") < first)
+    s = settlements.select(
+        F.col("settlement_id").alias("record_id"),
+        F.struct(F.lit("settlement").alias("kind"), F.col("amount").alias("amount"), F.col("settled_on").alias("day")).alias("s")
+    )
+    b = bank.select(
+        F.col("line_id").alias("record_id"),
+        F.struct(F.lit("bank_line").alias("kind"), F.col("amount").alias("amount"), F.col("value_date").alias("day")).alias("b")
+    )
+    p = payments.select(
+        F.col("payment_id").alias("record_id"),
+        F.struct(F.lit("payment").alias("kind"), F.col("gross").alias("amount"), F.col("captured_on").alias("day")).alias("p")
+    )
     found = ids.join(s, "record_id", "left").join(b, "record_id", "left").join(p, "record_id", "left").withColumn("r", F.coalesce("s", "b", "p"))
     return found.where("r is not null").select("exception_id", "place", "record_id", "r.kind", "r.amount", "r.day")
 
@@ -131,11 +152,15 @@ def counters(run) -> DataFrame:
     m, x = run.proposed, run.exceptions
     by = lambda *reasons: F.count_if(F.col("reason").isin(*reasons))
     left = m.agg(
-        by("utr_exact", "utr_in_narration").alias("identifier_matched"), by("split_settlement").alias("split_matched"), by("amount_date_unique").alias("unique_amount_matched"),
+        by(
+            "utr_exact", "utr_in_narration"
+        ).alias("identifier_matched"), by("split_settlement").alias("split_matched"), by("amount_date_unique").alias("unique_amount_matched"),
         by("batch_subset_sum").alias("batches_matched"), by("rounding_tolerance").alias("tolerance_matched"), by("adjudicated_match").alias("adjudicated"), by("reversal_netted").alias("reversals_netted"))
     right = x.agg(
         by("fee_schedule_deviation").alias("fee_deviations"), by("fx_unverified").alias("fx_unverified"), by("ledger_entry_missing").alias("ledger_missing"),
-        by("unlinked_refund", "unlinked_chargeback").alias("unlinked_deductions"), by("ambiguous_candidates").alias("ambiguous"), by("malformed_record").alias("quarantined"))
+        by(
+            "unlinked_refund", "unlinked_chargeback"
+        ).alias("unlinked_deductions"), by("ambiguous_candidates").alias("ambiguous"), by("malformed_record").alias("quarantined"))
     return left.join(right)
 
 
@@ -149,13 +174,27 @@ def run_summary(run) -> DataFrame:
     rows = match_rate(run.accepted, b.settlements).join(values(run.accepted, run.exceptions)).join(b.record_count())
     rows = rows.join(run.accepted.agg(F.count(F.lit(1)).alias("matches"))).join(run.exceptions.agg(F.count(F.lit(1)).alias("exceptions")))
     rows = rows.join(b.bank.agg(F.count(F.lit(1)).alias("bank_lines"))).join(b.payments.agg(F.count(F.lit(1)).alias("payments")))
-    for df, key, name in ((run.accepted, "tier", "tier_counts"), (run.exceptions, "reason", "reason_counts"), (with_guidance(run.exceptions), "severity", "severity_counts")):
+    for df, key, name in (
+        (run.accepted, "tier", "tier_counts"), (run.exceptions, "reason", "reason_counts"),
+        (with_guidance(run.exceptions), "severity", "severity_counts")
+    ):
         rows = rows.join(counted(df, key).withColumnRenamed("counts", name))
-    rows = rows.join(checks(run.proposed, run.violations).select("violations", F.col("rejected").alias("verifier_rejections"), F.col("adjudicated_rejections").alias("verifier_rejected_adjudications")))
-    posted = totals(run.journal).select(F.col("entries").alias("journal_entries"), F.col("balanced").alias("journal_balances"), F.col("debits").alias("journal_debits"), F.col("credits").alias("journal_credits"))
+    rows = rows.join(
+        checks(run.proposed, run.violations).select(
+            "violations", F.col("rejected").alias("verifier_rejections"), F.col("adjudicated_rejections").alias("verifier_rejected_adjudications")
+        )
+    )
+    posted = totals(run.journal).select(
+        F.col("entries").alias("journal_entries"), F.col("balanced").alias("journal_balances"), F.col("debits").alias("journal_debits"),
+        F.col("credits").alias("journal_credits")
+    )
     seconds = sum(run.timings.values())
-    times = F.map_from_arrays(F.array(*map(F.lit, run.timings)), F.array(*map(F.lit, run.timings.values()))) if run.timings else F.lit(None).cast("map<string,double>")
-    out = rows.join(posted).join(counters(run)).withColumn("adjudicator", F.lit(run.adjudicator)).withColumn("stage_timings", times).withColumn("seconds", F.lit(seconds))
+    times = F.map_from_arrays(
+        F.array(*map(F.lit, run.timings)), F.array(*map(F.lit, run.timings.values()))
+    ) if run.timings else F.lit(None).cast("map<string,double>")
+    out = rows.join(posted).join(counters(run)).withColumn(
+        "adjudicator", F.lit(run.adjudicator)
+    ).withColumn("stage_timings", times).withColumn("seconds", F.lit(seconds))
     return out.withColumn("throughput_per_second", F.when(F.col("seconds") > 0, F.round(F.col("records") / F.col("seconds"), 1)))
 
 

@@ -30,9 +30,15 @@ def ingest_payments(spark, sf_dir):
     p = world.load(spark, sf_dir).payments
     raw = p.select(
         F.col("payment_id").alias("Txn ID"), F.col("order_id").alias("Reference ID"), rupees("gross").alias("Gross Amount"), rupees("fee").alias("Commission"), rupees("tax").alias("GST"),
-        F.when(F.crc32("payment_id") % 3 > 0, rupees("net")).alias("Settled Amount"), F.concat(F.date_format("captured_on", "yyyy-MM-dd"), F.lit("T12:00:00+05:30")).alias("Created At"),
-        F.upper("method").alias("METHOD"), F.lit(" ").alias("currency"), "settlement_id", F.when(F.col("international"), "Yes").otherwise("no").alias("international"))
-    return files.parse_rows(raw, "payments")[0].select("payment_id", "order_id", "gross", "fee", "tax", "net", "captured_on", "method", "currency", "settlement_id", "international")
+        F.when(F.crc32("payment_id") % 3 > 0, rupees("net")).alias("Settled Amount"), F.concat(
+            F.date_format("captured_on", "yyyy-MM-dd"), F.lit("T12:00:00+05:30")
+        ).alias("Created At"),
+        F.upper("method").alias("METHOD"), F.lit(" ").alias("currency"), "settlement_id", F.when(
+            F.col("international"), "Yes"
+        ).otherwise("no").alias("international"))
+    return files.parse_rows(raw, "payments")[0].select(
+        "payment_id", "order_id", "gross", "fee", "tax", "net", "captured_on", "method", "currency", "settlement_id", "international"
+    )
 
 
 @query(world.sql("""SELECT s.settlement_id, s.utr, s.amount, s.settled_on, p.ids, coalesce(r.ids, '') AS refund_ids, coalesce(a.ids, '') AS adjustment_ids FROM setl s
@@ -48,25 +54,44 @@ def ingest_settlements(spark, sf_dir):
                    packed("payment_ids").alias("payment_ids"), packed("refund_ids").alias("refund_ids"), packed("adjustment_ids").alias("adjustment_ids"))
     good = files.parse_rows(raw, "settlements")[0]
     listed = lambda c, name: F.concat_ws(",", F.array_sort(c)).alias(name)
-    return good.select("settlement_id", "utr", "amount", "settled_on", listed("payment_ids", "ids"), listed("refund_ids", "refund_ids"), listed("adjustment_ids", "adjustment_ids"))
+    return good.select(
+        "settlement_id", "utr", "amount", "settled_on", listed("payment_ids", "ids"), listed("refund_ids", "refund_ids"),
+        listed("adjustment_ids", "adjustment_ids")
+    )
 
 
-@query(world.sql("SELECT refund_id AS id, 'refund' AS kind, amount, created_on AS day, settlement_id, payment_id AS linked FROM rfd UNION ALL SELECT adjustment_id, kind, amount, created_on, settlement_id, linked_payment_id FROM adj"))
+@query(
+    world.sql(
+        "SELECT refund_id AS id, 'refund' AS kind, amount, created_on AS day, settlement_id, payment_id AS linked FROM rfd UNION ALL SELECT adjustment_id, kind, amount, created_on, settlement_id, linked_payment_id FROM adj"
+    )
+)
 def ingest_deductions(spark, sf_dir):
     """Refunds and adjustments from texts; amounts in brackets or with a sign."""
     b = world.load(spark, sf_dir)
-    r = b.refunds.select(F.col("refund_id").alias("ID"), "payment_id", rupees("amount").alias("amount"), F.date_format("created_on", "dd/MM/yyyy").alias("date"), "settlement_id")
+    r = b.refunds.select(
+        F.col("refund_id").alias("ID"), "payment_id", rupees("amount").alias("amount"), F.date_format("created_on", "dd/MM/yyyy").alias("date"),
+        "settlement_id"
+    )
     size = F.abs("amount")
     bracket = F.concat(F.lit("("), F.floor(size / 100).cast("string"), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"), F.lit(")"))
-    a = b.adjustments.select("adjustment_id", F.upper("kind").alias("Type"), bracket.alias("amount"), F.date_format("created_on", "yyyy-MM-dd").alias("created_at"), "settlement_id", F.col("linked_payment_id").alias("payment_id"))
+    a = b.adjustments.select(
+        "adjustment_id", F.upper("kind").alias("Type"), bracket.alias("amount"), F.date_format("created_on", "yyyy-MM-dd").alias("created_at"),
+        "settlement_id", F.col("linked_payment_id").alias("payment_id")
+    )
     good_r, good_a = files.parse_rows(r, "refunds")[0], files.parse_rows(a, "adjustments")[0]
     return good_r.select(F.col("refund_id").alias("id"), F.lit("refund").alias("kind"), "amount", F.col("created_on").alias("day"), "settlement_id", F.col("payment_id").alias("linked")).unionByName(
-        good_a.select(F.col("adjustment_id").alias("id"), "kind", "amount", F.col("created_on").alias("day"), "settlement_id", F.col("linked_payment_id").alias("linked")))
+        good_a.select(
+            F.col("adjustment_id").alias("id"), "kind", "amount", F.col("created_on").alias("day"), "settlement_id",
+            F.col("linked_payment_id").alias("linked")
+        ))
 
 
 @query(world.sql("SELECT entry_id, order_id, expected_gross, booked_on, 'INR' AS currency, 'open' AS status FROM led"))
 def ingest_ledger(spark, sf_dir):
-    raw = world.load(spark, sf_dir).ledger.select("entry_id", F.col("order_id").alias("Order"), rupees("expected_gross").alias("Invoice Amount"), F.date_format("booked_on", "MMM d, yyyy").alias("Invoice Date"))
+    raw = world.load(spark, sf_dir).ledger.select(
+        "entry_id", F.col("order_id").alias("Order"), rupees("expected_gross").alias("Invoice Amount"),
+        F.date_format("booked_on", "MMM d, yyyy").alias("Invoice Date")
+    )
     return files.parse_rows(raw, "ledger")[0].select("entry_id", "order_id", "expected_gross", "booked_on", "currency", "status")
 
 
@@ -87,19 +112,32 @@ marked AS (SELECT day, isodow(day) < 6 AND day NOT IN ({_holidays}) AS banking F
 chain AS (SELECT day, banking, min(CASE WHEN banking THEN day END) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM marked)"""
 
 
-@query(world.sql("SELECT o.o_orderkey AS k, c.day, c.banking, c.next FROM orders o JOIN chain c ON c.day = DATE '2026-01-01' + CAST(o.o_orderkey % 365 AS INTEGER)", YEAR))
+@query(
+    world.sql(
+        "SELECT o.o_orderkey AS k, c.day, c.banking, c.next FROM orders o JOIN chain c ON c.day = DATE '2026-01-01' + CAST(o.o_orderkey % 365 AS INTEGER)",
+        YEAR
+    )
+)
 def banking_calendar(spark, sf_dir):
     cal = D.calendar(spark, "2026-01-01", "2027-03-31")
-    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("o_orderkey") % 365).cast("int")).alias("day"))
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("k"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("o_orderkey") % 365).cast("int")).alias("day")
+    )
     return D.next_banking_day(days.withColumn("banking", D.is_banking_day(F.col("day"))), "day", "next", cal)
 
 
 @query(world.sql("SELECT settlement_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM win", WINDOWED))
 def date_ranges(spark, sf_dir):
-    return rel(spark, sf_dir, "SELECT settlement_id, lo, hi FROM win", WINDOWED).select("settlement_id", F.explode(D.date_range(F.col("lo"), F.col("hi"))).alias("day"))
+    return rel(spark, sf_dir, "SELECT settlement_id, lo, hi FROM win", WINDOWED).select(
+        "settlement_id", F.explode(D.date_range(F.col("lo"), F.col("hi"))).alias("day")
+    )
 
 
-@query(world.sql("SELECT s.settlement_id, s.settled_on - 1 AS win_lo, a.bday AS win_hi, s.settled_on - 2 AS wide_lo, b.bday AS wide_hi FROM setl s JOIN bday a ON a.bord = s.settled_ord + 4 JOIN bday b ON b.bord = s.settled_ord + 7"))
+@query(
+    world.sql(
+        "SELECT s.settlement_id, s.settled_on - 1 AS win_lo, a.bday AS win_hi, s.settled_on - 2 AS wide_lo, b.bday AS wide_hi FROM setl s JOIN bday a ON a.bord = s.settled_ord + 4 JOIN bday b ON b.bord = s.settled_ord + 7"
+    )
+)
 def configured_windows(spark, sf_dir):
     b = world.load(spark, sf_dir)
     config = Config(sla_banking_days=4, slack_days=1, late_banking_days=7)
@@ -128,7 +166,12 @@ def subset_sums(spark, sf_dir):
     return found.select("c", "s.solutions", "s.truncated", "s.is_unique", "s.exact", "s.best")
 
 
-@query(world.sql("SELECT c, round(least(count(*), 120) * 11 / 4001.0, 6) AS chance, least(count(*), 120) * 11 / 4001.0 < 0.05 AS credible FROM gaps WHERE abs(gap) <= 2000 GROUP BY c", SUMS))
+@query(
+    world.sql(
+        "SELECT c, round(least(count(*), 120) * 11 / 4001.0, 6) AS chance, least(count(*), 120) * 11 / 4001.0 < 0.05 AS credible FROM gaps WHERE abs(gap) <= 2000 GROUP BY c",
+        SUMS
+    )
+)
 def chance_hits(spark, sf_dir):
     found = pools(spark, sf_dir).select("c", subsets.chance("ids", "amounts", "goal", F.lit(3)).alias("chance"))
     return found.where("chance > 0").select("c", F.round("chance", 6).alias("chance"), (F.col("chance") < subsets.CHANCE).alias("credible"))
@@ -150,7 +193,12 @@ def payout_pools(spark, sf_dir):
 
 
 # --- an investigator's tools -----------------------------------------------------------------------------------------
-@query(world.sql("SELECT b.line_id, b.amount, b.value_date, b.narration, coalesce(string_agg(c.t, ',' ORDER BY c.score DESC, c.t, c.i), '') AS tokens FROM bank b LEFT JOIN cand c ON c.line_id = b.line_id AND c.shape IS NOT NULL GROUP BY b.line_id, b.amount, b.value_date, b.narration", TOKEN_SQL))
+@query(
+    world.sql(
+        "SELECT b.line_id, b.amount, b.value_date, b.narration, coalesce(string_agg(c.t, ',' ORDER BY c.score DESC, c.t, c.i), '') AS tokens FROM bank b LEFT JOIN cand c ON c.line_id = b.line_id AND c.shape IS NOT NULL GROUP BY b.line_id, b.amount, b.value_date, b.narration",
+        TOKEN_SQL
+    )
+)
 def credit_details(spark, sf_dir):
     return adjudicate.get_credit(world.load(spark, sf_dir).bank).withColumn("tokens", F.concat_ws(",", "tokens"))
 
@@ -160,7 +208,10 @@ def credit_details(spark, sf_dir):
     row_number() OVER (PARTITION BY k // 10 ORDER BY score DESC, k) AS n FROM weighed) WHERE n <= 8""", WEIGHED))
 def reference_scan(spark, sf_dir):
     w = rel(spark, sf_dir, "SELECT * FROM weighed", WEIGHED)
-    scored = w.select(F.concat(F.lit("setl_"), F.floor(F.col("k") / 10).cast("string")).alias("settlement_id"), F.format_string("bank_%010d", "k").alias("line_id"), "score", F.lit("m").alias("mechanism"))
+    scored = w.select(
+        F.concat(F.lit("setl_"), F.floor(F.col("k") / 10).cast("string")).alias("settlement_id"), F.format_string("bank_%010d", "k").alias("line_id"),
+        "score", F.lit("m").alias("mechanism")
+    )
     return adjudicate.scan_references(scored).select("settlement_id", "line_id", "strength", "carries")
 
 
@@ -192,7 +243,12 @@ def credits_nearby(spark, sf_dir):
     return adjudicate.credits_near(asked, world.load(spark, sf_dir).bank, 2).select("settlement_id", "line_id")
 
 
-@query(world.sql("SELECT settlement_id, CAST(n AS INTEGER) AS candidates FROM verdicts WHERE verdict NOT IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement', 'duplicate_identifier')", IDENTIFIED))
+@query(
+    world.sql(
+        "SELECT settlement_id, CAST(n AS INTEGER) AS candidates FROM verdicts WHERE verdict NOT IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement', 'duplicate_identifier')",
+        IDENTIFIED
+    )
+)
 def open_cases(spark, sf_dir):
     b = fixed(spark, sf_dir)
     x = matching.identifier(b.settlements, b.bank, b.bank.where("amount > 0"), b.calendar).exceptions
@@ -241,7 +297,9 @@ def verify_reversals(spark, sf_dir):
 def rejected_matches(spark, sf_dir):
     b = fixed(spark, sf_dir)
     _, rejected, found = verify.verify(netted_matches(spark, sf_dir), b.settlements, b.bank, b.calendar)
-    return verify.rejections(rejected, found).select(F.col("subject_source").alias("source"), F.get("subject_ids", F.lit(0)).alias("subject"), "amount", "delta")
+    return verify.rejections(rejected, found).select(
+        F.col("subject_source").alias("source"), F.get("subject_ids", F.lit(0)).alias("subject"), "amount", "delta"
+    )
 
 
 @query(world.sql("""SELECT (SELECT count(*) FROM netted) + (SELECT count(*) FROM debited) AS proposed, (SELECT count(*) FROM netted WHERE k // 30 % 2 = 1) AS accepted,
@@ -262,12 +320,22 @@ def unposted(spark, sf_dir):
     return journal.skipped(m, world.load(spark, sf_dir))
 
 
-@query(world.sql("SELECT 'je_' || substr(sha256(line_id), 1, 12) AS entry_id, CAST(sum(CASE WHEN debit THEN amount ELSE 0 END) AS BIGINT) AS amount, count(*) AS n_lines FROM jl WHERE amount <> 0 GROUP BY line_id", POSTED))
+@query(
+    world.sql(
+        "SELECT 'je_' || substr(sha256(line_id), 1, 12) AS entry_id, CAST(sum(CASE WHEN debit THEN amount ELSE 0 END) AS BIGINT) AS amount, count(*) AS n_lines FROM jl WHERE amount <> 0 GROUP BY line_id",
+        POSTED
+    )
+)
 def journal_entries(spark, sf_dir):
     return journal.entries(posted(spark, sf_dir)).select("entry_id", "amount", "n_lines")
 
 
-@query(world.sql("SELECT line_id AS match_id, -CAST(amount AS BIGINT) AS off FROM jl WHERE account = '5300' AND amount <> 0 AND CAST(substr(line_id, 6, 10) AS BIGINT) % 20 = 0", POSTED))
+@query(
+    world.sql(
+        "SELECT line_id AS match_id, -CAST(amount AS BIGINT) AS off FROM jl WHERE account = '5300' AND amount <> 0 AND CAST(substr(line_id, 6, 10) AS BIGINT) % 20 = 0",
+        POSTED
+    )
+)
 def unbalanced_entries(spark, sf_dir):
     """Entries that lost their fee line."""
     lines = posted(spark, sf_dir)
@@ -303,18 +371,33 @@ def reason_counts(spark, sf_dir):
     return report.reason_counts(audited(spark, sf_dir))
 
 
-@query(world.sql("SELECT tier, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value FROM (SELECT CASE WHEN amount = payout THEN 'T0' ELSE 'T3' END AS tier, amount FROM pairs) GROUP BY tier", PAIRS))
+@query(
+    world.sql(
+        "SELECT tier, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value FROM (SELECT CASE WHEN amount = payout THEN 'T0' ELSE 'T3' END AS tier, amount FROM pairs) GROUP BY tier",
+        PAIRS
+    )
+)
 def tier_counts(spark, sf_dir):
     m = rel(spark, sf_dir, "SELECT CASE WHEN amount = payout THEN 'T0' ELSE 'T3' END AS tier, amount AS bank_total FROM pairs", PAIRS)
     return report.tier_counts(m)
 
 
-@query(world.sql("SELECT (SELECT CAST(sum(amount) AS BIGINT) FROM pairs) AS value_matched, (SELECT CAST(sum(amount) AS BIGINT) FROM found WHERE severity IN ('critical', 'high')) AS value_at_risk", AUDITED, PAIRS))
+@query(
+    world.sql(
+        "SELECT (SELECT CAST(sum(amount) AS BIGINT) FROM pairs) AS value_matched, (SELECT CAST(sum(amount) AS BIGINT) FROM found WHERE severity IN ('critical', 'high')) AS value_at_risk",
+        AUDITED, PAIRS
+    )
+)
 def matched_and_at_risk(spark, sf_dir):
     return report.values(rel(spark, sf_dir, "SELECT amount AS bank_total FROM pairs", PAIRS), audited(spark, sf_dir))
 
 
-@query(world.sql("SELECT severity, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value FROM found WHERE reason = 'fee_schedule_deviation' AND contains(subject, 'pay_1') GROUP BY severity", AUDITED))
+@query(
+    world.sql(
+        "SELECT severity, count(*) AS n, CAST(sum(amount) AS BIGINT) AS value FROM found WHERE reason = 'fee_schedule_deviation' AND contains(subject, 'pay_1') GROUP BY severity",
+        AUDITED
+    )
+)
 def filtered_facts(spark, sf_dir):
     return report.page_facts(audited(spark, sf_dir), reason="fee_schedule_deviation", text="PAY_1")
 
@@ -328,17 +411,29 @@ def page_info(spark, sf_dir):
 def exception_detail(spark, sf_dir):
     b, x = world.load(spark, sf_dir), audited(spark, sf_dir)
     out = report.exception_detail(x, b.settlements, b.bank, b.payments)
-    return out.select(F.concat_ws(",", "subject_ids").alias("subjects"), "severity", F.concat_ws(",", F.transform("related", lambda r: r["record_id"])).alias("related"), F.size("related").alias("n"))
-
-
-@query(world.sql("SELECT match_id FROM (SELECT line_id AS match_id, row_number() OVER (ORDER BY line_id) AS n FROM pairs WHERE amount = payout) WHERE n <= 500", PAIRS))
+    return out.select(
+        F.concat_ws(",", "subject_ids").alias("subjects"), "severity",
+        F.concat_ws(",", F.transform("related", lambda r: r["record_id"])).alias("related"), F.size("related").alias("n")
+    )
+
+
+@query(
+    world.sql(
+        "SELECT match_id FROM (SELECT line_id AS match_id, row_number() OVER (ORDER BY line_id) AS n FROM pairs WHERE amount = payout) WHERE n <= 500",
+        PAIRS
+    )
+)
 def match_page(spark, sf_dir):
     """At most 500, whatever is asked for."""
     m = rel(spark, sf_dir, "SELECT line_id AS match_id, CASE WHEN amount = payout THEN 'T0' ELSE 'T3' END AS tier FROM pairs", PAIRS)
     return report.match_page(m, tier="T0", limit=9999).select("match_id")
 
 
-@query(world.sql("SELECT line_id, CAST(sum(amount) OVER (PARTITION BY length(narration) ORDER BY value_date, line_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM bank"))
+@query(
+    world.sql(
+        "SELECT line_id, CAST(sum(amount) OVER (PARTITION BY length(narration) ORDER BY value_date, line_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance FROM bank"
+    )
+)
 def running_balance(spark, sf_dir):
     bank = world.load(spark, sf_dir).bank.withColumn("account", F.length("narration"))
     return generator.running_balance(bank).select("line_id", "balance")
@@ -365,7 +460,9 @@ def case_verdicts(spark, sf_dir):
     matches = g.where(hit).select(own("m_").alias("match_id"), F.col("k").alias("seq"), F.array(own("s_")).alias("settlement_ids"),
                                   F.when(wrong, F.array(own("x_"))).otherwise(F.array(own("b_"))).alias("bank_line_ids"), F.lit("utr_exact").alias("reason"))
     even = F.col("j") % 2 == 0
-    x = lambda rows, reason, subjects, candidates: as_exceptions(rows, "psp", reason, subjects, F.lit(1), F.lit("2026-01-01"), F.lit(""), candidates=candidates)
+    x = lambda rows, reason, subjects, candidates: as_exceptions(
+        rows, "psp", reason, subjects, F.lit(1), F.lit("2026-01-01"), F.lit(""), candidates=candidates
+    )
     expected = x(g.where((F.col("disposition") == "exception") & even), "amount_mismatch", F.array(own("s_")), none)
     other = x(g.where((F.col("disposition") == "exception") & (F.col("j") % 7 == 0)), "fx_unverified", F.array(own("z_")), F.array(own("b_")))
     broken = x(g.where((F.col("disposition") == "ignore") & even), "fx_unverified", F.array(own("b_")), none)

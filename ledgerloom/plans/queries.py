@@ -45,7 +45,10 @@ def fixed(spark: SparkSession, sf_dir: str) -> world.Batch:
 
 def flat(exceptions: DataFrame) -> DataFrame:
     """Exceptions without nested columns or prose."""
-    return exceptions.select("exception_id", "reason", F.concat_ws(",", "subject_ids").alias("subjects"), "amount", "as_of", F.concat_ws(",", "candidates").alias("candidates"), F.col("delta"))
+    return exceptions.select(
+        "exception_id", "reason", F.concat_ws(",", "subject_ids").alias("subjects"), "amount", "as_of",
+        F.concat_ws(",", "candidates").alias("candidates"), F.col("delta")
+    )
 
 
 def exception_sql(reason: str, subject: str, amount: str, as_of: str, delta: str = "CAST(NULL AS BIGINT)", candidates: str = "''") -> str:
@@ -78,7 +81,10 @@ def money_parse(spark, sf_dir):
     CAST(p / 100.0 AS DECIMAL(20,2)) AS rupees FROM parts""", AMOUNTS))
 def money_format(spark, sf_dir):
     df = rel(spark, sf_dir, "SELECT k, p FROM parts", AMOUNTS)
-    return df.select("k", "p", money.format_inr(F.when(F.col("p") % 7 == 0, -F.col("p")).otherwise(F.col("p"))).alias("shown"), money.paise_to_rupees(F.col("p")).alias("rupees"))
+    return df.select(
+        "k", "p", money.format_inr(F.when(F.col("p") % 7 == 0, -F.col("p")).otherwise(F.col("p"))).alias("shown"),
+        money.paise_to_rupees(F.col("p")).alias("rupees")
+    )
 
 
 PAIRS = """pairs AS (
@@ -91,7 +97,9 @@ PAIRS = """pairs AS (
       AND list_sort(string_split(CAST(abs(amount) AS VARCHAR), '')) = list_sort(string_split(CAST(abs(payout) AS VARCHAR), '')) AS transposition FROM pairs""", PAIRS))
 def amount_suspicions(spark, sf_dir):
     a, b = F.col("amount"), F.col("payout")
-    return rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS).select("line_id", money.is_scale_error(a, b).alias("scale_error"), money.is_transposition(a, b).alias("transposition"))
+    return rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS).select(
+        "line_id", money.is_scale_error(a, b).alias("scale_error"), money.is_transposition(a, b).alias("transposition")
+    )
 
 
 # --- dates -----------------------------------------------------------------------------------------------------------
@@ -108,28 +116,45 @@ def date_parse(spark, sf_dir):
     return rel(spark, sf_dir, "SELECT k, raw FROM shown", DATES).withColumn("day", D.business_date(D.parse_datetime(F.col("raw"))))
 
 
-@query(world.sql("SELECT d.k, d.d AS start, b.bday AS due FROM dated d JOIN cal c ON c.day = d.d JOIN bday b ON b.bord = c.ord + CASE WHEN d.k % 4 = 0 THEN 1 - c.banking ELSE d.k % 4 END", DATES))
+@query(
+    world.sql(
+        "SELECT d.k, d.d AS start, b.bday AS due FROM dated d JOIN cal c ON c.day = d.d JOIN bday b ON b.bord = c.ord + CASE WHEN d.k % 4 = 0 THEN 1 - c.banking ELSE d.k % 4 END",
+        DATES
+    )
+)
 def banking_day_add(spark, sf_dir):
     cal = world.load(spark, sf_dir).calendar
     df = rel(spark, sf_dir, "SELECT k, d AS start, k % 4 AS n FROM dated", DATES)
     return D.add_banking_days(df, "start", F.col("n"), "due", cal).select("k", "start", "due")
 
 
-@query(world.sql("SELECT p.line_id, CAST(b.ord - a.ord AS BIGINT) AS n, CAST(a.ord - b.ord AS BIGINT) AS back FROM pairs p JOIN cal a ON a.day = p.settled_on JOIN cal b ON b.day = p.value_date", PAIRS))
+@query(
+    world.sql(
+        "SELECT p.line_id, CAST(b.ord - a.ord AS BIGINT) AS n, CAST(a.ord - b.ord AS BIGINT) AS back FROM pairs p JOIN cal a ON a.day = p.settled_on JOIN cal b ON b.day = p.value_date",
+        PAIRS
+    )
+)
 def banking_days_between(spark, sf_dir):
     cal = world.load(spark, sf_dir).calendar
     df = D.banking_days_between(rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS), "settled_on", "value_date", "n", cal)
     return D.banking_days_between(df, "value_date", "settled_on", "back", cal).select("line_id", "n", "back")
 
 
-@query(world.sql("SELECT d.k, t.bday AS target, e.bday AS earliest, l.bday AS latest FROM dated d JOIN cal c ON c.day = d.d JOIN bday t ON t.bord = c.ord + 2 JOIN bday e ON e.bord = c.ord + 1 JOIN bday l ON l.bord = c.ord + 3", DATES))
+@query(
+    world.sql(
+        "SELECT d.k, t.bday AS target, e.bday AS earliest, l.bday AS latest FROM dated d JOIN cal c ON c.day = d.d JOIN bday t ON t.bord = c.ord + 2 JOIN bday e ON e.bord = c.ord + 1 JOIN bday l ON l.bord = c.ord + 3",
+        DATES
+    )
+)
 def settlement_window(spark, sf_dir):
     df = rel(spark, sf_dir, "SELECT k, d FROM dated", DATES)
     return D.settlement_window(df, "d", world.load(spark, sf_dir).calendar).select("k", "target", "earliest", "latest")
 
 
 # --- narrations ------------------------------------------------------------------------------------------------------
-_shape = lambda values: "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN {v}" for (p, _, _), v in zip(narration.SHAPES, values, strict=True)) + " END"
+_shape = lambda values: "CASE " + " ".join(
+    f"WHEN regexp_matches(t, '{p}') THEN {v}" for (p, _, _), v in zip(narration.SHAPES, values, strict=True)
+) + " END"
 _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
 TOKEN_SQL = f"""words AS (SELECT line_id, list_filter(regexp_split_to_array(upper(narration), '[^A-Z0-9]+'), lambda x: x <> '') AS w FROM bank),
 toks AS (SELECT line_id, w[i + 1] AS t, i, coalesce(w[i], '') AS prev FROM words, unnest(range(0, len(w))) AS r(i)),
@@ -144,10 +169,17 @@ def narration_tokens(spark, sf_dir):
     return df.select("line_id", "c.token", "c.shape", "c.score", "c.position")
 
 
-@query(world.sql("SELECT line_id, regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g') AS flat, contains(upper(narration), 'ACME') OR contains(upper(narration), 'CASH') AS named FROM bank"))
+@query(
+    world.sql(
+        "SELECT line_id, regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g') AS flat, contains(upper(narration), 'ACME') OR contains(upper(narration), 'CASH') AS named FROM bank"
+    )
+)
 def normalize_ref(spark, sf_dir):
     df = rel(spark, sf_dir, "SELECT line_id, narration FROM bank")
-    return df.select("line_id", narration.normalize_ref(F.col("narration")).alias("flat"), narration.mentions_any(F.col("narration"), F.array(F.lit("Acme"), F.lit("cash"))).alias("named"))
+    return df.select(
+        "line_id", narration.normalize_ref(F.col("narration")).alias("flat"),
+        narration.mentions_any(F.col("narration"), F.array(F.lit("Acme"), F.lit("cash"))).alias("named")
+    )
 
 
 @query(world.sql("""SELECT p.line_id, CASE WHEN p.utr IS NULL THEN 0.0 WHEN contains(regexp_replace(upper(p.narration), '[^A-Z0-9]', '', 'g'), p.utr) THEN 1.0
@@ -160,7 +192,11 @@ def ref_score(spark, sf_dir):
 
 
 # --- fees ------------------------------------------------------------------------------------------------------------
-@query(world.sql("SELECT 'pay_' || CAST(k AS STRING) || '_' || CAST(seq AS STRING) AS payment_id, base_fee AS expected_fee, CAST(floor((base_fee * 18 + 50) / 100.0) AS BIGINT) AS expected_tax FROM lf"))
+@query(
+    world.sql(
+        "SELECT 'pay_' || CAST(k AS STRING) || '_' || CAST(seq AS STRING) AS payment_id, base_fee AS expected_fee, CAST(floor((base_fee * 18 + 50) / 100.0) AS BIGINT) AS expected_tax FROM lf"
+    )
+)
 def fee_breakdown(spark, sf_dir):
     return fees.with_fees(world.load(spark, sf_dir).payments, fees.rate_card(spark)).select("payment_id", "expected_fee", "expected_tax")
 
@@ -178,7 +214,10 @@ def fee_overcharge(spark, sf_dir):
     return audits.fee_overcharge(world.load(spark, sf_dir), fees.rate_card(spark))
 
 
-CARD_SQL = "card AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, {b} AS bps, {t or 'CAST(NULL AS INTEGER)'} AS threshold, {a or 'CAST(NULL AS INTEGER)'} AS above" for m, b, t, a, _ in fees.RATE_CARD) + ")"
+CARD_SQL = "card AS (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, {b} AS bps, {t or 'CAST(NULL AS INTEGER)'} AS threshold, {a or 'CAST(NULL AS INTEGER)'} AS above" for m, b, t, a,
+    _ in fees.RATE_CARD
+) + ")"
 INVERT_SQL = f"""{CARD_SQL}, rates AS (SELECT method, bps AS rate FROM card UNION SELECT method, above FROM card WHERE above IS NOT NULL),
 netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0),
 seeds AS (SELECT net, method, CAST(round(CAST(net AS DECIMAL(30,8)) * 1000000 / (1000000 - 118 * rate)) AS BIGINT) AS seed FROM netted CROSS JOIN rates),
@@ -197,7 +236,14 @@ COMPONENTS = """comps AS (SELECT s.k, s.settlement_id, s.amount, s.settled_on, n
   LEFT JOIN rfd r ON r.k = s.k AND r.settlement_id IS NOT NULL LEFT JOIN adj a ON a.k = s.k AND a.settlement_id IS NOT NULL)"""
 
 
-@query(world.sql(f"SELECT {exception_sql('reason', 'settlement_id', 'abs(delta)', 'settled_on', 'delta')} FROM (SELECT *, amount - expected AS delta, CASE WHEN amount < expected THEN 'partial_settlement_open' ELSE 'amount_mismatch' END AS reason FROM comps) WHERE abs(delta) > 5", COMPONENTS))
+@query(
+    world.sql(
+        f"SELECT {
+            exception_sql('reason', 'settlement_id', 'abs(delta)', 'settled_on', 'delta')
+        } FROM (SELECT *, amount - expected AS delta, CASE WHEN amount < expected THEN 'partial_settlement_open' ELSE 'amount_mismatch' END AS reason FROM comps) WHERE abs(delta) > 5",
+        COMPONENTS
+    )
+)
 def component_audit(spark, sf_dir):
     return flat(audits.component_audit(world.load(spark, sf_dir)))
 
@@ -207,7 +253,13 @@ def fx_audit(spark, sf_dir):
     return flat(audits.fx_audit(world.load(spark, sf_dir)))
 
 
-@query(world.sql(f"SELECT {exception_sql(chr(39) + 'ledger_entry_missing' + chr(39), 'payment_id', 'gross', 'captured_on')} FROM pay p WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.order_id = p.order_id)"))
+@query(
+    world.sql(
+        f"SELECT {
+            exception_sql(chr(39) + 'ledger_entry_missing' + chr(39), 'payment_id', 'gross', 'captured_on')
+        } FROM pay p WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.order_id = p.order_id)"
+    )
+)
 def ledger_coverage(spark, sf_dir):
     return flat(audits.ledger_coverage(world.load(spark, sf_dir)))
 
@@ -225,7 +277,11 @@ def payout_ledger(spark, sf_dir):
     return audits.ledger_of(b.settlements, b.payments, b.ledger)
 
 
-@query(world.sql("SELECT utr, count(*) AS n, string_agg(settlement_id, ',' ORDER BY settlement_id) AS settlement_ids FROM (SELECT settlement_id, CASE WHEN k % 100 = 0 THEN 'SHARED' ELSE utr END AS utr FROM setl) WHERE utr IS NOT NULL GROUP BY utr HAVING count(*) > 1"))
+@query(
+    world.sql(
+        "SELECT utr, count(*) AS n, string_agg(settlement_id, ',' ORDER BY settlement_id) AS settlement_ids FROM (SELECT settlement_id, CASE WHEN k % 100 = 0 THEN 'SHARED' ELSE utr END AS utr FROM setl) WHERE utr IS NOT NULL GROUP BY utr HAVING count(*) > 1"
+    )
+)
 def duplicate_utrs(spark, sf_dir):
     return audits.duplicate_references(rel(spark, sf_dir, "SELECT settlement_id, CASE WHEN k % 100 = 0 THEN 'sha-red' ELSE utr END AS utr FROM setl"))
 
@@ -234,7 +290,12 @@ def duplicate_utrs(spark, sf_dir):
 WINDOWED = "win AS (SELECT s.*, s.settled_on - 3 AS lo, b.bday AS hi FROM setl s JOIN bday b ON b.bord = s.settled_ord + 2)"
 
 
-@query(world.sql("SELECT w.settlement_id, count(*) AS n, CAST(sum(l.amount) AS BIGINT) AS amount FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi GROUP BY w.settlement_id", WINDOWED))
+@query(
+    world.sql(
+        "SELECT w.settlement_id, count(*) AS n, CAST(sum(l.amount) AS BIGINT) AS amount FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi GROUP BY w.settlement_id",
+        WINDOWED
+    )
+)
 def window_range_join(spark, sf_dir):
     """Lines are summed by day first, so a payout meets a row a day of its window."""
     s = rel(spark, sf_dir, "SELECT settlement_id, lo, hi FROM win", WINDOWED)
@@ -246,7 +307,9 @@ def window_range_join(spark, sf_dir):
 def near_amount_join(spark, sf_dir):
     b = world.load(spark, sf_dir)
     s = b.settlements.select("settlement_id", F.col("amount").alias("payout"))
-    return joins.near_amount(s, b.bank.select("line_id", "amount"), "payout", "amount", 5).select("settlement_id", "line_id", F.expr("amount - payout").alias("gap"))
+    return joins.near_amount(s, b.bank.select("line_id", "amount"), "payout", "amount", 5).select(
+        "settlement_id", "line_id", F.expr("amount - payout").alias("gap")
+    )
 
 
 @query(world.sql("""SELECT settlement_id, line_id, rival_id, gap FROM (SELECT p.settlement_id, p.line_id, r.settlement_id AS rival_id, abs(r.amount - p.amount) AS gap,
@@ -260,7 +323,10 @@ def contested_credits(spark, sf_dir):
 
 # --- passes ----------------------------------------------------------------------------------------------------------
 def flat_matches(m: DataFrame) -> DataFrame:
-    return m.select("match_id", F.concat_ws(",", "bank_line_ids").alias("lines"), F.concat_ws(",", "settlement_ids").alias("settlements"), "tier", "reason", "confidence", "bank_total", "expected_total")
+    return m.select(
+        "match_id", F.concat_ws(",", "bank_line_ids").alias("lines"), F.concat_ws(",", "settlement_ids").alias("settlements"), "tier", "reason",
+        "confidence", "bank_total", "expected_total"
+    )
 
 
 @query(world.sql("""SELECT 'm_' || substr(sha256('T0|' || c.line_id || '|' || d.line_id || '|'), 1, 12) AS match_id, c.line_id || ',' || d.line_id AS lines, '' AS settlements, 'T0' AS tier, 'reversal_netted' AS reason,
@@ -299,13 +365,25 @@ def identifier_match(spark, sf_dir):
     return flat_matches(out.matches).select("settlements", "lines", "reason", "tier", "confidence", "bank_total", "expected_total")
 
 
-@query(world.sql("SELECT settlement_id AS settlements, lines, payout, CASE WHEN verdict = 'date_out_of_window' THEN late ELSE total - payout END AS delta, verdict IN ('date_out_of_window', 'duplicate_identifier', 'ambiguous_candidates') AS not_amount FROM verdicts WHERE verdict NOT IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')", IDENTIFIED))
+@query(
+    world.sql(
+        "SELECT settlement_id AS settlements, lines, payout, CASE WHEN verdict = 'date_out_of_window' THEN late ELSE total - payout END AS delta, verdict IN ('date_out_of_window', 'duplicate_identifier', 'ambiguous_candidates') AS not_amount FROM verdicts WHERE verdict NOT IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')",
+        IDENTIFIED
+    )
+)
 def identifier_breaks(spark, sf_dir):
     b = fixed(spark, sf_dir)
     pairs = matching.identifier_pairs(b.settlements, b.bank, b.bank.where("amount > 0"), b.calendar, Config())
     d = matching.decide_identifier(pairs, Config()).where("verdict not in ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')")
-    rows = d.groupBy("settlement_id", "verdict").agg(F.concat_ws(",", F.array_sort(F.collect_list("shown"))).alias("lines"), F.first("payout").alias("payout"), F.first("gap").alias("gap"), F.max("late").alias("late"))
-    return rows.select(F.col("settlement_id").alias("settlements"), "lines", "payout", F.when(F.col("verdict") == "date_out_of_window", F.col("late")).otherwise(F.col("gap")).alias("delta"), F.col("verdict").isin("date_out_of_window", "duplicate_identifier", "ambiguous_candidates").alias("not_amount"))
+    rows = d.groupBy("settlement_id", "verdict").agg(
+        F.concat_ws(",", F.array_sort(F.collect_list("shown"))).alias("lines"), F.first("payout").alias("payout"), F.first("gap").alias("gap"),
+        F.max("late").alias("late")
+    )
+    return rows.select(
+        F.col("settlement_id").alias("settlements"), "lines", "payout",
+        F.when(F.col("verdict") == "date_out_of_window", F.col("late")).otherwise(F.col("gap")).alias("delta"),
+        F.col("verdict").isin("date_out_of_window", "duplicate_identifier", "ambiguous_candidates").alias("not_amount")
+    )
 
 
 NEAR = f"""{WINDOWED},
@@ -313,14 +391,24 @@ hits AS (SELECT b.settlement_id, l.line_id, b.amount, l.amount AS got FROM win b
 alone AS (SELECT s.settlement_id FROM win s JOIN win r ON r.amount = s.amount AND r.settled_on BETWEEN s.lo - 2 AND s.hi + 2 GROUP BY s.settlement_id HAVING count(*) = 1)"""
 
 
-@query(world.sql("SELECT settlement_id AS settlements, min(line_id) AS lines, min(amount) AS amount FROM hits JOIN alone USING (settlement_id) WHERE got = amount GROUP BY settlement_id HAVING count(*) = 1", NEAR))
+@query(
+    world.sql(
+        "SELECT settlement_id AS settlements, min(line_id) AS lines, min(amount) AS amount FROM hits JOIN alone USING (settlement_id) WHERE got = amount GROUP BY settlement_id HAVING count(*) = 1",
+        NEAR
+    )
+)
 def unique_amount(spark, sf_dir):
     b = fixed(spark, sf_dir)
     out = matching.unique_amount(b.settlements, b.bank.where("amount > 0"), b.calendar).matches
     return flat_matches(out).select("settlements", "lines", F.col("bank_total").alias("amount"))
 
 
-@query(world.sql("SELECT settlement_id AS settlements, min(line_id) AS lines, min(got) AS bank_total FROM hits GROUP BY settlement_id HAVING count(*) = 1", NEAR))
+@query(
+    world.sql(
+        "SELECT settlement_id AS settlements, min(line_id) AS lines, min(got) AS bank_total FROM hits GROUP BY settlement_id HAVING count(*) = 1",
+        NEAR
+    )
+)
 def tolerance_match(spark, sf_dir):
     b = fixed(spark, sf_dir)
     out = matching.tolerance_amount(b.settlements, b.bank.where("amount > 0"), b.calendar).matches
@@ -331,7 +419,9 @@ def tolerance_match(spark, sf_dir):
 def batch_decomposition(spark, sf_dir):
     b = fixed(spark, sf_dir)
     rows = matching.decompose(b.settlements, b.bank.where("amount > 0"))
-    return rows.select("verdict", "line_id", "amount", "value_date", F.concat_ws(",", F.array_sort("settlements")).alias("settlements"), "total", "pool_size", "most")
+    return rows.select(
+        "verdict", "line_id", "amount", "value_date", F.concat_ws(",", F.array_sort("settlements")).alias("settlements"), "total", "pool_size", "most"
+    )
 
 
 @query("""WITH n AS (SELECT DISTINCT o_custkey % 400 + 1 AS n FROM orders), c AS (SELECT n, CAST(n AS DOUBLE) AS c1, n * (n - 1) / 2.0 AS c2, n * (n - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
@@ -374,7 +464,12 @@ facts AS (SELECT l.settlement_id, l.line_id, l.score, l.delta, v.ord - l.settled
 judged AS (SELECT settlement_id, line_id, {_evidence} AS confidence FROM facts), {_decided}"""
 
 
-@query(world.sql("SELECT settlement_id, line_id, confidence, CASE rationale WHEN 'clear' THEN 'match' ELSE 'abstain' END AS decision, rationale FROM verdicts", JUDGED))
+@query(
+    world.sql(
+        "SELECT settlement_id, line_id, confidence, CASE rationale WHEN 'clear' THEN 'match' ELSE 'abstain' END AS decision, rationale FROM verdicts",
+        JUDGED
+    )
+)
 def adjudication_decisions(spark, sf_dir):
     b = fixed(spark, sf_dir)
     listed = matching.settle(adjudicate.shortlist(b.settlements, b.bank.where("amount > 0"), b.calendar, fees.rate_card(spark)))
@@ -390,7 +485,9 @@ def shortlist_topk(spark, sf_dir):
 @query(world.sql(f"""SELECT line_id, amount - payout AS delta, CASE WHEN amount > payout THEN 'larger' WHEN amount < payout THEN 'smaller' ELSE 'identical' END AS side, abs(amount - payout) <= 5 AS within_tolerance,
   {_scale} AS scale_error, {_turned} AS transposition FROM pairs""", PAIRS))
 def explain_gap(spark, sf_dir):
-    return adjudicate.explain_gap(rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)).select("line_id", "delta", "side", "within_tolerance", "scale_error", "transposition")
+    return adjudicate.explain_gap(rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)).select(
+        "line_id", "delta", "side", "within_tolerance", "scale_error", "transposition"
+    )
 
 
 # --- checks and posting ----------------------------------------------------------------------------------------------
@@ -405,7 +502,11 @@ def seeded_matches(spark, sf_dir) -> DataFrame:
 
     m = matching.settle(rel(spark, sf_dir, "SELECT * FROM claimed", SEEDED))
     proof = F.array(evidence("seed", F.lit("seed"), F.col("weight"))).cast(EVIDENCE)
-    return m.select("match_id", "seq", F.array("line_id").alias("bank_line_ids"), F.array("settlement_id").alias("settlement_ids"), F.lit("T0").alias("tier"), F.lit("utr_exact").alias("reason"), F.col("confidence").cast("double").alias("confidence"), "bank_total", "expected_total", proof.alias("evidence"))
+    return m.select(
+        "match_id", "seq", F.array("line_id").alias("bank_line_ids"), F.array("settlement_id").alias("settlement_ids"), F.lit("T0").alias("tier"),
+        F.lit("utr_exact").alias("reason"), F.col("confidence").cast("double").alias("confidence"), "bank_total", "expected_total",
+        proof.alias("evidence")
+    )
 
 
 FAILED = f"""{SEEDED}, facts AS (SELECT c.*, p.amount AS line_sum, p.payout AS paid_sum, v.ord - s.ord AS late FROM claimed c LEFT JOIN pairs p ON p.line_id = c.line_id LEFT JOIN cal v ON v.day = p.value_date LEFT JOIN cal s ON s.day = p.settled_on),
@@ -425,7 +526,12 @@ def verify_matches(spark, sf_dir):
     return verify.verify(seeded_matches(spark, sf_dir), b.settlements, b.bank, b.calendar)[2].select("match_id", "seq", "invariant")
 
 
-@query(world.sql("SELECT invariant, count(*) AS n FROM (SELECT invariant FROM basic UNION ALL SELECT 'no_double_claim' FROM owned WHERE owner <> seq) GROUP BY invariant", FAILED))
+@query(
+    world.sql(
+        "SELECT invariant, count(*) AS n FROM (SELECT invariant FROM basic UNION ALL SELECT 'no_double_claim' FROM owned WHERE owner <> seq) GROUP BY invariant",
+        FAILED
+    )
+)
 def violations_by_invariant(spark, sf_dir):
     b = fixed(spark, sf_dir)
     return verify.violation_counts(verify.verify(seeded_matches(spark, sf_dir), b.settlements, b.bank, b.calendar)[2])
@@ -452,16 +558,29 @@ jl AS (SELECT line_id, '1010' AS account, true AS debit, cash AS amount FROM res
 def posted(spark, sf_dir) -> DataFrame:
     b = world.load(spark, sf_dir)
     m = rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)
-    matches = m.select(F.col("line_id").alias("match_id"), F.array("line_id").alias("bank_line_ids"), F.array("settlement_id").alias("settlement_ids"), F.lit("utr_exact").alias("reason"), F.col("amount").alias("bank_total"))
+    matches = m.select(
+        F.col("line_id").alias("match_id"), F.array("line_id").alias("bank_line_ids"), F.array("settlement_id").alias("settlement_ids"),
+        F.lit("utr_exact").alias("reason"), F.col("amount").alias("bank_total")
+    )
     return journal.journal_lines(matches, b)
 
 
-@query(world.sql("SELECT 'je_' || substr(sha256(jl.line_id), 1, 12) AS entry_id, jl.line_id AS match_id, settled_on AS posted_on, account, debit, CAST(jl.amount AS BIGINT) AS amount FROM jl JOIN pairs p ON p.line_id = jl.line_id WHERE jl.amount <> 0", POSTED))
+@query(
+    world.sql(
+        "SELECT 'je_' || substr(sha256(jl.line_id), 1, 12) AS entry_id, jl.line_id AS match_id, settled_on AS posted_on, account, debit, CAST(jl.amount AS BIGINT) AS amount FROM jl JOIN pairs p ON p.line_id = jl.line_id WHERE jl.amount <> 0",
+        POSTED
+    )
+)
 def journal_lines(spark, sf_dir):
     return posted(spark, sf_dir).select("entry_id", "match_id", "posted_on", "account", "debit", "amount")
 
 
-@query(world.sql("SELECT account, CASE WHEN sum(CASE WHEN debit THEN amount ELSE -amount END) >= 0 THEN 'Dr' ELSE 'Cr' END AS side, CAST(abs(sum(CASE WHEN debit THEN amount ELSE -amount END)) AS BIGINT) AS amount FROM jl WHERE amount <> 0 GROUP BY account", POSTED))
+@query(
+    world.sql(
+        "SELECT account, CASE WHEN sum(CASE WHEN debit THEN amount ELSE -amount END) >= 0 THEN 'Dr' ELSE 'Cr' END AS side, CAST(abs(sum(CASE WHEN debit THEN amount ELSE -amount END)) AS BIGINT) AS amount FROM jl WHERE amount <> 0 GROUP BY account",
+        POSTED
+    )
+)
 def trial_balance(spark, sf_dir):
     return journal.trial_balance(posted(spark, sf_dir)).select("account", "side", "amount")
 
@@ -479,7 +598,12 @@ CASES = f"""scored AS (SELECT 'case_' || CAST(o_orderkey AS STRING) AS case_id,
   CASE (o_orderkey * 7 + o_custkey) % 9 {_verdicts} END AS verdict FROM orders)"""
 
 
-@query(world.sql("SELECT scenario, difficulty, verdict, count(*) AS n FROM scored GROUP BY GROUPING SETS ((scenario, verdict), (difficulty, verdict), (verdict))", CASES))
+@query(
+    world.sql(
+        "SELECT scenario, difficulty, verdict, count(*) AS n FROM scored GROUP BY GROUPING SETS ((scenario, verdict), (difficulty, verdict), (verdict))",
+        CASES
+    )
+)
 def scorecard_tally(spark, sf_dir):
     return scorecard.tally(rel(spark, sf_dir, "SELECT * FROM scored", CASES))
 
@@ -490,7 +614,9 @@ def scorecard_tally(spark, sf_dir):
   CAST(count(*) FILTER (verdict = 'correct_match') AS DOUBLE) AS cm, count(*) FILTER (verdict = 'wrong_match') AS wm, count(*) FILTER (verdict = 'false_match') AS fm, count(*) FILTER (verdict = 'missed_match') AS mm,
   CAST(count(*) FILTER (verdict = 'correct_exception') AS DOUBLE) AS ce, count(*) FILTER (verdict = 'exception_wrong_reason') AS wr, count(*) FILTER (verdict = 'missed_exception') AS me, count(*) FILTER (verdict = 'correct_ignore') AS ci FROM scored)""", CASES))
 def scorecard_ratios(spark, sf_dir):
-    return scorecard.ratios(rel(spark, sf_dir, "SELECT * FROM scored", CASES)).select("precision", "recall", "exception_recall", "reason_accuracy", "accuracy", "false_match_rate", "auto_resolve", "f1")
+    return scorecard.ratios(rel(spark, sf_dir, "SELECT * FROM scored", CASES)).select(
+        "precision", "recall", "exception_recall", "reason_accuracy", "accuracy", "false_match_rate", "auto_resolve", "f1"
+    )
 
 
 @query(world.sql("""SELECT case_id, verdict FROM (SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'false_match' THEN 0 WHEN 'wrong_match' THEN 1 WHEN 'missed_exception' THEN 2 WHEN 'exception_wrong_reason' THEN 3 WHEN 'false_break' THEN 4 ELSE 5 END, scenario, case_id) AS n
@@ -517,7 +643,12 @@ def page_facts(spark, sf_dir):
     return report.page_facts(audited(spark, sf_dir), severity="high")
 
 
-@query(world.sql("SELECT subject AS subjects, reason, amount FROM (SELECT *, row_number() OVER (ORDER BY rank, amount DESC, 'x_' || substr(sha256(reason || '|' || subject), 1, 12)) AS n FROM found WHERE rank <= 1) WHERE n > 20 AND n <= 80", AUDITED))
+@query(
+    world.sql(
+        "SELECT subject AS subjects, reason, amount FROM (SELECT *, row_number() OVER (ORDER BY rank, amount DESC, 'x_' || substr(sha256(reason || '|' || subject), 1, 12)) AS n FROM found WHERE rank <= 1) WHERE n > 20 AND n <= 80",
+        AUDITED
+    )
+)
 def exception_page(spark, sf_dir):
     page = report.exception_page(audited(spark, sf_dir), severity="high", limit=60, offset=20)
     return page.select(F.concat_ws(",", "subject_ids").alias("subjects"), "reason", "amount")
@@ -530,7 +661,12 @@ def daily_series(spark, sf_dir):
     return report.daily_series(m, world.load(spark, sf_dir).settlements, audited(spark, sf_dir))
 
 
-@query(world.sql("SELECT count(DISTINCT settlement_id) AS matched, (SELECT count(*) FROM setl) AS settlements, round(CAST(count(DISTINCT settlement_id) AS DOUBLE) / (SELECT count(*) FROM setl), 4) AS match_rate FROM pairs", PAIRS))
+@query(
+    world.sql(
+        "SELECT count(DISTINCT settlement_id) AS matched, (SELECT count(*) FROM setl) AS settlements, round(CAST(count(DISTINCT settlement_id) AS DOUBLE) / (SELECT count(*) FROM setl), 4) AS match_rate FROM pairs",
+        PAIRS
+    )
+)
 def match_rate(spark, sf_dir):
     m = rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS).select(F.array("settlement_id").alias("settlement_ids"))
     return report.match_rate(m, world.load(spark, sf_dir).settlements)
@@ -539,15 +675,27 @@ def match_rate(spark, sf_dir):
 @query(world.sql("SELECT subject AS record_id, reason, CASE WHEN subject LIKE 'setl%' THEN 'settlement' ELSE 'payment' END AS kind FROM found", AUDITED))
 def related_records(spark, sf_dir):
     b, x = world.load(spark, sf_dir), audited(spark, sf_dir)
-    return report.related_records(x, b.settlements, b.bank, b.payments).join(x.select("exception_id", "reason"), "exception_id").select("record_id", "reason", "kind")
+    return report.related_records(x, b.settlements, b.bank, b.payments).join(
+        x.select("exception_id", "reason"), "exception_id"
+    ).select("record_id", "reason", "kind")
 
 
-@query(world.sql("SELECT reason, subject AS subjects, place FROM (SELECT reason, subject, CAST(row_number() OVER (PARTITION BY reason ORDER BY amount DESC, 'x_' || substr(sha256(reason || '|' || subject), 1, 12)) AS INTEGER) AS place FROM found) WHERE place <= 3", AUDITED))
+@query(
+    world.sql(
+        "SELECT reason, subject AS subjects, place FROM (SELECT reason, subject, CAST(row_number() OVER (PARTITION BY reason ORDER BY amount DESC, 'x_' || substr(sha256(reason || '|' || subject), 1, 12)) AS INTEGER) AS place FROM found) WHERE place <= 3",
+        AUDITED
+    )
+)
 def interesting_cases(spark, sf_dir):
     return report.interesting(audited(spark, sf_dir)).select("reason", F.concat_ws(",", "subject_ids").alias("subjects"), "place")
 
 
-@query(world.sql("SELECT scenario, count(*) AS cases, CAST(count(*) FILTER (verdict LIKE 'correct%') AS BIGINT) AS good FROM scored GROUP BY scenario UNION ALL SELECT 'scenario_none', 0, 0", CASES))
+@query(
+    world.sql(
+        "SELECT scenario, count(*) AS cases, CAST(count(*) FILTER (verdict LIKE 'correct%') AS BIGINT) AS good FROM scored GROUP BY scenario UNION ALL SELECT 'scenario_none', 0, 0",
+        CASES
+    )
+)
 def scenario_summary(spark, sf_dir):
     """Every scenario of a catalogue, one of which no case has."""
     cases = rel(spark, sf_dir, "SELECT * FROM scored", CASES)
@@ -555,7 +703,11 @@ def scenario_summary(spark, sf_dir):
     return report.scenario_summary(catalogue, cases)
 
 
-@query(world.sql("SELECT 'both' AS kind, count(*) AS n FROM (SELECT line_id FROM line1 INTERSECT SELECT line_id FROM bank) UNION ALL SELECT 'bank only', count(*) FROM (SELECT line_id FROM bank EXCEPT SELECT line_id FROM line1) UNION ALL SELECT 'either', count(*) FROM (SELECT line_id FROM bank UNION SELECT line_id FROM line1)"))
+@query(
+    world.sql(
+        "SELECT 'both' AS kind, count(*) AS n FROM (SELECT line_id FROM line1 INTERSECT SELECT line_id FROM bank) UNION ALL SELECT 'bank only', count(*) FROM (SELECT line_id FROM bank EXCEPT SELECT line_id FROM line1) UNION ALL SELECT 'either', count(*) FROM (SELECT line_id FROM bank UNION SELECT line_id FROM line1)"
+    )
+)
 def set_operations(spark, sf_dir):
     a, b = rel(spark, sf_dir, "SELECT line_id FROM line1"), rel(spark, sf_dir, "SELECT line_id FROM bank")
     n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
@@ -565,12 +717,22 @@ def set_operations(spark, sf_dir):
 MESSY = "SELECT CASE WHEN k % 97 = 5 THEN '' ELSE 'bank_' || CAST(k AS STRING) END AS `Txn ID`, raw AS Deposit, CASE k % 2 WHEN 0 THEN '15/07/2026' ELSE '15-Jul-2026' END AS `Posting Date`, 'NEFT' AS Remarks FROM texts"
 
 
-@query(world.sql("SELECT 'bank_' || CAST(k AS STRING) AS line_id, expected AS amount, DATE '2026-07-15' AS value_date FROM texts WHERE expected IS NOT NULL AND k % 97 <> 5", AMOUNTS))
+@query(
+    world.sql(
+        "SELECT 'bank_' || CAST(k AS STRING) AS line_id, expected AS amount, DATE '2026-07-15' AS value_date FROM texts WHERE expected IS NOT NULL AND k % 97 <> 5",
+        AMOUNTS
+    )
+)
 def ingest_bank(spark, sf_dir):
     return files.parse_rows(_messy(spark, sf_dir), "bank")[0].select("line_id", "amount", "value_date")
 
 
-@query(world.sql("SELECT CASE WHEN k % 97 = 5 THEN 'line_id is missing' ELSE 'amount can''t be read' END AS reason, count(*) AS n FROM texts WHERE expected IS NULL OR k % 97 = 5 GROUP BY 1", AMOUNTS))
+@query(
+    world.sql(
+        "SELECT CASE WHEN k % 97 = 5 THEN 'line_id is missing' ELSE 'amount can''t be read' END AS reason, count(*) AS n FROM texts WHERE expected IS NULL OR k % 97 = 5 GROUP BY 1",
+        AMOUNTS
+    )
+)
 def ingest_quarantine(spark, sf_dir):
     return files.parse_rows(_messy(spark, sf_dir), "bank")[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -579,7 +741,11 @@ def _messy(spark, sf_dir) -> DataFrame:
     return rel(spark, sf_dir, MESSY, AMOUNTS)
 
 
-@query(world.sql("SELECT (SELECT count(*) FROM pay) + (SELECT count(*) FROM rfd) + (SELECT count(*) FROM adj) + (SELECT count(*) FROM setl) + (SELECT count(*) FROM bank) + (SELECT count(*) FROM led) AS records"))
+@query(
+    world.sql(
+        "SELECT (SELECT count(*) FROM pay) + (SELECT count(*) FROM rfd) + (SELECT count(*) FROM adj) + (SELECT count(*) FROM setl) + (SELECT count(*) FROM bank) + (SELECT count(*) FROM led) AS records"
+    )
+)
 def record_count(spark, sf_dir):
     return world.load(spark, sf_dir).record_count()
 

@@ -65,7 +65,10 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
         return spark.createDataFrame([], "_none string")
     df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multi_line).option("escape", '"').csv(path)
     named = [F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in df.columns]
-    return df.select(*named, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_order"))
+    return df.select(
+        *named, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_order")
+    )
 
 
 def row_numbers(rows: DataFrame) -> DataFrame:
@@ -113,7 +116,9 @@ def specs() -> dict[str, Spec]:
     lower = lambda n, d: F.lower(F.coalesce(c(n), F.lit(d)))
     zero = lambda n: F.when(c(n).isNull(), F.lit(0)).otherwise(money(n)).cast("long")
     whole = F.coalesce(money("net"), money("gross") - zero("fee") - zero("tax"))
-    stated = F.when(c("amount").isNotNull(), money("amount")).when(c("credit").isNotNull(), money("credit")).when(c("debit").isNotNull(), -F.abs(money("debit")))
+    stated = F.when(c("amount").isNotNull(), money("amount")).when(c("credit").isNotNull(), money("credit")).when(
+        c("debit").isNotNull(), -F.abs(money("debit"))
+    )
     return {
         "payments": Spec(
             {"payment_id": c("payment_id"), "order_id": c("order_id"), "gross": money("gross"), "fee": zero("fee"), "tax": zero("tax"), "net": whole, "captured_at": when("captured_at"),
@@ -128,19 +133,31 @@ def specs() -> dict[str, Spec]:
             [*_required("settlement_id"), _amount("amount"), _date("settled_at")],
         ),
         "refunds": Spec(
-            {"refund_id": c("refund_id"), "payment_id": c("payment_id"), "amount": money("amount"), "created_on": when("created_at").cast("date"), "settlement_id": c("settlement_id")},
+            {
+                "refund_id": c("refund_id"), "payment_id": c("payment_id"), "amount": money("amount"), "created_on": when("created_at").cast("date"),
+                "settlement_id": c("settlement_id")
+            },
             [*_required("refund_id"), _amount("amount"), _date("created_at")],
         ),
         "adjustments": Spec(
-            {"adjustment_id": c("adjustment_id"), "kind": lower("kind", "correction"), "amount": money("amount"), "created_on": when("created_at").cast("date"), "settlement_id": c("settlement_id"), "linked_payment_id": c("linked_payment_id")},
+            {
+                "adjustment_id": c("adjustment_id"), "kind": lower("kind", "correction"), "amount": money("amount"),
+                "created_on": when("created_at").cast("date"), "settlement_id": c("settlement_id"), "linked_payment_id": c("linked_payment_id")
+            },
             [*_required("adjustment_id"), _amount("amount"), _date("created_at")],
         ),
         "bank": Spec(
-            {"line_id": c("line_id"), "value_date": when("value_date").cast("date"), "narration": F.coalesce(c("narration"), F.lit("")), "amount": stated, "balance": money("balance"), "bank_ref": c("bank_ref"), "currency": upper("currency", "INR")},
+            {
+                "line_id": c("line_id"), "value_date": when("value_date").cast("date"), "narration": F.coalesce(c("narration"), F.lit("")),
+                "amount": stated, "balance": money("balance"), "bank_ref": c("bank_ref"), "currency": upper("currency", "INR")
+            },
             [*_required("line_id"), (stated.isNull(), "amount can't be read"), _date("value_date")],
         ),
         "ledger": Spec(
-            {"entry_id": c("entry_id"), "order_id": c("order_id"), "expected_gross": money("expected_gross"), "customer": c("customer"), "booked_on": when("booked_on").cast("date"), "currency": upper("currency", "INR"), "status": lower("status", "open")},
+            {
+                "entry_id": c("entry_id"), "order_id": c("order_id"), "expected_gross": money("expected_gross"), "customer": c("customer"),
+                "booked_on": when("booked_on").cast("date"), "currency": upper("currency", "INR"), "status": lower("status", "open")
+            },
             [*_required("entry_id"), _amount("expected_gross"), _date("booked_on")],
         ),
     }
@@ -158,12 +175,18 @@ def parse_rows(raw: DataFrame, kind: str, source: str = "", row_number: Column |
         row_number, numbers = F.col("_order"), row_numbers(raw)
         raw, where = raw.drop("_file", "_start"), raw.select("_order", "_file", "_start")
     texts = [c for c in raw.columns if c != "_order"]
-    named = raw.select(*(pick(raw, a).alias(n) for n, a in ALIASES[kind].items()), F.to_json(F.struct(*(F.col(f"`{c}`") for c in texts))).alias("_raw"), (row_number if row_number is not None else F.lit(None).cast("long")).alias("_row"))
+    named = raw.select(
+        *(pick(raw, a).alias(n) for n, a in ALIASES[kind].items()), F.to_json(F.struct(*(F.col(f"`{c}`") for c in texts))).alias("_raw"),
+        (row_number if row_number is not None else F.lit(None).cast("long")).alias("_row")
+    )
     complaint = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for bad, text in spec.complaints))
     judged = named.withColumn("_why", complaint)
     good = judged.where("_why is null").select(*(v.alias(k) for k, v in spec.columns.items()), F.from_json("_raw", "map<string,string>").alias("raw"))
     ids = [c for c in ("line_id", "payment_id", "settlement_id", "entry_id", "refund_id", "adjustment_id") if c in ALIASES[kind]]
-    bad = judged.where("_why is not null").select(F.lit(source or FILES[kind]).alias("source_file"), F.col("_row").alias("row_number"), F.col("_why").alias("reason"), F.coalesce(*ids).alias("record_id"), F.from_json("_raw", "map<string,string>").alias("raw"))
+    bad = judged.where("_why is not null").select(
+        F.lit(source or FILES[kind]).alias("source_file"), F.col("_row").alias("row_number"), F.col("_why").alias("reason"),
+        F.coalesce(*ids).alias("record_id"), F.from_json("_raw", "map<string,string>").alias("raw")
+    )
     if placed:  # only what couldn't be read needs its number
         at = where.join(numbers, ["_file", "_start"]).select(F.col("_order").alias("row_number"), (F.col("_order") + F.col("_first")).alias("_number"))
         bad = bad.join(at, "row_number").withColumn("row_number", F.col("_number")).drop("_number")
@@ -201,7 +224,9 @@ TRANSCRIPTS = (
 
 def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Recorded investigations, one row a case; no rows where the file is not there."""
-    return load_json(spark, path, TRANSCRIPTS).select("recorded_at", "provider", "model", F.explode("cases").alias("c")).select("recorded_at", "provider", "model", "c.*")
+    return load_json(spark, path, TRANSCRIPTS).select(
+        "recorded_at", "provider", "model", F.explode("cases").alias("c")
+    ).select("recorded_at", "provider", "model", "c.*")
 
 
 def write_truth(truth: DataFrame, path: str) -> None:
@@ -216,7 +241,10 @@ def export(run, folder: str) -> None:
     """A finished run's views as JSON, one folder of parts each."""
     from ..operators import report
 
-    views = {"run": report.run_summary(run), "exceptions": report.register(run.exceptions), "matches": run.accepted, "journal": run.journal, "daily": report.daily_series(run.accepted, run.batch.settlements, run.exceptions), "exposure": report.exposure(run.exceptions)}
+    views = {
+        "run": report.run_summary(run), "exceptions": report.register(run.exceptions), "matches": run.accepted, "journal": run.journal,
+        "daily": report.daily_series(run.accepted, run.batch.settlements, run.exceptions), "exposure": report.exposure(run.exceptions)
+    }
     if run.cases is not None:
         views["scenarios"] = run.cases
     for name, df in views.items():

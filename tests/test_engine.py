@@ -39,8 +39,12 @@ def test_identifier_verdicts(spark, cal):
     s = payouts(spark, [(f"s{i}", x, 100_000 + i, DAY) for i, x in enumerate(u)])
     late = DAY + dt.timedelta(days=14)
     b = lines(spark, [
-        ("b0", 100_000, DAY, f"NEFT-{u[0]}-X"), ("b1", 100_003, DAY, f"NEFT-{u[1]}-X"), ("b2", 100_002, late, f"NEFT-{u[2]}-X"), ("b3", 1_000, DAY, f"NEFT-{u[3]}-X"),
-        ("b4a", 50_002, DAY, f"NEFT-{u[4]}-X"), ("b4b", 50_002, DAY, f"NEFT-{u[4]}-X"), ("b5a", 100_005, DAY, f"NEFT-{u[5]}-X"), ("b5b", 100_005, DAY, f"NEFT-{u[5]}-X"), ("b6", 100_006, DAY, f"NEFT-{u[6][:12]}"),
+        ("b0", 100_000, DAY, f"NEFT-{u[0]}-X"), ("b1", 100_003, DAY, f"NEFT-{u[1]}-X"), (
+            "b2", 100_002, late, f"NEFT-{u[2]}-X"
+        ), ("b3", 1_000, DAY, f"NEFT-{u[3]}-X"),
+        ("b4a", 50_002, DAY, f"NEFT-{u[4]}-X"), ("b4b", 50_002, DAY, f"NEFT-{u[4]}-X"), ("b5a", 100_005, DAY, f"NEFT-{u[5]}-X"), ("b5b", 100_005, DAY, f"NEFT-{u[5]}-X"), (
+            "b6", 100_006, DAY, f"NEFT-{u[6][:12]}"
+        ),
     ])
     out = matching.identifier(s, b, b, cal)
     m = {r.settlement_ids[0]: (r.tier, r.reason) for r in out.matches.collect()}
@@ -81,7 +85,10 @@ def test_adjudication_declines_what_is_close(spark, cal):
 
 
 def proposal(spark, rows):
-    m = spark.createDataFrame(rows, "match_id string, seq long, bank_line_ids array<string>, settlement_ids array<string>, reason string, confidence double, bank_total long, expected_total long, weight double")
+    m = spark.createDataFrame(
+        rows,
+        "match_id string, seq long, bank_line_ids array<string>, settlement_ids array<string>, reason string, confidence double, bank_total long, expected_total long, weight double"
+    )
     return m.withColumn("tier", F.lit("T7")).withColumn("evidence", F.array(evidence("x", F.lit("x"), F.col("weight"))).cast(EVIDENCE)).drop("weight")
 
 
@@ -89,16 +96,25 @@ def test_verifier_checks_one_by_one(spark, cal):
     s = payouts(spark, [("s1", None, 1000, DAY), ("s2", None, 1000, DAY), ("s3", None, 500, DAY)])
     b = lines(spark, [("b1", 1000, DAY, ""), ("b2", -500, DAY, ""), ("b3", 500, DAY + dt.timedelta(days=30), ""), ("b4", 500, DAY, "")])
     rows = [
-        ("good", 1, ["b1"], ["s1"], "utr_exact", 0.9, 1000, 1000, 1.0), ("again", 2, ["b1"], ["s2"], "utr_exact", 0.9, 1000, 1000, 1.0), ("lost", 3, ["b9"], ["s3"], "utr_exact", 0.9, 500, 500, 1.0),
-        ("bare", 4, ["b4"], ["s3"], "utr_exact", 0.9, 500, 500, 0.0), ("sure", 5, ["b4"], ["s3"], "utr_exact", 1.2, 500, 500, 1.0), ("off", 6, ["b4"], ["s2"], "utr_exact", 0.9, 500, 1000, 1.0),
-        ("stated", 7, ["b4"], ["s3"], "utr_exact", 0.9, 499, 500, 1.0), ("debit", 8, ["b2"], ["s3"], "utr_exact", 0.9, -500, 500, 1.0), ("old", 9, ["b3"], ["s3"], "utr_exact", 0.9, 500, 500, 1.0),
+        ("good", 1, ["b1"], ["s1"], "utr_exact", 0.9, 1000, 1000, 1.0), (
+            "again", 2, ["b1"], ["s2"], "utr_exact", 0.9, 1000, 1000, 1.0
+        ), ("lost", 3, ["b9"], ["s3"], "utr_exact", 0.9, 500, 500, 1.0),
+        (
+            "bare", 4, ["b4"], ["s3"], "utr_exact", 0.9, 500, 500, 0.0
+        ), ("sure", 5, ["b4"], ["s3"], "utr_exact", 1.2, 500, 500, 1.0), ("off", 6, ["b4"], ["s2"], "utr_exact", 0.9, 500, 1000, 1.0),
+        (
+            "stated", 7, ["b4"], ["s3"], "utr_exact", 0.9, 499, 500, 1.0
+        ), ("debit", 8, ["b2"], ["s3"], "utr_exact", 0.9, -500, 500, 1.0), ("old", 9, ["b3"], ["s3"], "utr_exact", 0.9, 500, 500, 1.0),
         ("net", 10, ["b2", "b4"], [], "reversal_netted", 0.9, 0, 0, 1.0), ("badnet", 11, ["b1", "b2"], [], "reversal_netted", 0.9, 500, 0, 1.0),
     ]
     accepted, rejected, found = verify.verify(proposal(spark, rows), s, b, cal)
     by = {}
     for r in found.collect():
         by.setdefault(r.match_id, set()).add(r.invariant)
-    assert by == {"again": {"no_double_claim"}, "lost": {"records_exist"}, "bare": {"has_evidence"}, "sure": {"confidence_sane"}, "off": {"balances"}, "stated": {"balances"}, "debit": {"balances", "credits_only"}, "old": {"date_plausible"}, "badnet": {"balances"}}
+    assert by == {
+        "again": {"no_double_claim"}, "lost": {"records_exist"}, "bare": {"has_evidence"}, "sure": {"confidence_sane"}, "off": {"balances"},
+        "stated": {"balances"}, "debit": {"balances", "credits_only"}, "old": {"date_plausible"}, "badnet": {"balances"}
+    }
     assert {r.match_id for r in accepted.collect()} == {"good", "net"} and rejected.count() == 9
     x = verify.rejections(rejected, found)
     assert x.count() == 9 and x.where("subject_source = 'bank'").count() == 1
@@ -137,7 +153,10 @@ def test_empty_folder(spark, tmp_path):
 
 
 def test_reader_takes_aliases_and_marks(spark, tmp_path):
-    (tmp_path / "x.csv").write_text("﻿Txn ID,Posting Date,Particulars,DR,CR\nb1,15/07/2026,hello,\"1,000.50\",\nb2,15-Jul-2026,there,,20\n,15-Jul-2026,none,,20\nb4,never,none,,20\n", encoding="utf-8")
+    (tmp_path / "x.csv").write_text(
+        "﻿Txn ID,Posting Date,Particulars,DR,CR\nb1,15/07/2026,hello,\"1,000.50\",\nb2,15-Jul-2026,there,,20\n,15-Jul-2026,none,,20\nb4,never,none,,20\n",
+        encoding="utf-8"
+    )
     good, bad = files.parse_rows(files.read_csv(spark, str(tmp_path / "x.csv")), "bank")
     assert {(r.line_id, r.amount, r.narration) for r in good.collect()} == {("b1", -100050, "hello"), ("b2", 2000, "there")}
     assert sorted((r.reason, r.record_id, r.row_number) for r in bad.collect()) == [("line_id is missing", None, 4), ("value_date can't be read", "b4", 5)]

@@ -70,7 +70,9 @@ def test_one_amount_on_many_payouts(spark, cal):
     s = spark.range(n).select(F.format_string("s%06d", "id").alias("settlement_id"), F.lit(None).cast("string").alias("utr"), F.lit(499_00).cast("long").alias("amount"),
                               F.date_add(F.lit("2026-07-01").cast("date"), (F.col("id") % 90).cast("int")).alias("settled_on"))
     b = spark.range(n // 2).select(F.format_string("b%06d", "id").alias("line_id"), F.lit(499_00).cast("long").alias("amount"),
-                                   F.date_add(F.lit("2026-07-01").cast("date"), (F.col("id") % 90).cast("int")).alias("value_date"), F.lit("").alias("narration"))
+                                   F.date_add(
+                                       F.lit("2026-07-01").cast("date"), (F.col("id") % 90).cast("int")
+                                   ).alias("value_date"), F.lit("").alias("narration"))
     out = matching.unique_amount(s, b, cal)
     assert out.matches.isEmpty()
     named = out.exceptions.select(F.explode("subject_ids")).count()
@@ -156,7 +158,11 @@ def test_reference_candidates_by_brute_force(spark, cal):
         cheap = {k for k, f in facts.items() if any(t == r.utr or (len(t) >= 8 and len(r.utr) >= 8 and t[:8] == r.utr[:8]) for t in f.tokens)}
         cheap |= {k for k in near if r.utr in facts[k].flat}
         if not cheap:
-            cheap = {k for k in near if any(len(t) >= 10 and abs(len(t) - len(r.utr)) <= 2 and narration.osa_distance(t, r.utr, 2) <= 2 for t in facts[k].tokens)}
+            cheap = {
+                k for k in near if any(
+                    len(t) >= 10 and abs(len(t) - len(r.utr)) <= 2 and narration.osa_distance(t, r.utr, 2) <= 2 for t in facts[k].tokens
+                )
+            }
         want |= {(r.settlement_id, k) for k in cheap}
     assert got == want and len(want) > 20
 
@@ -164,7 +170,9 @@ def test_reference_candidates_by_brute_force(spark, cal):
 def test_rows_that_cant_be_read_have_their_numbers(spark, tmp_path):
     (tmp_path / "x.csv").write_text("id,date,amount,narration\nb1,2026-07-15,10,a\n,2026-07-15,20,b\nb3,never,30,c\n,2026-07-15,40,d\n")
     _, bad = files.parse_rows(files.read_csv(spark, str(tmp_path / "x.csv")), "bank", "x.csv")
-    assert sorted((r.row_number, r.reason, r.record_id) for r in bad.collect()) == [(3, "line_id is missing", None), (4, "value_date can't be read", "b3"), (5, "line_id is missing", None)]
+    assert sorted((r.row_number, r.reason, r.record_id) for r in bad.collect()) == [
+        (3, "line_id is missing", None), (4, "value_date can't be read", "b3"), (5, "line_id is missing", None)
+    ]
     x = audits.quarantine_exceptions(bad).collect()
     assert len({r.exception_id for r in x}) == 3 and {r.subject_ids[0] for r in x} == {"x.csv:3", "b3", "x.csv:5"}
 
@@ -178,7 +186,9 @@ def test_a_run_again_gives_the_same(spark, labelled):
     again = cascade.run(batch)
     assert ids(again.accepted.select("match_id")) == ids(run.accepted.select("match_id")) != []
     assert ids(again.exceptions.select("exception_id")) == ids(run.exceptions.select("exception_id"))
-    assert ids(again.journal.select(F.concat_ws("|", "entry_id", "account", "amount"))) == ids(run.journal.select(F.concat_ws("|", "entry_id", "account", "amount")))
+    assert ids(
+        again.journal.select(F.concat_ws("|", "entry_id", "account", "amount"))
+    ) == ids(run.journal.select(F.concat_ws("|", "entry_id", "account", "amount")))
 
 
 def test_matches_carry_what_they_are_made_of(spark, labelled):
