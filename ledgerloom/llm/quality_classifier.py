@@ -217,7 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, packed: DataFrame | None = None) -
     x_p = norm(x_p)
     over = lambda half: lambda w: sums(packed, lambda x: negative_sums(norm(x), w), half)
     prior = 0.5
-    if (side == 0).any() and (side == 1).any() and (n_other := sums(packed, lambda x: np.array([len(x)]), 1)) is not None and sums(packed, lambda x: np.ones(1), 0) is not None:
+    if (side == 0).any() and (side == 1).any() and (
+        n_other := sums(packed, lambda x: np.array([len(x)]), 1)
+    ) is not None and sums(packed, lambda x: np.ones(1), 0) is not None:
         g = fit(x_p[side == 0], over(0), None)
         score = lambda x: sigma(with_bias(x) @ g)
         share = lambda x: np.bincount(np.minimum((score(norm(x)) * BINS).astype(np.int64), BINS - 1), minlength=BINS)

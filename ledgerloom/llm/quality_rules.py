@@ -39,7 +39,10 @@ def _n_repeat_words(words: Column, word_hashes: Column) -> Column:
     hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(word_hashes, i, WINDOW))))
 
     def covered(at: Column) -> Column:
-        gaps = F.zip_with(at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))), lambda a, b: F.when(b.isNull(), F.lit(WINDOW)).otherwise(F.least(b - a, F.lit(WINDOW))))
+        gaps = F.zip_with(
+            at, F.slice(at, 2, F.greatest(F.size(at), F.lit(1))),
+            lambda a, b: F.when(b.isNull(), F.lit(WINDOW)).otherwise(F.least(b - a, F.lit(WINDOW)))
+        )
         return F.aggregate(gaps, F.lit(0), lambda s, x: s + x)
 
     def repeated(ranked: Column) -> Column:

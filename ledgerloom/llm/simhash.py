@@ -87,7 +87,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
     members = posted.join(several, "key").groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
     linked = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
     after = lambda a, i: F.slice("fps", i + 2, F.size("fps"))
-    pairs = F.flatten(F.transform("fps", lambda a, i: F.transform(F.filter(after(a, i), lambda b: linked(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    pairs = F.flatten(
+        F.transform("fps", lambda a, i: F.transform(F.filter(after(a, i), lambda b: linked(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    )
     met = members.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("hits"))
     return met.select("a", "b", shared_bytes(F.col("hits")).alias("shared")).where(F.col("shared") >= MIN_SHARED)
 

@@ -415,7 +415,11 @@ def earlier_documents(sent: DataFrame) -> DataFrame:
             for k, rows in dealt(source[which]):
                 rows = rows[np.lexsort((first[rows], number[which[rows]]))]
                 names.append(dbs[k])
-                blobs.append(squeeze(np.diff(number[which[rows]], prepend=0).astype(np.uint32), first[rows].astype(np.uint8), n[rows].astype(np.uint8), least[rows]))
+                blobs.append(
+                    squeeze(
+                        np.diff(number[which[rows]], prepend=0).astype(np.uint32), first[rows].astype(np.uint8), n[rows].astype(np.uint8), least[rows]
+                    )
+                )
         bucket = table.column("bucket")[0].as_py()
         give_back()
         return pa.table({"db": pa.array(names, pa.int64()), "bucket": pa.array([bucket] * len(names), pa.int64()), "blob": pa.array(blobs, pa.binary())})

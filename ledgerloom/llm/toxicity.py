@@ -153,7 +153,10 @@ def learn_insults(sample: DataFrame) -> dict[str, float]:
                 if y:
                     yes.update(terms)
             names = list(all_)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([yes[t] for t in names], pa.int64()), pa.array([all_[t] for t in names], pa.int64())], ["term", "k", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([yes[t] for t in names], pa.int64()), pa.array([all_[t] for t in names], pa.int64())],
+                ["term", "k", "n"]
+            )
 
     counts = sample.groupBy(F.col("toxic").alias("y")).count().collect()
     total, toxic = sum(r["count"] for r in counts), sum(r["count"] for r in counts if r["y"])

@@ -472,7 +472,9 @@ def test_chains_by_brute_force():
         s = np.array(segments)
         best = [0.0] * len(s)
         for i in range(len(s)):
-            best[i] = s[i, 4] + max([0.0, *(best[j] - 0.5 * (s[i, 0] - s[j, 2] + s[i, 1] - s[j, 3]) for j in range(len(s)) if s[j, 2] <= s[i, 0] and s[j, 3] <= s[i, 1])])
+            best[i] = s[i, 4] + max(
+                [0.0, *(best[j] - 0.5 * (s[i, 0] - s[j, 2] + s[i, 1] - s[j, 3]) for j in range(len(s)) if s[j, 2] <= s[i, 0] and s[j, 3] <= s[i, 1])]
+            )
         got = chain_dedup.best_chains(s)
         if got:
             worth = s[got[0][0], 4]

@@ -141,7 +141,10 @@ def test_stages_of_an_empty_table_and_of_clashing_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, []), str(tmp_path)).count() == 0, name
         assert stage(spark, some, str(tmp_path)).count() >= 2, name
-    drops = (exact_dedup.drop_copies, simhash.drop_near_copies, suffix_dedup.remove_repeats, lambda d: quality_classifier.drop_rejected(d, spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    drops = (
+        exact_dedup.drop_copies, simhash.drop_near_copies, suffix_dedup.remove_repeats,
+        lambda d: quality_classifier.drop_rejected(d, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    )
     for drop in drops:
         assert drop(some).columns == some.columns
 
@@ -164,9 +167,18 @@ def test_every_operator_stands_odd_rows(spark):
 
     rng = random.Random(89)
     long = prose(rng, 60_000)
-    rows = [(1, long), (1, long), (2, long + " end"), (3, None), (3, None), (None, None), (None, "some words"), (4, ""), (5, " \n\t"), (6, "\0 nul"), (7, "é" * 200)]
+    rows = [
+        (1, long), (1, long), (2, long + " end"), (3, None), (3, None), (None, None), (None, "some words"), (4, ""), (5, " \n\t"), (6, "\0 nul"),
+        (7, "é" * 200)
+    ]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
-    docs = docs.withColumns({c: F.lit(7) for c in ("db", "bucket", "score", "predicted", "kept", "keep_id", "fp", "held", "held_out", "n_tokens", "length", "tag", "x", "ids", "half")})
+    docs = docs.withColumns(
+        {
+            c: F.lit(7) for c in (
+                "db", "bucket", "score", "predicted", "kept", "keep_id", "fp", "held", "held_out", "n_tokens", "length", "tag", "x", "ids", "half"
+            )
+        }
+    )
     for name, run in operators(spark).items():
         got = run(docs).collect()
         if name == "op5":
