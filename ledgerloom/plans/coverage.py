@@ -41,7 +41,8 @@ def ingest_payments(spark, sf_dir):
     )
 
 
-@query(world.sql("""SELECT s.settlement_id, s.utr, s.amount, s.settled_on, p.ids, coalesce(r.ids, '') AS refund_ids, coalesce(a.ids, '') AS adjustment_ids FROM setl s
+@query(world.sql("""SELECT s.settlement_id, s.utr, s.amount, s.settled_on, p.ids, coalesce(r.ids, '') AS refund_ids, coalesce(a.ids, '') AS
+  adjustment_ids FROM setl s
   JOIN (SELECT settlement_id, string_agg(payment_id, ',' ORDER BY payment_id) AS ids FROM pay GROUP BY settlement_id) p USING (settlement_id)
   LEFT JOIN (SELECT settlement_id, string_agg(refund_id, ',') AS ids FROM rfd GROUP BY settlement_id) r USING (settlement_id)
   LEFT JOIN (SELECT settlement_id, string_agg(adjustment_id, ',') AS ids FROM adj GROUP BY settlement_id) a USING (settlement_id)"""))
@@ -149,8 +150,10 @@ POOLS = """pool AS (SELECT * FROM (SELECT o_custkey AS c, lpad(CAST(o_orderkey A
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) AS x WHERE n <= 9),
 goal AS (SELECT c, CAST(sum(CASE WHEN n IN (2, 4) THEN p ELSE 0 END) AS BIGINT) + c % 5 - 2 AS goal FROM pool GROUP BY c HAVING count(*) >= 5)"""
 SUMS = f"""{POOLS}, one AS (SELECT c, id, p, n FROM pool WHERE p > 0),
-sums AS (SELECT c, p AS total, 1 AS size, id AS refs FROM one UNION ALL SELECT a.c, a.p + b.p, 2, least(a.id, b.id) || ',' || greatest(a.id, b.id) FROM one a JOIN one b ON a.c = b.c AND a.n < b.n
-  UNION ALL SELECT a.c, a.p + b.p + d.p, 3, array_to_string(list_sort([a.id, b.id, d.id]), ',') FROM one a JOIN one b ON a.c = b.c AND a.n < b.n JOIN one d ON d.c = a.c AND b.n < d.n),
+sums AS (SELECT c, p AS total, 1 AS size, id AS refs FROM one UNION ALL SELECT a.c, a.p + b.p, 2, least(a.id, b.id) || ',' || greatest(a.id, b.id)
+  FROM one a JOIN one b ON a.c = b.c AND a.n < b.n
+  UNION ALL SELECT a.c, a.p + b.p + d.p, 3, array_to_string(list_sort([a.id, b.id, d.id]), ',') FROM one a JOIN one b ON a.c = b.c AND a.n < b.n JOIN
+    one d ON d.c = a.c AND b.n < d.n),
 gaps AS (SELECT s.c, goal, size, refs, total - goal AS gap FROM sums s JOIN goal g ON g.c = s.c)"""
 
 
@@ -159,7 +162,8 @@ def pools(spark, sf_dir) -> DataFrame:
     return own.groupBy("c", "goal").agg(F.collect_list("id").alias("ids"), F.collect_list("p").alias("amounts"))
 
 
-@query(world.sql("""SELECT c, least(count(*), 8) AS solutions, count(*) > 8 AS truncated, count(*) = 1 AS is_unique, CAST(count(*) FILTER (gap = 0) AS BIGINT) AS exact,
+@query(world.sql("""SELECT c, least(count(*), 8) AS solutions, count(*) > 8 AS truncated, count(*) = 1 AS is_unique, CAST(count(*) FILTER (gap = 0)
+  AS BIGINT) AS exact,
   first(refs ORDER BY abs(gap), size, refs) AS best FROM gaps WHERE abs(gap) <= 5 GROUP BY c""", SUMS))
 def subset_sums(spark, sf_dir):
     found = pools(spark, sf_dir).select("c", subsets.solve("ids", "amounts", "goal", F.lit(3)).alias("s")).where("s.solutions > 0")
@@ -184,8 +188,10 @@ def closest_sums(spark, sf_dir):
 
 
 @query(world.sql("""WITH near AS (SELECT utr IS NULL AS bare, settled_on AS day FROM setl UNION ALL SELECT utr IS NULL, settled_on + 1 FROM setl),
-  sized AS (SELECT day, count(*) AS n, count(*) FILTER (bare) AS b FROM near GROUP BY day), chosen AS (SELECT day, CASE WHEN b >= 2 THEN b ELSE n END AS size FROM sized)
-  SELECT day AS value_date, CAST(size AS INTEGER) AS pool_size, CAST(CASE WHEN size <= 100 THEN size ELSE 0 END AS INTEGER) AS listed FROM chosen WHERE size >= 2""").replace("\nWITH near", ",\nnear"))
+  sized AS (SELECT day, count(*) AS n, count(*) FILTER (bare) AS b FROM near GROUP BY day), chosen AS (SELECT day, CASE WHEN b >= 2 THEN b ELSE n END
+    AS size FROM sized)
+  SELECT day AS value_date, CAST(size AS INTEGER) AS pool_size, CAST(CASE WHEN size <= 100 THEN size ELSE 0 END AS INTEGER) AS listed FROM chosen
+    WHERE size >= 2""").replace("\nWITH near", ",\nnear"))
 def payout_pools(spark, sf_dir):
     """What a day's credit may be a sum of; pools too large for pairs are counted only."""
     out = matching.day_pools(world.load(spark, sf_dir).settlements)
@@ -203,7 +209,8 @@ def credit_details(spark, sf_dir):
     return adjudicate.get_credit(world.load(spark, sf_dir).bank).withColumn("tokens", F.concat_ws(",", "tokens"))
 
 
-@query(world.sql("""SELECT settlement_id, line_id, strength, carries FROM (SELECT 'setl_' || CAST(k // 10 AS STRING) AS settlement_id, 'bank_' || lpad(CAST(k AS STRING), 10, '0') AS line_id,
+@query(world.sql("""SELECT settlement_id, line_id, strength, carries FROM (SELECT 'setl_' || CAST(k // 10 AS STRING) AS settlement_id, 'bank_' ||
+  lpad(CAST(k AS STRING), 10, '0') AS line_id,
     CASE WHEN score >= 0.95 THEN 'decisive' WHEN score >= 0.75 THEN 'strong' WHEN score > 0 THEN 'weak' ELSE 'none' END AS strength, score >= 0.75 AS carries,
     row_number() OVER (PARTITION BY k // 10 ORDER BY score DESC, k) AS n FROM weighed) WHERE n <= 8""", WEIGHED))
 def reference_scan(spark, sf_dir):
@@ -215,8 +222,10 @@ def reference_scan(spark, sf_dir):
     return adjudicate.scan_references(scored).select("settlement_id", "line_id", "strength", "carries")
 
 
-@query(world.sql("""SELECT p.line_id, CASE WHEN p.utr IS NULL THEN 'no_reference' WHEN contains(regexp_replace(upper(p.narration), '[^A-Z0-9]', '', 'g'), p.utr) THEN 'exact_substring' ELSE 'other' END AS how,
-  CASE WHEN p.utr IS NOT NULL AND contains(regexp_replace(upper(p.narration), '[^A-Z0-9]', '', 'g'), p.utr) THEN 'decisive' ELSE 'less' END AS strength FROM pairs p""", PAIRS))
+@query(world.sql("""SELECT p.line_id, CASE WHEN p.utr IS NULL THEN 'no_reference' WHEN contains(regexp_replace(upper(p.narration), '[^A-Z0-9]', '',
+  'g'), p.utr) THEN 'exact_substring' ELSE 'other' END AS how,
+  CASE WHEN p.utr IS NOT NULL AND contains(regexp_replace(upper(p.narration), '[^A-Z0-9]', '', 'g'), p.utr) THEN 'decisive' ELSE 'less' END AS
+    strength FROM pairs p""", PAIRS))
 def reference_strength(spark, sf_dir):
     out = adjudicate.score_reference(rel(spark, sf_dir, "SELECT line_id, utr, narration FROM pairs", PAIRS))
     how = F.when(F.col("mechanism").isin("no_reference", "exact_substring"), F.col("mechanism")).otherwise("other")
@@ -224,18 +233,21 @@ def reference_strength(spark, sf_dir):
 
 
 @query(world.sql("""SELECT c.settlement_id, n.n AS n_listed, n.n AS n_known, n.gross, n.net, c.expected, c.amount - c.expected AS delta FROM comps c
-  JOIN (SELECT settlement_id, count(*) AS n, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(net) AS BIGINT) AS net FROM paynet GROUP BY settlement_id) n USING (settlement_id)""", COMPONENTS))
+  JOIN (SELECT settlement_id, count(*) AS n, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(net) AS BIGINT) AS net FROM paynet GROUP BY settlement_id)
+    n USING (settlement_id)""", COMPONENTS))
 def payout_components(spark, sf_dir):
     return adjudicate.payout_components(world.load(spark, sf_dir)).select("settlement_id", "n_listed", "n_known", "gross", "net", "expected", "delta")
 
 
-@query(world.sql("""SELECT net, method, gross FROM (SELECT net, method, gross, dense_rank() OVER (PARTITION BY net ORDER BY method) AS m, row_number() OVER (PARTITION BY net, method ORDER BY gross) AS g
+@query(world.sql("""SELECT net, method, gross FROM (SELECT net, method, gross, dense_rank() OVER (PARTITION BY net ORDER BY method) AS m,
+  row_number() OVER (PARTITION BY net, method ORDER BY gross) AS g
   FROM priced WHERE gross - fee - CAST(floor((fee * 18 + 50) / 100.0) AS BIGINT) = net) WHERE m <= 5 AND g <= 3""", INVERT_SQL))
 def fee_inversion_view(spark, sf_dir):
     return adjudicate.invert_fee(rel(spark, sf_dir, "SELECT DISTINCT net FROM paynet WHERE net > 0"), fees.rate_card(spark))
 
 
-@query(world.sql("""SELECT settlement_id, line_id FROM (SELECT s.settlement_id, l.line_id, row_number() OVER (PARTITION BY s.settlement_id ORDER BY abs(date_diff('day', s.settled_on, l.value_date)), l.line_id) AS n
+@query(world.sql("""SELECT settlement_id, line_id FROM (SELECT s.settlement_id, l.line_id, row_number() OVER (PARTITION BY s.settlement_id ORDER BY
+  abs(date_diff('day', s.settled_on, l.value_date)), l.line_id) AS n
   FROM setl s JOIN bank l ON l.value_date BETWEEN s.settled_on - 2 AND s.settled_on + 2 WHERE s.k % 50 = 0) WHERE n <= 12"""))
 def credits_nearby(spark, sf_dir):
     """The search's queries are the payouts whose key is divisible by 50, against all lines."""
@@ -256,7 +268,8 @@ def open_cases(spark, sf_dir):
 
 
 @query(world.sql("SELECT settlement_id, line_id, confidence, rationale FROM verdicts", f"""{WEIGHED},
-judged AS (SELECT 'setl_' || lpad(CAST(k // 4 AS STRING), 10, '0') AS settlement_id, 'bank_' || lpad(CAST(k AS STRING), 10, '0') AS line_id, {_evidence} AS confidence FROM weighed), {_decided}"""))
+judged AS (SELECT 'setl_' || lpad(CAST(k // 4 AS STRING), 10, '0') AS settlement_id, 'bank_' || lpad(CAST(k AS STRING), 10, '0') AS line_id,
+  {_evidence} AS confidence FROM weighed), {_decided}"""))
 def decide_or_abstain(spark, sf_dir):
     w = rel(spark, sf_dir, "SELECT * FROM weighed", WEIGHED)
     named = w.withColumn("settlement_id", F.format_string("setl_%010d", F.floor(F.col("k") / 4))).withColumn("line_id", F.format_string("bank_%010d", "k"))
@@ -292,7 +305,8 @@ def verify_reversals(spark, sf_dir):
     return verify.verify(netted_matches(spark, sf_dir), b.settlements, b.bank, b.calendar)[2].select("match_id", "invariant")
 
 
-@query(world.sql("""SELECT 'bank' AS source, 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_c' AS subject, CAST(0 AS BIGINT) AS amount, CAST(0 AS BIGINT) AS delta FROM netted WHERE k // 30 % 2 = 0
+@query(world.sql("""SELECT 'bank' AS source, 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_c' AS subject, CAST(0 AS BIGINT) AS amount, CAST(0 AS
+  BIGINT) AS delta FROM netted WHERE k // 30 % 2 = 0
   UNION ALL SELECT 'psp', 'setl_' || CAST(k AS STRING), abs(payout), -(500000 + k) - payout FROM debited""", NETTED))
 def rejected_matches(spark, sf_dir):
     b = fixed(spark, sf_dir)
@@ -302,8 +316,10 @@ def rejected_matches(spark, sf_dir):
     )
 
 
-@query(world.sql("""SELECT (SELECT count(*) FROM netted) + (SELECT count(*) FROM debited) AS proposed, (SELECT count(*) FROM netted WHERE k // 30 % 2 = 1) AS accepted,
-  (SELECT count(DISTINCT match_id) FROM found) AS rejected, (SELECT count(*) FROM found) AS violations, CAST(0 AS BIGINT) AS adjudicated_rejections""", CHECKED))
+@query(world.sql("""SELECT (SELECT count(*) FROM netted) + (SELECT count(*) FROM debited) AS proposed, (SELECT count(*) FROM netted WHERE k // 30 % 2
+  = 1) AS accepted,
+  (SELECT count(DISTINCT match_id) FROM found) AS rejected, (SELECT count(*) FROM found) AS violations, CAST(0 AS BIGINT) AS
+    adjudicated_rejections""", CHECKED))
 def verification_report(spark, sf_dir):
     b = fixed(spark, sf_dir)
     m = netted_matches(spark, sf_dir)
@@ -343,13 +359,15 @@ def unbalanced_entries(spark, sf_dir):
     return journal.unbalanced(lines.where(~lost)).select("match_id", "off")
 
 
-@query(world.sql("""SELECT entry_id FROM (SELECT 'je_' || substr(sha256(jl.line_id), 1, 12) AS entry_id, row_number() OVER (ORDER BY p.settled_on, 'je_' || substr(sha256(jl.line_id), 1, 12)) AS n
+@query(world.sql("""SELECT entry_id FROM (SELECT 'je_' || substr(sha256(jl.line_id), 1, 12) AS entry_id, row_number() OVER (ORDER BY p.settled_on,
+  'je_' || substr(sha256(jl.line_id), 1, 12)) AS n
   FROM (SELECT DISTINCT line_id FROM jl WHERE amount <> 0) jl JOIN pairs p ON p.line_id = jl.line_id) WHERE n <= 40""", POSTED))
 def journal_page(spark, sf_dir):
     return report.journal_page(journal.entries(posted(spark, sf_dir))).select("entry_id")
 
 
-@query(world.sql("""SELECT p.line_id AS match_id, string_agg(DISTINCT y.payment_id, ',' ORDER BY y.payment_id) AS payment_ids, coalesce(string_agg(DISTINCT l.entry_id, ',' ORDER BY l.entry_id), '') AS ledger_entry_ids
+@query(world.sql("""SELECT p.line_id AS match_id, string_agg(DISTINCT y.payment_id, ',' ORDER BY y.payment_id) AS payment_ids,
+  coalesce(string_agg(DISTINCT l.entry_id, ',' ORDER BY l.entry_id), '') AS ledger_entry_ids
   FROM pairs p JOIN pay y ON y.settlement_id = p.settlement_id LEFT JOIN led l ON l.order_id = y.order_id GROUP BY p.line_id""", PAIRS))
 def match_members(spark, sf_dir):
     from ..operators import audits
@@ -440,10 +458,12 @@ def running_balance(spark, sf_dir):
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
-GRADED = """graded AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'exception' ELSE 'ignore' END AS disposition, o_orderkey // 3 AS j FROM orders),
+GRADED = """graded AS (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'exception' ELSE 'ignore' END AS disposition,
+  o_orderkey // 3 AS j FROM orders),
 verdicts AS (SELECT 'case_' || CAST(k AS STRING) AS case_id, CASE disposition
   WHEN 'match' THEN CASE j % 4 WHEN 0 THEN 'correct_match' WHEN 1 THEN 'wrong_match' ELSE 'missed_match' END
-  WHEN 'exception' THEN CASE WHEN j % 2 = 0 THEN 'correct_exception' WHEN j % 7 = 0 THEN 'exception_wrong_reason' WHEN j % 5 = 0 THEN 'false_match' ELSE 'missed_exception' END
+  WHEN 'exception' THEN CASE WHEN j % 2 = 0 THEN 'correct_exception' WHEN j % 7 = 0 THEN 'exception_wrong_reason' WHEN j % 5 = 0 THEN 'false_match'
+    ELSE 'missed_exception' END
   ELSE CASE WHEN j % 2 = 0 THEN 'false_break' ELSE 'correct_ignore' END END AS verdict FROM graded)"""
 
 

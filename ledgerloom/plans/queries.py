@@ -75,7 +75,8 @@ def money_parse(spark, sf_dir):
 
 
 @query(world.sql("""SELECT k, p, CASE WHEN p % 7 = 0 AND p > 0 THEN '-' ELSE '' END || '₹' || CASE
-    WHEN length(r) > 7 THEN substr(r, 1, length(r) - 7) || ',' || substr(r, length(r) - 6, 2) || ',' || substr(r, length(r) - 4, 2) || ',' || substr(r, length(r) - 2, 3)
+    WHEN length(r) > 7 THEN substr(r, 1, length(r) - 7) || ',' || substr(r, length(r) - 6, 2) || ',' || substr(r, length(r) - 4, 2) || ',' ||
+      substr(r, length(r) - 2, 3)
     WHEN length(r) > 5 THEN substr(r, 1, length(r) - 5) || ',' || substr(r, length(r) - 4, 2) || ',' || substr(r, length(r) - 2, 3)
     WHEN length(r) > 3 THEN substr(r, 1, length(r) - 3) || ',' || substr(r, length(r) - 2, 3) ELSE r END || '.' || c AS shown,
     CAST(p / 100.0 AS DECIMAL(20,2)) AS rupees FROM parts""", AMOUNTS))
@@ -92,9 +93,11 @@ PAIRS = """pairs AS (
   FROM setl s JOIN line1 l ON l.line_id = 'bank_' || lpad(CAST(s.k AS STRING), 10, '0') || '_1')"""
 
 
-@query(world.sql("""SELECT line_id, abs(greatest(abs(amount), abs(payout)) - 100 * least(abs(amount), abs(payout))) < 100 AND amount <> 0 AND payout <> 0 AS scale_error,
+@query(world.sql("""SELECT line_id, abs(greatest(abs(amount), abs(payout)) - 100 * least(abs(amount), abs(payout))) < 100 AND amount <> 0 AND payout
+  <> 0 AS scale_error,
     amount <> payout AND sign(amount) * sign(payout) > 0 AND (abs(amount) - abs(payout)) % 9 = 0
-      AND list_sort(string_split(CAST(abs(amount) AS VARCHAR), '')) = list_sort(string_split(CAST(abs(payout) AS VARCHAR), '')) AS transposition FROM pairs""", PAIRS))
+      AND list_sort(string_split(CAST(abs(amount) AS VARCHAR), '')) = list_sort(string_split(CAST(abs(payout) AS VARCHAR), '')) AS transposition FROM
+      pairs""", PAIRS))
 def amount_suspicions(spark, sf_dir):
     a, b = F.col("amount"), F.col("payout")
     return rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS).select(
@@ -104,10 +107,14 @@ def amount_suspicions(spark, sf_dir):
 
 # --- dates -----------------------------------------------------------------------------------------------------------
 DATES = """dated AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders),
-fields AS (SELECT k, d, CAST(year(d) AS STRING) AS y, CAST(month(d) AS STRING) AS m, CAST(day(d) AS STRING) AS dd, lpad(CAST(month(d) AS STRING), 2, '0') AS m2, lpad(CAST(day(d) AS STRING), 2, '0') AS d2,
-  CASE month(d) WHEN 1 THEN 'Jan' WHEN 2 THEN 'Feb' WHEN 3 THEN 'Mar' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'Jun' WHEN 7 THEN 'Jul' WHEN 8 THEN 'Aug' WHEN 9 THEN 'Sep' WHEN 10 THEN 'Oct' WHEN 11 THEN 'Nov' ELSE 'Dec' END AS mon FROM dated),
-shown AS (SELECT k, CASE WHEN k % 9 = 8 THEN NULL WHEN k % 9 = 7 THEN d + 1 ELSE d END AS expected, CASE k % 9 WHEN 0 THEN y || '-' || m2 || '-' || d2 WHEN 1 THEN d2 || '/' || m2 || '/' || y WHEN 2 THEN dd || '-' || m || '-' || y
-  WHEN 3 THEN d2 || '-' || mon || '-' || y WHEN 4 THEN dd || ' ' || mon || ' ' || y WHEN 5 THEN mon || ' ' || dd || ', ' || y WHEN 6 THEN y || '-' || m2 || '-' || d2 || 'T12:30:00+05:30'
+fields AS (SELECT k, d, CAST(year(d) AS STRING) AS y, CAST(month(d) AS STRING) AS m, CAST(day(d) AS STRING) AS dd, lpad(CAST(month(d) AS STRING), 2,
+  '0') AS m2, lpad(CAST(day(d) AS STRING), 2, '0') AS d2,
+  CASE month(d) WHEN 1 THEN 'Jan' WHEN 2 THEN 'Feb' WHEN 3 THEN 'Mar' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'Jun' WHEN 7 THEN 'Jul' WHEN 8
+    THEN 'Aug' WHEN 9 THEN 'Sep' WHEN 10 THEN 'Oct' WHEN 11 THEN 'Nov' ELSE 'Dec' END AS mon FROM dated),
+shown AS (SELECT k, CASE WHEN k % 9 = 8 THEN NULL WHEN k % 9 = 7 THEN d + 1 ELSE d END AS expected, CASE k % 9 WHEN 0 THEN y || '-' || m2 || '-' ||
+  d2 WHEN 1 THEN d2 || '/' || m2 || '/' || y WHEN 2 THEN dd || '-' || m || '-' || y
+  WHEN 3 THEN d2 || '-' || mon || '-' || y WHEN 4 THEN dd || ' ' || mon || ' ' || y WHEN 5 THEN mon || ' ' || dd || ', ' || y WHEN 6 THEN y || '-' ||
+    m2 || '-' || d2 || 'T12:30:00+05:30'
   WHEN 7 THEN y || '-' || m2 || '-' || d2 || 'T18:30:00Z' ELSE 'soon' END AS raw FROM fields)"""
 
 
@@ -159,7 +166,8 @@ _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
 TOKEN_SQL = f"""words AS (SELECT line_id, list_filter(regexp_split_to_array(upper(narration), '[^A-Z0-9]+'), lambda x: x <> '') AS w FROM bank),
 toks AS (SELECT line_id, w[i + 1] AS t, i, coalesce(w[i], '') AS prev FROM words, unnest(range(0, len(w))) AS r(i)),
 cand AS (SELECT line_id, t, i, {_shape([f"'{n}'" for _, n, _ in narration.SHAPES])} AS shape,
-  round(least(1.0, CAST({_shape([s for _, _, s in narration.SHAPES])} AS DOUBLE) + CASE WHEN prev IN ({_quoted(narration.RAIL_WORDS)}) THEN 0.10 ELSE 0 END - least(i, 8) * 0.015), 4) AS score
+  round(least(1.0, CAST({_shape([s for _, _, s in narration.SHAPES])} AS DOUBLE) + CASE WHEN prev IN ({_quoted(narration.RAIL_WORDS)}) THEN 0.10 ELSE
+    0 END - least(i, 8) * 0.015), 4) AS score
   FROM toks WHERE regexp_matches(t, '[0-9]') AND t NOT IN ({_quoted(narration.STOPWORDS)}))"""
 
 
@@ -184,7 +192,8 @@ def normalize_ref(spark, sf_dir):
 
 @query(world.sql("""SELECT p.line_id, CASE WHEN p.utr IS NULL THEN 0.0 WHEN contains(regexp_replace(upper(p.narration), '[^A-Z0-9]', '', 'g'), p.utr) THEN 1.0
     ELSE coalesce(max(CASE WHEN length(c.t) >= 8 AND starts_with(p.utr, c.t) THEN round(0.70 + 0.02 * least(length(c.t) - 8, 8), 4)
-      WHEN abs(length(c.t) - length(p.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, p.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 END END), 0.0) END AS score
+      WHEN abs(length(c.t) - length(p.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, p.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65
+      END END), 0.0) END AS score
   FROM pairs p LEFT JOIN cand c ON c.line_id = p.line_id AND c.shape IS NOT NULL GROUP BY p.line_id, p.utr, p.narration""", TOKEN_SQL, PAIRS))
 def ref_score(spark, sf_dir):
     df = rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)
@@ -222,7 +231,8 @@ INVERT_SQL = f"""{CARD_SQL}, rates AS (SELECT method, bps AS rate FROM card UNIO
 netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0),
 seeds AS (SELECT net, method, CAST(round(CAST(net AS DECIMAL(30,8)) * 1000000 / (1000000 - 118 * rate)) AS BIGINT) AS seed FROM netted CROSS JOIN rates),
 tries AS (SELECT DISTINCT net, method, seed + o - 4 AS gross FROM seeds, unnest(range(0, 9)) AS r(o)),
-priced AS (SELECT t.net, t.method, t.gross, CAST(floor((t.gross * CASE WHEN t.gross > c.threshold THEN c.above ELSE c.bps END + 5000) / 10000.0) AS BIGINT) AS fee FROM tries t JOIN card c ON c.method = t.method WHERE t.gross >= 1)"""
+priced AS (SELECT t.net, t.method, t.gross, CAST(floor((t.gross * CASE WHEN t.gross > c.threshold THEN c.above ELSE c.bps END + 5000) / 10000.0) AS
+  BIGINT) AS fee FROM tries t JOIN card c ON c.method = t.method WHERE t.gross >= 1)"""
 
 
 @query(world.sql("SELECT net, method, gross FROM priced WHERE gross - fee - CAST(floor((fee * 18 + 50) / 100.0) AS BIGINT) = net", INVERT_SQL))
@@ -232,7 +242,8 @@ def fee_inversion(spark, sf_dir):
 
 
 # --- audits ----------------------------------------------------------------------------------------------------------
-COMPONENTS = """comps AS (SELECT s.k, s.settlement_id, s.amount, s.settled_on, n.net - coalesce(r.amount, 0) + coalesce(a.amount, 0) AS expected FROM setl s JOIN nets n ON n.k = s.k
+COMPONENTS = """comps AS (SELECT s.k, s.settlement_id, s.amount, s.settled_on, n.net - coalesce(r.amount, 0) + coalesce(a.amount, 0) AS expected FROM
+  setl s JOIN nets n ON n.k = s.k
   LEFT JOIN rfd r ON r.k = s.k AND r.settlement_id IS NOT NULL LEFT JOIN adj a ON a.k = s.k AND a.settlement_id IS NOT NULL)"""
 
 
@@ -265,7 +276,8 @@ def ledger_coverage(spark, sf_dir):
 
 
 @query(world.sql(f"""SELECT {exception_sql(chr(39) + 'unlinked_refund' + chr(39), 'refund_id', 'amount', 'created_on')} FROM rfd WHERE payment_id NOT IN (SELECT payment_id FROM pay)
-  UNION ALL SELECT {exception_sql('reason', 'adjustment_id', 'abs(amount)', 'created_on')} FROM (SELECT *, CASE WHEN kind IN ('chargeback', 'dispute_fee') THEN 'unlinked_chargeback' ELSE 'unlinked_refund' END AS reason FROM adj)
+  UNION ALL SELECT {exception_sql('reason', 'adjustment_id', 'abs(amount)', 'created_on')} FROM (SELECT *, CASE WHEN kind IN ('chargeback',
+    'dispute_fee') THEN 'unlinked_chargeback' ELSE 'unlinked_refund' END AS reason FROM adj)
   WHERE linked_payment_id IS NULL OR linked_payment_id NOT IN (SELECT payment_id FROM pay)"""))
 def unlinked_deductions(spark, sf_dir):
     return flat(audits.unlinked_deductions(world.load(spark, sf_dir)))
@@ -312,9 +324,11 @@ def near_amount_join(spark, sf_dir):
     )
 
 
-@query(world.sql("""SELECT settlement_id, line_id, rival_id, gap FROM (SELECT p.settlement_id, p.line_id, r.settlement_id AS rival_id, abs(r.amount - p.amount) AS gap,
+@query(world.sql("""SELECT settlement_id, line_id, rival_id, gap FROM (SELECT p.settlement_id, p.line_id, r.settlement_id AS rival_id, abs(r.amount -
+  p.amount) AS gap,
     row_number() OVER (PARTITION BY p.settlement_id, p.line_id ORDER BY abs(r.amount - p.amount), r.settlement_id) AS n
-  FROM pairs p JOIN setl r ON abs(r.amount - p.amount) <= 5000 AND r.settlement_id <> p.settlement_id AND abs(date_diff('day', r.settled_on, p.settled_on)) <= 3) WHERE n <= 6""", PAIRS))
+  FROM pairs p JOIN setl r ON abs(r.amount - p.amount) <= 5000 AND r.settlement_id <> p.settlement_id AND abs(date_diff('day', r.settled_on,
+    p.settled_on)) <= 3) WHERE n <= 6""", PAIRS))
 def contested_credits(spark, sf_dir):
     """Near means 50 rupees here: at 5 paise these tables have hardly a rival."""
     lines = rel(spark, sf_dir, "SELECT settlement_id, line_id, amount FROM pairs", PAIRS)
@@ -329,7 +343,8 @@ def flat_matches(m: DataFrame) -> DataFrame:
     )
 
 
-@query(world.sql("""SELECT 'm_' || substr(sha256('T0|' || c.line_id || '|' || d.line_id || '|'), 1, 12) AS match_id, c.line_id || ',' || d.line_id AS lines, '' AS settlements, 'T0' AS tier, 'reversal_netted' AS reason,
+@query(world.sql("""SELECT 'm_' || substr(sha256('T0|' || c.line_id || '|' || d.line_id || '|'), 1, 12) AS match_id, c.line_id || ',' || d.line_id AS
+  lines, '' AS settlements, 'T0' AS tier, 'reversal_netted' AS reason,
   0.99 AS confidence, CAST(0 AS BIGINT) AS bank_total, CAST(0 AS BIGINT) AS expected_total
   FROM reversed c JOIN reversed d ON c.amount = -d.amount AND c.amount > 0 AND c.narration = d.narration"""))
 def reversals(spark, sf_dir):
@@ -338,7 +353,8 @@ def reversals(spark, sf_dir):
 
 
 IDENTIFIED = f"""{TOKEN_SQL},
-utrs AS (SELECT s.settlement_id, s.utr, s.amount AS payout, s.settled_on, s.settled_ord, s.settled_on - 4 AS lo, b.bday AS hi FROM setl s JOIN bday b ON b.bord = s.settled_ord + 5 WHERE utr IS NOT NULL),
+utrs AS (SELECT s.settlement_id, s.utr, s.amount AS payout, s.settled_on, s.settled_ord, s.settled_on - 4 AS lo, b.bday AS hi FROM setl s JOIN bday b
+  ON b.bord = s.settled_ord + 5 WHERE utr IS NOT NULL),
 flats AS (SELECT line_id, value_date, amount, regexp_replace(upper(narration), '[^A-Z0-9]', '', 'g') AS flat FROM bank),
 near AS (
   SELECT DISTINCT u.settlement_id, c.line_id FROM utrs u JOIN cand c ON c.shape IS NOT NULL AND length(c.t) >= 8 AND left(c.t, 8) = left(u.utr, 8)
@@ -346,18 +362,25 @@ near AS (
 fit AS (
   SELECT u.settlement_id, l.line_id, u.payout, l.amount, u.settled_ord, v.ord AS value_ord, CASE WHEN contains(l.flat, u.utr) THEN 1.0
     WHEN length(c.t) >= 8 AND starts_with(u.utr, c.t) THEN round(0.70 + 0.02 * least(length(c.t) - 8, 8), 4)
-    WHEN abs(length(c.t) - length(u.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, u.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 ELSE 0.0 END ELSE 0.0 END AS score
-  FROM near n JOIN utrs u USING (settlement_id) JOIN flats l USING (line_id) JOIN cal v ON v.day = l.value_date LEFT JOIN cand c ON c.line_id = n.line_id AND c.shape IS NOT NULL
+    WHEN abs(length(c.t) - length(u.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, u.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 ELSE
+      0.0 END ELSE 0.0 END AS score
+  FROM near n JOIN utrs u USING (settlement_id) JOIN flats l USING (line_id) JOIN cal v ON v.day = l.value_date LEFT JOIN cand c ON c.line_id =
+    n.line_id AND c.shape IS NOT NULL
   WHERE l.amount > 0),
 fits AS (SELECT settlement_id, line_id, payout, amount, settled_ord, value_ord, max(score) AS score FROM fit GROUP BY ALL),
-sums AS (SELECT settlement_id, string_agg(line_id, ',' ORDER BY line_id) AS lines, count(*) AS n, any_value(payout) AS payout, CAST(sum(amount) AS BIGINT) AS total, bool_and(amount = payout) AS same, max(score) AS score,
+sums AS (SELECT settlement_id, string_agg(line_id, ',' ORDER BY line_id) AS lines, count(*) AS n, any_value(payout) AS payout, CAST(sum(amount) AS
+  BIGINT) AS total, bool_and(amount = payout) AS same, max(score) AS score,
   max(value_ord - settled_ord) AS late, CASE WHEN max(score) = 1.0 THEN 'exact' ELSE 'part' END AS how FROM fits WHERE score >= 0.6 GROUP BY settlement_id),
-verdicts AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN abs(total - payout) <= 5 THEN 'split_settlement' WHEN same THEN 'duplicate_identifier' ELSE 'ambiguous_candidates' END
-  WHEN late > 5 THEN 'date_out_of_window' WHEN total = payout THEN CASE how WHEN 'exact' THEN 'utr_exact' ELSE 'utr_in_narration' END WHEN abs(total - payout) <= 5 THEN 'rounding_tolerance' ELSE 'off' END AS verdict FROM sums)"""
+verdicts AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN abs(total - payout) <= 5 THEN 'split_settlement' WHEN same THEN 'duplicate_identifier' ELSE
+  'ambiguous_candidates' END
+  WHEN late > 5 THEN 'date_out_of_window' WHEN total = payout THEN CASE how WHEN 'exact' THEN 'utr_exact' ELSE 'utr_in_narration' END WHEN abs(total
+    - payout) <= 5 THEN 'rounding_tolerance' ELSE 'off' END AS verdict FROM sums)"""
 
 
-@query(world.sql("""SELECT settlement_id AS settlements, lines, verdict AS reason, CASE verdict WHEN 'utr_exact' THEN 'T0' WHEN 'utr_in_narration' THEN 'T1' WHEN 'rounding_tolerance' THEN 'T3' ELSE 'T5' END AS tier,
-    round(CASE verdict WHEN 'rounding_tolerance' THEN least(score, 0.95) WHEN 'split_settlement' THEN 0.93 ELSE score END, 4) AS confidence, total AS bank_total, payout AS expected_total
+@query(world.sql("""SELECT settlement_id AS settlements, lines, verdict AS reason, CASE verdict WHEN 'utr_exact' THEN 'T0' WHEN 'utr_in_narration'
+  THEN 'T1' WHEN 'rounding_tolerance' THEN 'T3' ELSE 'T5' END AS tier,
+    round(CASE verdict WHEN 'rounding_tolerance' THEN least(score, 0.95) WHEN 'split_settlement' THEN 0.93 ELSE score END, 4) AS confidence, total AS
+      bank_total, payout AS expected_total
   FROM verdicts WHERE verdict IN ('utr_exact', 'utr_in_narration', 'rounding_tolerance', 'split_settlement')""", IDENTIFIED))
 def identifier_match(spark, sf_dir):
     b = fixed(spark, sf_dir)
@@ -387,8 +410,10 @@ def identifier_breaks(spark, sf_dir):
 
 
 NEAR = f"""{WINDOWED},
-hits AS (SELECT b.settlement_id, l.line_id, b.amount, l.amount AS got FROM win b JOIN bank l ON l.amount BETWEEN b.amount - 5 AND b.amount + 5 AND l.value_date BETWEEN b.lo AND b.hi WHERE l.amount > 0),
-alone AS (SELECT s.settlement_id FROM win s JOIN win r ON r.amount = s.amount AND r.settled_on BETWEEN s.lo - 2 AND s.hi + 2 GROUP BY s.settlement_id HAVING count(*) = 1)"""
+hits AS (SELECT b.settlement_id, l.line_id, b.amount, l.amount AS got FROM win b JOIN bank l ON l.amount BETWEEN b.amount - 5 AND b.amount + 5 AND
+  l.value_date BETWEEN b.lo AND b.hi WHERE l.amount > 0),
+alone AS (SELECT s.settlement_id FROM win s JOIN win r ON r.amount = s.amount AND r.settled_on BETWEEN s.lo - 2 AND s.hi + 2 GROUP BY s.settlement_id
+  HAVING count(*) = 1)"""
 
 
 @query(
@@ -424,42 +449,55 @@ def batch_decomposition(spark, sf_dir):
     )
 
 
-@query("""WITH n AS (SELECT DISTINCT o_custkey % 400 + 1 AS n FROM orders), c AS (SELECT n, CAST(n AS DOUBLE) AS c1, n * (n - 1) / 2.0 AS c2, n * (n - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
+@query("""WITH n AS (SELECT DISTINCT o_custkey % 400 + 1 AS n FROM orders), c AS (SELECT n, CAST(n AS DOUBLE) AS c1, n * (n - 1) / 2.0 AS c2, n * (n
+  - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
     n * (n - 1) * (n - 2) * (n - 3) * (n - 4) / 120.0 AS c5, CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) / 720.0 AS c6 FROM n)
-  SELECT n, CAST(CASE WHEN n < 2 OR c2 > 5000 THEN 1 WHEN n < 3 OR c3 > 5000 THEN 2 WHEN n < 4 OR c4 > 5000 THEN 3 WHEN n < 5 OR c5 > 5000 THEN 4 WHEN n < 6 OR c6 > 5000 THEN 5 ELSE 6 END AS INTEGER) AS k FROM c""")
+  SELECT n, CAST(CASE WHEN n < 2 OR c2 > 5000 THEN 1 WHEN n < 3 OR c3 > 5000 THEN 2 WHEN n < 4 OR c4 > 5000 THEN 3 WHEN n < 5 OR c5 > 5000 THEN 4
+    WHEN n < 6 OR c6 > 5000 THEN 5 ELSE 6 END AS INTEGER) AS k FROM c""")
 def cardinality_budget(spark, sf_dir):
     pools = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 400 + 1).alias("n")).distinct()
     return pools.select("n", subsets.cardinality_column(F.col("n")).alias("k"))
 
 
-WEIGHED = """weighed AS (SELECT o_orderkey AS k, CAST((o_orderkey * 7) % 101 AS DOUBLE) / 100 AS score, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 4 WHEN 2 THEN -900 ELSE 70000 END AS delta,
+WEIGHED = """weighed AS (SELECT o_orderkey AS k, CAST((o_orderkey * 7) % 101 AS DOUBLE) / 100 AS score, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN
+  4 WHEN 2 THEN -900 ELSE 70000 END AS delta,
   o_orderkey % 7 - 2 AS late, o_orderkey % 5 = 3 AS scale_error, o_orderkey % 5 = 4 AS transposition, o_orderkey % 3 = 0 AS inverts FROM orders)"""
 
 
 @query(world.sql("""SELECT k, round(greatest(0.0, least(1.0, CASE WHEN score >= 0.85 THEN score * 0.55 WHEN score >= 0.60 THEN score * 0.28 ELSE 0 END
     + CASE WHEN delta = 0 THEN 0.35 WHEN abs(delta) <= 5 THEN 0.22 WHEN scale_error THEN -0.60 WHEN transposition THEN -0.50 ELSE -0.45 END
-    + CASE WHEN late = 0 THEN 0.12 WHEN late BETWEEN 1 AND 3 THEN 0.06 ELSE -0.05 * abs(late) END + CASE WHEN inverts THEN 0.15 ELSE 0 END)), 4) AS confidence FROM weighed""", WEIGHED))
+    + CASE WHEN late = 0 THEN 0.12 WHEN late BETWEEN 1 AND 3 THEN 0.06 ELSE -0.05 * abs(late) END + CASE WHEN inverts THEN 0.15 ELSE 0 END)), 4) AS
+      confidence FROM weighed""", WEIGHED))
 def offline_adjudicate(spark, sf_dir):
     return rel(spark, sf_dir, "SELECT * FROM weighed", WEIGHED).select("k", adjudicate.evidence_score().alias("confidence"))
 
 
 LISTED = f"""{WINDOWED}, {TOKEN_SQL},
-seen AS (SELECT w.settlement_id, w.utr, w.amount AS payout, w.settled_ord, l.line_id, l.amount, l.value_date, l.narration FROM win w JOIN bank l ON l.value_date BETWEEN w.lo AND w.hi WHERE l.amount > 0),
-rated AS (SELECT s.settlement_id, s.line_id, s.payout, s.amount, s.settled_ord, s.value_date, CASE WHEN s.utr IS NULL THEN 0.0 WHEN contains(regexp_replace(upper(s.narration), '[^A-Z0-9]', '', 'g'), s.utr) THEN 1.0
+seen AS (SELECT w.settlement_id, w.utr, w.amount AS payout, w.settled_ord, l.line_id, l.amount, l.value_date, l.narration FROM win w JOIN bank l ON
+  l.value_date BETWEEN w.lo AND w.hi WHERE l.amount > 0),
+rated AS (SELECT s.settlement_id, s.line_id, s.payout, s.amount, s.settled_ord, s.value_date, CASE WHEN s.utr IS NULL THEN 0.0 WHEN
+  contains(regexp_replace(upper(s.narration), '[^A-Z0-9]', '', 'g'), s.utr) THEN 1.0
     ELSE coalesce(max(CASE WHEN length(c.t) >= 8 AND starts_with(s.utr, c.t) THEN round(0.70 + 0.02 * least(length(c.t) - 8, 8), 4)
-      WHEN abs(length(c.t) - length(s.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, s.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65 END END), 0.0) END AS score
-  FROM seen s LEFT JOIN cand c ON c.line_id = s.line_id AND c.shape IS NOT NULL GROUP BY s.settlement_id, s.line_id, s.payout, s.amount, s.settled_ord, s.value_date, s.utr, s.narration),
-listed AS (SELECT * FROM (SELECT *, amount - payout AS delta, row_number() OVER (PARTITION BY settlement_id ORDER BY score DESC, abs(amount - payout), line_id) AS place FROM rated) WHERE place <= 8)"""
+      WHEN abs(length(c.t) - length(s.utr)) <= 2 AND length(c.t) >= 10 THEN CASE damerau_levenshtein(c.t, s.utr) WHEN 1 THEN 0.85 WHEN 2 THEN 0.65
+      END END), 0.0) END AS score
+  FROM seen s LEFT JOIN cand c ON c.line_id = s.line_id AND c.shape IS NOT NULL GROUP BY s.settlement_id, s.line_id, s.payout, s.amount,
+    s.settled_ord, s.value_date, s.utr, s.narration),
+listed AS (SELECT * FROM (SELECT *, amount - payout AS delta, row_number() OVER (PARTITION BY settlement_id ORDER BY score DESC, abs(amount -
+  payout), line_id) AS place FROM rated) WHERE place <= 8)"""
 _scale = "abs(greatest(abs(amount), abs(payout)) - 100 * least(abs(amount), abs(payout))) < 100 AND amount <> 0 AND payout <> 0"
 _turned = "amount <> payout AND sign(amount) * sign(payout) > 0 AND (abs(amount) - abs(payout)) % 9 = 0 AND list_sort(string_split(CAST(abs(amount) AS VARCHAR), '')) = list_sort(string_split(CAST(abs(payout) AS VARCHAR), ''))"
 _evidence = """round(greatest(0.0, least(1.0, CASE WHEN score >= 0.85 THEN score * 0.55 WHEN score >= 0.60 THEN score * 0.28 ELSE 0 END
     + CASE WHEN delta = 0 THEN 0.35 WHEN abs(delta) <= 5 THEN 0.22 WHEN scale_error THEN -0.60 WHEN transposition THEN -0.50 ELSE -0.45 END
     + CASE WHEN late = 0 THEN 0.12 WHEN late BETWEEN 1 AND 3 THEN 0.06 ELSE -0.05 * abs(late) END + CASE WHEN inverts THEN 0.15 ELSE 0 END)), 4)"""
-_decided = """ranked AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY confidence DESC, line_id) AS r, lead(confidence) OVER (PARTITION BY settlement_id ORDER BY confidence DESC, line_id) AS next FROM judged),
-verdicts AS (SELECT settlement_id, line_id, confidence, CASE WHEN confidence < 0.60 THEN 'evidence too weak' WHEN confidence - next < 0.15 THEN 'too close to the next' ELSE 'clear' END AS rationale FROM ranked WHERE r = 1)"""
-JUDGED = f"""{LISTED}, {INVERT_SQL.replace("netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0)", "netted AS (SELECT DISTINCT amount AS net FROM listed WHERE abs(delta) > 5)")},
+_decided = """ranked AS (SELECT *, row_number() OVER (PARTITION BY settlement_id ORDER BY confidence DESC, line_id) AS r, lead(confidence) OVER
+  (PARTITION BY settlement_id ORDER BY confidence DESC, line_id) AS next FROM judged),
+verdicts AS (SELECT settlement_id, line_id, confidence, CASE WHEN confidence < 0.60 THEN 'evidence too weak' WHEN confidence - next < 0.15 THEN
+  'too close to the next' ELSE 'clear' END AS rationale FROM ranked WHERE r = 1)"""
+JUDGED = f"""{LISTED},
+  {INVERT_SQL.replace("netted AS (SELECT DISTINCT net FROM paynet WHERE net > 0)", "netted AS (SELECT DISTINCT amount AS net FROM listed WHERE abs(delta) > 5)")},
 made AS (SELECT DISTINCT net FROM priced WHERE gross - fee - CAST(floor((fee * 18 + 50) / 100.0) AS BIGINT) = net),
-facts AS (SELECT l.settlement_id, l.line_id, l.score, l.delta, v.ord - l.settled_ord AS late, {_scale} AS scale_error, {_turned} AS transposition, abs(l.delta) > 5 AND m.net IS NOT NULL AS inverts
+facts AS (SELECT l.settlement_id, l.line_id, l.score, l.delta, v.ord - l.settled_ord AS late, {_scale} AS scale_error, {_turned} AS transposition,
+  abs(l.delta) > 5 AND m.net IS NOT NULL AS inverts
   FROM listed l JOIN cal v ON v.day = l.value_date LEFT JOIN made m ON m.net = l.amount),
 judged AS (SELECT settlement_id, line_id, {_evidence} AS confidence FROM facts), {_decided}"""
 
@@ -482,7 +520,8 @@ def shortlist_topk(spark, sf_dir):
     return adjudicate.shortlist(b.settlements, b.bank.where("amount > 0"), b.calendar).select("settlement_id", "line_id", "score", "place")
 
 
-@query(world.sql(f"""SELECT line_id, amount - payout AS delta, CASE WHEN amount > payout THEN 'larger' WHEN amount < payout THEN 'smaller' ELSE 'identical' END AS side, abs(amount - payout) <= 5 AS within_tolerance,
+@query(world.sql(f"""SELECT line_id, amount - payout AS delta, CASE WHEN amount > payout THEN 'larger' WHEN amount < payout THEN 'smaller' ELSE
+  'identical' END AS side, abs(amount - payout) <= 5 AS within_tolerance,
   {_scale} AS scale_error, {_turned} AS transposition FROM pairs""", PAIRS))
 def explain_gap(spark, sf_dir):
     return adjudicate.explain_gap(rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS)).select(
@@ -491,10 +530,13 @@ def explain_gap(spark, sf_dir):
 
 
 # --- checks and posting ----------------------------------------------------------------------------------------------
-SEEDED = f"""{PAIRS}, seeded AS (SELECT 'm_' || line_id AS match_id, CAST(row_number() OVER (ORDER BY line_id) AS BIGINT) AS seq, line_id, CASE WHEN length(line_id) * 0 + CAST(substr(line_id, 6, 10) AS BIGINT) % 50 = 1 THEN 'setl_nowhere' ELSE settlement_id END AS settlement_id,
-  CASE WHEN CAST(substr(line_id, 6, 10) AS BIGINT) % 50 = 2 THEN 1.5 ELSE 0.9 END AS confidence, CASE WHEN CAST(substr(line_id, 6, 10) AS BIGINT) % 50 = 3 THEN amount + 1 ELSE amount END AS bank_total, payout AS expected_total,
+SEEDED = f"""{PAIRS}, seeded AS (SELECT 'm_' || line_id AS match_id, CAST(row_number() OVER (ORDER BY line_id) AS BIGINT) AS seq, line_id, CASE WHEN
+  length(line_id) * 0 + CAST(substr(line_id, 6, 10) AS BIGINT) % 50 = 1 THEN 'setl_nowhere' ELSE settlement_id END AS settlement_id,
+  CASE WHEN CAST(substr(line_id, 6, 10) AS BIGINT) % 50 = 2 THEN 1.5 ELSE 0.9 END AS confidence, CASE WHEN CAST(substr(line_id, 6, 10) AS BIGINT) %
+    50 = 3 THEN amount + 1 ELSE amount END AS bank_total, payout AS expected_total,
   CASE WHEN CAST(substr(line_id, 6, 10) AS BIGINT) % 50 = 4 THEN 0.0 ELSE 1.0 END AS weight FROM pairs),
-claimed AS (SELECT * FROM seeded UNION ALL SELECT match_id || '_again', seq + 1000000000, line_id, settlement_id, confidence, bank_total, expected_total, weight FROM seeded WHERE seq % 40 = 0)"""
+claimed AS (SELECT * FROM seeded UNION ALL SELECT match_id || '_again', seq + 1000000000, line_id, settlement_id, confidence, bank_total,
+  expected_total, weight FROM seeded WHERE seq % 40 = 0)"""
 
 
 def seeded_matches(spark, sf_dir) -> DataFrame:
@@ -509,13 +551,16 @@ def seeded_matches(spark, sf_dir) -> DataFrame:
     )
 
 
-FAILED = f"""{SEEDED}, facts AS (SELECT c.*, p.amount AS line_sum, p.payout AS paid_sum, v.ord - s.ord AS late FROM claimed c LEFT JOIN pairs p ON p.line_id = c.line_id LEFT JOIN cal v ON v.day = p.value_date LEFT JOIN cal s ON s.day = p.settled_on),
+FAILED = f"""{SEEDED}, facts AS (SELECT c.*, p.amount AS line_sum, p.payout AS paid_sum, v.ord - s.ord AS late FROM claimed c LEFT JOIN pairs p ON
+  p.line_id = c.line_id LEFT JOIN cal v ON v.day = p.value_date LEFT JOIN cal s ON s.day = p.settled_on),
 basic AS (
   SELECT match_id, seq, 'records_exist' AS invariant FROM facts WHERE settlement_id = 'setl_nowhere'
-  UNION ALL SELECT match_id, seq, 'has_evidence' FROM facts WHERE weight <= 0 AND settlement_id <> 'setl_nowhere' UNION ALL SELECT match_id, seq, 'confidence_sane' FROM facts WHERE confidence > 1 AND settlement_id <> 'setl_nowhere'
+  UNION ALL SELECT match_id, seq, 'has_evidence' FROM facts WHERE weight <= 0 AND settlement_id <> 'setl_nowhere' UNION ALL SELECT match_id, seq,
+    'confidence_sane' FROM facts WHERE confidence > 1 AND settlement_id <> 'setl_nowhere'
   UNION ALL SELECT match_id, seq, 'balances' FROM facts WHERE abs(line_sum - paid_sum) > 5 AND settlement_id <> 'setl_nowhere'
   UNION ALL SELECT match_id, seq, 'balances' FROM facts WHERE (bank_total <> line_sum OR expected_total <> paid_sum) AND settlement_id <> 'setl_nowhere'
-  UNION ALL SELECT match_id, seq, 'credits_only' FROM facts WHERE line_sum <= 0 AND settlement_id <> 'setl_nowhere' UNION ALL SELECT match_id, seq, 'date_plausible' FROM facts WHERE abs(late) > 6 AND settlement_id <> 'setl_nowhere'),
+  UNION ALL SELECT match_id, seq, 'credits_only' FROM facts WHERE line_sum <= 0 AND settlement_id <> 'setl_nowhere' UNION ALL SELECT match_id, seq,
+    'date_plausible' FROM facts WHERE abs(late) > 6 AND settlement_id <> 'setl_nowhere'),
 passed AS (SELECT * FROM claimed WHERE match_id NOT IN (SELECT match_id FROM basic)),
 owned AS (SELECT match_id, seq, min(seq) OVER (PARTITION BY line_id) AS owner FROM passed)"""
 
@@ -547,12 +592,16 @@ def double_claim(spark, sf_dir):
     return passed.join(again, "match_id", "left").select("match_id", F.coalesce("again", F.lit(False)).alias("late"))
 
 
-POSTED = f"""{PAIRS}, gr AS (SELECT settlement_id, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(fee) AS BIGINT) AS fee, CAST(sum(tax) AS BIGINT) AS tax FROM pay GROUP BY settlement_id),
-bk AS (SELECT p.line_id, p.amount AS cash, g.gross, g.fee, g.tax, coalesce(r.amount, 0) + abs(coalesce(a.amount, 0)) AS returned FROM pairs p JOIN gr g USING (settlement_id)
+POSTED = f"""{PAIRS}, gr AS (SELECT settlement_id, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(fee) AS BIGINT) AS fee, CAST(sum(tax) AS BIGINT) AS
+  tax FROM pay GROUP BY settlement_id),
+bk AS (SELECT p.line_id, p.amount AS cash, g.gross, g.fee, g.tax, coalesce(r.amount, 0) + abs(coalesce(a.amount, 0)) AS returned FROM pairs p JOIN gr
+  g USING (settlement_id)
   LEFT JOIN rfd r ON r.settlement_id = p.settlement_id LEFT JOIN adj a ON a.settlement_id = p.settlement_id),
 res AS (SELECT *, gross - (cash + fee + tax + returned) AS r FROM bk),
-jl AS (SELECT line_id, '1010' AS account, true AS debit, cash AS amount FROM res UNION ALL SELECT line_id, '5300', true, fee FROM res UNION ALL SELECT line_id, '1350', true, tax FROM res UNION ALL SELECT line_id, '4900', true, returned FROM res
-  UNION ALL SELECT line_id, '1200', false, gross FROM res UNION ALL SELECT line_id, '5390', r > 0, abs(r) FROM res WHERE abs(r) <= 5 UNION ALL SELECT line_id, '1360', true, r FROM res WHERE r > 5 UNION ALL SELECT line_id, '1999', false, -r FROM res WHERE r < -5)"""
+jl AS (SELECT line_id, '1010' AS account, true AS debit, cash AS amount FROM res UNION ALL SELECT line_id, '5300', true, fee FROM res UNION ALL
+  SELECT line_id, '1350', true, tax FROM res UNION ALL SELECT line_id, '4900', true, returned FROM res
+  UNION ALL SELECT line_id, '1200', false, gross FROM res UNION ALL SELECT line_id, '5390', r > 0, abs(r) FROM res WHERE abs(r) <= 5 UNION ALL SELECT
+    line_id, '1360', true, r FROM res WHERE r > 5 UNION ALL SELECT line_id, '1999', false, -r FROM res WHERE r < -5)"""
 
 
 def posted(spark, sf_dir) -> DataFrame:
@@ -585,16 +634,20 @@ def trial_balance(spark, sf_dir):
     return journal.trial_balance(posted(spark, sf_dir)).select("account", "side", "amount")
 
 
-@query(world.sql("""SELECT count(DISTINCT line_id) AS entries, CAST(sum(CASE WHEN debit THEN amount END) AS BIGINT) AS debits, CAST(sum(CASE WHEN NOT debit THEN amount END) AS BIGINT) AS credits,
-  CAST(coalesce(sum(CASE WHEN account = '5390' THEN amount END), 0) AS BIGINT) AS rounding_total, CAST(coalesce(sum(CASE WHEN account = '1360' THEN amount END), 0) AS BIGINT) AS reserve_total,
-  CAST(coalesce(sum(CASE WHEN account = '1999' THEN amount END), 0) AS BIGINT) AS suspense_total, sum(CASE WHEN debit THEN amount ELSE -amount END) = 0 AS balanced FROM jl WHERE amount <> 0""", POSTED))
+@query(world.sql("""SELECT count(DISTINCT line_id) AS entries, CAST(sum(CASE WHEN debit THEN amount END) AS BIGINT) AS debits, CAST(sum(CASE WHEN NOT
+  debit THEN amount END) AS BIGINT) AS credits,
+  CAST(coalesce(sum(CASE WHEN account = '5390' THEN amount END), 0) AS BIGINT) AS rounding_total, CAST(coalesce(sum(CASE WHEN account = '1360' THEN
+    amount END), 0) AS BIGINT) AS reserve_total,
+  CAST(coalesce(sum(CASE WHEN account = '1999' THEN amount END), 0) AS BIGINT) AS suspense_total, sum(CASE WHEN debit THEN amount ELSE -amount END) =
+    0 AS balanced FROM jl WHERE amount <> 0""", POSTED))
 def residual_routing(spark, sf_dir):
     return journal.totals(posted(spark, sf_dir))
 
 
 # --- scores and reports ----------------------------------------------------------------------------------------------
 _verdicts = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(scorecard.VERDICTS))
-CASES = f"""scored AS (SELECT 'case_' || CAST(o_orderkey AS STRING) AS case_id, 'scenario_' || CAST(o_orderkey % 11 AS STRING) AS scenario, CASE o_orderkey % 4 WHEN 0 THEN 'hard' ELSE 'routine' END AS difficulty,
+CASES = f"""scored AS (SELECT 'case_' || CAST(o_orderkey AS STRING) AS case_id, 'scenario_' || CAST(o_orderkey % 11 AS STRING) AS scenario, CASE
+  o_orderkey % 4 WHEN 0 THEN 'hard' ELSE 'routine' END AS difficulty,
   CASE (o_orderkey * 7 + o_custkey) % 9 {_verdicts} END AS verdict FROM orders)"""
 
 
@@ -608,18 +661,23 @@ def scorecard_tally(spark, sf_dir):
     return scorecard.tally(rel(spark, sf_dir, "SELECT * FROM scored", CASES))
 
 
-@query(world.sql("""SELECT round(cm / (cm + wm + fm), 4) AS precision, round(cm / (cm + wm + mm), 4) AS recall, round((ce + wr) / (ce + wr + me + fm), 4) AS exception_recall, round(ce / (ce + wr), 4) AS reason_accuracy,
+@query(world.sql("""SELECT round(cm / (cm + wm + fm), 4) AS precision, round(cm / (cm + wm + mm), 4) AS recall, round((ce + wr) / (ce + wr + me +
+  fm), 4) AS exception_recall, round(ce / (ce + wr), 4) AS reason_accuracy,
   round((cm + ce + ci) / n, 4) AS accuracy, round((fm + wm) / n, 4) AS false_match_rate, round((cm + ci) / n, 4) AS auto_resolve,
-  round(2 * round(cm / (cm + wm + fm), 4) * round(cm / (cm + wm + mm), 4) / (round(cm / (cm + wm + fm), 4) + round(cm / (cm + wm + mm), 4)), 4) AS f1 FROM (SELECT CAST(count(*) AS DOUBLE) AS n,
-  CAST(count(*) FILTER (verdict = 'correct_match') AS DOUBLE) AS cm, count(*) FILTER (verdict = 'wrong_match') AS wm, count(*) FILTER (verdict = 'false_match') AS fm, count(*) FILTER (verdict = 'missed_match') AS mm,
-  CAST(count(*) FILTER (verdict = 'correct_exception') AS DOUBLE) AS ce, count(*) FILTER (verdict = 'exception_wrong_reason') AS wr, count(*) FILTER (verdict = 'missed_exception') AS me, count(*) FILTER (verdict = 'correct_ignore') AS ci FROM scored)""", CASES))
+  round(2 * round(cm / (cm + wm + fm), 4) * round(cm / (cm + wm + mm), 4) / (round(cm / (cm + wm + fm), 4) + round(cm / (cm + wm + mm), 4)), 4) AS f1
+    FROM (SELECT CAST(count(*) AS DOUBLE) AS n,
+  CAST(count(*) FILTER (verdict = 'correct_match') AS DOUBLE) AS cm, count(*) FILTER (verdict = 'wrong_match') AS wm, count(*) FILTER (verdict =
+    'false_match') AS fm, count(*) FILTER (verdict = 'missed_match') AS mm,
+  CAST(count(*) FILTER (verdict = 'correct_exception') AS DOUBLE) AS ce, count(*) FILTER (verdict = 'exception_wrong_reason') AS wr, count(*) FILTER
+    (verdict = 'missed_exception') AS me, count(*) FILTER (verdict = 'correct_ignore') AS ci FROM scored)""", CASES))
 def scorecard_ratios(spark, sf_dir):
     return scorecard.ratios(rel(spark, sf_dir, "SELECT * FROM scored", CASES)).select(
         "precision", "recall", "exception_recall", "reason_accuracy", "accuracy", "false_match_rate", "auto_resolve", "f1"
     )
 
 
-@query(world.sql("""SELECT case_id, verdict FROM (SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'false_match' THEN 0 WHEN 'wrong_match' THEN 1 WHEN 'missed_exception' THEN 2 WHEN 'exception_wrong_reason' THEN 3 WHEN 'false_break' THEN 4 ELSE 5 END, scenario, case_id) AS n
+@query(world.sql("""SELECT case_id, verdict FROM (SELECT *, row_number() OVER (ORDER BY CASE verdict WHEN 'false_match' THEN 0 WHEN 'wrong_match'
+  THEN 1 WHEN 'missed_exception' THEN 2 WHEN 'exception_wrong_reason' THEN 3 WHEN 'false_break' THEN 4 ELSE 5 END, scenario, case_id) AS n
   FROM scored WHERE verdict NOT LIKE 'correct%') WHERE n <= 40""", CASES))
 def scorecard_failures(spark, sf_dir):
     return scorecard.failures(rel(spark, sf_dir, "SELECT * FROM scored", CASES)).select("case_id", "verdict")
@@ -654,7 +712,8 @@ def exception_page(spark, sf_dir):
     return page.select(F.concat_ws(",", "subject_ids").alias("subjects"), "reason", "amount")
 
 
-@query(world.sql("""SELECT coalesce(a.day, b.day) AS day, CAST(coalesce(a.v, 0) AS BIGINT) AS matched, CAST(coalesce(b.v, 0) AS BIGINT) AS excepted FROM (SELECT settled_on AS day, sum(payout) AS v FROM pairs GROUP BY 1) a
+@query(world.sql("""SELECT coalesce(a.day, b.day) AS day, CAST(coalesce(a.v, 0) AS BIGINT) AS matched, CAST(coalesce(b.v, 0) AS BIGINT) AS excepted
+  FROM (SELECT settled_on AS day, sum(payout) AS v FROM pairs GROUP BY 1) a
   FULL JOIN (SELECT as_of AS day, sum(amount) AS v FROM found GROUP BY 1) b ON a.day = b.day""", AUDITED, PAIRS))
 def daily_series(spark, sf_dir):
     m = rel(spark, sf_dir, "SELECT * FROM pairs", PAIRS).select(F.array("settlement_id").alias("settlement_ids"))

@@ -66,27 +66,33 @@ line1 AS (
       WHEN sc = 25 THEN 'FUNDS RECEIVED'
       ELSE CASE k % 4 WHEN 0 THEN 'NEFT-' || ref || '-ACME PAYMENTS PRIVATE LIMITED' WHEN 1 THEN 'MMT/IMPS/' || ref || '/Settlement/ACME'
         WHEN 2 THEN 'BY TRANSFER-NEFT*' || ref || '*ACME SOFTWARE' ELSE 'TRANSFER FROM ' || ref || ' ACME PVT LTD' END END AS narration,
-    CASE WHEN sc = 16 THEN amount + k % 5 - 2 WHEN sc = 19 THEN amount - CAST(floor(amount / 10.0) AS BIGINT) WHEN sc = 20 THEN CAST(floor(amount / 100.0) AS BIGINT)
-      WHEN sc = 21 AND length(digits) > 3 THEN CAST(substr(digits, 1, length(digits) - 2) || substr(digits, length(digits), 1) || substr(digits, length(digits) - 1, 1) AS BIGINT)
+    CASE WHEN sc = 16 THEN amount + k % 5 - 2 WHEN sc = 19 THEN amount - CAST(floor(amount / 10.0) AS BIGINT) WHEN sc = 20 THEN CAST(floor(amount /
+      100.0) AS BIGINT)
+      WHEN sc = 21 AND length(digits) > 3 THEN CAST(substr(digits, 1, length(digits) - 2) || substr(digits, length(digits), 1) || substr(digits,
+      length(digits) - 1, 1) AS BIGINT)
       WHEN sc = 23 THEN CAST(floor(amount / 2.0) AS BIGINT) ELSE amount END AS amount
   FROM sc WHERE sc NOT IN (24, 26)),
 line2 AS (
-  SELECT 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_2' AS line_id, settled_on AS value_date, 'NEFT-' || ref || '-ACME PAYMENTS PRIVATE LIMITED' AS narration,
+  SELECT 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_2' AS line_id, settled_on AS value_date, 'NEFT-' || ref || '-ACME PAYMENTS PRIVATE LIMITED'
+    AS narration,
     CASE WHEN sc = 22 THEN amount ELSE amount - CAST(floor(amount / 2.0) AS BIGINT) END AS amount
   FROM sc WHERE sc IN (22, 23)),
 batched AS (
-  SELECT 'bank_batch_' || CAST(settled_ord AS STRING) AS line_id, settled_on AS value_date, 'NEFT CONSOLIDATED PAYOUT' AS narration, CAST(SUM(amount) AS BIGINT) AS amount
+  SELECT 'bank_batch_' || CAST(settled_ord AS STRING) AS line_id, settled_on AS value_date, 'NEFT CONSOLIDATED PAYOUT' AS narration, CAST(SUM(amount)
+    AS BIGINT) AS amount
   FROM sc WHERE sc = 26 GROUP BY settled_ord, settled_on),
 reversed AS (
   SELECT 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_' || side AS line_id, settled_on AS value_date,
     'REV RVSL' || lpad(CAST(k * 7919 % 10000000000 AS STRING), 10, '0') AS narration, CASE side WHEN 'c' THEN 500000 + k ELSE -(500000 + k) END AS amount
   FROM sc CROSS JOIN (SELECT 'c' AS side UNION ALL SELECT 'd' AS side) sides WHERE sc = 27),
 stray AS (
-  SELECT 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_s' AS line_id, settled_on AS value_date, 'CASH DEPOSIT COUNTER ' || CAST(k % 97 AS STRING) AS narration, 700000 + k * 13 AS amount
+  SELECT 'bank_' || lpad(CAST(k AS STRING), 10, '0') || '_s' AS line_id, settled_on AS value_date, 'CASH DEPOSIT COUNTER ' || CAST(k % 97 AS STRING)
+    AS narration, 700000 + k * 13 AS amount
   FROM sc WHERE sc = 28),
 bank AS (SELECT * FROM line1 UNION ALL SELECT * FROM line2 UNION ALL SELECT * FROM batched UNION ALL SELECT * FROM reversed UNION ALL SELECT * FROM stray),
 led AS (
-  SELECT 'led_' || CAST(k AS STRING) AS entry_id, 'ord_' || CAST(k AS STRING) AS order_id, CAST(SUM(gross) AS BIGINT) AS expected_gross, MIN(captured_on) AS booked_on
+  SELECT 'led_' || CAST(k AS STRING) AS entry_id, 'ord_' || CAST(k AS STRING) AS order_id, CAST(SUM(gross) AS BIGINT) AS expected_gross,
+    MIN(captured_on) AS booked_on
   FROM paynet WHERE k % 60 <> 11 GROUP BY k)
 """
 
@@ -129,8 +135,10 @@ def load(spark: SparkSession, sf_dir: str) -> Batch:
     """The world as a batch in the canonical schemas; a payout lists its parts as arrays, as gateways do."""
     get = lambda q: relation(spark, sf_dir, q)
     settlements = get("""
-        SELECT s.settlement_id, s.utr, s.amount, s.settled_on, p.payment_ids, COALESCE(r.ids, array()) AS refund_ids, COALESCE(a.ids, array()) AS adjustment_ids, 'INR' AS currency
-        FROM setl s JOIN (SELECT settlement_id, array_sort(collect_list(payment_id)) AS payment_ids FROM pay GROUP BY settlement_id) p ON p.settlement_id = s.settlement_id
+        SELECT s.settlement_id, s.utr, s.amount, s.settled_on, p.payment_ids, COALESCE(r.ids, array()) AS refund_ids, COALESCE(a.ids, array()) AS
+      adjustment_ids, 'INR' AS currency
+        FROM setl s JOIN (SELECT settlement_id, array_sort(collect_list(payment_id)) AS payment_ids FROM pay GROUP BY settlement_id) p ON
+      p.settlement_id = s.settlement_id
         LEFT JOIN (SELECT settlement_id, collect_list(refund_id) AS ids FROM rfd GROUP BY settlement_id) r ON r.settlement_id = s.settlement_id
         LEFT JOIN (SELECT settlement_id, collect_list(adjustment_id) AS ids FROM adj GROUP BY settlement_id) a ON a.settlement_id = s.settlement_id""")
     return Batch(
