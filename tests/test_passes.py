@@ -228,3 +228,30 @@ def test_a_reckless_adjudicator_is_stopped(spark, cal):
     assert {r.settlement_ids[0] for r in accepted.collect()} == {"s1", "s3"} and {r.settlement_ids[0] for r in rejected.collect()} == {"s2"}
     assert {r.invariant for r in found.collect()} == {"balances"} and {r.adjudicator for r in proposed.collect()} == {"reckless"}
     assert adjudicate.adjudication(s.limit(0), b.limit(0), cal, adjudicator=reckless)[0].matches.isEmpty()
+
+
+def test_recorded_sessions_and_truth(spark, tmp_path):
+    (tmp_path / "t.json").write_text('[{"recorded_at": "x", "provider": "p", "model": "m", "cases": [{"settlement_id": "s1", "candidates": ["b1", "b2"], "confidence": 0.5}]}]')
+    rows = files.load_transcripts(spark, str(tmp_path / "t.json")).collect()
+    assert [(r.settlement_id, r.candidates, r.model) for r in rows] == [("s1", ["b1", "b2"], "m")]
+    assert files.load_transcripts(spark, str(tmp_path / "none.json")).count() == 0 == files.load_truth(spark, str(tmp_path / "none.json")).count()
+    files.write_truth(spark.createDataFrame([("c1", "s", "match")], "case_id string, scenario string, disposition string"), str(tmp_path / "truth"))
+    assert spark.read.schema(files.TRUTH).json(str(tmp_path / "truth")).first().disposition == "match"
+
+
+def test_fee_audit_of_a_stream(spark, tmp_path):
+    from ledgerloom.functions.fees import rate_card, with_fees
+    from ledgerloom.streaming import audits as streaming
+
+    at = dt.datetime(2026, 7, 15, 10, 0)
+    rows = [(f"p{i}", 100_000, "credit_card", at + dt.timedelta(minutes=20 * i)) for i in range(9)]
+    p = with_fees(spark.createDataFrame(rows, "payment_id string, gross long, method string, captured_at timestamp"), rate_card(spark))
+    p = p.select("payment_id", "gross", "method", "captured_at", (F.col("expected_fee") + F.when(F.crc32("payment_id") % 2 == 0, 500).otherwise(0)).alias("fee"), F.col("expected_tax").alias("tax"))
+    p.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(p.schema).parquet(f"{tmp_path}/in")
+    for name, df, mode in (("off", streaming.fee_deviations(stream, rate_card(spark)), "append"), ("hours", streaming.overcharge_by_hour(stream, rate_card(spark)), "complete")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        assert q.awaitTermination(120)
+    want = p.where("fee > 2000").count()
+    assert spark.table("off").count() == want > 0 and spark.table("off").where("delta = 500").count() == want
+    assert spark.table("hours").agg(F.sum("payments"), F.sum("overcharge")).first()[:] == (want, 500 * want)
