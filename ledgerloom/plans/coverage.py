@@ -156,6 +156,12 @@ sums AS (SELECT c, p AS total, 1 AS size, id AS refs FROM one UNION ALL SELECT a
     one d ON d.c = a.c AND b.n < d.n),
 gaps AS (SELECT s.c, goal, size, refs, total - goal AS gap FROM sums s JOIN goal g ON g.c = s.c)"""
 
+HALVES = f"""{POOLS}, one AS (SELECT c, p, n, row_number() OVER (PARTITION BY c ORDER BY p DESC, id) > count(*) OVER (PARTITION BY c) // 2 AS late
+  FROM pool WHERE p > 0),
+part_sums AS (SELECT c, late, 0 AS size, 0 AS s FROM goal, (VALUES (true), (false)) AS v(late) UNION ALL SELECT c, late, 1, p FROM one
+  UNION ALL SELECT a.c, a.late, 2, a.p + b.p FROM one a JOIN one b ON a.c = b.c AND a.late = b.late AND a.n < b.n
+  UNION ALL SELECT a.c, a.late, 3, a.p + b.p + d.p FROM one a JOIN one b ON a.c = b.c AND a.late = b.late AND a.n < b.n
+    JOIN one d ON d.c = a.c AND d.late = a.late AND b.n < d.n)"""
 
 def pools(spark, sf_dir) -> DataFrame:
     own = rel(spark, sf_dir, "SELECT pool.c, goal, id, p FROM pool JOIN goal ON goal.c = pool.c", POOLS)
@@ -181,8 +187,10 @@ def chance_hits(spark, sf_dir):
     return found.where("chance > 0").select("c", F.round("chance", 6).alias("chance"), (F.col("chance") < subsets.CHANCE).alias("credible"))
 
 
-@query(world.sql("SELECT c, min(abs(gap - 777777)) AS gap FROM gaps GROUP BY c", SUMS))
+@query(world.sql("""SELECT g.c, min(abs(l.s + r.s - g.goal - 777777)) AS gap FROM goal g JOIN part_sums l ON l.c = g.c AND NOT l.late
+  JOIN part_sums r ON r.c = g.c AND r.late WHERE l.size + r.size > 0 GROUP BY g.c""", HALVES))
 def closest_sums(spark, sf_dir):
+    """The nearest sum; the larger and the smaller half of a pool give three items each, so six in all."""
     found = pools(spark, sf_dir).select("c", matching.nearest("ids", "amounts", F.col("goal") + 777777).alias("s"))
     return found.select("c", F.abs("s.gap").alias("gap"))
 
