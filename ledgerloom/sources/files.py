@@ -92,26 +92,43 @@ def split_ids(packed: Column) -> Column:
 
 @dataclass(frozen=True)
 class Spec:
-    """How a file's text becomes rows: typed columns, and the first complaint about a row, if any."""
+    """How a file's text becomes rows: the texts that are amounts and dates, typed columns made of what these were read
+    as (paise(), stamp()), and the first complaint about a row, if any."""
 
+    amounts: str
+    dates: str
     columns: dict[str, Column]
     complaints: list[tuple[Column, str]] = field(default_factory=list)
 
 
+def paise(name: str) -> Column:
+    return F.col(f"_{name}_paise")
+
+
+def stamp(name: str) -> Column:
+    return F.col(f"_{name}_stamp")
+
+
+def read_texts(named: DataFrame, spec: Spec) -> DataFrame:
+    """Adds what each amount and date text says, once, however often the columns and complaints ask."""
+    amounts = {f"_{n}_paise": parse_money(F.col(n)) for n in spec.amounts.split()}
+    return named.withColumns(amounts | {f"_{n}_stamp": parse_datetime(F.col(n)) for n in spec.dates.split()})
+
+
 def _required(*names: str) -> list[tuple[Column, str]]:
     return [(F.col(n).isNull(), f"{n} is missing") for n in names]
 
 
 def _amount(name: str) -> tuple[Column, str]:
-    return parse_money(F.col(name)).isNull(), f"{name} can't be read"
+    return paise(name).isNull(), f"{name} can't be read"
 
 
 def _date(name: str) -> tuple[Column, str]:
-    return parse_datetime(F.col(name)).isNull(), f"{name} can't be read"
+    return stamp(name).isNull(), f"{name} can't be read"
 
 
 def specs() -> dict[str, Spec]:
-    c, money, when = F.col, lambda n: parse_money(F.col(n)), lambda n: parse_datetime(F.col(n))
+    c, money, when = F.col, paise, stamp
     upper = lambda n, d: F.upper(F.coalesce(c(n), F.lit(d)))
     lower = lambda n, d: F.lower(F.coalesce(c(n), F.lit(d)))
     zero = lambda n: F.when(c(n).isNull(), F.lit(0)).otherwise(money(n)).cast("long")
@@ -121,6 +138,7 @@ def specs() -> dict[str, Spec]:
     )
     return {
         "payments": Spec(
+            "gross fee tax net", "captured_at",
             {"payment_id": c("payment_id"), "order_id": c("order_id"), "gross": money("gross"), "fee": zero("fee"), "tax": zero("tax"), "net": whole, "captured_at": when("captured_at"),
              "captured_on": when("captured_at").cast("date"), "method": lower("method", "unknown"), "currency": upper("currency", "INR"), "settlement_id": c("settlement_id"),
              "international": F.lower(F.coalesce(c("international"), F.lit(""))).isin(YES), "fx_rate": c("fx_rate"), "source_currency": c("source_currency")},
@@ -128,11 +146,13 @@ def specs() -> dict[str, Spec]:
              (c("net").isNotNull() & (money("net") != money("gross") - zero("fee") - zero("tax")), "net is not gross less fee and tax"), _date("captured_at")],
         ),
         "settlements": Spec(
+            "amount", "settled_at",
             {"settlement_id": c("settlement_id"), "utr": c("utr"), "amount": money("amount"), "settled_at": when("settled_at"), "settled_on": when("settled_at").cast("date"),
              "payment_ids": split_ids(c("payment_ids")), "refund_ids": split_ids(c("refund_ids")), "adjustment_ids": split_ids(c("adjustment_ids")), "currency": upper("currency", "INR")},
             [*_required("settlement_id"), _amount("amount"), _date("settled_at")],
         ),
         "refunds": Spec(
+            "amount", "created_at",
             {
                 "refund_id": c("refund_id"), "payment_id": c("payment_id"), "amount": money("amount"), "created_on": when("created_at").cast("date"),
                 "settlement_id": c("settlement_id")
@@ -140,6 +160,7 @@ def specs() -> dict[str, Spec]:
             [*_required("refund_id"), _amount("amount"), _date("created_at")],
         ),
         "adjustments": Spec(
+            "amount", "created_at",
             {
                 "adjustment_id": c("adjustment_id"), "kind": lower("kind", "correction"), "amount": money("amount"),
                 "created_on": when("created_at").cast("date"), "settlement_id": c("settlement_id"), "linked_payment_id": c("linked_payment_id")
@@ -147,6 +168,7 @@ def specs() -> dict[str, Spec]:
             [*_required("adjustment_id"), _amount("amount"), _date("created_at")],
         ),
         "bank": Spec(
+            "amount credit debit balance", "value_date",
             {
                 "line_id": c("line_id"), "value_date": when("value_date").cast("date"), "narration": F.coalesce(c("narration"), F.lit("")),
                 "amount": stated, "balance": money("balance"), "bank_ref": c("bank_ref"), "currency": upper("currency", "INR")
@@ -154,6 +176,7 @@ def specs() -> dict[str, Spec]:
             [*_required("line_id"), (stated.isNull(), "amount can't be read"), _date("value_date")],
         ),
         "ledger": Spec(
+            "expected_gross", "booked_on",
             {
                 "entry_id": c("entry_id"), "order_id": c("order_id"), "expected_gross": money("expected_gross"), "customer": c("customer"),
                 "booked_on": when("booked_on").cast("date"), "currency": upper("currency", "INR"), "status": lower("status", "open")
@@ -180,7 +203,7 @@ def parse_rows(raw: DataFrame, kind: str, source: str = "", row_number: Column |
         (row_number if row_number is not None else F.lit(None).cast("long")).alias("_row")
     )
     complaint = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(text)) for bad, text in spec.complaints))
-    judged = named.withColumn("_why", complaint)
+    judged = read_texts(named, spec).withColumn("_why", complaint)
     good = judged.where("_why is null").select(*(v.alias(k) for k, v in spec.columns.items()), F.from_json("_raw", "map<string,string>").alias("raw"))
     ids = [c for c in ("line_id", "payment_id", "settlement_id", "entry_id", "refund_id", "adjustment_id") if c in ALIASES[kind]]
     bad = judged.where("_why is not null").select(
