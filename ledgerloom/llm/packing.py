@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 import zlib
 from array import array
 from functools import lru_cache
@@ -118,56 +119,104 @@ def pieces(docs: DataFrame, vocabulary_file: str, with_ids: bool = False) -> Dat
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
 
 
-def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Knapsack by dynamic programming: the pattern (items of each size) of most value that fits the capacity."""
+def best_patterns(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming: for each size, the pattern (items of each size) of most value among those with an item
+    of it that fit the capacity, and their values; the best of them is the best of all.  Sizes are in rising order."""
     best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
-        fits = np.flatnonzero(sizes <= c)
-        if len(fits):
-            totals = best[c - sizes[fits]] + values[fits]
+        if fits[c]:
+            totals = best[c - sizes[: fits[c]]] + values[: fits[c]]
             k = int(totals.argmax())
             if totals[k] > best[c] + 1e-12:
-                best[c], took[c] = totals[k], fits[k]
-    pattern, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= sizes[took[c]]
-    return float(best[capacity]), pattern
+                best[c], took[c] = totals[k], k
+    patterns = np.eye(len(sizes), dtype=np.int64)
+    for k, own in enumerate(patterns):
+        c = capacity - int(sizes[k])
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                own[took[c]] += 1
+                c -= int(sizes[took[c]])
+    return values + best[capacity - sizes], patterns
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with row pivots, in elementwise steps: threaded BLAS on a driver beside a JVM can stall, and a
+    matrix has CAPACITY / STEP rows at most."""
+    m = len(matrix)
+    both = np.hstack([matrix, np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        if pivot != k:
+            both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        others = both[:, k].copy()
+        others[k] = 0
+        rows = np.flatnonzero(others)
+        both[rows] -= others[rows, None] * both[k]
+    return both[:, m:]
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_rounds: int = 4000) -> tuple[list[np.ndarray], np.ndarray]:
+def best_pattern(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The pattern of most value that fits the capacity."""
+    worth, patterns = best_patterns(values, sizes, capacity)
+    return float(worth.max()), patterns[int(worth.argmax())]
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_rounds: int = 1000) -> tuple[list[np.ndarray], np.ndarray]:
     """Patterns and how often each is used, in the linear relaxation of covering the demand with fewest sequences.
 
-    Revised simplex: it starts with one pattern for each size; the dual prices of the basis go to the knapsack, and its
-    pattern enters the basis for the one that first reaches zero, until no pattern is worth more than a sequence.
+    Revised simplex: it starts with one pattern for each size; the dual prices of the basis go to the knapsack, whose
+    patterns, one for each size, enter the basis from the most worth on, as long as they are worth more than a sequence by
+    then, each for the pattern that first reaches zero.  Prices of a basis jump, so the knapsack sees them drawn towards the
+    prices that gave the best lower bound so far, at first each size's share of a sequence, and less so whenever that finds
+    nothing.  It ends when no pattern is worth more than a sequence at the basis's own prices.  Should max_rounds come
+    first, the patterns are valid and cover the demand, with more padding than need be; a warning says so.
     """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / (capacity // sizes))
-    used = inverse @ demand
-    for round_no in range(max_rounds):
+    used = demand * inverse.diagonal()
+    centre, bound, pull, since = sizes / capacity, 0.0, 0.9, 0
+    for _ in range(max_rounds):
         prices = inverse.sum(axis=0)
-        worth, pattern = best_pattern(prices, sizes, capacity)
-        if worth <= 1 + 1e-7:
+        seen = pull * centre + (1 - pull) * prices
+        worth, patterns = best_patterns(seen, sizes, capacity)
+        best = worth.max(initial=0)
+        if pull == 0 and best <= 1 + 1e-7:
             break
-        step = inverse @ pattern
-        rows = np.flatnonzero(step > 1e-9)
-        leaves = rows[np.argmin(used[rows] / step[rows])]
-        t = used[leaves] / step[leaves]
-        used = used - t * step
-        used[leaves] = t
-        basis[:, leaves] = pattern
-        if round_no % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
-        else:
+        if (lower := float((seen * demand).sum()) / max(1.0, best)) > bound:
+            centre, bound = seen / max(1.0, best), lower
+        entered = 0
+        for pattern in patterns[np.argsort(-worth, kind="stable")]:
+            some = np.flatnonzero(pattern)
+            if (prices[some] * pattern[some]).sum() <= 1 + 1e-7:
+                continue
+            step = (inverse[:, some] * pattern[some]).sum(axis=1)
+            rows = np.flatnonzero(step > 1e-9)
+            leaves = rows[np.argmin(used[rows] / step[rows])]
+            t = used[leaves] / step[leaves]
+            used = used - t * step
+            used[leaves] = t
+            basis[:, leaves] = pattern
             row = inverse[leaves] / step[leaves]
-            inverse = inverse - np.outer(step, row)
+            inverse = inverse - step[:, None] * row
             inverse[leaves] = row
+            prices = inverse.sum(axis=0)
+            entered += 1
+        if entered:
+            since += entered
+            if since > 400:
+                inverse, since = inverted(basis), 0
+                used = np.maximum((inverse * demand).sum(axis=1), 0)
+            pull = max(pull, 0.5)
+        else:
+            pull = pull / 2 if pull > 0.05 else 0.0
+    else:
+        warnings.warn(f"column generation stopped after {max_rounds} rounds, a pattern is still worth {best:.6f}", stacklevel=2)
     return [basis[:, j].round().astype(np.int64) for j in range(m)], np.maximum(used, 0)
 
 

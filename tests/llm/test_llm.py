@@ -570,3 +570,20 @@ def test_null_word_counts_and_long_text(spark):
     assert simhash.simhash_dedup(docs).count() == 2
     assert quality_rules.quality_rules(docs).where("doc_id = 0").first().base_failed
     assert suffix_dedup.suffix_dedup(docs).where("n_removed > 0").count() == 0
+
+
+def test_plan_of_all_size_classes_ends_beside_a_session(spark):
+    import time
+
+    assert spark.range(10).count() == 10  # the driver has its JVM
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(rng.lognormal(5.5, 1.3, 30000).astype(int) + 1, packing.CAPACITY)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(np.r_[-(-lengths // packing.STEP), np.arange(1, 257)], return_counts=True)), strict=True))
+    began = time.time()
+    rows = packing.plan(histogram)
+    assert len(histogram) == 256 and time.time() - began < 60
+    used = max(r[4] + (r[2] - r[1] + 1) // r[3] for r in rows)
+    least = -(-sum(s * n for s, n in histogram.items()) // 256)
+    assert least <= used <= least + 256
+    basis = rng.integers(0, 5, (40, 40)) + np.diag(rng.integers(1, 9, 40))
+    assert np.allclose(packing.inverted(basis.astype(float)) @ basis, np.eye(40))
