@@ -72,10 +72,10 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     chosen = ends.withColumn("rank", F.row_number().over(order))
     if branches is not None:
         chosen = chosen.where(F.col("rank") <= branches)
-    found = chosen.select("tree", F.col("node").alias("leaf"), "rank", (F.col("steps") - 1).alias("depth"), "node")
+    found = cut(chosen.select("tree", F.col("node").alias("leaf"), "rank", (F.col("steps") - 1).alias("depth"), "node"))
     for k in range(len(jumps) - 1, -1, -1):
         higher = found.join(jumps[k], ["tree", "node"]).select("tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
-        found = found.unionByName(higher)
+        found = cut(found.unionByName(higher))  # else each round would plan the one before twice
     return found
 
 
