@@ -48,7 +48,7 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     hangs on a cycle has no root and is in no path.  A path's score is the mean of its messages' (null: 0), equal ones rank
     by leaf.
 
-    Round k joins every message's ancestor 2^k above with that one's own, which gives depths, sums of scores and a table
+    Round k joins the ancestor 2^k above of every message that has one with that one's own, which gives depths, sums of scores and a table
     of jumps; the chosen leaves then go down the tables, and each round adds the messages 2^k above those it has.  So
     rounds are the logarithm of the longest path, ids alone are shuffled, and only chosen paths are written out.
     """
@@ -63,9 +63,9 @@ def paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     while largest >> len(jumps) and not open_.isEmpty():
         jumps.append(open_.select("tree", "node", "up"))
         above = now.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("total").alias("_total"))
-        now = cut(now.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")))
+        higher = open_.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("total") + F.col("_total")).alias("total"))
+        now = cut(higher.unionByName(now.where("up is null")))
         open_ = now.where("up is not null")
     ends = now.where("up is null").join(links.select("tree", F.col("up").alias("node")), ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("steps")), "node")
