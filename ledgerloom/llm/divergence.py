@@ -2,38 +2,70 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, partitions_for, table
+from .common import cut, give_back, partitions_for, small_batches, table, text_bytes
 
 #: Fixed values of the result contract: what a term is, documents a kept term needs, the scale of shares, ranks of terms.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Exact division of sums without a bound: decimals hold SCALE times any count.
-SHARE = f"cast(1 + (cast({SCALE} as decimal(10,0)) * cast(%s + 1 as decimal(20,0))) div cast(%s as decimal(20,0)) as bigint)"
+#: Different terms and groups that a task counts before it hands its counts on.
+COUNTED = 300_000
+#: Exact shares: 64 bits hold SCALE times most counts, decimals any.
+SHARE = (
+    f"case when %s < {9 * 10**9 - 1} then 1 + (cast({SCALE} as bigint) * (%s + 1)) div %s "
+    f"else cast(1 + (cast({SCALE} as decimal(10,0)) * cast(%s + 1 as decimal(20,0))) div cast(%s as decimal(20,0)) as bigint) end"
+)
 
 
-def lowered(text):
-    """A-Z in lower case, nothing else; texts of ASCII alone take the fast way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def share(n: str, whole: str):
+    return F.expr(SHARE % (n, n, whole, n, whole))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), df (documents); a group without terms has one row with a null term.
+    """lang, source, term, n (occurrences), df (documents); a group with a text without terms has a row with a null term.
 
-    A document's terms are sorted, so the first of each is known in its row and both counts come from one aggregation.
+    Matches are found on bytes, as all of UTF-8 but ASCII is part of terms, and counted by document; a task hands on the
+    counts of its documents whenever it has COUNTED of them, so the shuffle gets sums, and memory doesn't grow.
     """
+    match = re.compile(TERM.encode()).findall
+
+    def handed_on(counts):
+        keys = [key for key, (_, n) in counts.items() for _ in n]
+        names = [pa.array([key[k] for key in keys], pa.string()) for k in (0, 1)]
+        terms = pa.array([term for _, n in counts.values() for term in n], pa.binary()).cast(pa.string())
+        numbers = [pa.array([x for c in counts.values() for x in c[k].values()], pa.int64()) for k in (1, 0)]
+        return pa.RecordBatch.from_arrays([*names, terms, *numbers], ["lang", "source", "term", "n", "df"])
+
+    def run(batches):
+        counts, held = {}, 0
+        for batch in batches:
+            data, at = text_bytes(batch.column(0))
+            data, at = data.tobytes().lower(), at.tolist()  # bytes lower A-Z alone
+            for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                df, n = counts.setdefault(key, (Counter(), Counter()))
+                own = Counter(match(data, at[k], at[k + 1])) or {None: 0}
+                held -= len(n)
+                df.update(own.keys())
+                n.update(own)
+                held += len(n)
+            if held >= COUNTED:
+                yield handed_on(counts)
+                counts, held = {}, 0
+        yield handed_on(counts)
+        give_back()
+
+    small_batches(docs.sparkSession)
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    rows = rows.select("lang", "source", F.sort_array(F.regexp_extract_all(lowered(F.col("text")), F.lit(TERM), F.lit(0))).alias("_terms"))
-
-    def first(term, k):
-        return F.struct(term.alias("term"), F.when((k > 0) & (F.get("_terms", k - 1) == term), 0).otherwise(1).alias("first"))
-
-    rows = rows.select("lang", "source", F.explode_outer(F.transform("_terms", first)).alias("_at"))
-    return rows.groupBy("lang", "source", F.col("_at.term").alias("term")).agg(F.count("_at.term").alias("n"), F.sum("_at.first").alias("df"))
+    rows = rows.mapInArrow(run, "lang string, source string, term string, n long, df long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def divergence(docs: DataFrame, top_terms: int = TOP_TERMS) -> DataFrame:
@@ -45,39 +77,41 @@ def divergence(docs: DataFrame, top_terms: int = TOP_TERMS) -> DataFrame:
 
     Terms and groups are few beside the text, and all that is joined is checkpointed counts.  Groups meet the kept
     vocabulary of their language salted by term, so a language with most of the vocabulary is dealt to all tasks; the
-    self-join on language and term has one row a source on each side.  Of two sources the pair is joined once, for both
-    directions.
+    self-join, on the number of a language's term, has one row a source on each side.  Of two sources the pair is joined
+    once, for both directions.
     """
     spark = docs.sparkSession
     counts = cut(term_counts(docs))
     vocabulary = cut(counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df")).where(F.col("df") >= MIN_DOCS).drop("df"))
-    kept = counts.join(vocabulary.select("lang", "term"), ["lang", "term"])
+    vocabulary = vocabulary.withColumn("at", F.monotonically_increasing_id())  # a checkpoint's rows keep their places
+    kept = counts.join(vocabulary, ["lang", "term"]).drop("df")
     langs = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     groups = (
         counts.select("lang", "source").distinct()
         .join(kept.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang", "left")
         .select("lang", "source", (F.coalesce("total", F.lit(0)) + F.col("v")).alias("whole"), (F.col("lang_total") + F.col("v")).alias("lang_whole"))
     )
-    groups = cut(groups).withColumn("id", F.monotonically_increasing_id())  # a checkpoint's rows keep their places
+    groups = cut(groups).withColumn("id", F.monotonically_increasing_id())
+    found = kept.join(groups, ["lang", "source"])
 
     salts = partitions_for(spark)
-    salted = vocabulary.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(salts)))
+    salted = vocabulary.select("lang", "at", F.pmod(F.xxhash64("at"), F.lit(salts)).alias("salt"))
     everywhere = groups.where("whole is not null").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    zeros = salted.join(everywhere, ["lang", "salt"]).select("lang", "term", "source", "id", F.lit(0).cast("long").alias("n"), "lang_n", "whole", "lang_whole")
-    found = kept.select("lang", "term", "source", "n")
-    dense = zeros.unionByName(found, allowMissingColumns=True).repartition(salts, "lang", "term")
-    dense = dense.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("id", "lang_n", "whole", "lang_whole")))
-    dense = dense.select("lang", "term", "source", "id", "n", F.expr(SHARE % ("n", "whole")).alias("p"), F.expr(SHARE % ("lang_n", "lang_whole")).alias("q"))
-
-    a = dense.select("lang", "term", F.col("id").alias("a"), F.col("p").alias("pa"))
-    b = dense.select("lang", "term", F.col("id").alias("b"), F.col("p").alias("pb"))
-    met = a.join(b, ["lang", "term"]).where("a < b").withColumn("gap", (F.col("pa") - F.col("pb")) * (F.col("pa") - F.col("pb")))
+    zeros = salted.join(everywhere, ["lang", "salt"]).select("at", "id", F.lit(0).cast("long").alias("n"), "whole")
+    dense = zeros.unionByName(found.select("at", "id", "n", "whole")).repartition(salts, "at")
+    dense = dense.groupBy("at", "id").agg(F.sum("n").alias("n"), F.max("whole").alias("whole")).select("at", "id", share("n", "whole").alias("p"))
+
+    a = dense.select("at", F.col("id").alias("a"), F.col("p").alias("pa"))
+    b = dense.select("at", F.col("id").alias("b"), F.col("p").alias("pb"))
+    met = a.join(b, "at").where("a < b").withColumn("gap", (F.col("pa") - F.col("pb")) * (F.col("pa") - F.col("pb")))
     sums = met.groupBy("a", "b").agg(F.expr("sum(gap div pb)").alias("there"), F.expr("sum(gap div pa)").alias("back"))
-    sums = sums.select(F.explode(F.array(F.struct("a", "b", F.col("there").alias("value")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("value")))).alias("s")).select("s.*")
+    ways = [F.struct("a", "b", F.col("there").alias("value")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("back").alias("value"))]
+    sums = sums.select(F.explode(F.array(*ways)).alias("s")).select("s.*")
     names = groups.select("lang", "source", "id")
     pairs = names.withColumnRenamed("id", "a").join(names.select("lang", F.col("source").alias("item"), F.col("id").alias("b")), "lang").where("a <> b")
     pairs = pairs.join(sums, ["a", "b"], "left").select("lang", "source", "item", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
-    over = dense.where("n > 0 and p > q").select("lang", "source", F.col("term").alias("item"), F.expr("((p - q) * (p - q)) div q").alias("value"))
+    over = found.select("lang", "source", F.col("term").alias("item"), share("n", "whole").alias("p"), share("lang_n", "lang_whole").alias("q")).where("p > q")
+    over = over.select("lang", "source", "item", F.expr("((p - q) * (p - q)) div q").alias("value"))
 
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by))
