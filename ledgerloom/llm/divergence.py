@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, SCALE, TOP_TERMS = 3, 1_000_000_000, 200
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Different terms and groups that a task counts before it hands its counts on.
-COUNTED = 300_000
+COUNTED = 700_000
 #: Exact shares: 64 bits hold SCALE times most counts, decimals any.
 SHARE = (
     f"case when %s < {9 * 10**9 - 1} then 1 + (cast({SCALE} as bigint) * (%s + 1)) div %s "
@@ -38,24 +39,24 @@ def term_counts(docs: DataFrame) -> DataFrame:
     match = re.compile(TERM.encode()).findall
 
     def handed_on(counts):
-        keys = [key for key, (_, n) in counts.items() for _ in n]
+        keys = [key for key, own in counts.items() for _ in own]
         names = [pa.array([key[k] for key in keys], pa.string()) for k in (0, 1)]
-        terms = pa.array([term for _, n in counts.values() for term in n], pa.binary()).cast(pa.string())
-        numbers = [pa.array([x for c in counts.values() for x in c[k].values()], pa.int64()) for k in (1, 0)]
-        return pa.RecordBatch.from_arrays([*names, terms, *numbers], ["lang", "source", "term", "n", "df"])
+        terms = pa.array([term for own in counts.values() for term in own], pa.binary()).cast(pa.string())
+        both = np.fromiter((x for own in counts.values() for x in own.values()), np.int64, len(keys))
+        return pa.RecordBatch.from_arrays([*names, terms, pa.array(both >> 32), pa.array(both & 0xFFFFFFFF)], ["lang", "source", "term", "n", "df"])
 
     def run(batches):
-        counts, held = {}, 0
+        counts, held = {}, 0  # of a term: occurrences << 32 | documents
         for batch in batches:
             data, at = text_bytes(batch.column(0))
             data, at = data.tobytes().lower(), at.tolist()  # bytes lower A-Z alone
             for k, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                df, n = counts.setdefault(key, (Counter(), Counter()))
-                own = Counter(match(data, at[k], at[k + 1])) or {None: 0}
-                held -= len(n)
-                df.update(own.keys())
-                n.update(own)
-                held += len(n)
+                own = counts.setdefault(key, {})
+                held -= len(own)
+                had = own.get
+                for term, n in (Counter(match(data, at[k], at[k + 1])) or {None: 0}).items():
+                    own[term] = had(term, 0) + (n << 32) + 1
+                held += len(own)
             if held >= COUNTED:
                 yield handed_on(counts)
                 counts, held = {}, 0
