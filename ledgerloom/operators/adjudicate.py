@@ -78,31 +78,35 @@ def adjudication(
 ) -> tuple[PassOut, DataFrame]:
     """Matches by weight of evidence, and what was declined (settlement_id, reviewed, rationale).
 
-    Payouts go in order of id.  A round decides all that are left; a match holds unless an earlier payout's match of
-    the round takes a credit from its shortlist, then it is decided again.  The first match of a round always holds, so
-    rounds go on until one brings none.
+    Payouts go in order of id.  A match holds unless an earlier payout's match of the round takes a credit from its
+    shortlist, then it is looked at again; rounds go on until one brings none.  Only payouts whose shortlist has lost a
+    credit are listed and decided anew, against the credits of their windows' days; all others keep what they have.
     """
-    out, declined, s, c = None, None, settlements, credits
     if adjudicator is None:
         none = settlements.limit(0).select("settlement_id", F.array().cast("array<string>").alias("reviewed"), F.lit("").alias("rationale"))
         return PassOut(None, None, None), none
+    out, s, c = None, settlements, credits
+    listed = settle(shortlist(s, c, cal, card, config))
+    decided = settle(adjudicator(listed))
     while True:
-        listed = settle(shortlist(s, c, cal, card, config))
-        decided = adjudicator(listed)
         matched = decided.where("decision = 'match'").select("settlement_id", "line_id", "confidence", "rationale", "payout", "amount", "score", "delta")
         takes = matched.select(F.col("settlement_id").alias("_by"), "line_id")
-        disturbed = listed.select("settlement_id", "line_id").join(takes, "line_id").where(
-            F.col("_by") < F.col("settlement_id")
-        ).select("settlement_id").distinct()
+        members = listed.select("settlement_id", "line_id")
+        disturbed = members.join(takes, "line_id").where(F.col("_by") < F.col("settlement_id")).select("settlement_id").distinct()
         valid = settle(matched.join(disturbed, "settlement_id", "left_anti"))
         out = valid if out is None else out.unionByName(valid)
-        why = decided.where("decision <> 'match'").select("settlement_id", "rationale").join(
-            listed.groupBy("settlement_id").agg(F.collect_set("line_id").alias("reviewed")), "settlement_id"
-        )
         if valid.isEmpty():
-            declined = settle(why)
             break
         s, c = settle(s.join(valid, "settlement_id", "left_anti")), settle(c.join(valid, "line_id", "left_anti"))
+        lost = settle(members.join(valid.select("line_id"), "line_id", "left_semi").select("settlement_id").distinct())
+        again = s.join(lost, "settlement_id", "left_semi")
+        near = with_windows(again, cal, config).select(F.explode(F.sequence("win_lo", "win_hi")).alias("value_date")).distinct()
+        fresh = settle(shortlist(again, c.join(near, "value_date", "left_semi"), cal, card, config))
+        listed = settle(listed.join(lost, "settlement_id", "left_anti").unionByName(fresh))
+        decided = settle(decided.join(lost, "settlement_id", "left_anti").unionByName(adjudicator(fresh)))
+    declined = settle(decided.where("decision <> 'match'").select("settlement_id", "rationale").join(
+        listed.groupBy("settlement_id").agg(F.collect_set("line_id").alias("reviewed")), "settlement_id"
+    ))
     name = getattr(adjudicator, "name", getattr(adjudicator, "__name__", "adjudicator"))
     proof = F.array(evidence("adjudicated", F.concat(F.lit("weight of evidence "), F.col("confidence").cast("string")), F.col("confidence"), F.col("line_id")))
     m = as_matches(

@@ -32,12 +32,17 @@ def in_window(left: DataFrame, right: DataFrame, lo: str, hi: str, day: str, *ke
     return left.withColumn("_day", F.explode(F.sequence(lo, hi))).join(right.withColumn("_day", F.col(day)), ["_day", *keys]).drop("_day")
 
 
-def near_amount(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: int) -> DataFrame:
-    """left x right where the amounts differ by the tolerance at most: an equi-join on buckets of the tolerance's size."""
+def near_amount(left: DataFrame, right: DataFrame, a: str, b: str, tolerance: int, days: tuple[str, str, str] | None = None) -> DataFrame:
+    """left x right where the amounts differ by the tolerance at most: an equi-join on buckets of the tolerance's size.
+
+    days (lo, hi, day) keeps rights whose day lies in the left's lo..hi, and puts the day into the key: a price that many
+    have meets itself within a window only.
+    """
     wide = 2 * tolerance + 1
     spread = F.explode(F.array(*(F.floor(F.col(a) / wide) + i for i in (-1, 0, 1))))
-    joined = left.withColumn("_near", spread).join(right.withColumn("_near", F.floor(F.col(b) / wide)), "_near").drop("_near")
-    return joined.where(F.abs(F.col(a) - F.col(b)) <= tolerance)
+    near, rest = left.withColumn("_near", spread), right.withColumn("_near", F.floor(F.col(b) / wide))
+    joined = near.join(rest, "_near") if days is None else in_window(near, rest, *days, "_near")
+    return joined.drop("_near").where(F.abs(F.col(a) - F.col(b)) <= tolerance)
 
 
 def nearest_amounts(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
@@ -79,8 +84,9 @@ def contested(settlements: DataFrame, lines: DataFrame, days: int = 3, tolerance
     """For each line, other payouts near it in date and amount: settlement_id given, rival_id, gap; first few by gap."""
     own = settlements.select("settlement_id", F.col("settled_on").alias("_own_day"))
     rival = settlements.select(F.col("settlement_id").alias("rival_id"), F.col("amount").alias("rival_amount"), F.col("settled_on").alias("rival_on"))
-    near = near_amount(lines.join(own, "settlement_id"), rival, "amount", "rival_amount", tolerance)
-    near = near.where((F.col("rival_id") != F.col("settlement_id")) & (F.abs(F.datediff("rival_on", "_own_day")) <= days))
+    asked = lines.join(own, "settlement_id").withColumns({"_lo": F.date_sub("_own_day", days), "_hi": F.date_add("_own_day", days)})
+    near = near_amount(asked, rival, "amount", "rival_amount", tolerance, ("_lo", "_hi", "rival_on"))
+    near = near.where(F.col("rival_id") != F.col("settlement_id"))
     gap = F.abs(F.col("rival_amount") - F.col("amount"))
     rank = F.row_number().over(Window.partitionBy("settlement_id", "line_id").orderBy(gap, "rival_id"))
     return near.withColumn("gap", gap).withColumn("_r", rank).where(F.col("_r") <= first).select("settlement_id", "line_id", "rival_id", "gap")
