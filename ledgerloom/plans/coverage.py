@@ -96,10 +96,10 @@ def ingest_ledger(spark, sf_dir):
     return files.parse_rows(raw, "ledger")[0].select("entry_id", "order_id", "expected_gross", "booked_on", "currency", "status")
 
 
-@query(world.sql("SELECT 'bank_statement.csv:' || CAST(k AS STRING) AS subject FROM pay WHERE seq = 1 AND k % 5 = 0"))
+@query(world.sql("SELECT 'bank_statement.csv:' || CAST(k AS STRING) AS subject FROM pay WHERE seq = 1"))
 def quarantine_subjects(spark, sf_dir):
     """Rows without id are named by their place, each for itself."""
-    raw = rel(spark, sf_dir, "SELECT k, '' AS id, 'x' AS amount, '2026-07-15' AS date FROM pay WHERE seq = 1 AND k % 5 = 0")
+    raw = rel(spark, sf_dir, "SELECT k, '' AS id, 'x' AS amount, '2026-07-15' AS date FROM pay WHERE seq = 1")
     bad = files.parse_rows(raw, "bank", row_number=F.col("k"))[1]
     from ..operators.audits import quarantine_exceptions
 
@@ -146,52 +146,60 @@ def configured_windows(spark, sf_dir):
 
 
 # --- subset sums -----------------------------------------------------------------------------------------------------
-POOLS = """pool AS (SELECT * FROM (SELECT o_custkey AS c, lpad(CAST(o_orderkey AS STRING), 10, '0') AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS p,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) AS x WHERE n <= 9),
-goal AS (SELECT c, CAST(sum(CASE WHEN n IN (2, 4) THEN p ELSE 0 END) AS BIGINT) + c % 5 - 2 AS goal FROM pool GROUP BY c HAVING count(*) >= 5)"""
-SUMS = f"""{POOLS}, one AS (SELECT c, id, p, n FROM pool WHERE p > 0),
-sums AS (SELECT c, p AS total, 1 AS size, id AS refs FROM one UNION ALL SELECT a.c, a.p + b.p, 2, least(a.id, b.id) || ',' || greatest(a.id, b.id)
-  FROM one a JOIN one b ON a.c = b.c AND a.n < b.n
-  UNION ALL SELECT a.c, a.p + b.p + d.p, 3, array_to_string(list_sort([a.id, b.id, d.id]), ',') FROM one a JOIN one b ON a.c = b.c AND a.n < b.n JOIN
-    one d ON d.c = a.c AND b.n < d.n),
-gaps AS (SELECT s.c, goal, size, refs, total - goal AS gap FROM sums s JOIN goal g ON g.c = s.c)"""
-
-HALVES = f"""{POOLS}, one AS (SELECT c, p, n, row_number() OVER (PARTITION BY c ORDER BY p DESC, id) > count(*) OVER (PARTITION BY c) // 2 AS late
-  FROM pool WHERE p > 0),
-part_sums AS (SELECT c, late, 0 AS size, 0 AS s FROM goal, (VALUES (true), (false)) AS v(late) UNION ALL SELECT c, late, 1, p FROM one
-  UNION ALL SELECT a.c, a.late, 2, a.p + b.p FROM one a JOIN one b ON a.c = b.c AND a.late = b.late AND a.n < b.n
-  UNION ALL SELECT a.c, a.late, 3, a.p + b.p + d.p FROM one a JOIN one b ON a.c = b.c AND a.late = b.late AND a.n < b.n
-    JOIN one d ON d.c = a.c AND d.late = a.late AND b.n < d.n)"""
+# A pool is all orders of a customer or of a week, its target the first and the last order's sum, up to two paise off.
+ITEMS = """priced AS (SELECT o_custkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS week, o_orderkey AS k,
+  lpad(CAST(o_orderkey AS STRING), 10, '0') AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS p FROM orders),
+item AS (SELECT 'customer ' || CAST(o_custkey AS STRING) AS c, k, id, p FROM priced UNION ALL SELECT 'week ' || CAST(week AS STRING), k, id, p FROM priced),
+goal AS (SELECT c, CAST(min_by(p, k) + max_by(p, k) AS BIGINT) + min(k) % 5 - 2 AS goal, count(*) AS pool_size FROM item GROUP BY c)"""
+# The budget of 5,000 combinations: triples up to 32 orders, pairs up to 100; larger pools are counted only.
+SUMS = f"""{ITEMS}, sized AS (SELECT *, CASE WHEN pool_size > 5000 THEN 0 WHEN pool_size > 100 THEN 1 WHEN pool_size > 32 THEN 2
+  ELSE least(3, pool_size) END AS most FROM goal),
+one AS (SELECT i.c, i.id, i.p, i.k, s.most FROM item i JOIN sized s ON s.c = i.c WHERE p > 0 AND pool_size <= 100),
+sums AS (SELECT c, p AS total, 1 AS size, id AS refs FROM one
+  UNION ALL SELECT a.c, a.p + b.p, 2, least(a.id, b.id) || ',' || greatest(a.id, b.id) FROM one a JOIN one b ON a.c = b.c AND a.k < b.k WHERE a.most >= 2
+  UNION ALL SELECT a.c, a.p + b.p + d.p, 3, array_to_string(list_sort([a.id, b.id, d.id]), ',') FROM one a
+    JOIN one b ON a.c = b.c AND a.k < b.k JOIN one d ON d.c = a.c AND b.k < d.k WHERE a.most >= 3),
+gaps AS (SELECT s.c, size, refs, total - goal AS gap FROM sums s JOIN goal g ON g.c = s.c)"""
+# The 28 largest orders of a pool in two halves, of which each gives three at most.
+HALVES = f"""{ITEMS}, ranked AS (SELECT item.c, p, k, row_number() OVER (PARTITION BY item.c ORDER BY p DESC, id) AS r, pool_size
+  FROM item JOIN goal ON goal.c = item.c WHERE p > 0 AND pool_size <= 100),
+one AS (SELECT c, p, k, r > least(28, count(*) OVER (PARTITION BY c)) // 2 AS late FROM ranked WHERE r <= 28),
+part_sums AS (SELECT c, late, 0 AS size, 0 AS s FROM goal, (VALUES (true), (false)) AS v(late) WHERE pool_size <= 100
+  UNION ALL SELECT c, late, 1, p FROM one
+  UNION ALL SELECT a.c, a.late, 2, a.p + b.p FROM one a JOIN one b ON a.c = b.c AND a.late = b.late AND a.k < b.k
+  UNION ALL SELECT a.c, a.late, 3, a.p + b.p + d.p FROM one a JOIN one b ON a.c = b.c AND a.late = b.late AND a.k < b.k
+    JOIN one d ON d.c = a.c AND d.late = a.late AND b.k < d.k)"""
+
 
 def pools(spark, sf_dir) -> DataFrame:
-    own = rel(spark, sf_dir, "SELECT pool.c, goal, id, p FROM pool JOIN goal ON goal.c = pool.c", POOLS)
-    return own.groupBy("c", "goal").agg(F.collect_list("id").alias("ids"), F.collect_list("p").alias("amounts"))
+    """The pool of every customer and week: c, goal, pool_size, most, ids, amounts (null where even pairs are over the budget)."""
+    items = rel(spark, sf_dir, "SELECT c, id, p FROM item", ITEMS)
+    return subsets.bounded_pools(items, ["c"], "id", "p", most=3).join(rel(spark, sf_dir, "SELECT c, goal FROM goal", ITEMS), "c")
 
 
-@query(world.sql("""SELECT c, least(count(*), 8) AS solutions, count(*) > 8 AS truncated, count(*) = 1 AS is_unique, CAST(count(*) FILTER (gap = 0)
-  AS BIGINT) AS exact,
-  first(refs ORDER BY abs(gap), size, refs) AS best FROM gaps WHERE abs(gap) <= 5 GROUP BY c""", SUMS))
+@query(world.sql("""SELECT s.c, s.pool_size, CAST(s.most AS INTEGER) AS most, CASE WHEN pool_size <= 100 THEN least(count(g.c), 8) END AS solutions,
+  CASE WHEN pool_size <= 100 THEN count(g.c) > 8 END AS truncated, CASE WHEN pool_size <= 100 THEN count(g.c) = 1 END AS is_unique,
+  CASE WHEN pool_size <= 100 THEN CAST(count(*) FILTER (gap = 0) AS BIGINT) END AS exact, first(refs ORDER BY abs(gap), size, refs) AS best
+  FROM sized s LEFT JOIN (SELECT * FROM gaps WHERE abs(gap) <= 5) g ON g.c = s.c GROUP BY s.c, s.pool_size, s.most""", SUMS))
 def subset_sums(spark, sf_dir):
-    found = pools(spark, sf_dir).select("c", subsets.solve("ids", "amounts", "goal", F.lit(3)).alias("s")).where("s.solutions > 0")
-    return found.select("c", "s.solutions", "s.truncated", "s.is_unique", "s.exact", "s.best")
+    """What of a pool's orders adds up to the target; pools of more than 34 take branch and bound."""
+    solved = F.when(F.col("ids").isNotNull(), subsets.solve(*subsets.listed("ids", "amounts"), "goal", "most"))
+    found = pools(spark, sf_dir).withColumn("s", solved)
+    return found.select("c", "pool_size", "most", "s.solutions", "s.truncated", "s.is_unique", "s.exact", "s.best")
 
 
-@query(
-    world.sql(
-        "SELECT c, round(least(count(*), 120) * 11 / 4001.0, 6) AS chance, least(count(*), 120) * 11 / 4001.0 < 0.05 AS credible FROM gaps WHERE abs(gap) <= 2000 GROUP BY c",
-        SUMS
-    )
-)
+@query(world.sql("""SELECT s.c, round(least(count(g.c), 120) * 11 / 4001.0, 6) AS chance, least(count(g.c), 120) * 11 / 4001.0 < 0.05 AS credible
+  FROM sized s LEFT JOIN (SELECT * FROM gaps WHERE abs(gap) <= 2000) g ON g.c = s.c WHERE s.pool_size <= 100 GROUP BY s.c""", SUMS))
 def chance_hits(spark, sf_dir):
-    found = pools(spark, sf_dir).select("c", subsets.chance("ids", "amounts", "goal", F.lit(3)).alias("chance"))
-    return found.where("chance > 0").select("c", F.round("chance", 6).alias("chance"), (F.col("chance") < subsets.CHANCE).alias("credible"))
+    found = pools(spark, sf_dir).where("ids IS NOT NULL").select("c", subsets.chance("ids", "amounts", "goal", "most").alias("chance"))
+    return found.select("c", F.round("chance", 6).alias("chance"), (F.col("chance") < subsets.CHANCE).alias("credible"))
 
 
 @query(world.sql("""SELECT g.c, min(abs(l.s + r.s - g.goal - 777777)) AS gap FROM goal g JOIN part_sums l ON l.c = g.c AND NOT l.late
   JOIN part_sums r ON r.c = g.c AND r.late WHERE l.size + r.size > 0 GROUP BY g.c""", HALVES))
 def closest_sums(spark, sf_dir):
     """The nearest sum; the larger and the smaller half of a pool give three items each, so six in all."""
-    found = pools(spark, sf_dir).select("c", matching.nearest("ids", "amounts", F.col("goal") + 777777).alias("s"))
+    found = pools(spark, sf_dir).where("ids IS NOT NULL").select("c", matching.nearest("ids", "amounts", F.col("goal") + 777777).alias("s"))
     return found.select("c", F.abs("s.gap").alias("gap"))
 
 

@@ -449,14 +449,19 @@ def batch_decomposition(spark, sf_dir):
     )
 
 
-@query("""WITH n AS (SELECT DISTINCT o_custkey % 400 + 1 AS n FROM orders), c AS (SELECT n, CAST(n AS DOUBLE) AS c1, n * (n - 1) / 2.0 AS c2, n * (n
-  - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
-    n * (n - 1) * (n - 2) * (n - 3) * (n - 4) / 120.0 AS c5, CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) / 720.0 AS c6 FROM n)
-  SELECT n, CAST(CASE WHEN n < 2 OR c2 > 5000 THEN 1 WHEN n < 3 OR c3 > 5000 THEN 2 WHEN n < 4 OR c4 > 5000 THEN 3 WHEN n < 5 OR c5 > 5000 THEN 4
-    WHEN n < 6 OR c6 > 5000 THEN 5 ELSE 6 END AS INTEGER) AS k FROM c""")
+@query("""WITH pools AS (SELECT 'customer' AS pool, CAST(o_custkey AS STRING) AS id, count(*) AS n FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'day', CAST(CAST(o_orderdate AS DATE) AS STRING), count(*) FROM orders GROUP BY CAST(o_orderdate AS DATE)),
+  c AS (SELECT *, n * (n - 1) / 2.0 AS c2, n * (n - 1) * (n - 2) / 6.0 AS c3, n * (n - 1) * (n - 2) * (n - 3) / 24.0 AS c4,
+    CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3) * (n - 4) / 120.0 AS c5,
+    CAST(n AS DOUBLE) * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) / 720.0 AS c6 FROM pools)
+  SELECT pool, id, n, CAST(CASE WHEN n > 5000 THEN 0 WHEN n < 2 OR c2 > 5000 THEN 1 WHEN n < 3 OR c3 > 5000 THEN 2 WHEN n < 4 OR c4 > 5000 THEN 3
+    WHEN n < 5 OR c5 > 5000 THEN 4 WHEN n < 6 OR c6 > 5000 THEN 5 ELSE 6 END AS INTEGER) AS k FROM c""")
 def cardinality_budget(spark, sf_dir):
-    pools = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") % 400 + 1).alias("n")).distinct()
-    return pools.select("n", subsets.cardinality_column(F.col("n")).alias("k"))
+    """How many orders of a customer, and of a day, a credible combination may have."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    sizes = lambda pool, key: orders.groupBy(key.cast("string").alias("id")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(pool).alias("pool"), "id", "n")
+    pools = sizes("customer", F.col("o_custkey")).union(sizes("day", F.col("o_orderdate").cast("date")))
+    return pools.select("pool", "id", "n", subsets.cardinality_column(F.col("n")).alias("k"))
 
 
 WEIGHED = """weighed AS (SELECT o_orderkey AS k, CAST((o_orderkey * 7) % 101 AS DOUBLE) / 100 AS score, CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN
