@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, cut, small_batches
 
@@ -17,8 +17,11 @@ SHINGLE, SEED, MAX_BITS = 3, 42, 2
 #: Byte positions of a fingerprint, and the bytes that two linked ones share at their positions at least.
 POSITIONS = 8
 MIN_SHARED = POSITIONS - MAX_BITS
-#: The posting lists: every choice of MIN_SHARED positions.
-CHOICES = list(combinations(range(POSITIONS), MIN_SHARED))
+#: The posting lists: every choice of INDEXED positions, a byte fewer than must match, so the tally has pairs to drop.
+INDEXED = MIN_SHARED - 1
+CHOICES = list(combinations(range(POSITIONS), INDEXED))
+#: Members of a list that are compared with one another; those of a longer one are linked by their single-bit variants.
+LONG = 256
 
 
 def fingerprint(text: str | None) -> bytes:
@@ -56,7 +59,7 @@ def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def postings(distinct: DataFrame) -> DataFrame:
-    """(fp, key): one posting for each choice of MIN_SHARED byte positions, its key the choice and the bytes there."""
+    """(fp, key): one posting for each choice of INDEXED byte positions, its key the choice and the bytes there."""
     at = lambda p: F.shiftrightunsigned("fp", 8 * (POSITIONS - 1 - p)).bitwiseAND(F.lit(255).cast("long"))
     keys = []
     for number, choice in enumerate(CHOICES):
@@ -67,31 +70,50 @@ def postings(distinct: DataFrame) -> DataFrame:
     return distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
-def shared_bytes(hits: Column) -> Column:
-    """Bytes that a pair shares at their positions, by the number of postings it meets under: a pair that shares s of
-    them meets under (s choose MIN_SHARED)."""
-    return F.element_at(F.create_map(*(F.lit(x) for s in range(MIN_SHARED, POSITIONS + 1) for x in (comb(s, MIN_SHARED), s))), hits.cast("int"))
+def shared_bytes(a: Column, b: Column) -> Column:
+    """The tally of a pair: positions at which both have the same byte.  Every byte's lowest bit becomes the or of its bits."""
+    x = a.bitwiseXOR(b)
+    for step in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+    return F.lit(POSITIONS) - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def linked(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
+
+
+def by_lists(met: DataFrame) -> DataFrame:
+    """(a, b) of the lists in ``met(fp, key)``: pairs of a list are tallied, those that reach MIN_SHARED are verified."""
+    members = met.groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    own = members.select(F.posexplode("fps").alias("i", "a"), "fps").select("a", F.slice("fps", F.col("i") + 2, F.size("fps")).alias("after"))
+    kept = F.filter("after", lambda b: shared_bytes(F.col("a"), b) >= MIN_SHARED)
+    return own.select("a", F.explode(F.filter(kept, lambda b: linked(F.col("a"), b))).alias("b"))
+
+
+def by_variants(hot: DataFrame) -> DataFrame:
+    """(a, b): all linked pairs of ``hot(fp)``, however many share bytes.
+
+    A fingerprint posts itself and its 64 single-bit variants.  Two that differ in one or two bits have a variant in
+    common, and what shares one differs in two bits at most, so a list has 65 members and each of its pairs is linked.
+    """
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << k if k < 63 else -(1 << 63)) for k in range(64)))
+    met = hot.withColumn("flip", F.explode(flips)).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("key"))
+    return by_lists(met)
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
     """(a, b, shared): pairs of ``distinct(fp)`` that reach the minimum of shared positional bytes, and are linked.
 
-    Two of the bytes may differ, so MIN_SHARED match.  A count filter that first made all pairs of a single byte's list
-    would be quadratic in the corpus; here a list stands for MIN_SHARED bytes at once, so pairs below the minimum meet
-    nowhere and the tally of meetings gives the bytes that the others share.  Members of a list differ in two bytes
-    only, so no list has more than 65,536, whatever is common in the corpus.  Bits are verified inside a list, so only
-    linked pairs leave it: at most 2,080 for each fingerprint.
+    Two of the bytes may differ, so MIN_SHARED match.  Pairs that share INDEXED bytes meet in a list; the tally over all
+    positions drops those that share no more, and only then bits are compared, so one row leaves a list for each linked
+    pair in it.  Lists of single bytes would be quadratic in the corpus.  A list of more than LONG members isn't compared
+    pair by pair: its members are linked by variants, which takes 65 rows each and finds the same pairs.
     """
-    posted = postings(distinct)
-    several = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = posted.join(several, "key").groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    linked = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS
-    after = lambda a, i: F.slice("fps", i + 2, F.size("fps"))
-    pairs = F.flatten(
-        F.transform("fps", lambda a, i: F.transform(F.filter(after(a, i), lambda b: linked(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
-    )
-    met = members.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("hits"))
-    return met.select("a", "b", shared_bytes(F.col("hits")).alias("shared")).where(F.col("shared") >= MIN_SHARED)
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    met = cut(postings(distinct).withColumn("n", n).where("n > 1"))
+    short, hot = met.where(F.col("n") <= LONG).select("fp", "key"), met.where(F.col("n") > LONG).select("fp").distinct()
+    pairs = by_lists(short).union(by_variants(hot)).distinct()
+    return pairs.select("a", "b", shared_bytes(F.col("a"), F.col("b")).alias("shared"))
 
 
 def links(distinct: DataFrame) -> DataFrame:

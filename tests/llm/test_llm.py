@@ -7,6 +7,7 @@ from array import array
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe_codec, chain_dedup, exact_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_counts, toxicity
 
@@ -22,7 +23,6 @@ def frame(spark, texts, ids=None, extra=False):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:  # columns whose names the operators use inside
-        from pyspark.sql import functions as F
 
         df = df.withColumns({c: F.lit(1) for c in ("kept", "fp", "bucket", "digest", "score", "_class", "component", "db")})
     return df
@@ -191,7 +191,7 @@ def test_count_filter_keeps_the_pairs_that_share_six_bytes(spark):
     rng = random.Random(61)
     base = rng.getrandbits(64)
     bit = lambda *at: base ^ sum(1 << a for a in at)
-    fps = [base, bit(3), bit(3, 60), bit(1, 9, 17), bit(1, 2, 3), bit(1, 9), bit(40, 41)]  # three bytes differ in the fourth
+    fps = [base, bit(3), bit(3, 60), bit(1, 9, 17), bit(1, 2, 3), bit(1, 9), bit(40, 41)]  # three bytes differ in the fourth, so the tally drops it
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     shared = lambda a, b: sum((a >> 8 * k & 255) == (b >> 8 * k & 255) for k in range(8))
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
@@ -201,11 +201,29 @@ def test_count_filter_keeps_the_pairs_that_share_six_bytes(spark):
     together = {(a, b) for fs in met.values() for a in fs for b in fs if a < b}
     mask = (1 << 64) - 1
     every = {(a, b) for a in signed for b in signed if a < b}
-    assert together == {(a, b) for a, b in every if shared(a & mask, b & mask) >= 6} != every
+    assert together == {(a, b) for a, b in every if shared(a & mask, b & mask) >= 5} != every
+    tallied = spark.createDataFrame(sorted(every), "a long, b long").select("a", "b", simhash.shared_bytes(F.col("a"), F.col("b")).alias("s"))
+    assert all(r.s == shared(r.a & mask, r.b & mask) for r in tallied.collect())
     got = {(r.a, r.b): r.shared for r in simhash.candidates(df).collect()}
     assert got == {(a, b): shared(a & mask, b & mask) for a, b in every if bin((a ^ b) & mask).count("1") <= 2}
 
 
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """A cluster around one fingerprint, its lists far longer than are compared, against all pairs."""
+    rng = random.Random(62)
+    base, mask = rng.getrandbits(64), (1 << 64) - 1
+    fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(100)}
+    fps |= {base ^ 1 << 63, base ^ 1 << 63 ^ 1}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    want = {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if bin((a ^ b) & mask).count("1") <= 2}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long").cache()
+    for most in (256, 8, 1):
+        monkeypatch.setattr(simhash, "LONG", most)
+        got = [(r.a, r.b) for r in simhash.links(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+    assert simhash.links(df.where("false")).count() == 0
+
+
 def brute_suffix(texts):
     first = {}
     for i, t in enumerate(texts):
@@ -378,7 +396,6 @@ def test_chain_dedup_is_not_led_astray_by_shorter_holders(spark):
 
 def test_chain_dedup_of_a_passage_in_a_third_of_the_texts(spark):
     """Over many partitions and groups: links grow with the texts, and every text is linked."""
-    from pyspark.sql import functions as F
 
     rng = random.Random(59)
     passage = [f"p{i}" for i in range(60)]
