@@ -5,7 +5,7 @@ Each is an equi-join on keys that both sides can list, so none compares all payo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,18 +102,45 @@ def references(settlements: DataFrame, *more: str) -> DataFrame:
     return settlements.where("utr is not null").select("settlement_id", N.normalize_ref(F.col("utr")).alias("_t"), *more).where("_t <> ''")
 
 
+def line_tokens(facts: DataFrame) -> DataFrame:
+    return facts.select("line_id", F.explode("tokens").alias("token"))
+
+
+def fewer_letters(text: Column) -> Column:
+    """The text and what is left of it without one or two of its letters, each once."""
+    less = lambda x: F.transform(
+        F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))),
+    )
+    one = less(text)
+    return F.array_distinct(F.concat(F.array(text), one, F.flatten(F.transform(one, less))))
+
+
 def by_token(refs: DataFrame, facts: DataFrame) -> DataFrame:
-    """A line's token is the reference, or both have eight letters or more and the first eight are the same."""
-    tok = facts.select("line_id", F.explode("tokens").alias("token"))
-    whole = refs.select("settlement_id", F.col("_t").alias("_k")).join(
-        tok.select("line_id", F.col("token").alias("_k")), "_k"
-    ).select("settlement_id", "line_id")
-    heads = tok.where(F.length("token") >= HEAD).select("line_id", F.left("token", F.lit(HEAD)).alias("_k"))
-    return whole.union(
-        refs.where(F.length("_t") >= HEAD).select(
-            "settlement_id", F.left("_t", F.lit(HEAD)).alias("_k")
-        ).join(heads, "_k").select("settlement_id", "line_id")
+    """A line's token is the reference, its beginning of HEAD letters or more, or has its head and is within EDITS edits.
+
+    Beginnings are joined as keys of their own.  Two texts within two edits (a swap is one) are the same text when each
+    has lost two letters at most, so behind a common head the rests are joined on what such losses leave, and what meets
+    is measured: references that merely share a head, as most of a bank do, meet nowhere.
+    """
+    tok = line_tokens(facts)
+    n = F.length("_t")
+    begun = F.when(n >= HEAD, F.transform(F.sequence(F.lit(HEAD), n), lambda k: F.left("_t", k))).otherwise(F.array("_t"))
+    whole = refs.select("settlement_id", F.explode(begun).alias("token")).join(tok, "token").select("settlement_id", "line_id")
+    split = lambda df, text: df.withColumn("_head", F.left(text, F.lit(HEAD))).withColumn(
+        "_k", F.explode(fewer_letters(F.substring(F.col(text), F.lit(HEAD + 1), F.length(text))))
     )
+    mine = split(refs.where(n >= N.NEAR_LENGTH - N.EDITS).select("settlement_id", "_t"), "_t")
+    near = mine.join(split(tok.where(F.length("token") >= N.NEAR_LENGTH), "token"), ["_head", "_k"])
+    near = near.where((F.abs(F.length("token") - n) <= N.EDITS) & (F.col("token") != F.col("_t"))).select("settlement_id", "line_id", "_t", "token")
+    near = near.distinct().where(F.levenshtein("token", "_t", 2 * N.EDITS) >= 0).where(N.osa("token", "_t") <= N.EDITS)
+    return whole.union(near.select("settlement_id", "line_id"))
+
+
+def headed(refs: DataFrame, facts: DataFrame) -> DataFrame:
+    """(settlement_id): references whose head some token has; such a payout isn't looked for by edits."""
+    heads = line_tokens(facts).where(F.length("token") >= HEAD).select(F.left("token", F.lit(HEAD)).alias("_head")).distinct()
+    return refs.where(F.length("_t") >= HEAD).withColumn("_head", F.left("_t", F.lit(HEAD))).join(heads, "_head", "left_semi").select("settlement_id")
 
 
 def by_text(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -155,17 +182,17 @@ def by_edits(refs: DataFrame, facts: DataFrame, lo: str, hi: str) -> DataFrame:
 
 
 def reference_candidates(settlements: DataFrame, bank: DataFrame, claimed_lines: DataFrame | None = None) -> DataFrame:
-    """(settlement_id, line_id) worth scoring, from cheap tests to dear ones.
+    """(settlement_id, line_id) that may score, from cheap tests to dear ones.
 
     By token: anywhere in time, and any line counts, even a debit or a taken one.  By text: open credits of the wide
-    window.  Only a payout with neither is compared by edits.
+    window.  Only a payout with neither, and whose head no token has, is compared by edits.
     """
     refs, facts = references(settlements, "wide_lo", "wide_hi"), line_facts(bank)
     credits = facts.where("amount > 0")
     if claimed_lines is not None:
         credits = credits.join(claimed_lines, "line_id", "left_anti")
     cheap = by_token(refs, facts).union(by_text(refs, credits, "wide_lo", "wide_hi")).distinct()
-    rest = refs.join(cheap.select("settlement_id").distinct(), "settlement_id", "left_anti")
+    rest = refs.join(cheap.select("settlement_id").union(headed(refs, facts)).distinct(), "settlement_id", "left_anti")
     return cheap.union(by_edits(rest, credits, "wide_lo", "wide_hi").distinct())
 
 
