@@ -478,6 +478,68 @@ def test_chain_dedup_recall_against_all_pairs(spark):
     assert want > 50 and got >= 0.95 * want
 
 
+def changed(passage, w, step, offset):
+    """The passage with every ``step``-th word, from ``offset`` on, another one."""
+    return [w(1)[0] if k % step == offset else x for k, x in enumerate(passage)]
+
+
+def test_chain_dedup_finds_two_holders_of_a_changed_passage(spark):
+    """Every sixth and every seventh word changed: five and six words in a row are left, one and two k-mers."""
+    w = word_maker(random.Random(97))
+    docs, want = [], {6: [], 7: []}
+    for k in range(80):
+        base, step = w(66), 6 + k % 2
+        docs.append(w(20) + base + w(20))
+        docs.append(w(20) + changed(base, w, step, k % step) + w(20))
+        want[step].append((2 * k + 1, 2 * k))
+    rows = chain_dedup.chain_dedup(frame(spark, [" ".join(d) for d in docs])).collect()
+    pairs = {(r.doc_id, r.partner_id) for r in rows}
+    assert pairs <= set(want[6] + want[7])
+    assert len(pairs & set(want[6])) >= 0.9 * len(want[6]) and len(pairs & set(want[7])) >= 0.95 * len(want[7])
+
+
+def test_chain_dedup_classes_of_fuzzy_and_equal_holders(spark):
+    """Texts that share a passage at 0.8 are in one class, others are not; the class names its smallest document."""
+    w = word_maker(random.Random(101))
+    fuzzy, equal, lone = w(60), w(60), w(60)
+    docs = [w(20) + changed(fuzzy, w, 8, i % 4) + w(20) for i in range(20)]
+    docs += [w(20) + equal + w(20) for _ in range(12)] + [w(20) + lone + w(20), w(7) + lone, w(100)]
+    rows = chain_dedup.chain_dedup(frame(spark, [" ".join(d) for d in docs])).collect()
+    classes = {}
+    for r in rows:
+        assert classes.setdefault(r.doc_id, r.class_id) == r.class_id and classes.setdefault(r.partner_id, r.class_id) == r.class_id
+    assert classes == {i: i % 4 for i in range(20)} | dict.fromkeys(range(20, 32), 20) | {32: 32, 33: 32}
+    sizes = {r.class_id: (r.class_size, r.class_word) for r in rows}
+    assert {c: n for c, (n, _) in sizes.items()} == {0: 5, 1: 5, 2: 5, 3: 5, 20: 12, 32: 2} and sizes[20][1] == sizes[32][1] == 20
+
+
+def test_passage_classes_by_brute_force(spark):
+    rng = random.Random(103)
+    for size in (0, 1, 60):
+        rows = []
+        for _ in range(size):
+            d, p, x, y = rng.randrange(1, 25), 0, rng.randrange(0, 400), rng.randrange(0, 400)
+            p = rng.randrange(0, d)
+            rows.append((d, p, x, x + rng.randrange(40, 60), y, y + rng.randrange(40, 60), 0, 1.0))
+        rows += rows[:3]
+        names = ["doc_id", "partner_id", "first_word", "end_word", "partner_first_word", "partner_end_word", "distance", "similarity"]
+        schema = ", ".join(f"{n} {'double' if n == 'similarity' else 'long'}" for n in names)
+        got = chain_dedup.with_classes(spark.createDataFrame(rows, schema)).collect()
+        ranges = [(r[0], r[2], r[3]) for r in rows] + [(r[1], r[4], r[5]) for r in rows]
+        group = list(range(len(ranges)))
+        while True:  # least label of what overlaps or is linked
+            new = [min(group[j] for j, b in enumerate(ranges) if j == i or (a[0] == b[0] and a[1] < b[2] and b[1] < a[2]) or abs(i - j) == len(rows)) for i, a in enumerate(ranges)]
+            if new == group:
+                break
+            group = new
+        want = []
+        for i, r in enumerate(rows):
+            members = [ranges[j] for j in range(len(ranges)) if group[j] == group[i]]
+            least = min(members)
+            want.append((*r, least[0], least[1], len({m[0] for m in members})))
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_chains_by_brute_force():
     rng = random.Random(19)
     for _ in range(60):
