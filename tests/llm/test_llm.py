@@ -498,6 +498,48 @@ def test_chain_dedup_finds_two_holders_of_a_changed_passage(spark):
     assert len(pairs & set(want[6])) >= 0.9 * len(want[6]) and len(pairs & set(want[7])) >= 0.95 * len(want[7])
 
 
+def test_chain_dedup_links_holders_whose_every_seed_many_texts_have(spark):
+    """Sixty texts hold a passage's parts among other words; two that hold the passage itself, every seventh word changed or
+    left out, have no four seeds in a row in common, and others stand before and between them."""
+    w = word_maker(random.Random(107))
+    bases = [w(70) for _ in range(16)]
+    mix = lambda: sum((w(20) + b[i : i + 14] for b in bases for i in range(0, 70, 14)), [])
+    docs = {i: mix() for i in range(30)} | {200 + i: mix() for i in range(30)}
+    for i, b in enumerate(bases):
+        left_out = {k for k in range(3, 70, 7) if i % 2 and k % 3 == 0}
+        docs[100 + i] = w(15) + b + w(15)
+        docs[300 + i] = w(9) + [x for k, x in enumerate(changed(b, w, 7, 3)) if k not in left_out] + w(20)
+    rows = chain_dedup.chain_dedup(frame(spark, [" ".join(d) for d in docs.values()], ids=list(docs))).collect()
+    assert {(r.doc_id, r.partner_id, r.class_id) for r in rows} == {(300 + i, 100 + i, 100 + i) for i in range(16)}
+
+
+def test_chain_dedup_filters_of_surroundings_lose_no_passage():
+    """Forty words or more that are alike enough, at any place around the seed and with any kinds of changes, pass."""
+    rng = random.Random(109)
+    a, b = [], []
+    for n in range(600):
+        size = rng.randrange(40, 80)
+        at = rng.choice([0, size - 5, rng.randrange(size - 4)])
+        one = [rng.randrange(1, 40 if n % 3 else 30_000) for _ in range(size)]
+        places = [k for k in range(size) if not at <= k < at + 5]
+        where = set(rng.sample(places, size // 5)) if n % 2 else set(sorted(places, key=lambda k: abs(k - at))[: size // 5])
+        kinds, two, seed = rng.choice(["changed", "out", "in", "all"]), [], 0
+        for k, x in enumerate(one):
+            kind = (rng.choice(["changed", "out", "in"]) if kinds == "all" else kinds) if k in where else ""
+            seed = len(two) if k == at else seed
+            two += {"": [x], "changed": [rng.randrange(30_000, 32_000)], "out": [], "in": [rng.randrange(30_000, 32_000), x]}[kind]
+        pad = lambda words, p: [rng.randrange(1, 32_000) for _ in range(max(0, 35 - p))] + words[max(0, p - 35) :] + [rng.randrange(1, 32_000) for _ in range(90)]
+        for rows, words in ((a, pad(one, at)), (b, pad(two, seed))):
+            rows.append([2 * x + 1 for x in words[: chain_dedup.WIDE]])
+    a, b = (np.array(r, np.uint16) for r in (a, b))
+    (bits_a, least_a), (bits_b, least_b) = chain_dedup.sketches(a), chain_dedup.sketches(b)
+    shared = np.bitwise_count(bits_a & bits_b).sum(axis=1)
+    assert (shared >= least_a).all() and (shared >= least_b).all()
+    assert (chain_dedup.may_share(a, b) | chain_dedup.may_share(b, a)).all()
+    other = np.random.default_rng(1).permutation(len(b))
+    assert not chain_dedup.may_share(a, b[other])[::3].any()
+
+
 def test_chain_dedup_classes_of_fuzzy_and_equal_holders(spark):
     """Texts that share a passage at 0.8 are in one class, others are not; the class names its smallest document."""
     w = word_maker(random.Random(101))
