@@ -540,6 +540,70 @@ def test_chain_dedup_filters_of_surroundings_lose_no_passage():
     assert not chain_dedup.may_share(a, b[other])[::3].any()
 
 
+def planted_runs(n):
+    """Texts of runs of one word each, the same word's among them: (first words, length of that word's longest run, arguments of crowd_links)."""
+    rng = random.Random(113)
+    words, first, row, place, longest = [], [0], [], [], []
+    for i in range(n):
+        runs = []
+        for _ in range(rng.choice([1, 1, 2])):
+            runs += [(rng.randrange(10, 10**6), rng.randrange(15, 60)), (1, rng.choice([17, 22, 26, 30, 45, 60, 90]))]
+        runs.append((rng.randrange(10, 10**6), rng.randrange(70, 90)))
+        text = [w for w, k in runs for _ in range(k)]
+        at = [k for k in range(len(text) - 4) if text[k : k + 5] == [1] * 5]
+        row, place = row + [i] * len(at), place + at
+        longest.append(max(k for w, k in runs if w == 1))
+        words += text
+        first.append(len(words))
+    row, place = np.array(row), np.array(place)
+    hashes = np.array(words, np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    around = chain_dedup.surroundings(hashes, np.array(first), row, place)
+    kept = np.sort(chain_dedup.copies(np.zeros(len(row), np.int64), row, around)[0])
+    return longest, np.zeros(len(kept), np.int64), row[kept], around[kept]
+
+
+def test_chain_dedup_hands_on_few_pairs_of_runs_of_one_word():
+    """Runs of 40 words or more are of one class, whatever stands around them; shorter ones don't send each text to be
+    aligned with all others at all places of their runs."""
+    longest, key, doc, around = planted_runs(60)
+    one, two, sure = chain_dedup.crowd_links(key, doc, around)
+    assert (doc[one] > doc[two]).all()
+    parent = list(range(60))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in zip(doc[one[sure]].tolist(), doc[two[sure]].tolist(), strict=True):
+        parent[root(i)] = root(j)
+    assert len({root(i) for i in range(60) if longest[i] >= 40}) == 1 and sum(k >= 40 for k in longest) > 20
+    assert (~sure).sum() < 2 * len(key)
+
+
+def test_chain_dedup_band_of_edits_loses_no_passage():
+    """Forty words or more with a fifth of them changed, left out or put in pass, on either side of the seed."""
+    rng = random.Random(127)
+    a, b = [], []
+    for _ in range(400):
+        size, seed = rng.randrange(40, 80), 0
+        at = rng.choice([0, size - 5, rng.randrange(size - 4)])
+        one, two = [rng.randrange(1, 200) for _ in range(size)], []
+        where = set(rng.sample([k for k in range(size) if not at <= k < at + 5], size // 5))
+        for k, x in enumerate(one):
+            seed = len(two) if k == at else seed
+            new = rng.randrange(20_000, 30_000)
+            two += rng.choice([[new], [], [new, x]] if len(one) < 60 else [[new], []]) if k in where else [x]
+        if len(two) > len(one):
+            continue
+        pad = lambda words, p: [rng.randrange(1, 32_000) for _ in range(max(0, 35 - p))] + words[max(0, p - 35) :] + [rng.randrange(1, 32_000) for _ in range(90)]
+        for rows, words in ((a, pad(one, at)), (b, pad(two, seed))):
+            rows.append([2 * x + 1 for x in words[: chain_dedup.WIDE]])
+    a, b = (np.array(r, np.uint16) for r in (a, b))
+    assert len(a) > 200 and chain_dedup.may_align(a, b).all() and chain_dedup.may_align(b, a).all()
+    assert not chain_dedup.may_align(a, np.roll(b, 1, axis=0)).any()
+
+
 def test_chain_dedup_classes_of_fuzzy_and_equal_holders(spark):
     """Texts that share a passage at 0.8 are in one class, others are not; the class names its smallest document."""
     w = word_maker(random.Random(101))
