@@ -112,7 +112,9 @@ def stamp(name: str) -> Column:
 def read_texts(named: DataFrame, spec: Spec) -> DataFrame:
     """Adds what each amount and date text says, once, however often the columns and complaints ask."""
     amounts = {f"_{n}_paise": parse_money(F.col(n)) for n in spec.amounts.split()}
-    return named.withColumns(amounts | {f"_{n}_stamp": parse_datetime(F.col(n)) for n in spec.dates.split()})
+    read = amounts | {f"_{n}_stamp": parse_datetime(F.col(n)) for n in spec.dates.split()}
+    # a generator, as a filter would else be moved before the reading and read all again
+    return named.withColumn("_read", F.explode(F.array(F.struct(*(v.alias(k) for k, v in read.items()))))).select(*named.columns, "_read.*")
 
 
 def _required(*names: str) -> list[tuple[Column, str]]:

@@ -57,3 +57,21 @@ def test_a_busy_day_lends_its_first_credits_only(spark):
     firsts = [f"b{i:05d}" for i in range(12)]
     assert got == sorted([("s1", x) for x in firsts] + [("s2", x) for x in ["a9", *firsts[:11]]])
     assert "_n" in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_text_is_read_once(spark):
+    from ledgerloom.plans import coverage
+
+    plan = coverage.ingest_payments(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [x for x in plan.split("\n") if "Filter" in x]
+    assert not any("INR" in x or "yyyy-MM-dd" in x for x in filters)
+
+
+def test_plain_amounts_say_what_the_general_rule_says(spark):
+    from ledgerloom.functions import money
+
+    texts = ["0.00", "7.05", "123456789012345.67", "1234567890123456.78", "007.10", "12.345", "1.2", "1234", "12.30\n", " 5.00", "-5.00", "5.00-", "1,234.50"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = {r.t: (r.plain, r.general) for r in df.select("t", money.parse_money(F.col("t")).alias("plain"), money.parse_money(F.concat(F.lit("INR"), "t")).alias("general")).collect()}
+    assert got.pop("-5.00")[0] == -500  # a sign behind the mark isn't one before
+    assert all(a == b for a, b in got.values()) and got["7.05"][0] == 705 and got["12.30\n"][0] == 1230
